@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, urls
+    from . import chat, secrets_scan, urls
 
     return {
+        "op2_secret_scan": secrets_scan.op2_secret_scan,
         "op4_chat_format": chat.op4_chat_format,
         "op9_url_filter": urls.op9_url_filter,
     }
