@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, secrets_scan, urls
+    from . import chat, packing, secrets_scan, urls
 
     return {
+        "op1_pack": packing.op1_pack,
         "op2_secret_scan": secrets_scan.op2_secret_scan,
         "op4_chat_format": chat.op4_chat_format,
         "op9_url_filter": urls.op9_url_filter,
