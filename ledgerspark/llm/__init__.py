@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, packing, secrets_scan, urls
+    from . import chat, packing, quality, secrets_scan, urls
 
     return {
+        "op10_quality": quality.op10_quality,
         "op1_pack": packing.op1_pack,
         "op2_secret_scan": secrets_scan.op2_secret_scan,
         "op4_chat_format": chat.op4_chat_format,
