@@ -4,9 +4,10 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, packing, quality, secrets_scan, urls
+    from . import chat, neardup, packing, quality, secrets_scan, urls
 
     return {
+        "op8_near_dup": neardup.op8_near_dup,
         "op10_quality": quality.op10_quality,
         "op1_pack": packing.op1_pack,
         "op2_secret_scan": secrets_scan.op2_secret_scan,

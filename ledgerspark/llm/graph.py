@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: every node's edges are hung on its smallest
 neighbour until nothing changes. Minima are pre-aggregated before the shuffle; the join
-that hands them back is salted, for one node may hold a third of all edges.
+that hands them back is a plain one of two written tables, which adaptive execution splits
+where one node holds many of the edges.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str, by: str) -
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """One round over ``u > v`` edges."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = salted_join(around, least, "u", "inner", "v")
+    least = scratch.keep(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    joined = around.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -55,7 +56,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if new[0] == 0 or new == state:
             break
         state = new
-        step = scratch.keep(_stars(_stars(now, True), False), "edges")
+        step = scratch.keep(_stars(_stars(now, True, scratch), False, scratch), "edges")
         scratch.drop(now)
         now = step
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
