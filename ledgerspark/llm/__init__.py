@@ -4,10 +4,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import chat, fingerprints, neardup, packing, quality, secrets_scan, urls
+    from . import chat, fingerprints, lm, neardup, packing, quality, secrets_scan, urls
 
     return {
         "op3_fingerprint": fingerprints.op3_fingerprint,
+        "op5_lm_score": lm.op5_lm_score,
         "op8_near_dup": neardup.op8_near_dup,
         "op10_quality": quality.op10_quality,
         "op1_pack": packing.op1_pack,
