@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import bpe, chat, fingerprints, lm, neardup, packing, quality, secrets_scan, urls
+    from . import bpe, chat, fingerprints, lm, neardup, packing, pii, quality, secrets_scan, urls
 
     return {
         "op3_fingerprint": fingerprints.op3_fingerprint,
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op1_pack": packing.op1_pack,
         "op2_secret_scan": secrets_scan.op2_secret_scan,
         "op4_chat_format": chat.op4_chat_format,
+        "op6_pii": pii.op6_pii,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_url_filter": urls.op9_url_filter,
     }
