@@ -160,7 +160,7 @@ def spans(docs: DataFrame, model: list[int]) -> DataFrame:
 def redact(docs: DataFrame, model: list[int], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span's text replaced by ``mark`` (touching or overlapping spans by
     one) and ``n_chars`` brought up to date; the columns stay the same."""
-    found = spans(docs.withColumnRenamed("_text", "_text_own") if "_text" in docs.columns else docs, model)
+    found = spans(docs.select(F.struct("*").alias("doc"), docs["text"]), model)
     text = F.col("_text")
 
     def cut(acc: Column, s: Column) -> Column:
@@ -172,10 +172,11 @@ def redact(docs: DataFrame, model: list[int], mark: str = "[SECRET]") -> DataFra
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("all_spans", zero, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = found.withColumn("text", F.when(F.size("all_spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    some = F.size("all_spans") > 0
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.when(some, clean).otherwise(F.col("doc.text"))}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(some, F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def _listed(spans_: Column, kinds: tuple[str, ...]) -> Column:
