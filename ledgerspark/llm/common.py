@@ -58,3 +58,12 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows that a join may broadcast: of a few dozen bytes each, some tens of MB.
+BROADCAST_ROWS = 200_000
+
+
+def hinted(small: DataFrame, rows: int) -> DataFrame:
+    """A narrow side of a join, to be broadcast if it was counted and is small."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small

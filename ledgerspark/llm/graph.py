@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_ROWS, Scratch, hinted
 
 SALTS = 32
 
@@ -27,14 +27,15 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str, by: str) -
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, rows: int, scratch: Scratch) -> DataFrame:
     """One round over ``u > v`` edges."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges
-    least = scratch.keep(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    joined = around.join(least, "u")
+    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    most = 2 * rows  # nodes
+    joined = around.join(hinted(least if most <= BROADCAST_ROWS else scratch.keep(least, "least"), most), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -56,7 +57,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if new[0] == 0 or new == state:
             break
         state = new
-        step = scratch.keep(_stars(_stars(now, True, scratch), False, scratch), "edges")
+        step = scratch.keep(_stars(_stars(now, True, new[0], scratch), False, new[0], scratch), "edges")
         scratch.drop(now)
         now = step
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

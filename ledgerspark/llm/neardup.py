@@ -6,14 +6,16 @@ process whose rate is its weight; an arrival goes to a random register, which ke
 earliest one, and a text's processes stop once no later arrival can lower a register. Two
 registers agree with the probability Jaccard of the weights. Signatures are cut into bands
 of ROWS registers; texts that share a band are candidates, and a candidate pair is a link
-if the Jaccard of the two shingle sets, computed from the texts, is THRESHOLD or more.
+if the Jaccard of the two shingle sets, computed from the texts, is THRESHOLD or more
+(and LIKELY of their registers agree, which spares texts that are hardly alike the look).
 
-A band's texts aren't paired with each other. The band's first text (by key) is its pivot
-and is verified against the others; links make classes (distributed connected components).
-Bands whose other texts are of several classes go into another round, with the next 8, 64
-and so on as pivots, each verified against the texts after it that are in other classes.
-The rounds end when what is left of every band is one class: no link between classes is
-lost, and within a class no further one is wanted. Copies thus cost a pair each.
+A band's first text (by key) is its pivot and is verified against the others of the band;
+links make classes (distributed connected components), so a group of copies costs about a
+pair each and is then one class. What is left are bands whose texts are of several classes.
+They are dealt in blocks of about BLOCK texts, every two blocks of a band meet in a task,
+and one product of their shingle incidences gives the exact Jaccard of each text with each
+other one; a task hands on only links that join classes, fewer than it has texts. So no
+link between classes is lost, and no list of pairs is made.
 
 Equal texts are one class from the start and are hashed once; a null text is empty, and
 all empty texts are one class. A class's id is its smallest ``doc_id`` (nulls last).
@@ -31,12 +33,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import vec
-from .common import Scratch, table, text_of
-from .graph import SALTS, components
-
-K, M, ROWS, THRESHOLD = 5, 120, 5, 0.8
-#: By how much the pivots of a band grow from one round to the next.
-PIVOTS = 8
+from .common import Scratch, hinted, table, text_of
+from .graph import components
+
+K, M, ROWS, THRESHOLD = 5, 238, 7, 0.8
+#: Share of equal registers below which a candidate pair isn't verified: at a similarity of
+#: THRESHOLD some seven deviations off.
+LIKELY = 0.6
+#: Texts of a band that are worked on together.
+BLOCK = 128
 U = np.uint64
 
 
@@ -97,9 +102,10 @@ def text_key(text):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, bands`` of every row; a text without words has no bands."""
+    """``doc_id, key, bands, sketch`` of every row; a text without words has no bands. The
+    sketch is a byte of each register."""
     rows_in = docs.select(docs["doc_id"], text_of(docs).alias("text")).select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    schema = T.StructType([rows_in.schema["doc_id"], rows_in.schema["key"], T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows_in.schema["doc_id"], rows_in.schema["key"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0xD1B54A32D192ED03)
@@ -114,7 +120,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 some = np.bincount(rows, minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), listed], names=schema.names)
+                small = pa.array([x.tobytes() for x in (vec.mix(who) >> U(56)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), listed, small], names=schema.names)
 
     return rows_in.mapInArrow(run, schema)
 
@@ -147,52 +154,128 @@ def verified(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, schema)
 
 
-def _with_texts(pairs: DataFrame, few: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Those of ``u, v`` with LIKELY equal registers or more."""
+    schema = T.StructType([pairs.schema["u"], pairs.schema["v"]])
+    both = pairs.join(sketch.select(F.col("key").alias("u"), F.col("sketch").alias("a")), "u").join(sketch.select(F.col("key").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in (2, 3))
+            good = pa.array(np.flatnonzero((a == b).sum(1) >= LIKELY * M))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(good) for c in (0, 1)], names=schema.names)
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, schema)
+
+
+def _with_texts(pairs: DataFrame, rows: int, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Texts for ``u, v``; a pivot in many pairs is a skewed key of plain joins, which
     adaptive execution splits."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    text = docs.select(text_of(docs).alias("text")).select(text_key(F.col("text")).alias("key"), "text")
+    few = scratch.keep(text.join(hinted(wanted, 2 * rows), "key", "left_semi").dropDuplicates(["key"]), "few")
     own = pairs.join(few.select(F.col("key").alias("u"), F.col("text").alias("u_text")), "u")
     return own.join(few.select(F.col("key").alias("v"), F.col("text").alias("v_text")), "v")
 
 
-def _least(members: DataFrame, n: int) -> DataFrame:
-    """The n smallest ``u`` of each band, numbered; first within salts, so no task holds a band."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)))
-    part = salted.withColumn("rank", F.row_number().over(W.partitionBy("band", "salt").orderBy("u"))).where(F.col("rank") <= n)
-    return part.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("u"))).where(F.col("rank") <= n).select("band", "u", "c")
+def _links_within(owner: np.ndarray, shingle: np.ndarray, sizes: np.ndarray, group: list) -> list[tuple[int, int]]:
+    """Pairs with a similarity of THRESHOLD that join the groups of some texts, a tree of them."""
+    n = len(sizes)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+    column = np.cumsum(new) - 1
+    times = np.bincount(column)
+    keep = times[column] > 1
+    _, column = np.unique(column[keep], return_inverse=True)
+    owner, shared = owner[keep], np.zeros((n, n), np.float32)
+    at = 0
+    while at < len(column):  # some thousand shingles at a time
+        end = np.searchsorted(column, column[at] + 4096)
+        x = np.zeros((int(column[end - 1] - column[at]) + 1, n), np.float32)
+        x[column[at:end] - column[at], owner[at:end]] = 1
+        shared += x.T @ x
+        at = end
+    alike = shared >= THRESHOLD * (sizes[:, None] + sizes[None, :] - shared)
+    root = {c: c for c in group}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(alike, 1))):
+        if (a := find(group[i])) != (b := find(group[j])):
+            root[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def block_links(left: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``u, v``: links between texts of different classes ``c`` in the same band."""
+    members = left.select("band", "u", "c")
+    wanted = scratch.keep(members.select(F.col("u").alias("key")).distinct(), "wanted")
+    text = docs.select(text_of(docs).alias("text")).select(text_key(F.col("text")).alias("key"), "text")
+    few = text.join(hinted(wanted, wanted.count()), "key", "left_semi")
+    held = T.StructType([few.schema["key"], T.StructField("shingles", T.BinaryType())])
+
+    def cut(batches):
+        for batch in batches:
+            for i, j, data, offsets in vec.text_blocks(batch.column(1)):
+                rows, hashes, _ = text_shingles(data, offsets)
+                begins = np.searchsorted(rows, np.arange(j - i + 1))
+                small = (hashes >> U(32)).astype(np.uint32)
+                lists = [np.unique(small[begins[r] : begins[r + 1]]).tobytes() for r in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lists, pa.binary())], names=held.names)
+
+    few = scratch.keep(few.select("key", "text").mapInArrow(cut, held).dropDuplicates(["key"]), "shingles")
+    blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    rows = members.join(blocks, "band").withColumn("i", F.pmod(F.xxhash64("u"), F.col("n")).cast("int"))
+    rows = rows.join(few.withColumnRenamed("key", "u"), "u")
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = rows.groupBy("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("u", "c", "shingles")).alias("x"))
+    schema = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for group in batch.column(0):
+                flat = group.values
+                keys, classes_, lists = (flat.field(k).to_pylist() for k in range(3))
+                sizes = np.array([len(x) // 4 for x in lists], np.int64)
+                found = _links_within(np.repeat(np.arange(len(keys)), sizes), np.frombuffer(b"".join(lists), np.uint32), sizes, classes_)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[e[k]] for e in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    return met.select("x").mapInArrow(run, schema)
 
 
 def link(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """``node, component`` of the text keys that have a link; None if no band is shared."""
-    texts = rows.select("key", "bands").dropDuplicates(["key"])
+    """``node, component`` of the text keys that have a link; None if there is none."""
+    texts = scratch.keep(rows.select("key", "bands", "sketch").dropDuplicates(["key"]), "texts")
     bands = scratch.keep(texts.select(F.explode("bands").alias("band"), F.col("key").alias("u")), "bands")
-    shared = scratch.keep(bands.groupBy("band").agg(F.min("u").alias("v"), F.max("u").alias("hi")).where("v < hi").select("band", "v"), "shared")
-    members = scratch.keep(bands.join(shared, "band").select("band", "u", "v"), "members")
+    shared = bands.groupBy("band").agg(F.min("u").alias("v"), F.max("u").alias("hi")).where("v < hi").select("band", "v")
+    shared = scratch.keep(shared, "shared")
+    rest = scratch.keep(bands.join(hinted(shared, shared.count()), "band").where("u > v").select("band", "u", "v"), "rest")
     scratch.drop(bands)
-    if members.isEmpty():
-        return None
-    wanted = scratch.keep(members.select(F.col("u").alias("key")).distinct(), "wanted")
-    text = docs.select(text_of(docs).alias("text")).select(text_key(F.col("text")).alias("key"), "text")
-    few = scratch.keep(text.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "few")
-    pairs = scratch.keep(members.where("u > v").select("u", "v").distinct(), "pairs")
-    rest = scratch.keep(members.where("u > v").select("band", "u"), "rest")
-    edges, pivots = None, PIVOTS
-    while True:
-        new = scratch.keep(verified(_with_texts(pairs, few)), "links")
-        edges = new if edges is None else edges.unionByName(new)
+    close = scratch.keep(likely(rest.select("u", "v").distinct(), texts), "close")
+    if not (n := close.count()):
+        edges = groups = None
+        classed = rest.select("band", "u", F.col("u").alias("c"))
+    else:
+        edges = scratch.keep(verified(_with_texts(close, n, docs, scratch)), "links")
         groups = scratch.keep(components(edges, scratch), "groups")
-        own = groups.select(F.col("node").alias("u"), F.col("component").alias("c"))
-        classed = scratch.keep(rest.join(own, "u", "left").select("band", "u", F.coalesce("c", "u").alias("c")), "classed")
-        several = classed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-        several = scratch.keep(several, "several")
-        rest = scratch.keep(classed.join(several, "band"), "rest")
-        if rest.isEmpty():
-            return groups
-        heads = scratch.keep(_least(rest, pivots).select("band", F.col("u").alias("v"), F.col("c").alias("cv")), "heads")
-        last = scratch.keep(heads.groupBy("band").agg(F.max("v").alias("v")), "last")
-        pairs = rest.join(heads, "band").where("u > v and c != cv").select("u", "v").distinct()
-        pairs = scratch.keep(pairs, "pairs")
-        rest = scratch.keep(rest.join(last, "band").where("u > v").select("band", "u"), "rest")
-        pivots *= PIVOTS
+        own, few = groups.select(F.col("node").alias("u"), F.col("component").alias("c")), groups.count()
+        classed = rest.join(hinted(own, few), "u", "left").select("band", "u", F.coalesce("c", "u").alias("c"))
+    # bands of three texts or more that are of several classes
+    classed = scratch.keep(classed, "classed")
+    several = classed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    several = scratch.keep(several.where("lo < hi and n > 1").select("band"), "several")
+    if not (n := several.count()):
+        return groups
+    left = scratch.keep(classed.join(hinted(several, n), "band").select("band", "u", "c"), "left")
+    more = scratch.keep(block_links(left, docs, scratch), "more")
+    edges = more if edges is None else edges.unionByName(more)
+    return scratch.keep(components(edges, scratch), "groups")
 
 
 def text_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
