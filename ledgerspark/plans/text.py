@@ -1 +1,179 @@
+"""Queries over diffs, outlines, ranges and the state machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import diff as D
+from ..functions import scalars as S
+from ..functions.outline import outline_of
+from ..operators import ledger as L
+from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
+from ..streaming import machine
+
 Q: dict = {}
+A = f"WITH {ACTIONS_SQL}"
+C = F.col
+
+
+def q(name, sql=None):
+    def add(f):
+        Q[name] = (f, sql)
+        return f
+
+    return add
+
+
+ISLANDS = f"""{A}, r AS (SELECT session_id, file_path, win_start AS s, win_end AS e FROM actions WHERE kind = 'partial' AND win_start >= 1 AND win_start <= win_end),
+b AS (SELECT *, max(e) OVER (PARTITION BY session_id, file_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r),
+i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, file_path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM b),
+m AS (SELECT session_id, file_path, min(s) AS s, max(e) AS e FROM i GROUP BY session_id, file_path, island)"""
+
+
+def merged(ranges):
+    """The array form of the merge: inclusive (s, e), overlapping or touching ones joined."""
+    zero = F.array().cast("array<struct<s:bigint,e:bigint>>")
+
+    def add(acc, x):
+        joins = (F.size(acc) > 0) & (x["s"] <= F.get(acc, F.size(acc) - 1)["e"] + 1)
+        wider = F.struct(F.get(acc, F.size(acc) - 1)["s"].alias("s"), F.greatest(F.get(acc, F.size(acc) - 1)["e"], x["e"]).alias("e"))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(F.filter(ranges, lambda x: (x["s"] >= 1) & (x["s"] <= x["e"]))), zero, add)
+
+
+def _seen(spark, d):
+    p = actions(spark, d).where("kind = 'partial'")
+    return p.groupBy("session_id", "file_path").agg(merged(F.collect_list(F.struct(C("win_start").alias("s"), C("win_end").alias("e")))).alias("seen"))
+
+
+@q("ranges_array_merge", f"{ISLANDS} SELECT session_id, file_path, s, e FROM m")
+def _(spark, d):
+    return _seen(spark, d).select("session_id", "file_path", F.inline("seen"))
+
+
+@q("ranges_cover", f"{ISLANDS} SELECT a.action_id, coalesce(bool_or(m.s <= a.win_start AND a.win_start + 10 <= m.e), false) AS covered FROM actions a LEFT JOIN m USING (session_id, file_path) WHERE a.kind = 'read' GROUP BY 1")
+def _(spark, d):
+    r = actions(spark, d).where("kind = 'read'").select("action_id", "session_id", "file_path", "win_start")
+    j = r.join(_seen(spark, d), ["session_id", "file_path"], "left")
+    return j.select("action_id", F.coalesce(F.expr("exists(seen, x -> x.s <= win_start and win_start + 10 <= x.e)"), F.lit(False)).alias("covered"))
+
+
+@q("range_overlap_hits", f"{ISLANDS} SELECT e.action_id, count(m.s) AS hits FROM actions e LEFT JOIN m ON m.session_id = e.session_id AND m.file_path = e.file_path AND e.win_end >= m.s AND e.win_start <= m.e WHERE e.kind = 'edit' GROUP BY 1")
+def _(spark, d):
+    e = actions(spark, d).where("kind = 'edit'").select("action_id", "session_id", "file_path", "win_start", "win_end")
+    j = e.join(_seen(spark, d), ["session_id", "file_path"], "left")
+    return j.select("action_id", F.coalesce(F.expr("cast(size(filter(coalesce(seen, array()), x -> win_end >= x.s and win_start <= x.e)) as bigint)"), F.lit(0)).alias("hits"))
+
+
+@q("point_in_ranges", f"{ISLANDS} SELECT session_id, file_path, s, e FROM m WHERE s <= 50 AND 50 <= e")
+def _(spark, d):
+    return _seen(spark, d).select("session_id", "file_path", F.inline(F.expr("filter(seen, x -> x.s <= 50 and 50 <= x.e)")))
+
+
+@q("ranges_json", f"{ISLANDS} SELECT session_id, file_path, '[' || string_agg('[' || s || ',' || e || ']', ',' ORDER BY s) || ']' AS seen FROM m GROUP BY 1, 2")
+def _(spark, d):
+    text = F.to_json(F.transform("seen", lambda x: F.array(x["s"], x["e"])))
+    back = F.from_json(text, "array<array<bigint>>")
+    return _seen(spark, d).select("session_id", "file_path", F.to_json(back).alias("seen"))
+
+
+DIFFED = """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM t),
+y AS (SELECT doc_id, i, CASE WHEN i % 4 = 1 THEN '@@ -' || i || ',2 +' || i * 3 || ',2 @@' WHEN i % 4 = 2 THEN '+' || l WHEN i % 4 = 3 THEN '-' || l ELSE ' ' || l END AS r FROM x)"""
+
+
+def given_diff(spark, d):
+    """A text's lines dressed up as a diff, the same in both engines."""
+    rows = F.transform(
+        F.split("content", "\n", -1),
+        lambda l, k: F.when(k % 4 == 0, F.concat(F.lit("@@ -"), (k + 1).cast("string"), F.lit(",2 +"), ((k + 1) * 3).cast("string"), F.lit(",2 @@")))
+        .when(k % 4 == 1, F.concat(F.lit("+"), l)).when(k % 4 == 2, F.concat(F.lit("-"), l)).otherwise(F.concat(F.lit(" "), l)),
+    )
+    return files(spark, d).select("doc_id", S.line_count(C("content")).alias("n_lines"), F.array_join(rows, "\n").alias("diff"))
+
+
+@q("diff_complexity", f"""{DIFFED}, z AS (SELECT doc_id, r, CAST(regexp_extract(r, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1) AS VARCHAR) AS h FROM y)
+SELECT doc_id, CAST(count(*) FILTER (h <> '') AS INTEGER) AS hunks, CAST(count(*) FILTER (starts_with(r, '+') AND NOT starts_with(r, '+++')) AS INTEGER) AS added,
+CAST(count(*) FILTER (starts_with(r, '-') AND NOT starts_with(r, '---')) AS INTEGER) AS removed,
+CAST(coalesce(max(TRY_CAST(h AS INTEGER)) - min(TRY_CAST(h AS INTEGER)), 0) AS INTEGER) AS span FROM z GROUP BY 1""")
+def _(spark, d):
+    c = given_diff(spark, d).select("doc_id", D.complexity(C("diff"), C("n_lines")).alias("c"))
+    return c.select("doc_id", "c.hunks", "c.added", "c.removed", "c.span")
+
+
+@q("complexity_gate")
+def _(spark, d):
+    c = given_diff(spark, d).select("doc_id", D.complexity(C("diff"), C("n_lines")).alias("c"))
+    return c.select("doc_id", D.too_complex(C("c")).alias("too_complex"))
+
+
+@q("diff_trailer", "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) || chr(10) || '... cut' ELSE text END AS cut FROM documents")
+def _(spark, d):
+    return files(spark, d).select("doc_id", D.cut_lines(C("content"), 3).alias("cut"))
+
+
+@q("sorted_names", "SELECT conv_id, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles FROM conversations GROUP BY 1")
+def _(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
+@q("turn_replay", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, CAST((strlen(text) + 3) // 4 AS BIGINT) AS tokens FROM conversations")
+def _(spark, d):
+    n = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
+    return table(spark, d, "conversations").select("conv_id", "turn", n.alias("n"), "role", S.token_estimate(C("text")).alias("tokens"))
+
+
+def _changed(spark, d):
+    """Each pair of contents that some session saw one after the other, once."""
+    pairs = L.baselines(L.segments(actions(spark, d), ttl=False)).where("kind = 'read' and prev_hash <> content_hash").select("file_no", C("prev_rev").alias("old_rev"), "rev").distinct()
+    v = versions(spark, d).select("file_no", "rev", "content")
+    old = v.withColumnsRenamed({"rev": "old_rev", "content": "old"})
+    return pairs.join(v, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
+
+
+@q("unified_diff")
+def _(spark, d):
+    label = F.concat(F.lit("f"), C("file_no").cast("string"))
+    return _changed(spark, d).select("file_no", "old_rev", "rev", D.diff_of(label, C("old"), C("content")).alias("diff"))
+
+
+@q("hunk_ranges")
+def _(spark, d):
+    diffs = _changed(spark, d).select("file_no", "old_rev", "rev", "content", D.diff_of(F.lit("f"), C("old"), C("content")).alias("diff"))
+    return diffs.select("file_no", "old_rev", "rev", D.ranges_of(C("diff")).alias("ranges"), D.summary_of(C("diff"), C("content")).alias("toc"))
+
+
+def code(spark, d):
+    """Source texts made from events: one Python module a user."""
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), lambda i: F.concat(F.lit("    x"), i.cast("string"), F.lit(" = "), C("event_id").cast("string"))), "\n")
+    one = F.concat(F.lit("def f"), C("event_id").cast("string"), F.lit("(a):\n"), body, F.lit("\n    return a\n"))
+    e = table(spark, d, "events").select("user_id", "event_id", one.alias("code"))
+    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]), "\n").alias("content"))
+
+
+@q("outline")
+def _(spark, d):
+    o = code(spark, d).select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
+    return o.select("user_id", S.token_estimate(C("content")).alias("tokens_full"), S.token_estimate(C("o.text")).alias("tokens_sent"), F.size("o.names").alias("elided"))
+
+
+@q("source_map")
+def _(spark, d):
+    o = code(spark, d).select("user_id", outline_of(C("content"), F.lit("python")).alias("o"))
+    return o.select("user_id", F.inline("o.source_map")).where("elided")
+
+
+@q("signature_audit", "SELECT CAST(0 AS BIGINT) AS lost")
+def _(spark, d):
+    """Signature lines of the source that the outline doesn't have: none."""
+    o = code(spark, d).select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
+    cut = lambda c: F.explode(F.split(c, "\n", -1)).alias("line")
+    source = o.select("user_id", cut("content")).where(F.rlike("line", F.lit(r"^\s*(def|class|import|from)\b")))
+    return source.join(o.select("user_id", cut("o.text")), ["user_id", "line"], "left_anti").agg(F.count("*").alias("lost"))
+
+
+@q("machine_outcomes")
+def _(spark, d):
+    return machine.batch(actions(spark, d))
