@@ -121,6 +121,8 @@ def hunk_ranges(diff: str) -> list[tuple[int, int, str]]:
     the line where it happened. The symbol is what follows the hunk's second ``@@``."""
     out, at, run, symbol, gone = [], 0, None, "", None
     for row in [*diff.split("\n"), "@@"]:
+        if row.startswith("\\"):
+            continue
         m = HUNK.match(row)
         if not row.startswith("+") or row.startswith("+++"):
             if run:

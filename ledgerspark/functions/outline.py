@@ -224,3 +224,12 @@ def elided_edit_warning(before: str, after: str, language: str) -> str | None:
     gone = set(old.names if old else ()) - set(new.names if new else ())
     kept = {n for n in gone if re.search(rf"\b{re.escape(n)}\s*\(", after)}
     return f"bodies became short: {', '.join(sorted(kept))}" if kept else None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def hits_of(content: pd.Series, language: pd.Series, needle: pd.Series) -> pd.Series:
+    found = []
+    for text, kind, old in zip(content, language, needle):
+        o = outline(text, kind)
+        found.append(edit_hits(text, [old], o.source_map) if o else [])
+    return pd.Series(found, dtype=object)

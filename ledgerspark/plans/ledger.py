@@ -386,3 +386,55 @@ def _(spark, d):
 def _(spark, d):
     x = facts(spark, d).groupBy("session_id").agg(F.sum(F.col("charged_full") - F.col("charged_sent")).alias("saved"))
     return x.withColumns({"dollars": F.round(S.dollars_saved(F.col("saved")), 9), "co2_g": F.round(S.co2_saved(F.col("saved")), 9)})
+
+
+@q("rendered_headers", f"""{CLASSIFIED}, x AS (SELECT *, occurred_at - lag(occurred_at) OVER (PARTITION BY session_id, file_path ORDER BY occurred_at, action_id) AS age FROM classified WHERE kind = 'read')
+SELECT action_id, '[ledger: unchanged ' || file_path || ', ' || tokens_full || ' tokens, last read ' || CASE WHEN age < 60 THEN age || 's' WHEN age < 3600 THEN age // 60 || 'm' WHEN age < 86400 THEN age // 3600 || 'h' ELSE age // 86400 || 'd' END || ' ago]' || chr(10) AS header FROM x WHERE age IS NOT NULL""")
+def _(spark, d):
+    from ..functions import render
+
+    reads = L.classified(actions(spark, d)).where("kind = 'read'")
+    age = F.col("occurred_at") - F.lag("occurred_at").over(W.partitionBy("session_id", "file_path").orderBy(*L.ORDER))
+    return reads.withColumn("age", age).where("age is not null").select("action_id", render.unchanged(F.col("file_path"), F.col("tokens_full"), F.col("age")).alias("header"))
+
+
+@q("window_headers", f"{A} SELECT action_id, strlen('[ledger: unchanged ' || file_path || ', lines ' || win_start || '-' || win_end || ']' || chr(10)) AS bytes, (strlen('[ledger: unchanged ' || file_path || ', lines ' || win_start || '-' || win_end || ']' || chr(10)) + 3) // 4 AS tokens FROM actions WHERE kind = 'partial'")
+def _(spark, d):
+    from ..functions import render
+
+    p = actions(spark, d).where("kind = 'partial'")
+    h = render.window_unchanged(F.col("file_path"), F.col("win_start"), F.col("win_end"))
+    return p.select("action_id", F.octet_length(h).cast("long").alias("bytes"), S.token_estimate(h).alias("tokens"))
+
+
+@q("running_counts", f"{A} SELECT action_id, count(*) OVER (PARTITION BY session_id, file_path ORDER BY occurred_at, action_id) AS reads_count FROM actions WHERE kind = 'read'")
+def _(spark, d):
+    w = W.partitionBy("session_id", "file_path").orderBy(*L.ORDER)
+    return actions(spark, d).where("kind = 'read'").select("action_id", F.count("*").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("reads_count"))
+
+
+@q("one_shot_marker", f"{_base('0')} SELECT action_id, file_path FROM base WHERE kind = 'read' AND prev_kind = 'edit'")
+def _(spark, d):
+    """Full reads that use up the mark an edit left; partial reads leave it."""
+    b = L.baselines(L.segments(actions(spark, d), ttl=False))
+    return b.where("kind = 'read' and prev_kind = 'edit'").select("action_id", "file_path")
+
+
+@q("native_delivery", f"""{_base('incarnation')} SELECT CASE WHEN prev_hash IS NULL THEN 'first' WHEN prev_kind = 'edit' THEN 'passthrough' WHEN prev_hash = content_hash THEN 'unchanged' ELSE 'external_change' END AS outcome, count(*) AS n, CAST(sum(tokens_full) AS BIGINT) AS tokens FROM base WHERE kind = 'read' GROUP BY 1""")
+def _(spark, d):
+    """Delivery by the agent itself: a change from outside is sent in full, not as a delta."""
+    c = L.classified(actions(spark, d)).where("kind = 'read'")
+    outcome = F.when(F.col("outcome").isin("delta", "fallback"), "external_change").otherwise(F.col("outcome"))
+    return c.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("tokens_full").alias("tokens"))
+
+
+@q("partial_windows", f"""{_base('incarnation')} SELECT action_id, CASE WHEN prev_hash IS NULL THEN 'silent' WHEN prev_hash <> content_hash THEN 'external' ELSE 'known' END AS state FROM base WHERE kind = 'partial'""")
+def _(spark, d):
+    state = F.when(F.col("prev_hash").isNull(), "silent").when(F.col("prev_hash") != F.col("content_hash"), "external").otherwise("known")
+    return L.baselines(L.segments(actions(spark, d))).where("kind = 'partial'").select("action_id", state.alias("state"))
+
+
+@q("session_start", f"{SEG} SELECT session_id, incarnation, epoch, min(occurred_at) AS started_at, max(occurred_at) AS last_active, count(*) AS actions FROM seg GROUP BY 1, 2, 3")
+def _(spark, d):
+    s = L.segments(actions(spark, d))
+    return s.groupBy("session_id", "incarnation", "epoch").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_active"), F.count("*").alias("actions"))

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import diff as D
 from ..functions import scalars as S
-from ..functions.outline import outline_of
+from ..functions.outline import hits_of, outline_of
 from ..operators import ledger as L
 from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
 from ..streaming import machine
@@ -177,3 +177,40 @@ def _(spark, d):
 @q("machine_outcomes")
 def _(spark, d):
     return machine.batch(actions(spark, d))
+
+
+@q("registry_diff")
+def _(spark, d):
+    """How much each file changed between two sights of it, by any session."""
+    w = W.partitionBy("file_path").orderBy(*L.ORDER)
+    seen = actions(spark, d).where("kind = 'read'").withColumn("old_rev", F.lag("rev").over(w)).where("old_rev <> rev")
+    pairs = seen.groupBy("file_no", "old_rev", "rev").agg(F.count("*").alias("times"))
+    v = versions(spark, d).select("file_no", "rev", "content", "n_lines")
+    old = v.select("file_no", C("rev").alias("old_rev"), C("content").alias("old"))
+    both = pairs.join(v, ["file_no", "rev"]).join(old, ["file_no", "old_rev"]).withColumn("diff", D.diff_of(F.lit("f"), C("old"), C("content")))
+    c = both.select("file_no", "old_rev", "rev", "times", D.complexity(C("diff"), C("n_lines")).alias("c"))
+    return c.select("file_no", "old_rev", "rev", "times", "c.added", "c.removed")
+
+
+@q("certificate_body")
+def _(spark, d):
+    from ..functions import render
+
+    diffs = _changed(spark, d).withColumn("ranges", D.ranges_of(D.diff_of(F.lit("f"), C("old"), C("content"))))
+    path = F.concat(F.lit("src/f"), C("file_no").cast("string"))
+    return diffs.select("file_no", "old_rev", "rev", render.certificate(path, S.content_hash(C("old")), S.content_hash(C("content")), C("ranges")).alias("body"))
+
+
+@q("visible_ranges")
+def _(spark, d):
+    """Source lines that an outline shows, merged."""
+    o = code(spark, d).select("user_id", outline_of(C("content"), F.lit("python")).alias("o"))
+    shown = F.transform(F.filter("o.source_map", lambda x: ~x["elided"]), lambda x: F.struct(x["original_start"].cast("long").alias("s"), x["original_end"].cast("long").alias("e")))
+    return o.where("o.text is not null").select("user_id", F.inline(merged(shown)))
+
+
+@q("edit_guard")
+def _(spark, d):
+    """Elided functions that an edit of a line would touch."""
+    needle = F.concat(F.lit("x9 = "), C("user_id").cast("string"))
+    return code(spark, d).select("user_id", hits_of(C("content"), F.lit("python"), needle).alias("touched"))

@@ -40,6 +40,7 @@ def test_diff_format():
     assert d == "--- f (last read)\n+++ f (current)\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c\n"
     assert D.unified_diff("f", "a", "a") is None
     assert D.hunk_ranges(d) == [(2, 2, "")]
+    assert D.hunk_ranges(D.unified_diff("f", "a\nb", "a\nc")) == [(2, 2, "")]
     assert D.hunk_ranges("@@ -1,2 +0,0 @@ fn x\n-a\n-b\n") == [(1, 1, "fn x")]
 
 
