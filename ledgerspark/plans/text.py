@@ -212,5 +212,5 @@ def _(spark, d):
 @q("edit_guard")
 def _(spark, d):
     """Elided functions that an edit of a line would touch."""
-    needle = F.concat(F.lit("x9 = "), C("user_id").cast("string"))
+    needle = F.lit("    x9 = ")
     return code(spark, d).select("user_id", hits_of(C("content"), F.lit("python"), needle).alias("touched"))
