@@ -15,7 +15,6 @@ Null texts are empty and rejected by the first stage. An empty table gives no ro
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerspark.llm import neardup, packing, quality, secrets_scan
 from ledgerspark.llm.common import Scratch, table
@@ -34,8 +33,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenize(docs)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack_documents(docs)
 
 
 STAGES = [

@@ -18,15 +18,41 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def release() -> None:
+    """Hands what a finished task no longer needs back to the system: workers outlive tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="ledgerspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="ledgerspark-"))
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts go to Python a thousand at a time, unless the session says
+    otherwise: with Spark's 10000, what is under way can outgrow a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor loses none of them.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import partitions, table, text_of
+from .common import partitions, small_batches, table, text_of
 
 K, WINDOW = 32, 65
 U = np.uint64
@@ -150,6 +150,7 @@ def compare(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], names=NAMES)
 
+    small_batches(docs.sparkSession)
     return with_next(docs).mapInArrow(run, FIELDS)
 
 

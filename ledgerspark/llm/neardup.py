@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import vec
-from .common import Scratch, hinted, table, text_of
+from .common import Scratch, hinted, release, small_batches, table, text_of
 from .graph import components
 
 K, M, ROWS, THRESHOLD = 5, 238, 7, 0.8
@@ -104,6 +104,7 @@ def text_key(text):
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, key, bands, sketch`` of every row; a text without words has no bands. The
     sketch is a byte of each register."""
+    small_batches(docs.sparkSession)
     rows_in = docs.select(docs["doc_id"], text_of(docs).alias("text")).select("doc_id", text_key(F.col("text")).alias("key"), "text")
     schema = T.StructType([rows_in.schema["doc_id"], rows_in.schema["key"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
@@ -122,6 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel().view(np.int64)))
                 small = pa.array([x.tobytes() for x in (vec.mix(who) >> U(56)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), listed, small], names=schema.names)
+        release()
 
     return rows_in.mapInArrow(run, schema)
 
@@ -150,6 +152,7 @@ def verified(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good)) for c in (0, 1)], names=schema.names)
                 i = j
+        release()
 
     return pairs.select("u", "v", "u_text", "v_text").mapInArrow(run, schema)
 
@@ -228,25 +231,23 @@ def block_links(left: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
                 small = (hashes >> U(32)).astype(np.uint32)
                 lists = [np.unique(small[begins[r] : begins[r + 1]]).tobytes() for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lists, pa.binary())], names=held.names)
+        release()
 
     few = scratch.keep(few.select("key", "text").mapInArrow(cut, held).dropDuplicates(["key"]), "shingles")
     blocks = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     rows = members.join(blocks, "band").withColumn("i", F.pmod(F.xxhash64("u"), F.col("n")).cast("int"))
     rows = rows.join(few.withColumnRenamed("key", "u"), "u")
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = rows.groupBy("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("u", "c", "shingles")).alias("x"))
+    rows = rows.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "u", "c", "shingles")
     schema = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
-    def run(batches):
-        for batch in batches:
-            for group in batch.column(0):
-                flat = group.values
-                keys, classes_, lists = (flat.field(k).to_pylist() for k in range(3))
-                sizes = np.array([len(x) // 4 for x in lists], np.int64)
-                found = _links_within(np.repeat(np.arange(len(keys)), sizes), np.frombuffer(b"".join(lists), np.uint32), sizes, classes_)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[e[k]] for e in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
-
-    return met.select("x").mapInArrow(run, schema)
+    def run(group: pa.Table) -> pa.Table:
+        keys, classes_, lists = (group.column(k).to_pylist() for k in ("u", "c", "shingles"))
+        sizes = np.array([len(x) // 4 for x in lists], np.int64)
+        found = _links_within(np.repeat(np.arange(len(keys)), sizes), np.frombuffer(b"".join(lists), np.uint32), sizes, classes_)
+        return pa.table([pa.array([keys[e[k]] for e in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.groupBy("band", "lo", "hi").applyInArrow(run, schema)  # two blocks a group
 
 
 def link(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:

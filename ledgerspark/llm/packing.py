@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import release, small_batches, table
 
 LIMIT, OPEN_BINS, VOCABULARY = 2048, 1024, "word_bpe_49k.json"
 #: Words that a worker remembers the ids of before it starts afresh.
-WORDS = 600_000
+WORDS = 400_000
 
 
 class WordCoder:
@@ -100,6 +101,11 @@ class WordCoder:
             for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
                 self.known[w] = self._ids(e)
 
+    def rest(self) -> None:
+        """Forgets words but for those met first, which are the common ones."""
+        if len(self.known) > WORDS // 2:
+            self.known = dict(islice(self.known.items(), WORDS // 2))
+
     @staticmethod
     def _ids(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
@@ -108,7 +114,7 @@ class WordCoder:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         split = [t.lower().split() for t in texts]
         if len(self.known) > WORDS:
-            self.known = dict(islice(self.known.items(), WORDS // 2))  # those met first, so the common ones
+            self.rest()
         if new := set().union(*split).difference(self.known):
             self.learn(new)
         get = self.known.__getitem__
@@ -152,27 +158,41 @@ def read_vocabulary(name: str) -> bytes:
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
-    """Pieces ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of every text."""
-    held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())  # a file of fixed size
+def _tokenizing(held, limit: int, end_id: int):
     closing, width = np.array([end_id], "<u4").tobytes(), 4 * limit
 
     def run(batches):
         coder = coder_of(held.value)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            doc_ids = batch.column(0).to_pylist()
-            for i, j in blocks([len(t or b"") for t in texts], 1 << 22):
+            column, doc_ids = batch.column(1).cast(pa.large_binary()), batch.column(0).to_pylist()
+            sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+            for i, j in blocks(sizes, 1 << 22):
                 rows = []
-                for d, ids in zip(doc_ids[i:j], coder.encode([t or b"" for t in texts[i:j]])):
+                for d, ids in zip(doc_ids[i:j], coder.encode([t or b"" for t in column.slice(i, j - i).to_pylist()])):
                     ids += closing
                     rows += [(d, k, at // 4, min(width, len(ids) - at) // 4, ids[at : at + width]) for k, at in enumerate(range(0, len(ids), width))]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=PIECES.names
                     )
+        coder.rest()
+        release()
+
+    return run
+
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, PIECES)
+def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def _held(docs: DataFrame, vocabulary: str):
+    return docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())  # a file of fixed size
+
+
+def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
+    """Pieces ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of every text."""
+    return _texts(docs).mapInArrow(_tokenizing(_held(docs, vocabulary), limit, end_id), PIECES)
 
 
 class BestFit:
@@ -216,15 +236,7 @@ class BestFit:
         return one, self.capacity - free
 
 
-def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` (with a ``length``) and where each goes: ``sequence_id, offset``.
-
-    Columns of those names that it already has are replaced. A sequence's number is its
-    task's, times 2**33, and its own."""
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows_in = pieces.select(*own)
-    schema = T.StructType([*rows_in.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
+def _packing(own: list[str], names: list[str], capacity: int, open_bins: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -234,7 +246,7 @@ def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -
         ready: list[tuple] = []
 
         def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.int64(), pa.int64()])], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*kinds, pa.int64(), pa.int64()])], names=names)
 
         for batch in batches:
             kinds = batch.schema.types
@@ -259,10 +271,36 @@ def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -
         if ready:
             yield out(ready)
 
-    return rows_in.mapInArrow(run, schema)
+    return run
+
+
+def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
+    """``pieces`` (with a ``length``) and where each goes: ``sequence_id, offset``.
+
+    Columns of those names that it already has are replaced. A sequence's number is its
+    task's, times 2**33, and its own."""
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows_in = pieces.select(*own)
+    schema = T.StructType([*rows_in.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return rows_in.mapInArrow(_packing(own, schema.names, capacity, open_bins), schema)
+
+
+DIGESTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
+    """``tokenize`` and ``pack`` in one worker, with a CRC-32 in place of the ids."""
+    names = [x.split()[0] for x in DIGESTS.split(", ")]
+    tokenizing, packing = _tokenizing(_held(docs, vocabulary), limit, 0), _packing(names[:5], names, limit, open_bins)
+
+    def digest(batches):
+        for batch in batches:
+            crc = pa.array([zlib.crc32(x) for x in batch.column(4).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], crc], names=names[:5])
+
+    return _texts(docs).mapInArrow(lambda batches: packing(digest(tokenizing(batches))), DIGESTS)
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed."""
-    pieces = tokenize(table(spark, sf_dir, "documents"))
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return pack_documents(table(spark, sf_dir, "documents"))

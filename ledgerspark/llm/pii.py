@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, THRESHOLD = 3, 0.8
@@ -112,6 +112,7 @@ def scan(docs: DataFrame, own: list[str]) -> DataFrame:
     """``doc`` (a struct of the columns ``own``), ``text_key, base, entities, terms``: base
     spans, and in documents that have any, hashes of their values and all terms with their
     places, but for those that touch a base span."""
+    small_batches(docs.sparkSession)
     rows_in = docs.select(F.struct(*[docs[c] for c in own]).alias("doc"), docs["text"].cast("string").alias("text"))
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([rows_in.schema["doc"], T.StructField("text_key", T.LongType()), T.StructField("base", SPAN), T.StructField("entities", longs), T.StructField("terms", TERM)])
