@@ -30,7 +30,7 @@ from .common import release, small_batches, table
 
 LIMIT, OPEN_BINS, VOCABULARY = 2048, 1024, "word_bpe_49k.json"
 #: Words that a worker remembers the ids of before it starts afresh.
-WORDS = 400_000
+WORDS = 600_000
 
 
 class WordCoder:
@@ -175,7 +175,6 @@ def _tokenizing(held, limit: int, end_id: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=PIECES.names
                     )
-        coder.rest()
         release()
 
     return run
