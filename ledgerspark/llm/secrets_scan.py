@@ -5,10 +5,10 @@ character Markov models, one of random strings and one of ordinary identifiers,
 compared: a run of ``[A-Za-z0-9+/_=-]`` of 16 or more characters that overlaps no base span
 becomes a ``random`` span if its log-likelihood ratio reaches the threshold.
 
-Both models are bigram tables over that alphabet with add-one smoothing, fitted on
+Both models are bigram tables over that alphabet with additive smoothing, fitted on
 labelled samples of a documented bound: random are the base spans' values in the first
 ``SAMPLE_DOCS`` documents by hash and ``SAMPLE_STRINGS`` digests in hex and base64; ordinary
-are the other words of those documents, singly, in capitals, and joined as snake_case and camelCase. The
+are the other words of those documents, singly, in capitals, and joined as snake_case and camelCase, and SAMPLE_STRINGS numbers. The
 driver sees the two tables alone, at most 2 x 67 x 67 counts.
 
 Positions are code points, end exclusive. A null text is empty: no spans. Repeated rows
@@ -33,8 +33,10 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE_DOCS, SAMPLE_STRINGS = 512, 4096
-#: Nats by which random must win: about the odds of a thousand to one.
-THRESHOLD = 6.9
+#: Nats by which random must win: odds of some thousands to one.
+THRESHOLD = 9.0
+#: Added to every count of a character pair.
+SMOOTH = 0.25
 #: Log ratios are held as whole thousandths.
 UNIT = 1000
 
@@ -105,7 +107,10 @@ def train(docs: DataFrame) -> list[int]:
     """The table of log ratios (random against ordinary) of all character pairs, in UNITs."""
     spark, n = docs.sparkSession, len(ALPHABET)
     text = text_of(docs)
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    # the least hashes, of which only likely ones reach the task that sorts them
+    share = min(1.0, 8 * SAMPLE_DOCS / max(1, docs.count()))
+    sample = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).where(F.col("h") <= int(-(2**63) + share * (2**64 - 2**12)))
+    sample = sample.orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
     sample = with_base(sample.repartition(partitions(spark)).withColumnRenamed("text", "_text")).select(F.col("_text").alias("text"), F.col("base").alias("spans"))
     hits = sample.select(F.explode("spans.value").alias("w")).withColumn("random", F.lit(1))
     digests = spark.range(SAMPLE_STRINGS).select(
@@ -116,10 +121,11 @@ def train(docs: DataFrame) -> list[int]:
     joined = F.transform("ws", lambda w, i: F.concat(w, F.lit("_"), F.coalesce(F.get("ws", i + 1), F.lit(""))))
     camel = F.transform("ws", lambda w, i: F.concat(w, F.initcap(F.coalesce(F.get("ws", i + 1), F.lit("")))))
     ordinary = words.select(F.explode(F.concat("ws", joined, camel, F.transform("ws", lambda w: F.upper(w)))).alias("w")).withColumn("random", F.lit(0))
-    codes = hits.unionByName(digests).unionByName(ordinary).select("random", _codes(F.col("w")).alias("c"))
+    numbers = spark.range(SAMPLE_STRINGS).select(F.abs(F.xxhash64("id")).cast("string").alias("w"), F.lit(0).alias("random"))
+    codes = hits.unionByName(digests).unionByName(ordinary).unionByName(numbers).select("random", _codes(F.col("w")).alias("c"))
     pairs = codes.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))).alias("p"))
     rows = pairs.where("p.a > 0 and p.b > 0").groupBy("random", "p.a", "p.b").count().collect()
-    counts = [[[1] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[SMOOTH] * n for _ in range(n)] for _ in range(2)]
     for r in rows:
         counts[r["random"]][r["a"] - 1][r["b"] - 1] += r["count"]
     out = []
