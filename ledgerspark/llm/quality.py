@@ -2,8 +2,8 @@
 
 Each rule votes good, bad or abstains on a document; how accurate the rules are is
 estimated without labels by expectation-maximisation over the votes of all documents (two
-classes, each rule's votes independent within a class), and a document is kept if its
-posterior probability of being good is at least KEEP. What EM needs of the corpus is how
+classes, each rule's votes independent within a class, a prior that trusts the rules), and
+a document is kept if its posterior probability of being good is at least KEEP. What EM needs of the corpus is how
 often each pattern of votes occurs, at most 3**len(RULES) counts, however many documents.
 
 Two hard rules come first: fewer than 50 words, or over half of the words in repeated
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, table
+from .common import Scratch, release, small_batches, table
 
 KEEP, ROUNDS = 0.5, 100
 SYMBOL, UPPER, ALPHA, BANG = (np.zeros(256, bool) for _ in range(4))
@@ -43,6 +43,10 @@ RULES = (
     ("word_length_off", 4.0, 10.0),
     ("odd_word_share", 0.1, 0.35),
 )
+#: How bad and good documents are taken to get the votes bad, abstain, good before any is
+#: seen, with half the weight of all documents: else two kinds of junk that no rule finds
+#: both would drive each other out of the class.
+PRIOR = np.array([[0.25, 0.1, 0.65], [0.005, 0.05, 0.945]])
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUT = [T.StructField(f, T.LongType()) for f in FEATURES] + [T.StructField("votes", T.IntegerType())]
 
@@ -97,6 +101,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def features(docs: DataFrame, own: list[str]) -> DataFrame:
     """FEATURES and ``votes`` of every document, with its columns ``own`` in a struct ``doc``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in own]).alias("doc"), docs["text"].cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc"], *OUT])
 
@@ -105,6 +110,7 @@ def features(docs: DataFrame, own: list[str]) -> DataFrame:
             for i, j, data, offsets in vec.text_blocks(batch.column(1)):
                 found = measure(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x) for x in found)], names=schema.names)
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -116,6 +122,8 @@ def fit(patterns: list[tuple[int, int]]) -> np.ndarray:
     counts = np.zeros(size)
     for p, n in patterns:
         counts[p] += n
+    counts[(digits == 1).all(1)] = 0  # texts without a word fail anyway
+    trust = PRIOR * (1 + counts.sum() / 2)
     against = (digits == 0).sum(1)
     good = np.where(against == 0, np.where((digits == 2).any(1), 0.95, 0.5), 0.2**against)  # at first rules are trusted
     for _ in range(ROUNDS):
@@ -123,7 +131,7 @@ def fit(patterns: list[tuple[int, int]]) -> np.ndarray:
         prior = (weight.sum(1) + 1) / (counts.sum() + 2)
         log = np.log(prior)[:, None] + np.zeros((2, size))
         for k in range(len(RULES)):
-            votes = np.stack([weight[:, digits[:, k] == v].sum(1) for v in range(3)], 1) + np.array([[2, 1, 0.5], [0.5, 1, 2]])
+            votes = np.stack([weight[:, digits[:, k] == v].sum(1) for v in range(3)], 1) + trust
             log += np.log(votes / votes.sum(1, keepdims=True))[:, digits[:, k]]
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
     return good
