@@ -23,6 +23,7 @@ gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, CLASSES, BUCKETS = 200_000, 1024, 192
@@ -158,8 +159,37 @@ def _add(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     to[at[first]] += np.add.reduceat(rows[order], first)
 
 
+@contextlib.contextmanager
+def one_thread():
+    """Keeps OpenBLAS to one thread: on matrices this small its threads wait for each other."""
+    import ctypes
+    import os
+
+    found = []
+    if os.path.exists("/proc/self/maps"):
+        with open("/proc/self/maps") as f:
+            paths = {line.split(None, 5)[5].strip() for line in f if "openblas" in line}
+        for lib in map(ctypes.CDLL, sorted(paths)):
+            for prefix, suffix in (("scipy_", "64_"), ("scipy_", ""), ("", "64_"), ("", "")):
+                put, get = (getattr(lib, f"{prefix}openblas_{x}_num_threads{suffix}", None) for x in ("set", "get"))
+                if put and get:
+                    found.append((put, get()))
+                    put(1)
+                    break
+    try:
+        yield
+    finally:
+        for put, n in found:
+            put(n)
+
+
 def train(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log-probabilities [before, class], from the counts of successions."""
+    with one_thread():
+        return _train(pairs, counts)
+
+
+def _train(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     unigram = np.bincount(pairs % CLASSES, counts, CLASSES) + 0.1
     unigram /= unigram.sum()
@@ -210,10 +240,19 @@ PARTIAL = "key long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     counts = scratch.keep(count_words(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count_if(F.col("trained") > 0)).first()
-    head = counts.orderBy(F.desc("total"), "word").limit(HEAD).toPandas()  # HEAD rows at most
+    # the commonest words; a histogram of counts keeps most others from the task that sorts
+    level = F.floor(8 * F.log2("total"))
+    levels, least, above = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect(), None, 0  # some hundred rows
+    for row in levels:
+        least, above = row["level"], above + row["count"]
+        if above >= HEAD:
+            break
+    head = counts if least is None else counts.where(level >= least)
+    head = head.orderBy(F.desc("total"), "word").limit(HEAD).toPandas()  # HEAD rows at most
     lex = Lexicon(head["word"].to_numpy(np.int64).view(U), head["trained"].to_numpy(np.int64), head["bucket"].to_numpy(np.int64))
     lexicon = spark.sparkContext.broadcast(lex)
     pairs = count_pairs(docs, lexicon).toPandas()  # CLASSES**2 rows at most
