@@ -4,10 +4,13 @@ A text's shingles are its runs of five words (all its words, if fewer), weighted
 ``1 + ln(count)``. Its ProbMinHash signature of ``M`` registers: every shingle is a Poisson
 process whose rate is its weight; an arrival goes to a random register, which keeps its
 earliest one, and a text's processes stop once no later arrival can lower a register. Two
-registers agree with the probability Jaccard of the weights. Signatures are cut into bands
-of ROWS registers; texts that share a band are candidates, and a candidate pair is a link
+registers agree with the probability Jaccard of the weights. A text with repeated shingles
+has a second signature of equal weights, whose registers agree with the probability Jaccard
+of the sets; without repeats the two are the same. Signatures are cut into bands of ROWS
+registers; texts that share a band of either are candidates, and a candidate pair is a link
 if the Jaccard of the two shingle sets, computed from the texts, is THRESHOLD or more
-(and LIKELY of their registers agree, which spares texts that are hardly alike the look).
+(and LIKELY of their registers of equal weights agree, which spares texts that are hardly
+alike the look). So both steps before the verification go by the measure it verifies.
 
 A band's first text (by key) is its pivot and is verified against the others of the band;
 links make classes (distributed connected components), so a group of copies costs about a
@@ -37,8 +40,9 @@ from .common import Scratch, hinted, release, small_batches, table, text_of
 from .graph import components
 
 K, M, ROWS, THRESHOLD = 5, 238, 7, 0.8
-#: Share of equal registers below which a candidate pair isn't verified: at a similarity of
-#: THRESHOLD some seven deviations off.
+#: Share of equal registers (of equal weights) below which a candidate pair isn't verified:
+#: at a set similarity of THRESHOLD less than exp(-M * KL(LIKELY, THRESHOLD)) = 2e-11 fall
+#: below it; all bands miss (1 - THRESHOLD**ROWS)**BANDS = 3e-4.
 LIKELY = 0.6
 #: Texts of a band that are worked on together.
 BLOCK = 128
@@ -103,24 +107,36 @@ def text_key(text):
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, key, bands, sketch`` of every row; a text without words has no bands. The
-    sketch is a byte of each register."""
+    sketch is a byte of each register of equal weights."""
     small_batches(docs.sparkSession)
     rows_in = docs.select(docs["doc_id"], text_of(docs).alias("text")).select("doc_id", text_key(F.col("text")).alias("key"), "text")
     schema = T.StructType([rows_in.schema["doc_id"], rows_in.schema["key"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
+    def banded(who: np.ndarray) -> np.ndarray:
+        bands = np.repeat(salt[None, :], len(who), 0)
+        for k in range(ROWS):
+            bands = vec.mix(bands * U(0x9FB21C651E98DF25) + who[:, k::ROWS])
+        return bands
+
+    salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0xD1B54A32D192ED03)
+
     def run(batches):
-        salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0xD1B54A32D192ED03)
         for batch in batches:
             for i, j, data, offsets in vec.text_blocks(batch.column(2)):
                 n = j - i
                 rows, hashes, counts = text_shingles(data, offsets)
-                who = signatures(rows, hashes, 1 + np.log(counts), n)
-                bands = np.repeat(salt[None, :], n, 0)
-                for k in range(ROWS):
-                    bands = vec.mix(bands * U(0x9FB21C651E98DF25) + who[:, k::ROWS])
+                who = signatures(rows, hashes, np.ones(len(rows)), n)
                 some = np.bincount(rows, minlength=n) > 0
-                ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[some].ravel().view(np.int64)))
+                # of texts that repeat a shingle also the weighted bands that differ
+                again = np.bincount(rows[counts > 1], minlength=n) > 0
+                mine = again[rows]
+                own = (np.cumsum(again) - 1)[rows[mine]]
+                bands, keep = np.zeros((n, 2 * BANDS), U), np.zeros((n, 2 * BANDS), bool)
+                bands[:, :BANDS], keep[:, :BANDS] = banded(who), some[:, None]
+                bands[again, BANDS:] = banded(signatures(own, hashes[mine], 1 + np.log(counts[mine]), int(again.sum())))
+                keep[again, BANDS:] = bands[again, BANDS:] != bands[again, :BANDS]
+                ends = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[keep].view(np.int64)))
                 small = pa.array([x.tobytes() for x in (vec.mix(who) >> U(56)).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), listed, small], names=schema.names)
         release()

@@ -73,6 +73,20 @@ def test_blocks_of_one_text_each(spark, docs, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_footers(spark):
+    """Alike as sets, far apart by weights: different footers, repeated 30 times."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        body = " ".join(f"b{k}x{rng.randint(0, 10**6)}" for _ in range(300))
+        for i in range(2):
+            footer = " ".join(f"f{k}x{i}x{j}" for j in range(25))
+            rows.append((2 * k + i, " ".join([body] + [footer] * 30), "en", "s", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = collections.Counter((r.doc_id, r.class_id) for r in neardup.classes(df, Scratch(spark, "t")).collect())
+    assert got == brute([r[:2] for r in rows]) and len({c for _, c in got}) == 12
+
+
 def test_first_of_each(spark, docs):
     kept = neardup.first_of_each(docs, Scratch(spark, "t"))
     classes = {c for _, c in brute([(r.doc_id, r.text or "") for r in docs.collect()])}
