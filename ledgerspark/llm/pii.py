@@ -5,13 +5,13 @@ protected entities, by their normalised values. Corpus co-occurrence then says w
 terms of a document give one away: with ``p`` the shares of all documents that hold an
 entity c, a term t, or both, t's disclosure of c is ``PMI(c; t) / -log p(c)``, 1 if whoever
 reads t knows c. A term of a document with c is a ``term`` span if its disclosure reaches
-THRESHOLD and SUPPORT different texts hold both. :func:`sanitize` generalises base spans to
-their kind and removes terms.
+THRESHOLD with the share of t's documents that hold c at its lower bound (Wilson's, for Z,
+over different texts), so entities of one text are judged too and few texts tell less.
+:func:`sanitize` generalises base spans to their kind and removes terms.
 
 Terms are words in lower case (A-Z) without the punctuation after them, known by 64-bit
-hashes; they are counted over all documents, summed in the tasks before the shuffle. Pairs
-of entity and term are made only for entities that SUPPORT different texts hold; a document
-adds each of its terms once.
+hashes; they are counted over all documents, summed in the tasks before the shuffle. A
+document adds each pair of an entity and a term once.
 
 Positions are code points, end exclusive. A null text is empty: no spans. Repeated rows
 count as documents but not as different texts, and are judged alike. An empty table gives
@@ -32,7 +32,8 @@ from . import vec
 from .common import Scratch, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, THRESHOLD = 3, 0.8
+#: Z: of the normal distribution, one-sided 90 %.
+THRESHOLD, Z = 0.8, 1.2816
 FLUSH = 3_000_000
 U = np.uint64
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -182,33 +183,34 @@ def count_terms(docs: DataFrame) -> DataFrame:
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def lower_bound(share: Column, n: Column) -> Column:
+    """Wilson's lower bound of a share of n."""
+    z2 = F.lit(Z * Z)
+    return (share + z2 / (2 * n) - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def disclosing(docs: DataFrame, held: DataFrame, words: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """``entity, word`` of the pairs whose disclosure reaches THRESHOLD."""
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = held.join(words, "key").groupBy("entity", "word", "text_key").agg(F.count("*").alias("n"))
+    both = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both"))
+    known = both.join(entities, "entity").join(scratch.keep(count_terms(docs), "counts"), "word")
+    d, share = F.lit(float(total)), F.col("n_both") / F.col("n")
+    pmi = F.log(lower_bound(share, F.col("texts") / share) * d / F.col("n_entity"))
+    ic = F.log(d / F.col("n_entity"))
+    return known.where((ic > 0) & (pmi >= THRESHOLD * ic)).select("entity", "word")
+
+
 def find(docs: DataFrame, own: list[str], scratch: Scratch) -> DataFrame:
     """``doc, base, spans``: base spans, and all spans with rank 4 for terms that disclose."""
     found = scan(docs, own).withColumn("key", F.monotonically_increasing_id())
     found = scratch.keep(found, "found")
     total = found.count()
     held = found.where("size(entities) > 0").select("key", "text_key", F.explode("entities").alias("entity"))
-    # entities by documents and by different texts
-    by_text = held.groupBy("entity", "text_key").agg(F.count("*").alias("n"))
-    shared = by_text.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_entity")).where(F.col("texts") >= SUPPORT)
-    shared = scratch.keep(shared.select("entity", "n_entity"), "shared")
     none = F.array().cast(SPAN)
-    if shared.isEmpty():
-        return found.select("doc", "base", F.col("base").alias("spans"))
-    hit = scratch.keep(held.join(shared, "entity").select("key", "text_key", "entity"), "hit")
     words = found.where("size(entities) > 0").select("key", F.explode(F.array_distinct(F.transform("terms", lambda t: t["word"]))).alias("word"))
-    both = hit.join(words, "key").groupBy("entity", "word", "text_key").agg(F.count("*").alias("n"))
-    both = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both")).where(F.col("texts") >= SUPPORT)
-    both = scratch.keep(both.join(shared, "entity"), "both")
-    if both.isEmpty():
-        return found.select("doc", "base", F.col("base").alias("spans"))
-    known = both.join(scratch.keep(count_terms(docs), "counts"), "word")
-    d = F.lit(float(total))
-    pmi = F.log(F.col("n_both") * d / (F.col("n_entity") * F.col("n")))
-    ic = F.log(d / F.col("n_entity"))
-    told = known.where((ic > 0) & (pmi >= THRESHOLD * ic)).select("entity", "word")
-    told = scratch.keep(told, "told")
-    flagged = hit.join(told, "entity").groupBy("key").agg(F.collect_set("word").alias("flagged"))  # of one document's terms
+    told = scratch.keep(disclosing(docs, held, words, total, scratch).select("entity", "word"), "told")
+    flagged = held.join(told, "entity").groupBy("key").agg(F.collect_set("word").alias("flagged"))  # of one document's terms
     out = found.join(flagged, "key", "left")
     extra = F.transform(
         F.filter("terms", lambda t: F.array_contains("flagged", t["word"])), lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("rank"), t["end"].alias("end"))

@@ -261,6 +261,15 @@ def test_pii_terms(spark, docs, empty):
     assert pii.sanitize(empty, Scratch(spark, "pii")).count() == 0 and out.columns == df.columns
 
 
+def test_pii_terms_of_one_text(spark):
+    plain = [(i, prose(500 + i, 60), "en", "s", 1) for i in range(300)]
+    rows = [*plain, (900, f"the river zyxomma farm jo@ex.org {prose(1, 9)}", "en", "s", 1), *((901 + i, "stone farm", "en", "s", 1) for i in range(20))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.text for r in pii.sanitize(df, Scratch(spark, "pii")).collect()}
+    assert got[900].startswith("the river [REMOVED] farm [EMAIL] ")
+    assert all(got[d] == t for d, t, *_ in rows if d != 900)
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     import tiktoken
