@@ -4,14 +4,16 @@ Patterns find e-mail addresses, IP addresses, payment cards and telephone number
 protected entities, by their normalised values. Corpus co-occurrence then says what other
 terms of a document give one away: with ``p`` the shares of all documents that hold an
 entity c, a term t, or both, t's disclosure of c is ``PMI(c; t) / -log p(c)``, 1 if whoever
-reads t knows c. A term of a document with c is a ``term`` span if its disclosure reaches
+reads t knows c. A term, in any document, is a ``term`` span if its disclosure of some c reaches
 THRESHOLD with the share of t's documents that hold c at its lower bound (Wilson's, for Z,
 over different texts), so entities of one text are judged too and few texts tell less.
 :func:`sanitize` generalises base spans to their kind and removes terms.
 
 Terms are words in lower case (A-Z) without the punctuation after them, known by 64-bit
 hashes; they are counted over all documents, summed in the tasks before the shuffle. A
-document adds each pair of an entity and a term once.
+document adds each pair of an entity and a term once. A second look at all documents reads
+their terms; a bitmap of SLOTS bits spares most of those that disclose nothing the join,
+which decides by the hashes.
 
 Positions are code points, end exclusive. A null text is empty: no spans. Repeated rows
 count as documents but not as different texts, and are judged alike. An empty table gives
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, small_batches, table
+from .common import Scratch, hinted, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Z: of the normal distribution, one-sided 90 %.
 THRESHOLD, Z = 0.8, 1.2816
 FLUSH = 3_000_000
+SLOTS = 1 << 27
 U = np.uint64
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,48 +112,71 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return vec.word_hashes(vec.LOWER[data], starts, ends), starts, ends, begins
 
 
-def scan(docs: DataFrame, own: list[str]) -> DataFrame:
-    """``doc`` (a struct of the columns ``own``), ``text_key, base, entities, terms``: base
-    spans, and in documents that have any, hashes of their values and all terms with their
-    places, but for those that touch a base span."""
+def _free(data: np.ndarray, offsets: np.ndarray, raw: bytes):
+    """Of a block of texts: base spans by row (those that have any), and hashes, rows, starts
+    and ends of all terms that touch none of them."""
+    digits = vec.per_row(DIGIT[data], offsets).tolist()
+    hashes, starts, ends, begins = _terms(data, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
+    place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    a, b = (place[x] - place[offsets[row]] for x in (starts, ends))
+    free, base = np.ones(len(a), bool), {}
+    for r in range(len(offsets) - 1):
+        mine = raw[offsets[r] : offsets[r + 1]]
+        if (digits[r] >= 4 or b"@" in mine) and (spans := base_spans(mine.decode(), digits[r])):
+            base[r], own = spans, slice(begins[r], begins[r + 1])
+            for s, _, e, _ in spans:  # terms are in order: those that touch it are a run
+                i, j = np.searchsorted(b[own], s, "right"), np.searchsorted(a[own], e, "left")
+                free[own][i:j] = False
+    return base, hashes[free].view(np.int64), row[free], a[free], b[free]
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``text_key, entities, words`` of documents that have base spans: hashes of their
+    values, and of all terms but those that touch one."""
     small_batches(docs.sparkSession)
-    rows_in = docs.select(F.struct(*[docs[c] for c in own]).alias("doc"), docs["text"].cast("string").alias("text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([rows_in.schema["doc"], T.StructField("text_key", T.LongType()), T.StructField("base", SPAN), T.StructField("entities", longs), T.StructField("terms", TERM)])
 
     def run(batches):
         import xxhash
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
         for batch in batches:
-            for i, j, data, offsets in vec.text_blocks(batch.column(1)):
-                digits = vec.per_row(DIGIT[data], offsets).tolist()
+            for _, _, data, offsets in vec.text_blocks(batch.column(0)):
                 raw = data.tobytes()
-                out = []
-                for r in range(j - i):
-                    mine = raw[offsets[r] : offsets[r + 1]]
-                    if digits[r] < 4 and b"@" not in mine:
-                        out.append((0, [], [], []))
-                        continue
-                    spans = base_spans(mine.decode(), digits[r])
-                    if not spans:
-                        out.append((0, [], [], []))
-                        continue
+                base, hashes, row, _, _ = _free(data, offsets, raw)
+                at, out = np.searchsorted(row, np.arange(len(offsets))), []
+                for r, spans in base.items():
                     entities = {xxhash.xxh64_intdigest(f"{k}:{v}") - 2**63 for _, k, _, v in spans}
-                    bytes_ = np.frombuffer(mine, np.uint8)
-                    hashes, starts, ends, _ = _terms(bytes_, np.array([0, len(mine)]))
-                    place = np.concatenate([[0], np.cumsum((bytes_ & 0xC0) != 0x80)])
-                    a, b = place[starts], place[ends]
-                    free = np.ones(len(a), bool)
-                    for s, _, e, _ in spans:
-                        free &= (b <= s) | (a >= e)
-                    terms = [dict(word=w, start=x, end=y) for w, x, y in zip(hashes[free].view(np.int64).tolist(), a[free].tolist(), b[free].tolist())]
-                    base = [dict(start=s, rank=k, end=e) for s, k, e, _ in spans]
-                    out.append((xxhash.xxh64_intdigest(mine) - 2**63, base, sorted(entities), terms))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=schema.names)
+                    out.append((xxhash.xxh64_intdigest(raw[offsets[r] : offsets[r + 1]]) - 2**63, sorted(entities), np.unique(hashes[at[r] : at[r + 1]])))
+                if out:
+                    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["text_key", "entities", "words"])
+
+    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "text_key long, entities array<long>, words array<long>")
+
+
+def spot(docs: DataFrame, own: list[str], bitmap) -> DataFrame:
+    """``key, doc`` (a struct of the columns ``own``), ``base, terms``: of every document the
+    base spans and those terms whose bit is set, with their places."""
+    small_batches(docs.sparkSession)
+    rows_in = docs.select(F.struct(*[docs[c] for c in own]).alias("doc"), docs["text"].cast("string").alias("text"))
+    schema = T.StructType([rows_in.schema["doc"], T.StructField("base", SPAN), T.StructField("terms", TERM)])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        bits, kinds = bitmap.value, [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+        for batch in batches:
+            for i, j, data, offsets in vec.text_blocks(batch.column(1)):
+                base, hashes, row, a, b = _free(data, offsets, data.tobytes())
+                slot = hashes & (SLOTS - 1)
+                some = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+                at = np.searchsorted(row[some], np.arange(j - i + 1)).astype(np.int32)
+                listed = pa.StructArray.from_arrays([pa.array(hashes[some]), *(pa.array(x[some].astype(np.int32)) for x in (a, b))], names=["word", "start", "end"])
+                spans = pa.array([[dict(start=s, rank=k, end=e) for s, k, e, _ in base.get(r, ())] for r in range(j - i)], kinds[0])
+                terms = pa.ListArray.from_arrays(pa.array(at), listed).cast(kinds[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), spans, terms], names=schema.names)
 
-    return rows_in.mapInArrow(run, schema)
+    return rows_in.mapInArrow(run, schema).withColumn("key", F.monotonically_increasing_id())
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -203,19 +229,19 @@ def disclosing(docs: DataFrame, held: DataFrame, words: DataFrame, total: int, s
 
 def find(docs: DataFrame, own: list[str], scratch: Scratch) -> DataFrame:
     """``doc, base, spans``: base spans, and all spans with rank 4 for terms that disclose."""
-    found = scan(docs, own).withColumn("key", F.monotonically_increasing_id())
-    found = scratch.keep(found, "found")
-    total = found.count()
-    held = found.where("size(entities) > 0").select("key", "text_key", F.explode("entities").alias("entity"))
-    none = F.array().cast(SPAN)
-    words = found.where("size(entities) > 0").select("key", F.explode(F.array_distinct(F.transform("terms", lambda t: t["word"]))).alias("word"))
-    told = scratch.keep(disclosing(docs, held, words, total, scratch).select("entity", "word"), "told")
-    flagged = held.join(told, "entity").groupBy("key").agg(F.collect_set("word").alias("flagged"))  # of one document's terms
-    out = found.join(flagged, "key", "left")
-    extra = F.transform(
-        F.filter("terms", lambda t: F.array_contains("flagged", t["word"])), lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("rank"), t["end"].alias("end"))
-    )
-    return out.select("doc", "base", F.when(F.col("flagged").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.coalesce(extra, none)))).alias("spans"))
+    found = scratch.keep(scan(docs).withColumn("key", F.monotonically_increasing_id()), "found")
+    held = found.select("key", "text_key", F.explode("entities").alias("entity"))
+    words = found.select("key", F.explode("words").alias("word"))
+    told = scratch.keep(disclosing(docs, held, words, docs.count(), scratch).select("word").distinct(), "told")
+    # SLOTS / 8 bytes, in rows of 4096 at most
+    slot, bits = F.pmod("word", F.lit(SLOTS)), np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for row in told.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(1 << 15))).alias("bits")).toLocalIterator():
+        bits[row["at"]] = np.frombuffer(row["bits"], np.uint8)
+    spotted = scratch.keep(spot(docs, own, docs.sparkSession.sparkContext.broadcast(bits.ravel())), "spotted")
+    terms = spotted.select("key", F.inline("terms")).join(hinted(told, told.count()), "word")
+    extra = terms.groupBy("key").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end")).alias("extra"))  # of one document's terms
+    out = spotted.drop("terms").join(extra, "key", "left")
+    return out.select("doc", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "extra"))).alias("spans"))
 
 
 def sanitize(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -270,6 +270,17 @@ def test_pii_terms_of_one_text(spark):
     assert all(got[d] == t for d, t, *_ in rows if d != 900)
 
 
+def test_pii_terms_of_other_documents(spark):
+    plain = [(i, prose(500 + i, 60), "en", "s", 1) for i in range(300)]
+    given = [(900 + i, f"é zyxomma, farm jo@ex.org {prose(i, 9)}", "en", "s", 1) for i in range(6)]
+    other = (990, "né the Zyxomma! stone, ZYXOMMA", "en", "s", 1)
+    df = spark.createDataFrame([*plain, *given, other, *((910 + i, "stone farm é", "en", "s", 1) for i in range(40))], SCHEMA)
+    got = {r.doc_id: r.text for r in pii.sanitize(df, Scratch(spark, "pii")).collect()}
+    assert got[990] == "né the [REMOVED]! stone, [REMOVED]"
+    assert all(got[900 + i].startswith("é [REMOVED], farm [EMAIL] ") for i in range(6))
+    assert all(got[d] == t for d, t, *_ in plain)
+
+
 def test_bpe(docs, empty):
     import public_tokenizers
     import tiktoken
