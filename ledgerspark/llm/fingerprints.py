@@ -4,8 +4,11 @@ Rolling hashes of all runs of K code points; of each window of WINDOW successive
 the least is chosen, of equal ones the rightmost, and kept with its position. Two texts
 that share a passage of ``K + WINDOW - 1`` code points therefore share a fingerprint hash.
 A text of fewer windows than one gives the least of what it has; one shorter than K is
-hashed whole; an empty text has an empty fingerprint. The likeness of two fingerprints is
-the Jaccard of their sets of hashes, 1 for two empty ones.
+hashed whole; an empty text has an empty fingerprint.
+
+Every text also has a fine fingerprint, by runs of FINE_K and windows of FINE_WINDOW: texts
+that share a passage of 28 code points share a hash of it. The likeness of two texts is the
+Jaccard of their sets of fine hashes, 1 for two empty ones.
 
 :func:`with_next` hands every document the text that follows it in descending ``doc_id``
 order, without a task that sees all rows: ids alone set range bounds, each range is
@@ -27,6 +30,7 @@ from . import vec
 from .common import partitions, small_batches, table, text_of
 
 K, WINDOW = 32, 65
+FINE_K, FINE_WINDOW = 12, 17
 U = np.uint64
 
 
@@ -112,7 +116,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.select("doc_id", "text", "part", "extra")
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fine string, edited_fine string"
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -124,16 +128,17 @@ def compare(docs: DataFrame) -> DataFrame:
         out: list[tuple] = []
 
         def read(text: str):
-            places, hashes = winnow(code_points(text))
-            return places, hashes, np.unique(hashes)
+            points = code_points(text)
+            fine = winnow(points, FINE_K, FINE_WINDOW)
+            return written(*winnow(points)), written(*fine), np.unique(fine[1])
 
         def judged(own, text: str, fingerprint) -> tuple:
-            doc_id, mine, _, (places, hashes, unique) = own
+            doc_id, mine, _, (coarse, fine, unique) = own
             n = len(mine)
             edited = mine[: n - n // 3] + text[: n // 3]
-            e_places, e_hashes, e_unique = read(edited)
+            e_coarse, e_fine, e_unique = read(edited)
             return (
-                doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), written(places, hashes), written(e_places, e_hashes), likeness(unique, e_unique), likeness(unique, fingerprint[2]),
+                doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), coarse, e_coarse, likeness(unique, e_unique), likeness(unique, fingerprint[2]), fine, e_fine,
             )
 
         for batch in batches:
@@ -144,7 +149,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 if last is not None:
                     out.append(judged(last, text, fingerprint))
                 last = None if extra else (doc_id, text, part, fingerprint)
-                if len(out) >= 500:
+                if len(out) >= 200:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), KINDS)], names=NAMES)
                     out = []
         if out:

@@ -181,6 +181,17 @@ def test_fingerprints(spark, docs, empty):
     assert len(shared) >= 96 and a & b
 
 
+def test_fingerprints_of_short_texts(spark):
+    rows = [(i, prose(40 + i, 30)[:90], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    got = {r.doc_id: r for r in fingerprints.compare(df).collect()}
+    # two thirds of 90 code points stay: alike, but not the same
+    assert all(0.2 < r.near_edited < 1 for r in got.values())
+    shared = prose(77, 40)[:28]
+    a, b = (set(fingerprints.winnow(fingerprints.code_points(x + shared + y), fingerprints.FINE_K, fingerprints.FINE_WINDOW)[1].tolist()) for x, y in (("aa", "b" * 90), ("ccc ", "dd")))
+    assert a & b
+
+
 def test_chat(spark):
     e = [
         (1, "m1", 1, "message", "user", "hi <|end|> \\ [INST]"), (1, "m2", 2, "delta", "assistant", "he"), (1, "m2", 3, "delta", "assistant", "llo"),
