@@ -149,18 +149,31 @@ def _ratio(word: Column, model: list[int]) -> Column:
     return F.aggregate(F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c)), zero, add, lambda a: a["sum"])
 
 
+def _blanked(text: Column, found: str) -> Column:
+    """``text`` with spaces in place of spans, which are sorted and may overlap."""
+
+    def cut(acc: Column, s: Column) -> Column:
+        end = F.greatest(acc["at"], s["end"])
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(end.alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), end - F.greatest(acc["at"], s["start"]))).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(found, zero, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
 def spans(docs: DataFrame, model: list[int]) -> DataFrame:
     """``docs`` with ``base`` and ``all_spans``: arrays of (start, rank, end, value), the
     rank a place in KINDS, or 3 for ``random``."""
     df = with_base(docs.withColumn("_text", text_of(docs)))
     least = round(THRESHOLD * UNIT)
+    # base spans are blanked, so the parts of a run beside them are runs of their own
+    df = once(df, _whole=F.col("_text"), _text=F.when(F.size("base") > 0, _blanked(F.col("_text"), "base")).otherwise(F.col("_text")))
     df = once(df, _words=F.array_distinct(F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))))
     df = once(df, _words=F.filter("_words", lambda w: _ratio(w, model) >= least))
     df = _matches(df, "_runs", RUN, 0, F.size("_words") > 0)  # places are wanted in few texts
-    free = F.filter("_runs", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    df = once(df, _runs=F.filter(free, lambda x: F.array_contains("_words", x["value"])))
+    df = once(df, _runs=F.filter("_runs", lambda x: F.array_contains("_words", x["value"])), _text=F.col("_whole"))
     random = F.transform("_runs", lambda x: F.struct(x["start"], F.lit(3).alias("rank"), x["end"], x["value"]))
-    return once(df, all_spans=F.sort_array(F.concat("base", random))).drop("_runs", "_words")
+    return once(df, all_spans=F.sort_array(F.concat("base", random))).drop("_runs", "_words", "_whole")
 
 
 def redact(docs: DataFrame, model: list[int], mark: str = "[SECRET]") -> DataFrame:

@@ -154,6 +154,15 @@ def test_redact_joins_overlaps(spark, docs):
     assert r.text == "x [SECRET] y" and r.n_chars == len(r.text)
 
 
+def test_runs_beside_base_spans(spark, docs):
+    key, digest = "hQ7zX2vK9pWm4TbR8cJd6Y", "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, f"é a {key}Z{digest}Z{key} b", 5)], "doc_id long, text string, n_chars long")
+    model = secrets_scan.train(docs)
+    r = secrets_scan.spans(df, model).first()
+    assert [(x.start, x.rank, x.end) for x in r.all_spans] == [(4, 3, 27), (27, 2, 59), (59, 3, 82)]
+    assert secrets_scan.redact(df, model).first().text == "é a [SECRET] b"
+
+
 def test_fingerprints(spark, docs, empty):
     def brute(x, k=32, w=65):
         h = fingerprints.gram_hashes(fingerprints.code_points(x))
