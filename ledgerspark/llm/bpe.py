@@ -1,14 +1,21 @@
 """Byte-level BPE encoding and decoding (operator 7), in DuckDB within each task.
 
-A text is split by the tokenizer's pattern. Words that a task hasn't met lately become
-token-position rows; a recursive query joins neighbours with the merge table and contracts
-each word's leftmost pair of least rank until none is left. Decoding joins the ids with
-the vocabulary and aggregates the pieces in order. The merge table follows from the ranks
-(every split of a token into two tokens), so both tables have a fixed size.
-
-A word of more
-than LONG bytes, for which one contraction a round would take time quadratic in its
-length, is contracted in the same order with a heap.
+A text is split by the tokenizer's pattern. Words that a task hasn't met lately are cut into
+parts of PART bytes (most words are one part), which become token-position rows; a recursive
+query joins neighbours with the merge table and contracts each part's leftmost pair of least
+rank until none is left. Decoding joins the ids with the vocabulary and aggregates the pieces
+in order. The merge table follows from the ranks (every split of a token into two tokens),
+so both tables have a fixed size.
+
+Parts are put together by their seams. A row of tokens is the encoding of its bytes exactly
+if each two neighbours are the encoding of theirs: up to the first contraction across a
+boundary both sides go through the steps that they go through alone, so that contraction
+would take place between the two neighbours alone as well. So two encodings are joined by
+asking the same query for the tokens at the seam; where they change, the stretch grows by a
+token, to the left while the new left end doesn't hold, to the right until a token of the
+right side stands as it was. A query has at most ROWS rows in all its steps together, and a
+word is worked on SLICE bytes at a time, so memory doesn't grow with a word or a text beyond
+the ids themselves.
 
 A null text is empty: no ids, and it decodes to nothing. Repeated rows stay, an empty
 table gives no rows, a null ``doc_id`` is kept, other columns are ignored.
@@ -17,7 +24,7 @@ table gives no rows, a null ``doc_id`` is kept, other columns are ignored.
 from __future__ import annotations
 
 import base64
-import heapq
+from collections.abc import Generator
 from itertools import islice
 
 import numpy as np
@@ -30,8 +37,14 @@ from .common import release, small_batches, table
 from .packing import blocks, read_vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Words that a worker remembers; words that a query contracts at once; bytes of a long word.
-WORDS, CHUNK, LONG = 500_000, 20_000, 256
+#: Words that a worker remembers, and their bytes at most.
+WORDS, WORD_BYTES = 500_000, 32 << 20
+#: Bytes of a part, rows of a query in all its steps, bytes of a word that are worked on at once.
+PART, ROWS, SLICE = 32, 3_000_000, 1 << 20
+#: Seams that a worker remembers.
+SEAMS = 100_000
+#: Ids that are decoded at once; a longer row of ids is decoded in several goes.
+IDS = 1 << 18
 
 ENCODE = """
 WITH RECURSIVE t(w, pos, tok, step) AS (
@@ -45,8 +58,7 @@ WITH RECURSIVE t(w, pos, tok, step) AS (
   WHERE p.pos <> b.place + 1)
 SELECT w, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, pos
 """
-#: One thread hands the sorted pieces on in order; sorting within each group takes thrice the time.
-DECODE = "SELECT doc, string_agg(piece, '') AS text FROM (SELECT doc, piece FROM ids JOIN vocabulary USING (id) ORDER BY pos) GROUP BY doc"
+DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -56,8 +68,10 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 def connect():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-    return con
+    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+
+
+Asking = Generator[tuple[int, ...], list[int], np.ndarray]
 
 
 class Coder:
@@ -65,6 +79,7 @@ class Coder:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.pieces = {r: t for t, r in ranks.items()}
         self.con = connect()
         rows = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         merges = pa.table({k: pa.array(v, pa.int32()) for k, v in zip(("l", "r", "merged"), zip(*rows))})
@@ -72,72 +87,122 @@ class Coder:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
+        self.held = 0
+        self.seams: dict[tuple[int, ...], list[int]] = {}
 
-    def contract(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words, as little-endian unsigned 32-bit integers, by recursive queries."""
+    def contract(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of short strings of bytes, by recursive queries: each takes as many strings as
+        have ROWS rows in all steps together, or one."""
         out = []
-        for i in range(0, len(words), CHUNK):
-            some = words[i : i + CHUNK]
-            size = np.array([len(w) for w in some])
-            ends = np.cumsum(size)
+        size = np.array([len(x) for x in parts], np.int64)
+        rows = np.cumsum(size * (size + 1) // 2)
+        i = 0
+        while i < len(parts):
+            j = max(i + 1, int(np.searchsorted(rows, (rows[i - 1] if i else 0) + ROWS, "right")))
+            n, some = size[i:j], parts[i:j]
+            ends = np.cumsum(n)
             start = {
-                "w": np.repeat(np.arange(len(some), dtype=np.int32), size),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - size, size)).astype(np.int32),
+                "w": np.repeat(np.arange(j - i, dtype=np.int32), n),
+                "pos": (np.arange(ends[-1]) - np.repeat(ends - n, n)).astype(np.int32),
                 "tok": self.byte[np.frombuffer(b"".join(some), np.uint8)],
             }
             self.con.register("start", pa.table(start))
             found = self.con.execute(ENCODE).fetchnumpy()
-            raw = np.asarray(found["tok"]).astype("<u4").tobytes()
-            cuts = [0, *(4 * np.cumsum(np.bincount(np.asarray(found["w"]), minlength=len(some)))).tolist()]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            ids = np.asarray(found["tok"]).astype("<u4")
+            out += np.split(ids, np.cumsum(np.bincount(np.asarray(found["w"]), minlength=j - i))[:-1])
+            i = j
         return out
 
-    def contract_long(self, word: bytes) -> bytes:
-        """The same contraction, in time n log n: a heap of (rank, place) over a linked list."""
-        tok = [word[i : i + 1] for i in range(len(word))]
-        right, left = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
-        rank = self.ranks.get
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (r := rank(tok[i] + tok[i + 1])) is not None]
-        heapq.heapify(heap)
-        n = len(tok)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if tok[i] != a or (j := right[i]) >= n or tok[j] != b:
-                continue
-            tok[i], tok[j], right[i] = a + b, b"", right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := rank(tok[x] + tok[y])) is not None:
-                    heapq.heappush(heap, (r, x, tok[x], tok[y]))
-        return np.array([self.ranks[t] for t in tok if t], "<u4").tobytes()
+    def joined(self, a: np.ndarray, b: np.ndarray) -> Asking:
+        """The encoding of two strings' bytes together, from their encodings; asks for those
+        of a few tokens' bytes."""
+        left, ids, right = len(a), [], 0  # so far: a's first ``left`` tokens and ``ids``
+        while right < len(b):
+            stretch = new = [int(b[right])]
+            right += 1
+            while ids or left:
+                before = ids[-1] if ids else int(a[left - 1])
+                if (yield (before, new[0])) == [before, new[0]]:
+                    break
+                if ids:
+                    ids.pop()
+                else:
+                    left -= 1
+                stretch = [before, *stretch]
+                new = yield tuple(stretch)
+            ids += new
+            if len(stretch) == 1:
+                break  # it stands as it was, and so do those after it
+        return np.concatenate([a[:left], np.array(ids, "<u4"), b[right:]])
+
+    def together(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Joins many pairs of encodings; what they ask for goes into common queries."""
+        out, seams = [np.zeros(0, "<u4")] * len(pairs), self.seams
+        waiting = [(k, one, next(one)) for k, one in enumerate(self.joined(a, b) for a, b in pairs)]
+        while waiting:
+            if keys := list({key for _, _, key in waiting if key not in seams}):
+                found = self.contract([b"".join(map(self.pieces.__getitem__, key)) for key in keys])
+                seams.update(zip(keys, (x.tolist() for x in found)))
+            still = []
+            for k, one, key in waiting:
+                try:
+                    while key in seams:
+                        key = one.send(seams[key])
+                    still.append((k, one, key))
+                except StopIteration as end:
+                    out[k] = end.value
+            waiting = still
+        if len(seams) > SEAMS:
+            seams.clear()
+        return out
+
+    def whole(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of strings of bytes: of their parts, which are then joined two by two."""
+        cut = [[w[i : i + PART] for i in range(0, len(w), PART)] for w in words]
+        parts = list({p for ps in cut for p in ps})
+        ids = dict(zip(parts, self.contract(parts)))
+        rows = [[ids[p] for p in ps] for ps in cut]
+        while any(len(r) > 1 for r in rows):
+            done = iter(self.together([(r[i], r[i + 1]) for r in rows for i in range(0, len(r) - 1, 2)]))
+            rows = [[next(done) if i + 1 < len(r) else r[i] for i in range(0, len(r), 2)] for r in rows]
+        return [r[0] for r in rows]
 
     def learn(self, words: set[str]) -> None:
         known, new = self.words, []
         for w in words:
             raw = w.encode()
+            self.held += len(raw)
             if (r := self.ranks.get(raw)) is not None:
                 known[w] = int(r).to_bytes(4, "little")
-            elif len(raw) > LONG:
-                known[w] = self.contract_long(raw)
             else:
                 new.append((w, raw))
-        if new:
-            known.update(zip([w for w, _ in new], self.contract([raw for _, raw in new])))
+        for i, j in blocks([len(raw) for _, raw in new], SLICE) if new else ():
+            some = [raw for _, raw in new[i:j]]
+            ids = self.whole([raw[:SLICE] for raw in some])
+            for at in range(SLICE, len(some[0]), SLICE):  # of a word that is a block of its own
+                ids = self.together([(ids[0], self.whole([some[0][at : at + SLICE]])[0])])
+            known.update(zip([w for w, _ in new[i:j]], (x.tobytes() for x in ids)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > WORDS:
-            self.rest()
+        self.rest(WORDS, WORD_BYTES)
         parts = [self.split(t) for t in texts]
         if new := set().union(*parts).difference(self.words):
             self.learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
-    def rest(self) -> None:
-        """Forgets words but for those met first, which are the common ones."""
-        if len(self.words) > WORDS // 2:
-            self.words = dict(islice(self.words.items(), WORDS // 2))
+    def rest(self, words: int = WORDS // 2, size: int = WORD_BYTES // 2) -> None:
+        """If it remembers more than that, forgets words but for half of it, of those met
+        first, which are the common ones."""
+        if len(self.words) <= words and self.held <= size:
+            return
+        self.held, kept = 0, {}
+        for w, ids in islice(self.words.items(), WORDS // 2):
+            self.held += len(w)
+            if self.held > WORD_BYTES // 2:
+                break
+            kept[w] = ids
+        self.words = kept
 
 
 class Decoder:
@@ -149,14 +214,16 @@ class Decoder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
 
     def decode(self, docs: list[bytes]) -> list[bytes]:
+        """The bytes of rows of ids, IDS of them at a time."""
         size = np.array([len(d) // 4 for d in docs])
         ids = np.frombuffer(b"".join(docs), "<u4").astype(np.int32)
-        rows = pa.table({"doc": np.repeat(np.arange(len(docs), dtype=np.int32), size), "pos": np.arange(len(ids), dtype=np.int32), "id": ids})
-        self.con.register("ids", rows)
-        out = [b""] * len(docs)
-        for doc, text in self.con.execute(DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
-        return out
+        owner, out = np.repeat(np.arange(len(docs), dtype=np.int32), size), [[] for _ in docs]
+        for at in range(0, len(ids), IDS):
+            some = ids[at : at + IDS]
+            self.con.register("ids", pa.table({"doc": owner[at : at + IDS], "pos": np.arange(len(some), dtype=np.int32), "id": some}))
+            for doc, text in self.con.execute(DECODE).fetchall():
+                out[doc].append(text.encode("latin-1"))
+        return [b"".join(x) for x in out]
 
 
 _HELD: dict = {}
