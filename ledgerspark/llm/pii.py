@@ -5,13 +5,14 @@ protected entities, by their normalised values. Corpus co-occurrence then says w
 terms of a document give one away: with ``p`` the shares of all documents that hold an
 entity c, a term t, or both, t's disclosure of c is ``PMI(c; t) / -log p(c)``, 1 if whoever
 reads t knows c. A term, in any document, is a ``term`` span if its disclosure of some c reaches
-THRESHOLD with the share of t's documents that hold c at its lower bound (Wilson's, for Z,
+the threshold with the share of t's documents that hold c at its lower bound (Wilson's, for Z,
 over different texts), so entities of one text are judged too and few texts tell less.
 :func:`sanitize` generalises base spans to their kind and removes terms.
 
 Terms are words in lower case (A-Z) without the punctuation after them, known by 64-bit
-hashes; they are counted over all documents, summed in the tasks before the shuffle. A
-document adds each pair of an entity and a term once. A second look at all documents reads
+hashes; they are counted over all documents, summed in the tasks before the shuffle.
+Entities that always stand together are judged as one, and a document adds each pair of an
+entity and a term once, of terms rare enough to disclose anything. A second look at all documents reads
 their terms; a bitmap of SLOTS bits spares most of those that disclose nothing the join,
 which decides by the hashes.
 
@@ -209,30 +210,46 @@ def count_terms(docs: DataFrame) -> DataFrame:
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lower_bound(share: Column, n: Column) -> Column:
+def lower_bound(share: Column, n: Column, z: float = Z) -> Column:
     """Wilson's lower bound of a share of n."""
-    z2 = F.lit(Z * Z)
-    return (share + z2 / (2 * n) - Z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-
-
-def disclosing(docs: DataFrame, held: DataFrame, words: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """``entity, word`` of the pairs whose disclosure reaches THRESHOLD."""
-    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = held.join(words, "key").groupBy("entity", "word", "text_key").agg(F.count("*").alias("n"))
-    both = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both"))
-    known = both.join(entities, "entity").join(scratch.keep(count_terms(docs), "counts"), "word")
-    d, share = F.lit(float(total)), F.col("n_both") / F.col("n")
-    pmi = F.log(lower_bound(share, F.col("texts") / share) * d / F.col("n_entity"))
+    z2 = F.lit(z * z)
+    return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def profiles(held: DataFrame) -> DataFrame:
+    """``key, text_key, entity, n_entity`` of one of those entities that stand in the same
+    documents: what a term tells of one it tells of all of them."""
+    places = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    one = places.groupBy("n_entity", "a", "b").agg(F.min("entity").alias("entity"))
+    return held.join(one.select("entity", "n_entity"), "entity")
+
+
+def disclosing(docs: DataFrame, held: DataFrame, words: DataFrame, total: int, scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+    """``entity, word`` of the pairs whose disclosure reaches the threshold.
+
+    A word in n documents can reach it for an entity in m of d only if
+    ``n <= m**threshold * d**(1 - threshold)``, as the share of its documents that hold the
+    entity is ``m / n`` at most: words that are too common for the commonest entity of their
+    document go before pairs are made, and pairs before they are counted."""
+    own, d = scratch.keep(profiles(held), "entities"), F.lit(float(total))
+    most = F.pow(F.col("n_entity"), F.lit(threshold)) * F.pow(d, F.lit(1 - threshold)) * (1 + 1e-9)
+    own = own.withColumn("most", most)
+    rare = words.join(scratch.keep(count_terms(docs), "counts"), "word")
+    rare = rare.join(own.groupBy("key").agg(F.max("most").alias("doc_most")), "key").where("n <= doc_most").select("key", "word", "n")
+    both = rare.join(own, "key").where("n <= most").groupBy("entity", "word", "text_key").agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("n_entity").alias("n_entity"))
+    known = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("times").alias("n_both"), F.max("n").alias("n"), F.max("n_entity").alias("n_entity"))
+    share = F.col("n_both") / F.col("n")
+    low = lower_bound(share, F.col("texts") / share, z)
     ic = F.log(d / F.col("n_entity"))
-    return known.where((ic > 0) & (pmi >= THRESHOLD * ic)).select("entity", "word")
+    return known.where((ic > 0) & (low > 0) & (F.log(low * d / F.col("n_entity")) >= threshold * ic - 1e-12)).select("entity", "word")
 
 
-def find(docs: DataFrame, own: list[str], scratch: Scratch) -> DataFrame:
+def find(docs: DataFrame, own: list[str], scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """``doc, base, spans``: base spans, and all spans with rank 4 for terms that disclose."""
     found = scratch.keep(scan(docs).withColumn("key", F.monotonically_increasing_id()), "found")
     held = found.select("key", "text_key", F.explode("entities").alias("entity"))
     words = found.select("key", F.explode("words").alias("word"))
-    told = scratch.keep(disclosing(docs, held, words, docs.count(), scratch).select("word").distinct(), "told")
+    told = scratch.keep(disclosing(docs, held, words, docs.count(), scratch, threshold, z).select("word").distinct(), "told")
     # SLOTS / 8 bytes, in rows of 4096 at most
     slot, bits = F.pmod("word", F.lit(SLOTS)), np.zeros((SLOTS >> 15, 4096), np.uint8)
     for row in told.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(1 << 15))).alias("bits")).toLocalIterator():
@@ -244,10 +261,10 @@ def find(docs: DataFrame, own: list[str], scratch: Scratch) -> DataFrame:
     return out.select("doc", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "extra"))).alias("spans"))
 
 
-def sanitize(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def sanitize(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """``docs`` with base spans generalised to ``[EMAIL]`` and so on and disclosing terms
     removed; ``n_chars``, if there, is brought up to date."""
-    found = find(docs, docs.columns, scratch)
+    found = find(docs, docs.columns, scratch, threshold, z)
     marks = F.lit([f"[{k.upper()}]" for k in KINDS] + ["[REMOVED]"])
 
     def cut(acc: Column, s: Column) -> Column:
@@ -261,7 +278,7 @@ def sanitize(docs: DataFrame, scratch: Scratch) -> DataFrame:
     out = found.select(text.alias("_text"), "doc")
     columns = {c: F.col(f"doc.{c}") for c in docs.columns} | {"text": F.col("_text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.length("_text").cast("long")
+        columns["n_chars"] = F.coalesce(F.length("_text").cast(docs.schema["n_chars"].dataType), F.col("doc.n_chars"))
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
@@ -276,6 +293,6 @@ def _of_rank(k: int) -> Column:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All personal data of every document."""
-    found = find(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "op6"))
+    found = find(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "op6"))  # THRESHOLD and Z
     counts = [F.size(_of_rank(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc.doc_id", *counts, F.sha2(_listed("base", KINDS), 256).alias("base_sha256"), _listed("spans", (*KINDS, "term")).alias("spans"))
+    return found.select("doc.doc_id", *counts, F.sha2(_listed("base", KINDS), 256).alias("base_sha256"), _listed("spans", (*KINDS, "term")).alias("spans"), F.size("base").cast("long").alias("n_base"))
