@@ -2,9 +2,12 @@
 
 Each rule votes good, bad or abstains on a document; how accurate the rules are is
 estimated without labels by expectation-maximisation over the votes of all documents (two
-classes, each rule's votes independent within a class, a prior that trusts the rules), and
-a document is kept if its posterior probability of being good is at least KEEP. What EM needs of the corpus is how
-often each pattern of votes occurs, at most 3**len(RULES) counts, however many documents.
+classes, each rule's votes independent within a class), and a document is kept if its
+posterior probability of being good is at least KEEP. Two things tell the classes apart: a
+prior of TRUST imagined documents a class, whatever the size of the corpus, and that a
+document which no rule votes against counts as good throughout, so that a corpus without
+junk isn't split. What EM needs of the corpus is how often each pattern of votes occurs, at
+most 3**len(RULES) counts, however many documents.
 
 Two hard rules come first: fewer than 50 words, or over half of the words in repeated
 3-word windows, fail. A null text has no words and fails. A null ``doc_id`` is kept as it
@@ -44,9 +47,9 @@ RULES = (
     ("odd_word_share", 0.1, 0.35),
 )
 #: How bad and good documents are taken to get the votes bad, abstain, good before any is
-#: seen, with half the weight of all documents: else two kinds of junk that no rule finds
-#: both would drive each other out of the class.
+#: seen, and how many documents of each class that is worth.
 PRIOR = np.array([[0.25, 0.1, 0.65], [0.005, 0.05, 0.945]])
+TRUST = 20
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUT = [T.StructField(f, T.LongType()) for f in FEATURES] + [T.StructField("votes", T.IntegerType())]
 
@@ -115,7 +118,7 @@ def features(docs: DataFrame, own: list[str]) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def fit(patterns: list[tuple[int, int]]) -> np.ndarray:
+def fit(patterns: list[tuple[int, int]], trust: float = TRUST) -> np.ndarray:
     """The posterior probability of good for every vote pattern, from (pattern, count)."""
     size = 3 ** len(RULES)
     digits = (np.arange(size)[:, None] // 3 ** np.arange(len(RULES))) % 3  # 0 bad, 1 abstain, 2 good
@@ -123,17 +126,16 @@ def fit(patterns: list[tuple[int, int]]) -> np.ndarray:
     for p, n in patterns:
         counts[p] += n
     counts[(digits == 1).all(1)] = 0  # texts without a word fail anyway
-    trust = PRIOR * (1 + counts.sum() / 2)
     against = (digits == 0).sum(1)
-    good = np.where(against == 0, np.where((digits == 2).any(1), 0.95, 0.5), 0.2**against)  # at first rules are trusted
+    good = 0.2**against  # at first rules are trusted
     for _ in range(ROUNDS):
         weight = np.stack([counts * (1 - good), counts * good])
         prior = (weight.sum(1) + 1) / (counts.sum() + 2)
         log = np.log(prior)[:, None] + np.zeros((2, size))
         for k in range(len(RULES)):
-            votes = np.stack([weight[:, digits[:, k] == v].sum(1) for v in range(3)], 1) + trust
+            votes = np.stack([weight[:, digits[:, k] == v].sum(1) for v in range(3)], 1) + trust * PRIOR
             log += np.log(votes / votes.sum(1, keepdims=True))[:, digits[:, k]]
-        good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+        good = np.where(against == 0, 1.0, 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60))))
     return good
 
 
