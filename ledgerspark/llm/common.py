@@ -37,9 +37,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and
+    all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="ledgerspark-"))
     return base.rstrip("/")
@@ -86,10 +89,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows that a join may broadcast: of a few dozen bytes each, some tens of MB.
-BROADCAST_ROWS = 200_000
+#: Bytes of the rows that a join may be told to broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def hinted(small: DataFrame, rows: int) -> DataFrame:
-    """A narrow side of a join, to be broadcast if it was counted and is small."""
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def hinted(small: DataFrame, rows: int, width: int = 48) -> DataFrame:
+    """A side of a join, to be broadcast if it was counted and is small: ``rows`` of ``width``
+    bytes. Others are left to adaptive execution, which goes by the bytes it has written."""
+    return F.broadcast(small) if rows * width <= BROADCAST_BYTES else small

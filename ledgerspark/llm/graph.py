@@ -11,31 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, hinted
+from .common import Scratch, hinted
 
-SALTS = 32
 
-
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str, by: str) -> DataFrame:
-    """Join on ``key``, of which ``small`` has one row each and ``big`` may have a hot one.
-
-    ``big`` is dealt by the key and ``SALTS`` classes of its column ``by``; ``small`` is
-    repeated that often, so it should be the small side by far.
-    """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def _stars(edges: DataFrame, large: bool, rows: int, scratch: Scratch) -> DataFrame:
-    """One round over ``u > v`` edges."""
+def _stars(edges: DataFrame, large: bool, rows: int, width: int, scratch: Scratch) -> DataFrame:
+    """One round over ``u > v`` edges, ``rows`` of them with nodes of ``width`` bytes."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges
     least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    most = 2 * rows  # nodes
-    joined = around.join(hinted(least if most <= BROADCAST_ROWS else scratch.keep(least, "least"), most), "u")
+    held = hinted(least, 2 * rows, 2 * width)  # as many nodes at most
+    joined = around.join(scratch.keep(least, "least") if held is least else held, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -53,11 +40,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        size = F.max(F.octet_length(F.col("u").cast("string")))
+        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), size).first()
         if new[0] == 0 or new == state:
             break
-        state = new
-        step = scratch.keep(_stars(_stars(now, True, new[0], scratch), False, new[0], scratch), "edges")
+        state, width = new, max(8, new[2])
+        step = scratch.keep(_stars(_stars(now, True, new[0], width, scratch), False, new[0], width, scratch), "edges")
         scratch.drop(now)
         now = step
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .graph import components, salted_join
+from .graph import components
 
 RULES = (
     ("block", "com/en/"),
@@ -85,8 +85,9 @@ def judge(pages: DataFrame, scratch: Scratch, rules=RULES, links: DataFrame | No
         .select("component")
     )
     ruleless = decided.where("r is null").select("component", F.col("node").alias("url"))
-    aliases = salted_join(ruleless, blocked, "component", "inner", "url").select("url", F.lit("block").alias("by_alias"))
-    out = salted_join(own.withColumn("r", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)), aliases, "url", "left", "page_id")
+    aliases = ruleless.join(blocked, "component").select("url", F.lit("block").alias("by_alias"))
+    # plain joins: a hot class or url is split by adaptive execution
+    out = own.withColumn("r", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)).join(aliases, "url", "left")
     return out.select(
         "page_id",
         host_of(F.col("url")).alias("host"),
