@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerspark.llm import neardup
@@ -87,6 +88,55 @@ def test_repeated_footers(spark):
     assert got == brute([r[:2] for r in rows]) and len({c for _, c in got}) == 12
 
 
+def test_blocks_of_different_classes(spark):
+    """A band of one class and a stray costs each text of the class one meeting; texts of
+    different classes all meet."""
+    rows = [(1, i, 0) for i in range(20_000)] + [(1, 10**6, 1)] + [(2, i, i % 3) for i in range(600)] + [(3, 1, 1), (3, 2, 2)]
+    members = spark.createDataFrame(rows, "band long, u long, c long")
+    dealt = neardup.dealt(members)
+    assert dealt.where("band = 1").count() <= 20_000 + 20_000 // neardup.BLOCK + 2
+    groups = collections.defaultdict(list)
+    for r in dealt.where("band > 1").collect():
+        groups[r.band, r.inner, r.lo, r.hi].append((r.u, r.c))
+    met = {(k[0], *sorted((a[0], b[0]))) for k, texts in groups.items() for a in texts for b in texts if a[1] != b[1]}
+    assert max(map(len, groups.values())) < 3 * neardup.BLOCK
+    assert met == {(2, i, j) for i in range(600) for j in range(i + 1, 600) if i % 3 != j % 3} | {(3, 1, 2)}
+
+
+def test_recall(spark):
+    """Pairs right above the threshold, of which half repeat many shingles: none may be lost
+    but for 3e-4 of them, and none below it found."""
+    rng, rows, links = random.Random(11), [], {}
+    for k in range(400):
+        n = rng.randint(60, 300)
+        body = [f"b{k}x{i}" for i in range(n)]
+        extra = [f"c{k}x{i}" for i in range(n)]
+        # two texts of n + t shingles that share n - 4 or more
+        t = rng.randint(0, n // 4)
+        for i, tail in enumerate((extra[:t], extra[n - t :] if t else [])):
+            words = body + tail
+            rows.append((2 * k + i, " ".join(words + words * (3 * (k % 2) * i)), "en", "s", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.class_id for r in neardup.classes(df, Scratch(spark, "t")).collect()}
+    for k in range(400):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (rows[2 * k + i][1].split() for i in range(2)))
+        links[k] = len(a & b) >= 0.8 * len(a | b)
+    found = [got[2 * k] == got[2 * k + 1] for k in range(400)]
+    true = [k for k in range(400) if links[k]]
+    assert 100 < len(true) < 390 and not any(found[k] for k in range(400) if not links[k])
+    assert sum(found[k] for k in true) >= 0.99 * len(true)
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(300_000))
+    rows = [(3, long, "x"), (1, long + " end", "y"), (2, None, None), (None, "", "z"), (5, "a b", "q"), (5, "a b", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("band", F.lit(1)).withColumn("class_id", F.lit("c"))
+    got = {(r.doc_id, r.class_id) for r in neardup.classes(df, Scratch(spark, "t")).collect()}
+    assert got == {(3, 1), (1, 1), (2, 2), (None, 2), (5, 5)}
+    kept = neardup.first_of_each(df, Scratch(spark, "t"))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+
+
 def test_first_of_each(spark, docs):
     kept = neardup.first_of_each(docs, Scratch(spark, "t"))
     classes = {c for _, c in brute([(r.doc_id, r.text or "") for r in docs.collect()])}

@@ -281,6 +281,60 @@ def test_pii_terms(spark, docs, empty):
     assert pii.sanitize(empty, Scratch(spark, "pii")).count() == 0 and out.columns == df.columns
 
 
+def test_pii_terms_against_brute_force(spark):
+    """All term spans of small random corpora, with repeated texts, entities that always stand
+    together, and terms right at the threshold (any term at 1 with Z 0)."""
+    rng = random.Random(13)
+    people = [f"p{k}@ex.org" for k in range(6)]
+    for threshold, z in ((1.0, 0.0), (0.8, 1.2816), (0.5, 0.0), (0.6, 0.5)):
+        given = []
+        for i in range(120):
+            words = [f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 12))]
+            some = rng.sample(people[:4], rng.choice((0, 0, 1, 2))) + (people[4:] if rng.random() < 0.1 else [])
+            words += [f"w{rng.choice((100, 100, 110)) + int(c[1])}" for c in some]
+            given.append(" ".join(rng.sample(words + some, len(words + some))))
+        given += rng.sample(given, 20) + ["W1! w2, w3.", ""]
+        rows = [(i, x, "clash") for i, x in enumerate(given)]
+        n, holds, texts_of = len(rows), collections.defaultdict(set), collections.defaultdict(set)
+        found = {i: re.findall(r"p\d@ex\.org", x) for i, x, _ in rows}
+        words = {i: set(re.findall(r"(?i)\bw\d+", x.lower())) for i, x, _ in rows}
+        for i in found:
+            for c in found[i]:
+                holds[c].add(i)
+            for t in words[i]:
+                texts_of[t].add(i)
+        told = set()
+        for c, own in holds.items():
+            for t, all_ in texts_of.items():
+                both = own & all_
+                if both:
+                    share, m = len(both) / len(all_), len({given[i] for i in both}) / (len(both) / len(all_))
+                    low = (share + z * z / (2 * m) - z * np.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+                    ic = np.log(n / len(own))
+                    if ic > 0 and low > 0 and np.log(low * n / len(own)) >= threshold * ic - 1e-12:
+                        told.add(t)
+        df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+        got = {r.doc.doc_id: r for r in pii.find(df, ["doc_id", "key"], Scratch(spark, "pii"), threshold, z).collect()}
+        assert len(got) == n and told
+        for i, x, _ in rows:
+            want = [(m.start(), m.end()) for m in re.finditer(r"(?i)\bw\d+", x) if m[0].lower() in told]
+            assert [(s.start, s.end) for s in got[i].spans if s.rank == 4] == want, (threshold, x)
+
+
+def test_pii_of_a_long_text(spark):
+    """One text of a hundred thousand words and thousands of addresses costs one pair a word
+    and kind of address, not one a word and address."""
+    many = " ".join(f"u{i}@ex.org" for i in range(5000))
+    text = prose(3, 100_000) + " " + many
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "a b", "en", "s", 3), (3, None, "en", "s", 0)], SCHEMA)
+    own = pii.scan(df).withColumn("key", F.monotonically_increasing_id())
+    assert pii.profiles(own.select("key", "text_key", F.explode("entities").alias("entity"))).count() == 1
+    got = {r.doc.doc_id: r for r in pii.find(df, ["doc_id"], Scratch(spark, "pii")).collect()}
+    assert len(got[1].base) >= 5000 and got[2].spans == [] and got[3].spans == []
+    clean = {r.doc_id: r for r in pii.sanitize(df.withColumn("n_chars", F.col("n_chars").cast("int")), Scratch(spark, "pii")).collect()}
+    assert "@" not in clean[1].text and clean[1].n_chars == len(clean[1].text) and clean[3].text is None
+
+
 def test_pii_terms_of_one_text(spark):
     plain = [(i, prose(500 + i, 60), "en", "s", 1) for i in range(300)]
     rows = [*plain, (900, f"the river zyxomma farm jo@ex.org {prose(1, 9)}", "en", "s", 1), *((901 + i, "stone farm", "en", "s", 1) for i in range(20))]
@@ -317,6 +371,54 @@ def test_bpe(docs, empty):
     assert c.encode(some) == [np.array(t.encode_ordinary(x), "<u4").tobytes() for x in some]
 
 
+def test_bpe_without_spaces():
+    """Texts whose words are long or have no end, against tiktoken, in bounded memory."""
+    import resource
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(bpe.read_vocabulary(bpe.RANKS))
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    c, d, rng = bpe.Coder(ranks, public_tokenizers.PATTERN), bpe.Decoder(ranks), random.Random(8)
+    letters = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    thai, han = [chr(x) for x in range(0xE01, 0xE30)], [chr(x) for x in range(0x4E00, 0x5FFF)]
+    some = [
+        ["\n".join(letters("ACDEFGHIKLMNPQRSTVWY", 80) for _ in range(250)) for _ in range(100)],
+        [letters(thai, 6700) for _ in range(100)],
+        ["".join(letters(han, 70) + "。" for _ in range(9500))],
+        [" ".join(letters("abcdefghijklmnopqrstuvwxyz", 250) for _ in range(8000))],
+        [letters("etaoinshrdlu", 5_000_000)],
+        ["b" + "a" * 300_000, "ab" * 50_000, "x" + "abc" * 50_000, " " * 100_000],
+    ]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for given in some:
+        got = c.encode(given)
+        assert got == [np.array(t.encode_ordinary(x), "<u4").tobytes() for x in given]
+        assert d.decode(got) == [x.encode() for x in given]
+    assert c.held <= bpe.WORD_BYTES + 5_000_000 and not c.rest() and c.held <= bpe.WORD_BYTES
+    ids = np.random.default_rng(0).integers(0, len(ranks), 20_000_000).astype("<u4")
+    by_id = {r: x for x, r in ranks.items()}
+    assert d.decode([b"", ids.tobytes()]) == [b"", b"".join(map(by_id.__getitem__, ids.tolist()))]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 3_000_000
+
+
+def test_bpe_seams():
+    """Any two encodings are joined to that of the whole, for ranks in no order at all too."""
+    rng = random.Random(9)
+    for _ in range(12):
+        pieces = {"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(25)}
+        order = [bytes([i]) for i in range(256)] + sorted(pieces, key=lambda _: rng.random())
+        c = bpe.Coder({x: i for i, x in enumerate(order)}, r"\S+")
+        for _ in range(10):
+            word = "".join(rng.choices("abc", k=rng.randint(2, 150))).encode()
+            (plain,), (got,) = c.contract([word]), c.whole([word])
+            assert plain.tolist() == got.tolist()
+            at = rng.randint(1, len(word) - 1)
+            (both,) = c.together([tuple(c.contract([word[:at], word[at:]]))])
+            assert both.tolist() == plain.tolist()
+
+
 def test_urls(spark):
     rows = [
         (1, "http://a.com/en/1", ""), (2, "http://x.xyz/p", '<link rel="canonical" href="http://a.com/en/1">'), (3, "http://y.xyz/q?utm_source=z", ""), (4, "https://www.y.xyz/q/", "<meta http-equiv='refresh' content='0; url=http://x.xyz/p'>"),
@@ -354,3 +456,49 @@ def test_quality(spark, docs, empty):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == df.columns and not ids & {d for d, *_ in junk} and set(range(10, 37)) <= ids
     assert quality.keep_good(empty).count() == 0
+
+
+def test_quality_em_against_documents():
+    """The same EM, a document at a time, in plain Python."""
+    rng, n = random.Random(12), len(quality.RULES)
+    docs_ = [[rng.choices((0, 1, 2), (0.5, 0.2, 0.3) if rng.random() < 0.2 else (0.02, 0.08, 0.9))[0] for _ in range(n)] for _ in range(400)]
+    good = [0.2 ** v.count(0) for v in docs_]
+    for _ in range(quality.ROUNDS):
+        log = [[0.0, 0.0] for _ in docs_]
+        for c in range(2):
+            weight = [g if c else 1 - g for g in good]
+            prior = (sum(weight) + 1) / (len(docs_) + 2)
+            for d in range(len(docs_)):
+                log[d][c] += np.log(prior)
+            for k in range(n):
+                votes = [quality.TRUST * quality.PRIOR[c][x] + sum(w for w, v in zip(weight, docs_) if v[k] == x) for x in range(3)]
+                for d, v in enumerate(docs_):
+                    log[d][c] += np.log(votes[v[k]] / sum(votes))
+        good = [1.0 if 0 not in v else 1 / (1 + np.exp(a - b)) for v, (a, b) in zip(docs_, log)]
+    patterns = [sum(x * 3**k for k, x in enumerate(v)) for v in docs_]
+    posterior = quality.fit(list(collections.Counter(patterns).items()))
+    assert np.allclose(posterior[patterns], good)
+    assert any(g < 0.5 for g in good) and any(0.5 < g < 1 for g in good)
+
+
+def test_quality_keeps_a_corpus_without_junk():
+    """Documents that no rule votes against are kept, whatever they abstain on."""
+    all_good = 3 ** len(quality.RULES) - 1
+    posterior = quality.fit([(all_good, 500), (all_good - 1, 500), (all_good - 3, 400)])
+    assert posterior[[all_good, all_good - 1, all_good - 3]].min() >= quality.KEEP
+
+
+def test_quality_on_labels(spark):
+    """Labelled rows past the base rules: good ones are kept, bad ones aren't."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = quality.op10_quality(spark, folder).join(labels, "doc_id").where("not base_failed")
+    n = {(r.quality_label, r.kept): r["count"] for r in judged.groupBy(labels["quality"].alias("quality_label"), "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.005 * n[1, True] and n.get((0, True), 0) <= 0.02 * n[0, False]
+
+
+def test_quality_of_a_long_text(spark):
+    long = prose(3, 400_000)
+    rows = [(1, long, "en", "s", 1), (2, "word " * 300_000, "en", "s", 1)]
+    got = {r.doc.doc_id: r for r in quality.features(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert got[1].n_words == len(WORD.findall(long)) and got[2].n_repeat_words == got[2].n_words == 300_000
