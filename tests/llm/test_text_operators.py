@@ -220,9 +220,9 @@ def test_chat(spark):
 
 
 def test_lm(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 60)
-    for head in (lm.HEAD, 5):
+    for head, vocab in ((lm.HEAD, lm.VOCAB), (5, 3), (40, 20)):
         monkeypatch.setattr(lm, "HEAD", head)
+        monkeypatch.setattr(lm, "VOCAB", vocab)
         out = lm.scores(docs, Scratch(spark, "lm")).collect()
         rows = texts(docs)
         count = collections.Counter()
@@ -242,15 +242,88 @@ def test_lm(spark, docs, empty, monkeypatch):
     assert lm.scores(empty, Scratch(spark, "lm")).count() == 0
 
 
-def test_lm_learns_context():
-    rng = np.random.default_rng(0)
-    a = rng.integers(0, 40, 4000)
-    pairs, counts = np.unique(a * lm.CLASSES + (a * 7 + rng.integers(0, 2, 4000)) % 41, return_counts=True)
-    model = lm.train(pairs, counts.astype(float))
-    assert np.allclose(np.exp(model).sum(1), 1)
-    unigram = np.bincount(pairs % lm.CLASSES, counts, lm.CLASSES) / counts.sum()
-    got, base = (counts * model.ravel()[pairs]).sum(), (counts * np.log(unigram[pairs % lm.CLASSES])).sum()
-    assert got > base + 0.5 * counts.sum()
+def lexicon_of(texts_):
+    data, offsets = np.frombuffer("".join(texts_).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts_)])
+    hashes, buckets, begins = lm.tokens(data, offsets)
+    words, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    sums = np.stack([np.bincount(buckets[first], w, lm.BUCKETS) for w in (counts, np.ones(len(words)))], 1)
+    lex = lm.Lexicon(words, counts, buckets[first], sums)
+    return lex, lex.units_of(lex.find(hashes), buckets), begins, words, counts, buckets[first]
+
+
+def test_lm_probabilities(monkeypatch):
+    """After any words the probabilities of all words, and of the unknown ones of each bucket,
+    come to one; log_probabilities are those of a plain softmax; a pass over a text in which
+    the next word follows from the one before teaches it."""
+    monkeypatch.setattr(lm, "VOCAB", 60)
+    monkeypatch.setattr(lm, "CLASSES", 12)
+    rng = random.Random(3)
+    chain = {f"w{k}": [f"w{rng.randint(0, 99)}" for _ in range(2)] for k in range(100)}
+    some, word = [], "w0"
+    for _ in range(300):
+        line = []
+        for _ in range(60):
+            word = rng.choice(chain[word])
+            line.append(word)
+        some.append(" ".join(line))
+    lex, units, begins, words, counts, buckets = lexicon_of(some)
+    model = lm.Model(lex)
+    units_, token = lex.stream(units, begins, np.ones(len(some), bool))
+    flat = model.log_probabilities(units_, token).mean()
+    for k in range(8):
+        model.learn(units_, token, 0.1, np.random.default_rng(k))
+    assert model.log_probabilities(units_, token).mean() > flat + 0.5
+    at = lex.find(words)
+    for _ in range(20):
+        before = rng.choices(range(len(lex.classes)), k=lm.CONTEXT)
+        every = np.array([x for u in range(len(lex.classes)) for x in (*before, u)], np.uint16)
+        last = np.tile([False] * lm.CONTEXT + [True], len(lex.classes))
+        log = model.log_probabilities(every, last).astype(float)
+        h = model.hidden(model.r[np.array([*before, 0])])[0]
+        c = model.p @ h + model.a
+        c = c - np.log(np.exp(c).sum())
+        for u in range(len(lex.classes)):
+            own = slice(lex.starts[lex.classes[u]], lex.starts[lex.classes[u] + 1])
+            x = model.q[own] @ h + model.b[own]
+            assert log[u] == pytest.approx(c[lex.classes[u]] + x[u - own.start] - np.log(np.exp(x).sum()), abs=1e-3)
+        p = np.exp(log[lex.units_of(at, buckets)])
+        inside = np.where(lex.own[at], 1.0, (counts + 1) / 10 ** lex.mass_log[buckets])
+        unknown = np.exp(log[lex.bucket_units]) / 10**lex.mass_log
+        assert (p * inside).sum() + unknown.sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_averages(spark, docs):
+    """What tasks hand on, summed and divided, are the averages of their vectors."""
+    lex, units, begins, *_ = lexicon_of([x for _, x in texts(docs)][:20])
+    import pandas as pd
+
+    models = []
+    for k in range(2):
+        models.append(lm.Model(lex))
+        chosen = np.arange(20) % 2 == k
+        models[k].learn(*lex.stream(units, begins, chosen), 0.1, np.random.default_rng(k))
+    rows = pd.concat([lm._rows(m).to_pandas() for m in models]).groupby(["part", "id"], as_index=False).sum()
+    got = lm.averaged(lex, None, rows)
+    seen = np.stack([m.seen for m in models])
+    both = seen.min(0) > 0
+    assert both.any()
+    want = (seen[0][:, None] * models[0].q + seen[1][:, None] * models[1].q) / np.maximum(seen.sum(0), 1)[:, None]
+    assert np.allclose(got["q"][both], want[both], atol=1e-5)
+    n = seen.sum(1)
+    assert np.allclose(got["p"], (n[0] * models[0].p + n[1] * models[1].p) / n.sum(), atol=1e-5)
+
+
+def test_lm_held_out(spark):
+    """Texts that were not learnt from get a better score than from single words' counts."""
+    out = lm.op5_lm_score(spark, "/root/testdata/sf0.01").where("held_out")
+    r = out.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("better")).first()
+    assert (r.s - r.b) / r.n > 0.15 and r.better > 0.95
+
+
+def test_lm_of_a_long_text(spark):
+    rows = [(2, " ".join(f"w{i % 5000}" for i in range(400_000)), "en", "s", 1), (1, "w1 w2", "en", "s", 1)]
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "lm")).collect()}
+    assert not got[2].held_out and got[2].n_tokens == 400_001 and got[2].score > got[2].base_score
 
 
 PII = [
