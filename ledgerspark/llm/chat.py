@@ -8,10 +8,11 @@ A conversation is a log of events: ``conv_id, message_id, seq, kind, role, text`
 * ``regenerate``: the text is dropped, later deltas build a new one (its own text, if
   any, begins it).
 
-The log is dealt by conversation and message, sorted by ``seq`` and folded: the text is
+The log is dealt by conversation, once, grouped by message, sorted by ``seq`` and folded: the text is
 what follows from the last ``message``, ``edit`` or ``regenerate`` on. Several plain
 ``message`` events under one id, with no other kind, are messages of their own (repeated
-rows stay). Messages are then gathered by conversation in the order of their first
+rows stay); in a message with other kinds an event that was delivered twice counts once.
+Messages are then gathered by conversation in the order of their first
 ``seq``, and rendered. A message's events meet in one task and so do a conversation's
 messages: either makes one row of the result, which bounds both.
 
@@ -19,8 +20,9 @@ Template: ``<|turn|>role<|text|>text<|end|>`` and a line feed per turn. In roles
 texts a backslash is doubled, and a control string gets a backslash after its first
 character, so no control string of a text stays and :func:`unescape` gives it back.
 
-Null roles and texts are empty, a null ``conv_id`` is a conversation of its own, a null
-``seq`` comes first; ties of ``seq`` go by role, then text. An empty log gives no rows.
+Null roles and texts are empty, a null ``kind`` is ``message``, a null ``conv_id`` or
+``message_id`` is an id of its own, a null ``seq`` comes first; events of equal ``seq`` go
+deltas last, then by role, text and kind. An empty log gives no rows.
 Other columns are ignored.
 """
 
@@ -48,18 +50,21 @@ def unescape(c: Column) -> Column:
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, seq, role, text`` of an event log."""
+    kind = F.coalesce("kind", F.lit("message"))
     e = F.struct(
         F.col("seq"),
-        (F.col("kind") == "delta").cast("int").alias("late"),
+        (kind == "delta").cast("int").alias("late"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.col("kind"),
+        kind.alias("kind"),
     )
-    grouped = events.groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(e)).alias("es"))
+    # both groupings, by message and then by conversation, keep to this partitioning
+    grouped = events.repartition("conv_id").groupBy("conv_id", "message_id").agg(F.sort_array(F.collect_list(e)).alias("es"))
+    grouped = grouped.withColumn("es", F.when(F.forall("es", lambda x: x["kind"] == "message"), F.col("es")).otherwise(F.array_distinct("es")))
     last = F.expr("aggregate(transform(es, (x, i) -> if(x.kind = 'delta', 0, i + 1)), 0, (a, x) -> greatest(a, x))")
     one = F.struct(
         F.expr("es[0].seq").alias("seq"),
-        F.expr("coalesce(element_at(filter(es, x -> x.role != ''), 1).role, '')").alias("role"),
+        F.expr("coalesce(get(filter(es, x -> x.role != ''), 0).role, '')").alias("role"),
         F.array_join(F.transform(F.slice("es", F.greatest(last, F.lit(1)), F.size("es")), lambda x: x["text"]), "").alias("text"),
     )
     each = F.transform("es", lambda x: F.struct(x["seq"].alias("seq"), x["role"].alias("role"), x["text"].alias("text")))
