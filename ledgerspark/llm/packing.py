@@ -4,8 +4,9 @@
 pieces of at most ``limit``; :func:`pack` puts pieces into sequences by bounded-space
 online best fit: ``OPEN_BINS`` bins are open, a bitset keyed by free space finds the one
 that a piece fills best, and when none fits and all are open, the fullest closes first. At
-the end of a task the pieces of its open bins (at most OPEN_BINS x limit) are dealt anew,
-longest first, so a task leaves about one sequence short. Neither step shuffles.
+the end of a task the pieces of the bins that are still open (at most OPEN_BINS x limit) are
+dealt anew, longest first, so a task leaves about one sequence short; what closed before
+stays as the online method put it. Neither step shuffles.
 
 A null text is empty: its document is the closing id alone. A null ``doc_id`` is kept.
 Repeated documents are packed as often as they come. An empty table gives no rows. Other
@@ -36,7 +37,8 @@ WORDS = 600_000
 class WordCoder:
     """Ids of whole texts, looked up word by word.
 
-    The tokenizer splits at white space, so the ids of a text are those of its
+    For a tokenizer that splits at white space and lower-cases (which ``by_words`` tries; any
+    other is given whole texts): it splits at white space, so the ids of a text are those of its
     ASCII-space-separated words; it lower-cases, so words are kept with A-Z in lower case.
     It splits letters from ASCII punctuation after them too, so the two are learnt apart.
     Words of letters alone go to the tokenizer many at a time: each is one piece, whose
@@ -44,6 +46,7 @@ class WordCoder:
     word by word. Normalising is left out for words of a-z, which it doesn't change.
     """
 
+    PROBE = "Ab cD,  the\nWord_s\tx2 it's É"
     TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, vocabulary: str):
@@ -60,6 +63,8 @@ class WordCoder:
         for token, i in tokens.items():
             self.ends[i] = token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
+        plain = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (self.PROBE, *self.PROBE.lower().split())]
+        self.by_words = plain[0] == [i for ids in plain[1:] for i in ids]
 
     def learn(self, words: set[bytes]) -> None:
         known, split, other = self.known, [], []
@@ -112,6 +117,8 @@ class WordCoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [self._ids(e) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.lower().split() for t in texts]
         if len(self.known) > WORDS:
             self.rest()
