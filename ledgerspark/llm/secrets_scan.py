@@ -13,8 +13,8 @@ driver sees the two tables alone, at most 2 x 67 x 67 counts.
 
 Positions are code points, end exclusive. A null text is empty: no spans. Repeated rows
 give repeated rows, an empty table none (the models then come from digests alone). Long
-texts are scanned whole. Other columns are ignored by :func:`spans` and kept by
-:func:`redact`.
+texts are scanned whole. Other columns are kept by :func:`redact`, whatever their names, and
+by :func:`spans` but for ``base``, ``all_spans`` and names that begin with ``_``, which it uses.
 """
 
 from __future__ import annotations

@@ -18,12 +18,14 @@ _BASE, _powers = 0x9E3779B97F4A7C15, {}
 
 
 def _table(base: int, n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64."""
+    """Powers of an odd number modulo 2**64; those of a block are kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.full(max(n, BLOCK + 1024), U(base))
         out[0] = U(1)
-        _powers[base] = have = np.cumprod(out)
+        have = np.cumprod(out)
+        if n <= BLOCK + 1024:
+            _powers[base] = have
     return have
 
 
@@ -70,7 +72,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, of a block's words at a time."""
+    if len(data) <= BLOCK + 1024:
+        return _word_hashes(data, starts, ends)
+    out, i = np.empty(len(starts), U), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        low = starts[i]
+        out[i:j] = _word_hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.empty(n + 1, U)
     sums[0] = 0
@@ -96,5 +110,8 @@ def shingles(hashes: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray
 
 def per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of a mask over each row."""
-    sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    full = offsets[:-1] < offsets[1:]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if full.any():
+        out[full] = np.add.reduceat(mask, offsets[:-1][full], dtype=np.int64)
+    return out
