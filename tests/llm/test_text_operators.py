@@ -79,15 +79,52 @@ def test_best_fit_is_best_and_bounded():
         else:
             assert free[one] == best
             free[one] -= n
+        # what closes is full, or the fullest of the eight that were open before a ninth was
         for closed in fit.closed:
+            if free[closed]:
+                others = [f for b, f in free.items() if b in open_ and b != one and f]
+                assert best is None and len(open_) == 9 and free[closed] == min(others)
             open_.discard(closed)
         fit.closed.clear()
-        open_ -= {b for b in open_ if free[b] == 0}
-        assert len(open_) <= 8
+        assert len(open_) <= 8 and all(free[b] for b in open_)
     with pytest.raises(ValueError):
         fit.add(101)
 
 
+def test_pack_documents(spark, docs):
+    """The registered path: every piece's CRC-32, gapless sequences, a very long text."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(packing.read_vocabulary(packing.VOCABULARY).decode())
+    t.encode_special_tokens = True
+    long = spark.createDataFrame([(700, prose(3, 60_000), "en", "s", 1)], SCHEMA)
+    some = docs.unionByName(long)
+    out = packing.pack_documents(some.withColumn("length", F.lit("clash"))).collect()
+    want = collections.Counter()
+    for d, x in texts(some):
+        ids = t.encode(x, add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            piece = ids[at : at + 2048]
+            want[d, k, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    seqs = collections.defaultdict(list)
+    for r in out:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for places in seqs.values():
+        ends = [0, *(a + n for a, n in sorted(places))]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+
+
+def test_coder_of_other_tokenizers():
+    """A tokenizer that keeps case and spaces is given whole texts."""
+    from tokenizers import Tokenizer
+
+    raw = packing.read_vocabulary("byte_bpe_50k.json").decode()
+    t, c = Tokenizer.from_str(raw), packing.WordCoder(raw)
+    some = ["Ab cD,  the\nWord", "", "é  x"]
+    assert not c.by_words and c.encode([x.encode() for x in some]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+
+
 def test_word_coder_on_odd_text():
     from tokenizers import Tokenizer
 
@@ -147,6 +184,28 @@ def test_secrets_held_out(spark):
     assert other.where("exists(all_spans, s -> s.rank = 3)").count() <= 5
 
 
+def test_secret_ratios_against_brute_force(spark, docs):
+    """Each run's log-likelihood ratio by plain Python, from the same table; a very long text."""
+    model, n, rng = secrets_scan.train(docs), len(secrets_scan.ALPHABET), random.Random(14)
+    some = ["".join(rng.choices(rng.choice((secrets_scan.ALPHABET, "etaoinshrdlu", "0123456789abcdef", "aB3")), k=rng.randint(14, 60))) for _ in range(300)]
+    text = " ".join(some * 40)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*some, text])], "doc_id long, text string")
+
+    def random_(word):
+        at = [secrets_scan.ALPHABET.index(c) for c in word]
+        return sum(model[a * n + b] for a, b in zip(at, at[1:])) >= secrets_scan.THRESHOLD * secrets_scan.UNIT
+
+    got = {r.doc_id: [(s.start, s.end) for s in r.all_spans if s.rank == 3] for r in secrets_scan.spans(df, model).collect()}
+    base = {r.doc_id: [(s.start, s.end) for s in r.base] for r in secrets_scan.spans(df, model).collect()}
+    for k, x in enumerate([*some, text]):
+        blank = list(x)
+        for a, b in base[k]:
+            blank[a:b] = " " * (b - a)
+        runs = re.finditer(r"[A-Za-z0-9+/_=-]{16,}", "".join(blank))
+        assert got[k] == [m.span() for m in runs if random_(m[0])]
+    assert 0 < sum(map(len, got.values()))
+
+
 def test_redact_joins_overlaps(spark, docs):
     t = "x token=" + "0123456789abcdef" * 2 + " y"
     df = spark.createDataFrame([(1, t, 5)], "doc_id long, text string, n_chars long")
@@ -190,6 +249,24 @@ def test_fingerprints(spark, docs, empty):
     assert len(shared) >= 96 and a & b
 
 
+def test_fingerprint_of_a_long_text(spark):
+    long = prose(3, 100_000)
+    rows = [(2, long), (1, long[:-9] + "x"), (0, None)]
+    got = {r.doc_id: r for r in fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].n_chars == len(long) and got[2].near_next > 0.99 and got[0].fingerprint == ""
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    """Hashes are the same whatever block a word is hashed in."""
+    from ledgerspark.llm import vec
+
+    data = np.frombuffer(prose(5, 20_000).encode(), np.uint8)
+    starts, ends, _ = vec.words(data, np.array([0, len(data)]))
+    whole = vec.word_hashes(data, starts, ends)
+    monkeypatch.setattr(vec, "BLOCK", 100)
+    assert (vec.word_hashes(data, starts, ends) == whole).all()
+
+
 def test_fingerprints_of_short_texts(spark):
     rows = [(i, prose(40 + i, 30)[:90], 1) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int")
@@ -219,6 +296,33 @@ def test_chat(spark):
     assert chat.render(chat.fold(log.limit(0))).count() == 0
 
 
+def test_chat_random_logs(spark):
+    """Random logs of all kinds, with repeated deliveries and nulls, against a plain fold."""
+    rng, log = random.Random(15), []
+    for conv in range(60):
+        for m in range(rng.randint(1, 5)):
+            role = rng.choice(("user", "assistant", "system"))
+            for k in range(rng.randint(1, 6)):
+                kind = rng.choice(("message", "delta", "delta", "edit", "regenerate", None))
+                event = (conv, rng.choice((f"m{m}", None)) if m == 0 else f"m{m}", 100 * m + k, kind, rng.choice((role, None)), rng.choice(("", "a", "<|end|>", "\\", "</s>x", None)))
+                log += [event] * rng.choice((1, 1, 1, 2))
+    rng.shuffle(log)
+    want = collections.defaultdict(list)
+    for conv, message in {e[:2] for e in log}:
+        own = sorted(((e[2], (e[3] or "message") == "delta", e[4] or "", e[5] or "", e[3] or "message") for e in log if e[:2] == (conv, message)))
+        if all(e[4] == "message" for e in own):
+            want[conv] += [(e[0], e[2], e[3]) for e in own]
+            continue
+        own = sorted(set(own))
+        text = ""
+        for _, _, _, t, kind in own:
+            text = text + t if kind == "delta" else t
+        want[conv].append((own[0][0], next((e[2] for e in own if e[2]), ""), text))
+    df = spark.createDataFrame(log, "conv_id long, message_id string, seq long, kind string, role string, text string").withColumn("es", F.lit("clash"))
+    out = chat.render(chat.fold(df)).select("conv_id", chat.parse(F.col("formatted")).alias("b")).collect()
+    assert {r.conv_id: [tuple(m) for m in r.b] for r in out} == {c: [x[1:] for x in sorted(ms)] for c, ms in want.items()}
+
+
 def test_lm(spark, docs, empty, monkeypatch):
     for head, vocab in ((lm.HEAD, lm.VOCAB), (5, 3), (40, 20)):
         monkeypatch.setattr(lm, "HEAD", head)
@@ -512,6 +616,15 @@ def test_urls(spark):
     assert more.first().verdict == "block"
 
 
+def test_urls_ties_and_hot_urls(spark):
+    """Of rules of equal length an allow wins; one url may hold most rows."""
+    rules = (("block", "com/a/"), ("allow", "com/a/"), ("block", "z.com/b"), ("block", "org/"))
+    rows = [(i, "http://h.org/x", "") for i in range(3000)] + [(9001, "http://q.com/a/1", ""), (9002, "http://z.com/b", ""), (9003, "http://www.h.org/x/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, Scratch(spark, "urls"), rules).collect()}
+    assert len(got) == len(rows) and got[9001] == ("com/a/", "allow") and got[9002] == ("z.com/b", "block") and {got[i] for i in range(3000)} == {("org/", "block")}
+
+
 def test_quality(spark, docs, empty):
     junk = [(500 + i, " ".join(w + "$$$" for w in prose(400 + i, 90).split()), "en", "s", 1) for i in range(6)] + [(600 + i, " ".join(w.upper() + "!!" for w in prose(450 + i, 90).split()), "en", "s", 1) for i in range(6)]
     df = docs.unionByName(spark.createDataFrame(junk, SCHEMA)).withColumn("votes", F.lit("clash"))
