@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,36 +39,40 @@ def _middle(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     n, m = len(a), len(b)
     if not n or not m:
         return [("-", i, 0) for i in range(n)] + [("+", n, j) for j in range(m)]
-    reach, trail = {1: 0}, []
+    # lines as numbers, and of each step the places on its own diagonals only
+    number: dict[str, int] = {}
+    x, y = ([number.setdefault(line, len(number)) for line in lines] for lines in (a, b))
+    reach, trail = [0] * (2 * (n + m) + 3), []
     for d in range(n + m + 1):
-        trail.append(dict(reach))
         for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
+            i = reach[k + 1] if down else reach[k - 1] + 1
             j = i - k
-            while i < n and j < m and a[i] == b[j]:
+            while i < n and j < m and x[i] == y[j]:
                 i, j = i + 1, j + 1
             reach[k] = i
             if i >= n and j >= m:
                 break
         else:
+            trail.append(array("i", [reach[k] for k in range(-d, d + 1, 2)]))
             continue
         break
     out, i, j = [], n, m
-    for d in range(len(trail) - 1, -1, -1):
-        v, k = trail[d], i - j
-        back = k + 1 if k == -d or (k != d and v[k - 1] < v[k + 1]) else k - 1
-        pi = v[back]
-        pj = pi - back
-        while i > pi and j > pj and i > 0 and j > 0:
+    for d in range(len(trail), -1, -1):
+        k, before = i - j, trail[d - 1] if d else None
+        place = lambda k: before[(k + d - 1) // 2]  # noqa: B023, E731  of the step before
+        down = d > 0 and (k == -d or (k != d and place(k - 1) < place(k + 1)))
+        pi = 0 if not d else place(k + 1) if down else place(k - 1) + 1
+        pj = pi - k
+        while i > pi and j > pj:
             i, j = i - 1, j - 1
             out.append(("=", i, j))
-        if d:
-            if i == pi:
-                j -= 1
-                out.append(("+", i, j))
-            else:
-                i -= 1
-                out.append(("-", i, j))
+        if d and down:
+            j -= 1
+            out.append(("+", i, j))
+        elif d:
+            i -= 1
+            out.append(("-", i, j))
     return out[::-1]
 
 
@@ -175,7 +180,7 @@ def hunk_summary(diff: str, new: str, most: int = DEFAULT.toc_hunks) -> str:
 
 @F.pandas_udf(T.StringType())
 def diff_of(label: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([unified_diff(x, a, b) for x, a, b in zip(label, old, new)], dtype=object)
+    return pd.Series([None if a is None or b is None else unified_diff(x or "", a, b) for x, a, b in zip(label, old, new)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("symbol", T.StringType())])))

@@ -29,7 +29,8 @@ DEFAULTS = (
     "*.png", "*.jpg", "*.jpeg", "*.gif", "*.webp", "*.ico", "*.bmp", "*.pdf", "*.zip", "*.tar", "*.gz", "*.bz2", "*.xz", "*.7z", "*.rar", "*.exe", "*.dll", "*.so", "*.dylib",
     "*.bin", "*.jar", "*.war", "*.wasm", "*.mp3", "*.mp4", "*.mov", "*.avi", "*.woff", "*.woff2", "*.ttf", "*.otf", "*.eot", "*.db", "*.sqlite", "*.parquet",
     # secrets
-    ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa", "id_ed25519", "*.keystore",
+    ".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.crt", "*.cer", "*.jks", "*.keystore", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519",
+    ".netrc", ".npmrc", ".pypirc", ".ssh/**", "**/.ssh/**", ".aws/**", "**/.aws/**", ".gcp/**", "**/.gcp/**", ".azure/**", "**/.azure/**", ".kube/**", "**/.kube/**", "kubeconfig", "credentials.json",
     # others
     ".DS_Store", "Thumbs.db", "*.min.map",
 )

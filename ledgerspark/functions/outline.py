@@ -16,8 +16,9 @@ BRACES = {"rust", "typescript", "javascript", "go", "java", "c", "cpp", "csharp"
 DOCS = BRACES - {"rust", "go"}
 CONTROL = re.compile(r"^(?:[}\s]|\belse\b)*\b(?:if|for|foreach|while|switch|catch|match|when|loop|do|try|using|lock|synchronized|return|guard|select|unsafe|with)\b")
 TYPE = re.compile(r"^(?:[\w@\[\]()<>.,\"\s]*?\s)?(?:class|struct|enum|interface|trait|impl|namespace|mod|module|union|object|record|extension|protocol)\b(?![^{]*=>)")
-CALLED = re.compile(r"([\w$~]+)\s*(?:<[^()]*>)?\s*\(")
+CALLED = re.compile(r"([\w$~]+)\s*(?:<[^()]*>|\[[^\]()]*\])?\s*\(")
 ASSIGNED = re.compile(r"(?:const|let|var|val)\s+([\w$]+)")
+KEYWORDS = {"func", "fn", "fun", "function"}
 PY_DEF = re.compile(r"^(\s*)(?:async\s+)?def\s+(\w+)")
 
 
@@ -77,7 +78,6 @@ def brace_bodies(text: str, least: int, quotes: str = "\"'`") -> list[tuple[int,
     comments: what stands before a ``{`` since the last ``; { }`` is its header, whatever
     lines it takes, and says whether a function, a type or a control block opens."""
     line, header, stack, out, i, n = 0, "", [], [], 0, len(text)
-    hidden = 0  # open bodies that are elided
     while i < n:
         c = text[i]
         if c == "\n":
@@ -107,8 +107,9 @@ def brace_bodies(text: str, least: int, quotes: str = "\"'`") -> list[tuple[int,
             name = None
             if "(" in h and not CONTROL.match(h) and not TYPE.match(h):
                 m = ASSIGNED.search(h) if "=>" in h or "function" in h else None
-                m = m or CALLED.search(re.sub(r"@\w+(?:\([^)]*\))?", "", h))
-                name = m[1] if m else None
+                called = [x[1] for x in CALLED.finditer(re.sub(r"@\w+(?:\([^)]*\))?", "", h))]
+                # what a keyword calls is a receiver, or a function without a name
+                name = m[1] if m else next((x for x in called if x not in KEYWORDS), next(iter(called), None))
             stack.append((line, name))
             header = ""
         elif c == "}":
@@ -123,7 +124,7 @@ def brace_bodies(text: str, least: int, quotes: str = "\"'`") -> list[tuple[int,
         else:
             header += c
         i += 1
-    return sorted(out) if not hidden else out
+    return sorted(out)
 
 
 def doc_blocks(lines: list[str], least: int = 6, summary: int = 2, tags: int = 6) -> dict[int, tuple[int, int]]:
@@ -230,6 +231,6 @@ def elided_edit_warning(before: str, after: str, language: str) -> str | None:
 def hits_of(content: pd.Series, language: pd.Series, needle: pd.Series) -> pd.Series:
     found = []
     for text, kind, old in zip(content, language, needle):
-        o = outline(text, kind)
+        o = outline(text, kind) if text is not None and old is not None else None
         found.append(edit_hits(text, [old], o.source_map) if o else [])
     return pd.Series(found, dtype=object)

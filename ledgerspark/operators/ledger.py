@@ -7,11 +7,12 @@ carry the decisions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import DEFAULT, LedgerConfig
+from ..functions import diff as D
 
 ORDER = ("occurred_at", "action_id")
 
@@ -68,21 +69,51 @@ def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     return b.withColumn("outcome", F.when(F.col("kind") == "read", read).otherwise(F.col("kind")))
 
 
-HEADER_TOKENS = {"unchanged": 12, "delta": 20, "first": 8, "deleted": 6, "partial-unchanged": 14, "partial-delta": 20}
+def header(outcome: Column | str, config: LedgerConfig = DEFAULT) -> Column:
+    """What stands before a reply; its bytes are sent, so they count."""
+    kind = F.lit(outcome) if isinstance(outcome, str) else outcome
+    return F.concat(F.lit(f"[{config.tag}: "), kind, F.lit(" "), F.col("file_path"), F.lit(" "), F.col("tokens_full").cast("string"), F.lit(" tokens]\n"))
 
 
-def accounting(classified_: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
-    """``charged_full, charged_sent, logged_full, logged_sent`` of every read: a passthrough
-    is charged in full and logged as nothing, a fallback is charged without its header."""
-    header = F.concat(F.lit(f"[{config.tag}: "), F.col("outcome"), F.lit(" "), F.col("file_path"), F.lit(" "), F.col("tokens_full").cast("string"), F.lit(" tokens]\n"))
-    rendered = F.call_function("div", F.octet_length(header) + 3, F.lit(4))
-    full = F.col("tokens_full")
+def tokens_of(n_bytes: Column) -> Column:
+    return F.call_function("div", n_bytes + 3, F.lit(4))
+
+
+def changed_pairs(classified_: DataFrame) -> DataFrame:
+    """``file_no, old_rev, rev, file_path`` of each change that some read was told, once."""
+    told = classified_.where("kind = 'read' and outcome = 'delta'")
+    return told.groupBy("file_no", F.col("prev_rev").alias("old_rev"), "rev").agg(F.first("file_path").alias("file_path"))
+
+
+def diff_sizes(pairs: DataFrame, versions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+    """``file_no, old_rev, rev, diff_bytes, too_complex``: each pair's diff, made once."""
+    new = versions.select("file_no", "rev", "content", "n_lines")
+    old = versions.select("file_no", F.col("rev").alias("old_rev"), F.col("content").alias("old"))
+    both = pairs.join(new, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
+    both = both.withColumn("diff", D.diff_of(F.col("file_path"), F.col("old"), F.col("content")))
+    size = F.octet_length("diff").cast("long").alias("diff_bytes")
+    return both.select("file_no", "old_rev", "rev", size, D.too_complex(D.complexity(F.col("diff"), F.col("n_lines")), config).alias("too_complex"))
+
+
+def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+    """``charged_full, charged_sent, logged_full, logged_sent`` of every read.
+
+    A delta is charged its header and diff, unless the diff is too complex or costs as much
+    as the text: then it's a ``fallback``, charged in full without a header, as is a reply of
+    ``unchanged`` that costs more than its text. A passthrough is charged in full and logged
+    as nothing."""
+    reads = classified_.where("kind = 'read'").withColumnRenamed("prev_rev", "old_rev")
+    reads = reads.join(diffs, ["file_no", "old_rev", "rev"], "left")
+    full, delta = F.col("tokens_full"), tokens_of(F.octet_length(header("delta", config)) + F.col("diff_bytes"))
+    changed = F.col("outcome") == "delta"
+    outcome = F.when(changed & (F.col("too_complex") | (delta >= full)), "fallback").otherwise(F.col("outcome"))
+    reads = reads.withColumn("outcome", outcome)
     sent = (
-        F.when(F.col("outcome") == "unchanged", F.least(rendered, full))
-        .when(F.col("outcome") == "first", F.call_function("div", F.octet_length(header) + F.col("n_bytes") + 3, F.lit(4)))
+        F.when(F.col("outcome") == "unchanged", F.least(tokens_of(F.octet_length(header("unchanged", config))), full))
+        .when(F.col("outcome") == "first", tokens_of(F.octet_length(header("first", config)) + F.col("n_bytes")))
+        .when(F.col("outcome") == "delta", delta)
         .otherwise(full)
     )
-    reads = classified_.where("kind = 'read'")
     passed = F.col("outcome") == "passthrough"
     return reads.select(
         "action_id", "session_id", "file_path", "occurred_at", "outcome", "epoch",
@@ -111,11 +142,25 @@ def certificates(actions: DataFrame, window_seconds: int, config: LedgerConfig =
     return reads.join(edits, match, "left").groupBy("action_id").agg(best).select("action_id", F.col("x.edit_id").alias("edit_id"))
 
 
+def last_sight(seen: DataFrame, columns: list[str], days: int = 1) -> DataFrame:
+    """``seen`` with ``known_<column>``: what the last sight of the same file had, by any
+    session. A file that everybody reads isn't one task's work: sights are ordered within
+    blocks of days, and the first of a block takes the last of the block before."""
+    block = F.call_function("div", F.col("occurred_at"), F.lit(86_400 * days))
+    rows = seen.withColumn("block", block)
+    last = rows.groupBy("file_path", "block").agg(F.max(F.struct(*ORDER, *columns)).alias("x"))
+    before = last.withColumn("y", F.lag("x").over(W.partitionBy("file_path").orderBy("block"))).select("file_path", "block", "y")
+    w = W.partitionBy("file_path", "block").orderBy(*ORDER)
+    inner = rows.withColumns({f"known_{c}": F.lag(c).over(w) for c in columns} | {"first": F.row_number().over(w) == 1})
+    out = inner.join(before, ["file_path", "block"])
+    return out.withColumns({f"known_{c}": F.when(F.col("first"), F.col(f"y.{c}")).otherwise(F.col(f"known_{c}")) for c in columns}).drop("first", "y", "block")
+
+
 def registry_status(actions: DataFrame) -> DataFrame:
     """How a session's first read of a file compares with what any session last saw of it."""
-    w = W.partitionBy("file_path").orderBy(*ORDER)
-    seen = actions.where("kind = 'read'").withColumn("known", F.lag("content_hash").over(w))
-    status = F.when(F.col("known").isNull(), "unknown").when(F.col("known") == F.col("content_hash"), "unchanged").otherwise("changed")
+    seen = last_sight(actions.where("kind = 'read'").select("action_id", "occurred_at", "file_path", "content_hash"), ["content_hash"])
+    known = F.col("known_content_hash")
+    status = F.when(known.isNull(), "unknown").when(known == F.col("content_hash"), "unchanged").otherwise("changed")
     return seen.select("action_id", "file_path", status.alias("status"))
 
 

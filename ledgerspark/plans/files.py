@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import scalars as S
 from ..sources.tables import ACTIONS_SQL, FILES_SQL, actions, files, table
+from .ledger import CLASSIFIED
 
 Q: dict = {}
 FL = f"WITH {FILES_SQL}"
@@ -249,7 +250,7 @@ def rpc_code(line):
     )
 
 
-@q("hook_responses")
+@q("hook_responses", f"""{CLASSIFIED} SELECT action_id, CASE WHEN outcome IN ('unchanged', 'delta') THEN '{{"decision":"deny","reason":"' || outcome || ' ' || file_path || '"}}' ELSE '{{"decision":"allow"}}' END AS response FROM classified WHERE kind = 'read'""")
 def _(spark, d):
     """Decisions as JSON: a substituted read is denied with its text, others are allowed."""
     from ..operators import ledger as L

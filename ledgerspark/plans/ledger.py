@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from ..config import DEFAULT
 from ..functions import scalars as S
 from ..operators import ledger as L
-from ..sources.tables import ACTIONS_SQL, actions, files, table
+from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
 
 A = f"WITH {ACTIONS_SQL}"
 SEG = f"""{A},
@@ -21,21 +21,41 @@ def _base(incarnation: str) -> str:
     w = f"OVER (PARTITION BY session_id, {incarnation}, epoch, file_path ORDER BY occurred_at, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     last = lambda c: f"last_value(CASE WHEN kind IN ('read', 'edit') THEN {c} END IGNORE NULLS) {w}"
     return f"""{SEG},
-base AS (SELECT *, {last('content_hash')} AS prev_hash, {last('n_bytes')} AS prev_bytes, {last('kind')} AS prev_kind FROM seg WHERE kind <> 'reset')"""
+base AS (SELECT *, {last('content_hash')} AS prev_hash, {last('rev')} AS prev_rev, {last('n_bytes')} AS prev_bytes, {last('kind')} AS prev_kind FROM seg WHERE kind <> 'reset')"""
 
 
 CLASSIFIED = f"""{_base('incarnation')},
 classified AS (SELECT *, CASE WHEN kind <> 'read' THEN kind WHEN prev_hash IS NULL THEN 'first' WHEN prev_kind = 'edit' THEN 'passthrough'
   WHEN prev_hash = content_hash THEN 'unchanged' WHEN prev_bytes > 0 AND n_bytes * 2 < prev_bytes THEN 'fallback' ELSE 'delta' END AS outcome FROM base)"""
-ACCOUNT = f"""{CLASSIFIED},
-headed AS (SELECT *, strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || tokens_full || ' tokens]' || chr(10)) AS h FROM classified WHERE kind = 'read'),
+#: Sizes of diffs: lines are numbered, so no two of a text are equal, a diff is the lines that
+#: differ at the same number, and changes that at most six lines part are one hunk.
+DIFFS = """
+ln AS (SELECT file_no, a, b, len(o) AS n, unnest(range(1, len(o) + 1)) AS k, unnest(o) AS ol, unnest(c) AS nl
+  FROM (SELECT p.file_no, a, b, string_split(x.content, chr(10)) AS o, string_split(y.content, chr(10)) AS c
+    FROM pairs p JOIN versions x ON x.file_no = p.file_no AND x.rev = a JOIN versions y ON y.file_no = p.file_no AND y.rev = b)),
+ch AS (SELECT *, k - lag(k) OVER (PARTITION BY file_no, a, b ORDER BY k) AS gap FROM ln WHERE ol <> nl),
+gr AS (SELECT *, sum(CASE WHEN gap <= 7 THEN 0 ELSE 1 END) OVER (PARTITION BY file_no, a, b ORDER BY k) AS g FROM ch),
+hk AS (SELECT file_no, a, b, g, greatest(1, min(k) - 3) AS s, least(max(n), max(k) + 3) AS e, count(*) FILTER (NOT starts_with(nl, '++')) AS added, count(*) FILTER (NOT starts_with(ol, '--')) AS removed FROM gr GROUP BY ALL),
+sz AS (SELECT ln.file_no, ln.a, ln.b, g, any_value(hk.s) AS first_line, any_value(hk.added) AS n_added, any_value(hk.removed) AS n_removed, max(ln.n) AS n_all,
+  2 * any_value(strlen(CASE WHEN hk.s = hk.e THEN hk.s || '' ELSE hk.s || ',' || (hk.e - hk.s + 1) END)) + strlen('@@ - + @@' || chr(10))
+  + sum(CASE WHEN ol = nl THEN strlen(nl) + 2 ELSE strlen(ol) + strlen(nl) + 4 + CASE WHEN k = ln.n THEN 2 * strlen('\\ No newline at end of file' || chr(10)) ELSE 0 END END) AS bytes
+  FROM hk JOIN ln ON hk.file_no = ln.file_no AND hk.a = ln.a AND hk.b = ln.b AND k BETWEEN hk.s AND hk.e GROUP BY ln.file_no, ln.a, ln.b, g),
+df AS (SELECT file_no, a, b, CAST(sum(bytes) + strlen('--- src/f' || file_no || '.txt (last read)' || chr(10) || '+++ src/f' || file_no || '.txt (current)' || chr(10)) AS BIGINT) AS diff_bytes,
+  count(*) AS hunks, CAST(sum(n_added) AS BIGINT) AS added, CAST(sum(n_removed) AS BIGINT) AS removed, max(first_line) - min(first_line) AS span,
+  CAST(sum(n_added) + sum(n_removed) AS FLOAT) / CAST(max(n_all) AS FLOAT) AS pct FROM sz GROUP BY file_no, a, b),
+judged AS (SELECT *, hunks > 6 OR pct > CAST(0.4 AS FLOAT) OR (hunks > 3 AND span > 200) AS too_complex FROM df)"""
+ACCOUNT = f"""{CLASSIFIED}, pairs AS (SELECT DISTINCT file_no, prev_rev AS a, rev AS b FROM classified WHERE kind = 'read' AND outcome = 'delta'), {DIFFS},
+sized AS (SELECT c.* EXCLUDE (outcome), outcome AS told, diff_bytes, too_complex,
+  strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || tokens_full || ' tokens]' || chr(10)) AS h FROM classified c LEFT JOIN judged j ON j.file_no = c.file_no AND j.a = c.prev_rev AND j.b = c.rev WHERE kind = 'read'),
+headed AS (SELECT *, CASE WHEN told = 'delta' AND (too_complex OR (h + diff_bytes + 3) // 4 >= tokens_full) THEN 'fallback' ELSE told END AS outcome FROM sized),
 account AS (SELECT action_id, session_id, file_path, occurred_at, outcome, epoch, tokens_full AS charged_full,
-  CAST(CASE outcome WHEN 'unchanged' THEN least((h + 3) // 4, tokens_full) WHEN 'first' THEN (h + n_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
+  CAST(CASE outcome WHEN 'unchanged' THEN least((h + 3) // 4, tokens_full) WHEN 'first' THEN (h + n_bytes + 3) // 4 WHEN 'delta' THEN (h + diff_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
 facts AS (SELECT *, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_full END AS logged_full, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_sent END AS logged_sent FROM account)"""
 
 
 def facts(spark, d):
-    return L.accounting(L.classified(actions(spark, d)))
+    told = L.classified(actions(spark, d))
+    return L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions(spark, d)))
 
 
 def _saved(df):

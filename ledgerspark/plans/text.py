@@ -11,6 +11,7 @@ from ..functions.outline import hits_of, outline_of
 from ..operators import ledger as L
 from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
 from ..streaming import machine
+from .ledger import DIFFS
 
 Q: dict = {}
 A = f"WITH {ACTIONS_SQL}"
@@ -79,6 +80,7 @@ def _(spark, d):
     return _seen(spark, d).select("session_id", "file_path", F.to_json(back).alias("seen"))
 
 
+SIGHTS = """sights AS (SELECT file_no, p AS a, rev AS b FROM (SELECT file_no, rev, lag(rev) OVER (PARTITION BY file_path ORDER BY occurred_at, action_id) AS p FROM actions WHERE kind = 'read') WHERE p <> rev)"""
 DIFFED = """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS l FROM t),
 y AS (SELECT doc_id, i, CASE WHEN i % 4 = 1 THEN '@@ -' || i || ',2 +' || i * 3 || ',2 @@' WHEN i % 4 = 2 THEN '+' || l WHEN i % 4 = 3 THEN '-' || l ELSE ' ' || l END AS r FROM x)"""
@@ -103,7 +105,11 @@ def _(spark, d):
     return c.select("doc_id", "c.hunks", "c.added", "c.removed", "c.span")
 
 
-@q("complexity_gate")
+@q("complexity_gate", f"""{DIFFED}, z AS (SELECT doc_id, r, TRY_CAST(regexp_extract(r, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1) AS INTEGER) AS h FROM y),
+c AS (SELECT doc_id, count(h) AS hunks, coalesce(max(h) - min(h), 0) AS span,
+  CAST(count(*) FILTER ((starts_with(r, '+') AND NOT starts_with(r, '+++')) OR (starts_with(r, '-') AND NOT starts_with(r, '---'))) AS FLOAT) AS changed FROM z GROUP BY 1)
+SELECT doc_id, hunks > 6 OR changed / CAST(greatest(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END, 1) AS FLOAT) > CAST(0.4 AS FLOAT)
+  OR (hunks > 3 AND span > 200) AS too_complex FROM c JOIN documents USING (doc_id)""")
 def _(spark, d):
     c = given_diff(spark, d).select("doc_id", D.complexity(C("diff"), C("n_lines")).alias("c"))
     return c.select("doc_id", D.too_complex(C("c")).alias("too_complex"))
@@ -165,13 +171,52 @@ def _(spark, d):
     return o.select("user_id", F.inline("o.source_map")).where("elided")
 
 
-@q("signature_audit", "SELECT CAST(0 AS BIGINT) AS lost")
+@q("signature_audit", "SELECT user_id, count(*) AS signatures, count(*) AS kept FROM events GROUP BY 1")
 def _(spark, d):
-    """Signature lines of the source that the outline doesn't have: none."""
+    """Signature lines of the source, and how many of them the outline has: all."""
     o = code(spark, d).select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
-    cut = lambda c: F.explode(F.split(c, "\n", -1)).alias("line")
-    source = o.select("user_id", cut("content")).where(F.rlike("line", F.lit(r"^\s*(def|class|import|from)\b")))
-    return source.join(o.select("user_id", cut("o.text")), ["user_id", "line"], "left_anti").agg(F.count("*").alias("lost"))
+    lines = lambda c: F.filter(F.split(c, "\n", -1), lambda x: F.rlike(x, F.lit(r"^\s*(def|class|import|from)\b")))
+    shown = F.coalesce("o.text", "content")
+    return o.select("user_id", F.size(lines(C("content"))).cast("long").alias("signatures"), F.size(F.array_intersect(lines(C("content")), lines(shown))).cast("long").alias("kept"))
+
+
+#: What stands before and after a function's body, by language; ``%`` is the function's name.
+FUNCTIONS = {
+    "rust": ("pub fn %<T>(a: &'a str, b: T) -> u32\nwhere\n    T: Copy,\n{\n", "}\n"),
+    "typescript": ("export const % = async (a: number): Promise<void> => {\n", "}\n"),
+    "go": ("func (r *Ring) %(a int, b func(int) int) (int, error) {\n", "}\n"),
+    "java": ("    @Override\n    public <T> List<T> %(int a) throws IOException {\n", "    }\n"),
+    "cpp": ("template <typename T>\nint Ring::%(const T& a) const\n{\n", "}\n"),
+    "csharp": ("    public async Task<int> %(int a)\n    {\n", "    }\n"),
+    "kotlin": ("    override fun %(a: Int): Int {\n", "    }\n"),
+    "python": ("async def %(\n    a, b=(1, 2),\n):\n", "\n"),
+}
+
+
+def polyglot(spark, d):
+    """Source texts made from events: one a user, its language by the user's number; bodies
+    have braces in strings and comments."""
+    names, e = list(FUNCTIONS), table(spark, d, "events")
+    pick = lambda values: F.get(F.lit(list(values)), (C("user_id") % len(names)).cast("int"))
+    python = C("user_id") % len(names) == names.index("python")
+    line = lambda i: F.concat(F.lit("        x"), i.cast("string"), F.lit(' = g("}")'), F.when(python, F.lit("  # {")).otherwise(F.lit("; // {")))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), line), "\n")
+    name = F.concat(F.lit("f"), C("event_id").cast("string"))
+    one = F.concat(F.replace(pick(v[0] for v in FUNCTIONS.values()), F.lit("%"), name), body, F.lit("\n"), pick(v[1] for v in FUNCTIONS.values()))
+    rows = e.select("user_id", "event_id", pick(names).alias("language"), one.alias("code"))
+    pad = F.concat(F.when(C("language") == "python", F.lit("# ")).otherwise(F.lit("// ")), F.repeat(F.lit("x"), F.lit(1100)), F.lit("\n"))
+    texts = rows.groupBy("user_id", "language").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]), "").alias("code"))
+    return texts.select("user_id", "language", F.concat(pad, "code").alias("content"))
+
+
+@q("outline_languages", f"""SELECT user_id, list_extract({list(FUNCTIONS)}, user_id % {len(FUNCTIONS)} + 1) AS language, count(*) AS elided, count(*) AS kept,
+string_agg('f' || event_id, ',' ORDER BY event_id) AS names FROM events GROUP BY 1, 2""")
+def _(spark, d):
+    """Of each source text the functions whose bodies the outline leaves out, and how many of
+    their signatures it has."""
+    o = polyglot(spark, d).select("user_id", "language", outline_of(C("content"), C("language")).alias("o"))
+    shown = F.filter(F.split("o.text", "\n", -1), lambda x: F.rlike(x, F.lit(r"\bf\d+\b")) & ~F.contains(x, F.lit(" lines of ")))
+    return o.select("user_id", "language", F.size("o.names").cast("long").alias("elided"), F.size(shown).cast("long").alias("kept"), F.array_join("o.names", ",").alias("names"))
 
 
 @q("machine_outcomes")
@@ -179,12 +224,13 @@ def _(spark, d):
     return machine.batch(actions(spark, d))
 
 
-@q("registry_diff")
+@q("registry_diff", f"""{A}, {SIGHTS}, pairs AS (SELECT DISTINCT file_no, a, b FROM sights), {DIFFS}
+SELECT s.file_no, s.a AS old_rev, s.b AS rev, count(*) AS times, CAST(any_value(added) AS INTEGER) AS added, CAST(any_value(removed) AS INTEGER) AS removed
+FROM sights s JOIN df USING (file_no, a, b) GROUP BY ALL""")
 def _(spark, d):
     """How much each file changed between two sights of it, by any session."""
-    w = W.partitionBy("file_path").orderBy(*L.ORDER)
-    seen = actions(spark, d).where("kind = 'read'").withColumn("old_rev", F.lag("rev").over(w)).where("old_rev <> rev")
-    pairs = seen.groupBy("file_no", "old_rev", "rev").agg(F.count("*").alias("times"))
+    seen = L.last_sight(actions(spark, d).where("kind = 'read'").select("action_id", "occurred_at", "file_path", "file_no", "rev"), ["rev"])
+    pairs = seen.where("known_rev <> rev").groupBy("file_no", C("known_rev").alias("old_rev"), "rev").agg(F.count("*").alias("times"))
     v = versions(spark, d).select("file_no", "rev", "content", "n_lines")
     old = v.select("file_no", C("rev").alias("old_rev"), C("content").alias("old"))
     both = pairs.join(v, ["file_no", "rev"]).join(old, ["file_no", "old_rev"]).withColumn("diff", D.diff_of(F.lit("f"), C("old"), C("content")))
@@ -192,6 +238,15 @@ def _(spark, d):
     return c.select("file_no", "old_rev", "rev", "times", "c.added", "c.removed")
 
 
+@q("diff_sizes", f"""{A}, {SIGHTS}, pairs AS (SELECT DISTINCT file_no, a, b FROM sights), {DIFFS}
+SELECT file_no, a AS old_rev, b AS rev, diff_bytes, too_complex FROM judged""")
+def _(spark, d):
+    """What each change between two sights of a file costs, and whether it is told as a diff."""
+    seen = L.last_sight(actions(spark, d).where("kind = 'read'").select("action_id", "occurred_at", "file_path", "file_no", "rev"), ["rev"])
+    pairs = seen.where("known_rev <> rev").groupBy("file_no", C("known_rev").alias("old_rev"), "rev").agg(F.first("file_path").alias("file_path"))
+    return L.diff_sizes(pairs, versions(spark, d))
+
+
 @q("certificate_body")
 def _(spark, d):
     from ..functions import render

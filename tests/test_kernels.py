@@ -35,6 +35,22 @@ def test_diff_is_shortest(old, new):
     assert edits == len(a) + len(b) - 2 * best[-1][-1]
 
 
+def test_diff_of_large_texts():
+    """Two texts of 99 KB without a line in common, in bounded time and memory."""
+    import time
+    import tracemalloc
+
+    old, new = ("".join(f"pub fn item_{i}() -> u32 {{ {k} * {i} + {i * 7 % 1000} }} // filler\n" for i in range(1850)) for k in "12")
+    assert 95_000 < len(old) < 115_000
+    began = time.perf_counter()
+    d = D.unified_diff("f", old, new)
+    assert time.perf_counter() - began < 10 and D.apply_diff(old, d) == new
+    tracemalloc.start()
+    D.unified_diff("f", old[:50_000], new[:50_000])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_diff_format():
     d = D.unified_diff("f", "a\nb\nc\n", "a\nx\nc\n")
     assert d == "--- f (last read)\n+++ f (current)\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c\n"
@@ -102,6 +118,25 @@ def test_outline(text, language, names):
     assert all(x.strip() in kept for x in lines if re.match(r"\s*(def|class|import|use|impl|pub fn|export|m\()", x))
 
 
+BODY = "".join(f'    x{i} = g("}}"); // {{\n' for i in range(20))
+HEADS = [
+    ("go", "func (r *Ring) Push(a int, f func(int) int) (int, error) {\n", "Push"), ("go", "func Map[T any](xs []T) []T {\n", "Map"),
+    ("java", "@Override\n@Named(\"x\")\npublic static <T> List<T> of(T a) throws E {\n", "of"), ("cpp", "template <typename T>\nint Ring<T>::push(const T& a) const\n{\n", "push"),
+    ("csharp", "public async Task<int> Run(int a)\n{\n", "Run"), ("kotlin", "override suspend fun load(a: Int): Int {\n", "load"),
+    ("rust", "pub fn walk<T>(a: &'a str, b: T) -> u32\nwhere\n    T: Copy,\n{\n", "walk"), ("typescript", "export async function go(a: number): Promise<void> {\n", "go"),
+    ("javascript", "const later = function (a) {\n", "later"), ("swift", "public func draw(in r: Rect) throws -> Int {\n", "draw"),
+]
+
+
+@pytest.mark.parametrize(("language", "head", "name"), HEADS)
+def test_outline_names(language, head, name):
+    text = "// " + "x" * 1100 + "\n" + head + BODY + "}\n" + head.replace(name, "other") + BODY + "}\n"
+    o = O.outline(text, language)
+    assert o.names == [name, "other"]
+    kept = set(o.lines)
+    assert all(line in kept for line in head.split("\n"))
+
+
 def test_outline_refuses():
     assert O.outline("def f():\n    pass\n", "python") is None
     assert O.outline(PY, "generic") is None

@@ -41,6 +41,58 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_forgets_idle_sessions(spark, tmp_path):
+    """State leaves when the watermark is past a session's idle limit; what comes behind the
+    watermark is dropped and counted."""
+    row = lambda i, session, at: (i, session, at, "read", "f", "h", 10, 1, 2)
+    waves = [[row(1, "a", 1000), row(2, "b", 1100)], [row(3, "b", 20_000)], [row(4, "c", 40_000), row(5, "a", 40_100)], [row(6, "a", 2000), row(7, "c", 40_200)]]
+    counts = []
+    (tmp_path / "in").mkdir()
+    out = M.stream(streams.action_stream(spark, str(tmp_path / "in")), "1 second")
+    for k, rows in enumerate(waves):
+        spark.createDataFrame(rows, streams.ACTION_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not k:
+            query = out.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+        query.processAllAvailable()
+        counts += [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]][-1:]
+    query.stop()
+    assert counts[1]["numRowsTotal"] == 1 and counts[-1]["numRowsTotal"] == 2
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"]) >= 1
+    assert {r.action_id: r.outcome for r in spark.table("idle").collect()} == {1: "first", 2: "first", 3: "first", 4: "first", 5: "first", 7: "unchanged"}
+
+
+def test_delta_accounting(spark):
+    """A log worked by hand: a first read, an unchanged one, a delta of one line of 200, a
+    rewrite that is told in full, and a read after an edit."""
+    body = [f"value_{i} = {i}\n" for i in range(200)]
+    texts = ["".join(body), "".join([*body[:100], "value_100 = 0\n", *body[101:]]), "".join(f"other_{i}\n" for i in range(200))]
+    versions = spark.createDataFrame([(0, r, t) for r, t in enumerate(texts)], "file_no long, rev int, content string").withColumn("n_lines", S.line_count(F.col("content")))
+    plan = [("read", 0), ("read", 0), ("read", 1), ("read", 2), ("edit", 0), ("read", 0)]
+    log = spark.createDataFrame([(i, "s", i * 10, kind, "f", 0, rev) for i, (kind, rev) in enumerate(plan)], "action_id long, session_id string, occurred_at long, kind string, file_path string, file_no long, rev int")
+    log = log.join(versions.select("file_no", "rev", S.content_hash(F.col("content")).alias("content_hash"), S.token_estimate(F.col("content")).alias("tokens_full"), F.octet_length("content").cast("long").alias("n_bytes")), ["file_no", "rev"])
+    told = L.classified(log)
+    rows = {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions)).collect()}
+    full = [(len(t) + 3) // 4 for t in texts]
+    diff = "--- f (last read)\n+++ f (current)\n@@ -98,7 +98,7 @@\n" + "".join(f" {x}" for x in body[97:100]) + "-value_100 = 100\n+value_100 = 0\n" + "".join(f" {x}" for x in body[101:104])
+    header = lambda kind, rev: len(f"[ledger: {kind} f {full[rev]} tokens]\n")
+    assert [rows[i].outcome for i in (0, 1, 2, 3, 5)] == ["first", "unchanged", "delta", "fallback", "passthrough"]
+    assert [rows[i].charged_sent for i in (0, 1, 2, 3, 5)] == [(header("first", 0) + len(texts[0]) + 3) // 4, (header("unchanged", 0) + 3) // 4, (header("delta", 1) + len(diff) + 3) // 4, full[2], full[0]]
+    assert rows[2].charged_sent * 5 < full[1] and rows[5].logged_sent == 0
+
+
+def test_last_sight(spark):
+    """Across blocks of days as one window over the file would have it."""
+    import random
+
+    rng = random.Random(1)
+    log = [(i, rng.randint(0, 10 * 86_400), f"f{rng.choice((0, 0, 0, 1, 2))}", f"h{rng.randint(0, 3)}") for i in range(400)]
+    df = spark.createDataFrame(log, "action_id long, occurred_at long, file_path string, content_hash string")
+    last, want = {}, {}
+    for i, _, path, h in sorted(log, key=lambda r: (r[1], r[0])):
+        want[i], last[path] = last.get(path), h
+    assert {r.action_id: r.known_content_hash for r in L.last_sight(df, ["content_hash"]).collect()} == want
+
+
 def test_binary_source(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"PNG\0\x89\x00abc")
     (tmp_path / "b.txt").write_text("alpha\nbeta\n")
