@@ -4,6 +4,8 @@ One pure step function serves ``applyInPandas`` (whole log) and ``applyInPandasW
 (micro-batches). It is keyed by session; its state is small: of each file the hash last
 delivered, whether an edit was the last word, and the line ranges that were seen.
 Actions of a micro-batch are sorted by time and id; what comes later than that is ``late``.
+A stream forgets a session once the watermark is past its idle limit, which is what the next
+action would do; rows behind the watermark are dropped and counted by Spark.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, LedgerConfig
@@ -92,13 +95,20 @@ def batch(actions: DataFrame) -> DataFrame:
     return actions.select(*COLUMNS).groupBy("session_id").applyInPandas(lambda pdf: _run(pdf, {}), OUT)
 
 
-def stream(actions: DataFrame) -> DataFrame:
-    """Outcomes of a streaming log, in append mode."""
+def stream(actions: DataFrame, watermark: str = "10 minutes", config: LedgerConfig = DEFAULT) -> DataFrame:
+    """Outcomes of a streaming log, in append mode. State leaves when a session has been idle
+    for the TTL of event time."""
 
     def update(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state = json.loads(held.get[0]) if held.exists else {}
         out = _run(pd.concat(list(frames)), state)
         held.update((json.dumps(state),))
+        ends = (state["last"][0] + config.ttl) * 1000
+        held.setTimeoutTimestamp(max(ends, held.getCurrentWatermarkMs() + 1))
         yield out
 
-    return actions.select(*COLUMNS).groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = actions.select(*COLUMNS, F.timestamp_seconds("occurred_at").alias("at")).withWatermark("at", watermark)
+    return timed.groupBy("session_id").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
