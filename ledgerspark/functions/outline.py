@@ -234,3 +234,9 @@ def hits_of(content: pd.Series, language: pd.Series, needle: pd.Series) -> pd.Se
         o = outline(text, kind) if text is not None and old is not None else None
         found.append(edit_hits(text, [old], o.source_map) if o else [])
     return pd.Series(found, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def warnings_of(before: pd.Series, after: pd.Series, language: pd.Series) -> pd.Series:
+    rows = zip(before, after, language)
+    return pd.Series([None if a is None or b is None else elided_edit_warning(a, b, kind) for a, b, kind in rows], dtype=object)

@@ -142,20 +142,27 @@ def certificates(actions: DataFrame, window_seconds: int, config: LedgerConfig =
     return reads.join(edits, match, "left").groupBy("action_id").agg(best).select("action_id", F.col("x.edit_id").alias("edit_id"))
 
 
-def last_sight(seen: DataFrame, columns: list[str], days: int = 1) -> DataFrame:
-    """``seen`` with ``known_<column>``: what the last sight of the same file had, by any
-    session. A file that everybody reads isn't one task's work: sights are ordered within
-    blocks of days, and the first of a block takes the last of the block before."""
-    block = F.call_function("div", F.col("occurred_at"), F.lit(86_400 * days))
-    rows = seen.withColumn("block", block)
-    last = rows.groupBy("file_path", "block").agg(F.max(F.struct(*ORDER, *columns)).alias("x"))
-    before = last.withColumn("y", F.lag("x").over(W.partitionBy("file_path").orderBy("block"))).select("file_path", "block", "y")
-    w = W.partitionBy("file_path", "block").orderBy(*ORDER)
+def lagged(rows: DataFrame, keys: list[str], order: tuple[str, ...], block: Column, columns: list[str]) -> DataFrame:
+    """``rows`` with ``known_<column>``: what the row before of the same keys had.
+
+    A key that holds a third of all rows isn't one task's work: rows are ordered within
+    blocks, which follow each other in the order, and the first row of a block takes the last
+    one of the block before."""
+    rows = rows.withColumn("block", block)
+    last = rows.groupBy(*keys, "block").agg(F.max(F.struct(*order, *columns)).alias("x"))
+    before = last.withColumn("y", F.lag("x").over(W.partitionBy(*keys).orderBy("block"))).select(*keys, "block", "y")
+    w = W.partitionBy(*keys, "block").orderBy(*order)
     inner = rows.withColumns({f"known_{c}": F.lag(c).over(w) for c in columns} | {"first": F.row_number().over(w) == 1})
-    out = inner.join(before, ["file_path", "block"])
+    out = inner.join(before, [*keys, "block"])
     return out.withColumns({f"known_{c}": F.when(F.col("first"), F.col(f"y.{c}")).otherwise(F.col(f"known_{c}")) for c in columns}).drop("first", "y", "block")
 
 
+def last_sight(seen: DataFrame, columns: list[str], days: int = 1) -> DataFrame:
+    """``seen`` with ``known_<column>``: what the last sight of the same file had, by any
+    session."""
+    return lagged(seen, ["file_path"], ORDER, F.call_function("div", F.col("occurred_at"), F.lit(86_400 * days)), columns)
+
+
 def registry_status(actions: DataFrame) -> DataFrame:
     """How a session's first read of a file compares with what any session last saw of it."""
     seen = last_sight(actions.where("kind = 'read'").select("action_id", "occurred_at", "file_path", "content_hash"), ["content_hash"])

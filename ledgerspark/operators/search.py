@@ -59,3 +59,17 @@ def byte_cap(found: DataFrame, most: int) -> DataFrame:
 
 def head_limit(found: DataFrame, n: int) -> DataFrame:
     return found.orderBy("path", "line_no").limit(n)
+
+
+def output_cap(found: DataFrame, most: int) -> DataFrame:
+    """The first lines of the whole output, up to ``most`` bytes. A line has a byte at least
+    (its line feed), so no more than ``most`` rows reach the task that sums them."""
+    upto = F.sum(F.octet_length("line").cast("long") + 1).over(W.orderBy("path", "line_no"))
+    return found.orderBy("path", "line_no").limit(most).withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
+
+
+def grep_multiline(files: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """``path, n``: how often a pattern that may cross lines is met in each file."""
+    files = files.where(~is_ignored(F.col("path"), (), SEARCH_EXCLUDES))
+    n = F.regexp_count("content", F.lit(("(?si)" if ignore_case else "(?s)") + pattern)).cast("long")
+    return files.select("path", n.alias("n")).where("n > 0")

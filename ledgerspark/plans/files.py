@@ -54,11 +54,11 @@ def _(spark, d):
 
 @q("truncation_gate", "WITH x AS (SELECT doc_id, strlen(text) AS b, lag(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS a FROM documents) SELECT doc_id, a > 0 AND b * 2 < a AS truncated FROM x WHERE a IS NOT NULL")
 def _(spark, d):
-    from pyspark.sql.window import Window as W
+    from ..operators.ledger import lagged
 
     x = table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").alias("b"))
-    x = x.withColumn("a", F.lag("b").over(W.partitionBy("source").orderBy("doc_id"))).where("a is not null")
-    return x.select("doc_id", S.is_truncated(C("a"), C("b")).alias("truncated"))
+    x = lagged(x, ["source"], ("doc_id",), F.call_function("div", C("doc_id"), F.lit(4096)), ["b"]).where("known_b is not null")
+    return x.select("doc_id", S.is_truncated(C("known_b"), C("b")).alias("truncated"))
 
 
 @q("storage_route", f"{FL} SELECT doc_id, CASE WHEN strlen(content) <= 4096 THEN 'inline' ELSE 'file' END AS route FROM files")

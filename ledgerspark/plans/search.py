@@ -79,6 +79,16 @@ def _(spark, d):
     return G.byte_cap(G.grep_content(files(spark, d), "and"), 2000).select("path", "line_no")
 
 
+@q("grep_output_cap", f"{LINES}, h AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY path, line_no) AS upto FROM ln WHERE regexp_matches(line, 'and')) SELECT path, line_no FROM h WHERE upto <= 20000")
+def _(spark, d):
+    return G.output_cap(G.grep_content(files(spark, d), "and"), 20000).select("path", "line_no")
+
+
+@q("grep_multiline", f"WITH {FILES_SQL}, x AS (SELECT path, CAST(len(regexp_extract_all(content, '(?s)[.] *\\n[A-Z]')) AS BIGINT) AS n FROM files) SELECT path, n FROM x WHERE n > 0")
+def _(spark, d):
+    return G.grep_multiline(files(spark, d), "[.] *\\n[A-Z]")
+
+
 @q("prefix_filter", f"WITH {FILES_SQL} SELECT path FROM files WHERE path = 'src1' OR starts_with(path, 'src1/')")
 def _(spark, d):
     return files(spark, d).where((F.col("path") == "src1") | F.startswith("path", F.lit("src1/"))).select("path")

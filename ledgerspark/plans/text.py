@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import diff as D
 from ..functions import scalars as S
-from ..functions.outline import hits_of, outline_of
+from ..functions.outline import hits_of, outline_of, warnings_of
 from ..operators import ledger as L
 from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
 from ..streaming import machine
@@ -45,13 +45,18 @@ def merged(ranges):
 
 
 def _seen(spark, d):
-    p = actions(spark, d).where("kind = 'partial'")
-    return p.groupBy("session_id", "file_path").agg(merged(F.collect_list(F.struct(C("win_start").alias("s"), C("win_end").alias("e")))).alias("seen"))
+    """What each session has seen of each file: merged ranges, in order. They are merged by
+    rows; the array holds what is left."""
+    p = actions(spark, d).where("kind = 'partial'").select("session_id", "file_path", C("win_start").alias("s"), C("win_end").alias("e"))
+    merged_ = L.islands(p, ["session_id", "file_path"])
+    return merged_.groupBy("session_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("seen"))
 
 
 @q("ranges_array_merge", f"{ISLANDS} SELECT session_id, file_path, s, e FROM m")
 def _(spark, d):
-    return _seen(spark, d).select("session_id", "file_path", F.inline("seen"))
+    p = actions(spark, d).where("kind = 'partial'")
+    seen = p.groupBy("session_id", "file_path").agg(merged(F.collect_list(F.struct(C("win_start").alias("s"), C("win_end").alias("e")))).alias("seen"))
+    return seen.select("session_id", "file_path", F.inline("seen"))
 
 
 @q("ranges_cover", f"{ISLANDS} SELECT a.action_id, coalesce(bool_or(m.s <= a.win_start AND a.win_start + 10 <= m.e), false) AS covered FROM actions a LEFT JOIN m USING (session_id, file_path) WHERE a.kind = 'read' GROUP BY 1")
@@ -269,3 +274,11 @@ def _(spark, d):
     """Elided functions that an edit of a line would touch."""
     needle = F.lit("    x9 = ")
     return code(spark, d).select("user_id", hits_of(C("content"), F.lit("python"), needle).alias("touched"))
+
+
+@q("edit_warnings", "SELECT user_id, 'the edit wrote an outline''s mark into the file' AS warning FROM events GROUP BY 1 HAVING count(*) >= 10")
+def _(spark, d):
+    """What is said after an edit that writes a text's outline over the text."""
+    many = table(spark, d, "events").groupBy("user_id").count().where("count >= 10").select("user_id")
+    o = code(spark, d).join(many, "user_id").select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
+    return o.select("user_id", warnings_of(C("content"), C("o.text"), F.lit("python")).alias("warning"))

@@ -93,6 +93,37 @@ def test_last_sight(spark):
     assert {r.action_id: r.known_content_hash for r in L.last_sight(df, ["content_hash"]).collect()} == want
 
 
+def test_json_sink_and_change_stream(spark, tmp_path):
+    """Reports as JSON lines; repeated changes of a path within the watermark come once."""
+    streams.write_json(spark.createDataFrame([(1, "x"), (2, None)], "n long, s string"), str(tmp_path / "out"))
+    assert sorted((r.n, r.s) for r in spark.read.schema("n long, s string").json(str(tmp_path / "out")).collect()) == [(1, "x"), (2, None)]
+    rows = [("a", 100), ("a", 101), ("b", 102), ("a", 103)]
+    spark.createDataFrame(rows, "path string, at long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("path string, at long").parquet(str(tmp_path / "in"))
+    out = streams.change_stream(source.select("path", F.timestamp_seconds("at").alias("changed_at")))
+    query = out.writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.path for r in spark.table("changes").collect()) == ["a", "b"]
+
+
+def test_deletes(spark):
+    """A deleted file is a first read again; one that nobody had is gone."""
+    rows = [(1, "s", 10, "read", "f", "h", 9, 1, 2), (2, "s", 11, "delete", "f", None, 0, 1, 2), (3, "s", 12, "read", "f", "h", 9, 1, 2), (4, "s", 13, "delete", "g", None, 0, 1, 2)]
+    out = M.batch(spark.createDataFrame(rows, streams.ACTION_SCHEMA))
+    assert {r.action_id: r.outcome for r in out.collect()} == {1: "first", 2: "deleted", 3: "first", 4: "gone"}
+
+
+def test_null_texts(spark):
+    """Kernels over nulls give nulls, or nothing."""
+    from ledgerspark.functions import diff, outline
+
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "a string, b string")
+    assert [r.x for r in df.select(diff.diff_of(F.lit("f"), "a", "b").alias("x")).collect()] == [None] * 3
+    assert [r.x for r in df.select(outline.warnings_of("a", "b", F.lit("python")).alias("x")).collect()] == [None] * 3
+    assert [r.x for r in df.select(outline.hits_of("a", F.lit("python"), "b").alias("x")).collect()] == [[], [], []]
+
+
 def test_binary_source(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"PNG\0\x89\x00abc")
     (tmp_path / "b.txt").write_text("alpha\nbeta\n")
