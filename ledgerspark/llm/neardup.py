@@ -125,7 +125,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in vec.text_blocks(batch.column(2)):
+            for i, j, data, offsets in vec.small_blocks(batch.column(2)):
                 n = j - i
                 rows, hashes, counts = text_shingles(data, offsets)
                 who = signatures(rows, hashes, np.ones(len(rows)), n)

@@ -31,7 +31,7 @@ from .common import release, small_batches, table
 
 LIMIT, OPEN_BINS, VOCABULARY = 2048, 1024, "word_bpe_49k.json"
 #: Words that a worker remembers the ids of before it starts afresh.
-WORDS = 600_000
+WORDS = 400_000
 
 
 class WordCoder:
@@ -173,7 +173,7 @@ def _tokenizing(held, limit: int, end_id: int):
         for batch in batches:
             column, doc_ids = batch.column(1).cast(pa.large_binary()), batch.column(0).to_pylist()
             sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
-            for i, j in blocks(sizes, 1 << 22):
+            for i, j in blocks(sizes, 1 << 21):
                 rows = []
                 for d, ids in zip(doc_ids[i:j], coder.encode([t or b"" for t in column.slice(i, j - i).to_pylist()])):
                     ids += closing

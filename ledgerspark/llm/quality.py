@@ -110,7 +110,7 @@ def features(docs: DataFrame, own: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in vec.text_blocks(batch.column(1)):
+            for i, j, data, offsets in vec.small_blocks(batch.column(1)):
                 found = measure(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x) for x in found)], names=schema.names)
         release()

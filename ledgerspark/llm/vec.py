@@ -36,6 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def small_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks for tasks through which whole rows pass: half the size, for half the arrays."""
+    return text_blocks(column, BLOCK // 2)
+
+
 def text_blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows: (first, end, bytes, offsets of rows in the bytes). A null is empty."""
     col = column.cast(pa.large_binary())
