@@ -13,6 +13,8 @@ from pyspark.sql.window import Window as W
 
 from ..config import DEFAULT, LedgerConfig
 from ..functions import diff as D
+from ..functions import render
+from ..functions import scalars as S
 
 ORDER = ("occurred_at", "action_id")
 
@@ -57,7 +59,11 @@ def outcome_mix(actions: DataFrame) -> DataFrame:
 
 def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """Reads and edits with ``outcome``: a read right after an edit is a ``passthrough``,
-    others are first, unchanged, ``fallback`` (shrunk by over half) or delta."""
+    others are first, unchanged, ``fallback`` (shrunk by over half) or delta.
+
+    ``edit_old, edit_rev`` are the revisions before and after the edit that a certificate can
+    confirm to a passthrough: the newest one since the last reset that left the read's content
+    within the window. The file's rows are in place for that, so it costs no shuffle."""
     b = baselines(segments(actions, config))
     read = (
         F.when(F.col("prev_hash").isNull(), "first")
@@ -66,7 +72,12 @@ def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
         .when((F.col("prev_bytes") > 0) & (F.col("n_bytes") * 2 < F.col("prev_bytes")), "fallback")
         .otherwise("delta")
     )
-    return b.withColumn("outcome", F.when(F.col("kind") == "read", read).otherwise(F.col("kind")))
+    b = b.withColumn("outcome", F.when(F.col("kind") == "read", read).otherwise(F.col("kind")))
+    same = W.partitionBy("session_id", "incarnation", "epoch", "file_path", "content_hash").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    edit = F.when((F.col("kind") == "edit") & (F.col("prev_hash") != F.col("content_hash")), F.struct("occurred_at", "prev_rev", "rev"))
+    b = b.withColumn("edit", F.last(edit, ignorenulls=True).over(same))
+    near = (F.col("outcome") == "passthrough") & (F.col("edit.occurred_at") >= F.col("occurred_at") - config.cert_window_seconds) & F.lit(config.certificates)
+    return b.withColumns({"edit_old": F.when(near, F.col("edit.prev_rev")), "edit_rev": F.when(near, F.col("edit.rev"))}).drop("edit")
 
 
 def header(outcome: Column | str, config: LedgerConfig = DEFAULT) -> Column:
@@ -79,20 +90,29 @@ def tokens_of(n_bytes: Column) -> Column:
     return F.call_function("div", n_bytes + 3, F.lit(4))
 
 
+def _told(classified_: DataFrame) -> DataFrame:
+    """Reads, with the revisions that a diff or a certificate lies between: ``old_rev, rev``."""
+    reads = classified_.where("kind = 'read'")
+    return reads.withColumns({"old_rev": F.coalesce("edit_old", "prev_rev"), "rev": F.coalesce("edit_rev", "rev")})
+
+
 def changed_pairs(classified_: DataFrame) -> DataFrame:
-    """``file_no, old_rev, rev, file_path`` of each change that some read was told, once."""
-    told = classified_.where("kind = 'read' and outcome = 'delta'")
-    return told.groupBy("file_no", F.col("prev_rev").alias("old_rev"), "rev").agg(F.first("file_path").alias("file_path"))
+    """``file_no, old_rev, rev, file_path`` of each change that some read was told or had
+    certified, once."""
+    told = _told(classified_).where("outcome = 'delta' or edit_rev is not null")
+    return told.groupBy("file_no", "old_rev", "rev").agg(F.first("file_path").alias("file_path"))
 
 
 def diff_sizes(pairs: DataFrame, versions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
-    """``file_no, old_rev, rev, diff_bytes, too_complex``: each pair's diff, made once."""
+    """``file_no, old_rev, rev, diff_bytes, too_complex, certificate_bytes``: each pair's diff,
+    made once."""
     new = versions.select("file_no", "rev", "content", "n_lines")
     old = versions.select("file_no", F.col("rev").alias("old_rev"), F.col("content").alias("old"))
     both = pairs.join(new, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
     both = both.withColumn("diff", D.diff_of(F.col("file_path"), F.col("old"), F.col("content")))
     size = F.octet_length("diff").cast("long").alias("diff_bytes")
-    return both.select("file_no", "old_rev", "rev", size, D.too_complex(D.complexity(F.col("diff"), F.col("n_lines")), config).alias("too_complex"))
+    certificate = render.certificate(F.col("file_path"), S.content_hash(F.col("old")), S.content_hash(F.col("content")), D.ranges_of(F.col("diff")), config)
+    return both.select("file_no", "old_rev", "rev", size, F.octet_length(certificate).cast("long").alias("certificate_bytes"), D.too_complex(D.complexity(F.col("diff"), F.col("n_lines")), config).alias("too_complex"))
 
 
 def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
@@ -101,17 +121,22 @@ def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig =
     A delta is charged its header and diff, unless the diff is too complex or costs as much
     as the text: then it's a ``fallback``, charged in full without a header, as is a reply of
     ``unchanged`` that costs more than its text. A passthrough is charged in full and logged
-    as nothing."""
-    reads = classified_.where("kind = 'read'").withColumnRenamed("prev_rev", "old_rev")
-    reads = reads.join(diffs, ["file_no", "old_rev", "rev"], "left")
+    as nothing, unless its edit is certified: then it's a ``certificate``, charged that, or a
+    ``fallback`` where the text costs no more."""
+    reads = _told(classified_).join(diffs, ["file_no", "old_rev", "rev"], "left")
     full, delta = F.col("tokens_full"), tokens_of(F.octet_length(header("delta", config)) + F.col("diff_bytes"))
-    changed = F.col("outcome") == "delta"
-    outcome = F.when(changed & (F.col("too_complex") | (delta >= full)), "fallback").otherwise(F.col("outcome"))
+    changed, certificate = F.col("outcome") == "delta", tokens_of(F.col("certificate_bytes"))
+    outcome = (
+        F.when(changed & (F.col("too_complex") | (delta >= full)), "fallback")
+        .when(F.col("edit_rev").isNotNull(), F.when(certificate >= full, "fallback").otherwise("certificate"))
+        .otherwise(F.col("outcome"))
+    )
     reads = reads.withColumn("outcome", outcome)
     sent = (
         F.when(F.col("outcome") == "unchanged", F.least(tokens_of(F.octet_length(header("unchanged", config))), full))
         .when(F.col("outcome") == "first", tokens_of(F.octet_length(header("first", config)) + F.col("n_bytes")))
         .when(F.col("outcome") == "delta", delta)
+        .when(F.col("outcome") == "certificate", certificate)
         .otherwise(full)
     )
     passed = F.col("outcome") == "passthrough"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -44,18 +46,36 @@ df AS (SELECT file_no, a, b, CAST(sum(bytes) + strlen('--- src/f' || file_no ||
   count(*) AS hunks, CAST(sum(n_added) AS BIGINT) AS added, CAST(sum(n_removed) AS BIGINT) AS removed, max(first_line) - min(first_line) AS span,
   CAST(sum(n_added) + sum(n_removed) AS FLOAT) / CAST(max(n_all) AS FLOAT) AS pct FROM sz GROUP BY file_no, a, b),
 judged AS (SELECT *, hunks > 6 OR pct > CAST(0.4 AS FLOAT) OR (hunks > 3 AND span > 200) AS too_complex FROM df)"""
-ACCOUNT = f"""{CLASSIFIED}, pairs AS (SELECT DISTINCT file_no, prev_rev AS a, rev AS b FROM classified WHERE kind = 'read' AND outcome = 'delta'), {DIFFS},
-sized AS (SELECT c.* EXCLUDE (outcome), outcome AS told, diff_bytes, too_complex,
-  strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || tokens_full || ' tokens]' || chr(10)) AS h FROM classified c LEFT JOIN judged j ON j.file_no = c.file_no AND j.a = c.prev_rev AND j.b = c.rev WHERE kind = 'read'),
-headed AS (SELECT *, CASE WHEN told = 'delta' AND (too_complex OR (h + diff_bytes + 3) // 4 >= tokens_full) THEN 'fallback' ELSE told END AS outcome FROM sized),
+#: The lines that an edit touched are the runs of lines that differ.
+CERTIFICATES = """
+runs AS (SELECT *, k - row_number() OVER (PARTITION BY file_no, a, b ORDER BY k) AS run FROM ch),
+spans AS (SELECT file_no, a, b, min(k) || '-' || max(k) AS lines FROM runs GROUP BY file_no, a, b, run),
+touched AS (SELECT file_no, a, b, strlen(string_agg(lines, ', ')) AS listed FROM spans GROUP BY file_no, a, b)"""
+
+
+def _account(window_seconds: int) -> str:
+    return f"""{CLASSIFIED},
+ed AS (SELECT session_id, incarnation, epoch, file_path, content_hash, occurred_at, action_id AS edit_id, prev_rev, rev FROM classified WHERE kind = 'edit' AND prev_hash <> content_hash),
+cert AS (SELECT r.action_id, r.file_no, arg_max(ed.prev_rev, (ed.occurred_at, ed.edit_id)) AS a, arg_max(ed.rev, (ed.occurred_at, ed.edit_id)) AS b FROM classified r JOIN ed ON ed.session_id = r.session_id AND ed.file_path = r.file_path
+  AND ed.incarnation = r.incarnation AND ed.epoch = r.epoch AND ed.content_hash = r.content_hash AND ed.occurred_at >= r.occurred_at - {window_seconds} AND (ed.occurred_at, ed.edit_id) < (r.occurred_at, r.action_id) WHERE r.outcome = 'passthrough' GROUP BY 1, 2),
+pairs AS (SELECT file_no, prev_rev AS a, rev AS b FROM classified WHERE kind = 'read' AND outcome = 'delta' UNION SELECT file_no, a, b FROM cert), {DIFFS}, {CERTIFICATES},
+sized AS (SELECT c.* EXCLUDE (outcome), outcome AS told, diff_bytes, too_complex, cert.action_id IS NOT NULL AS certified,
+  strlen('[ledger: edit confirmed ' || file_path || ']' || chr(10)) + 12 + strlen(' -> ') + 12 + strlen(chr(10) || 'lines ') + listed + 1 AS cert_bytes,
+  strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || tokens_full || ' tokens]' || chr(10)) AS h FROM classified c LEFT JOIN cert ON cert.action_id = c.action_id
+  LEFT JOIN judged j ON j.file_no = c.file_no AND j.a = coalesce(cert.a, c.prev_rev) AND j.b = coalesce(cert.b, c.rev) LEFT JOIN touched t ON t.file_no = j.file_no AND t.a = j.a AND t.b = j.b WHERE kind = 'read'),
+headed AS (SELECT *, CASE WHEN told = 'delta' AND (too_complex OR (h + diff_bytes + 3) // 4 >= tokens_full) THEN 'fallback'
+  WHEN certified THEN CASE WHEN (cert_bytes + 3) // 4 >= tokens_full THEN 'fallback' ELSE 'certificate' END ELSE told END AS outcome FROM sized),
 account AS (SELECT action_id, session_id, file_path, occurred_at, outcome, epoch, tokens_full AS charged_full,
-  CAST(CASE outcome WHEN 'unchanged' THEN least((h + 3) // 4, tokens_full) WHEN 'first' THEN (h + n_bytes + 3) // 4 WHEN 'delta' THEN (h + diff_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
+  CAST(CASE outcome WHEN 'unchanged' THEN least((h + 3) // 4, tokens_full) WHEN 'first' THEN (h + n_bytes + 3) // 4 WHEN 'delta' THEN (h + diff_bytes + 3) // 4 WHEN 'certificate' THEN (cert_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
 facts AS (SELECT *, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_full END AS logged_full, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_sent END AS logged_sent FROM account)"""
 
 
-def facts(spark, d):
-    told = L.classified(actions(spark, d))
-    return L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions(spark, d)))
+ACCOUNT = _account(DEFAULT.cert_window_seconds)
+
+
+def facts(spark, d, config=DEFAULT):
+    told = L.classified(actions(spark, d), config)
+    return L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions(spark, d), config), config)
 
 
 def _saved(df):
@@ -96,6 +116,13 @@ def _(spark, d):
     return facts(spark, d).select("action_id", "outcome", "charged_full", "charged_sent", "logged_full", "logged_sent")
 
 
+@q("certificate_accounting", f"{_account(7200)} SELECT action_id, outcome, charged_full, charged_sent FROM facts WHERE outcome IN ('certificate', 'passthrough')")
+def _(spark, d):
+    """Reads after edits, where an edit can be confirmed for two hours."""
+    kept = facts(spark, d, replace(DEFAULT, cert_window_seconds=7200)).where(F.col("outcome").isin("certificate", "passthrough"))
+    return kept.select("action_id", "outcome", "charged_full", "charged_sent")
+
+
 @q("lifetime_headline", f"""{ACCOUNT}, x AS (SELECT {ROLL}, count(DISTINCT CASE WHEN charged_full > 0 THEN file_path END) AS files_tracked FROM facts),
 e AS (SELECT count(*) AS total_edits, count(DISTINCT file_path) AS files_edited FROM actions WHERE kind = 'edit') SELECT reads, tokens_full, tokens_sent, tokens_full - tokens_sent AS saved, {PCT}, files_tracked, total_edits, files_edited FROM x, e""")
 def _(spark, d):

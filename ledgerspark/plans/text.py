@@ -249,7 +249,7 @@ def _(spark, d):
     """What each change between two sights of a file costs, and whether it is told as a diff."""
     seen = L.last_sight(actions(spark, d).where("kind = 'read'").select("action_id", "occurred_at", "file_path", "file_no", "rev"), ["rev"])
     pairs = seen.where("known_rev <> rev").groupBy("file_no", C("known_rev").alias("old_rev"), "rev").agg(F.first("file_path").alias("file_path"))
-    return L.diff_sizes(pairs, versions(spark, d))
+    return L.diff_sizes(pairs, versions(spark, d)).drop("certificate_bytes")
 
 
 @q("certificate_body")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerspark.config import LedgerConfig
 from ledgerspark.functions import scalars as S
 from ledgerspark.functions.diff import complexity, too_complex
 from ledgerspark.operators import ledger as L
@@ -70,14 +71,31 @@ def test_delta_accounting(spark):
     plan = [("read", 0), ("read", 0), ("read", 1), ("read", 2), ("edit", 0), ("read", 0)]
     log = spark.createDataFrame([(i, "s", i * 10, kind, "f", 0, rev) for i, (kind, rev) in enumerate(plan)], "action_id long, session_id string, occurred_at long, kind string, file_path string, file_no long, rev int")
     log = log.join(versions.select("file_no", "rev", S.content_hash(F.col("content")).alias("content_hash"), S.token_estimate(F.col("content")).alias("tokens_full"), F.octet_length("content").cast("long").alias("n_bytes")), ["file_no", "rev"])
-    told = L.classified(log)
-    rows = {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions)).collect()}
+    def accounts(config):
+        told = L.classified(log, config)
+        return {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions, config), config).collect()}
+
+    rows = accounts(LedgerConfig(certificates=False))
     full = [(len(t) + 3) // 4 for t in texts]
     diff = "--- f (last read)\n+++ f (current)\n@@ -98,7 +98,7 @@\n" + "".join(f" {x}" for x in body[97:100]) + "-value_100 = 100\n+value_100 = 0\n" + "".join(f" {x}" for x in body[101:104])
     header = lambda kind, rev: len(f"[ledger: {kind} f {full[rev]} tokens]\n")
     assert [rows[i].outcome for i in (0, 1, 2, 3, 5)] == ["first", "unchanged", "delta", "fallback", "passthrough"]
     assert [rows[i].charged_sent for i in (0, 1, 2, 3, 5)] == [(header("first", 0) + len(texts[0]) + 3) // 4, (header("unchanged", 0) + 3) // 4, (header("delta", 1) + len(diff) + 3) // 4, full[2], full[0]]
     assert rows[2].charged_sent * 5 < full[1] and rows[5].logged_sent == 0
+    # the edit is confirmed within its window, and not beyond it
+    body = "[ledger: edit confirmed f]\n" + 12 * "0" + " -> " + 12 * "0" + "\nlines 1-200\n"
+    for config, outcome, sent in ((LedgerConfig(), "certificate", (len(body) + 3) // 4), (LedgerConfig(cert_window_seconds=9), "passthrough", full[0])):
+        row = accounts(config)[5]
+        assert (row.outcome, row.charged_full, row.charged_sent) == (outcome, full[0], sent)
+
+
+def test_a_certificate_dearer_than_its_text(spark):
+    """Then the text is told in full."""
+    versions = spark.createDataFrame([(0, 0, "a\n"), (0, 1, "b\n")], "file_no long, rev int, content string").withColumn("n_lines", S.line_count(F.col("content")))
+    log = [(1, "s", 1, "read", "f", 0, 0, "x", 1, 2), (2, "s", 2, "edit", "f", 0, 1, "y", 1, 2), (3, "s", 3, "read", "f", 0, 1, "y", 1, 2)]
+    told = L.classified(spark.createDataFrame(log, "action_id long, session_id string, occurred_at long, kind string, file_path string, file_no long, rev int, content_hash string, tokens_full long, n_bytes long"))
+    rows = {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions)).collect()}
+    assert (rows[3].outcome, rows[3].charged_sent, rows[3].logged_sent) == ("fallback", 1, 1)
 
 
 def test_last_sight(spark):
