@@ -63,15 +63,20 @@ def text_blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int,
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words (runs of other than ASCII white space), and at which
     word each row begins."""
-    gap = SPACE[data]
+    return runs(~SPACE[data], offsets)
+
+
+def runs(inner: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of marked bytes that a row holds, and at which run each row
+    begins."""
     full = offsets[:-1] < offsets[1:]
-    first, last = ~gap, ~gap
-    first[1:] &= gap[:-1]
-    last[:-1] &= gap[1:]
+    first, last = inner.copy(), inner.copy()
+    first[1:] &= ~inner[:-1]
+    last[:-1] &= ~inner[1:]
     at = offsets[:-1][full]
-    first[at] = ~gap[at]
+    first[at] = inner[at]
     at = offsets[1:][full] - 1
-    last[at] = ~gap[at]
+    last[at] = inner[at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
