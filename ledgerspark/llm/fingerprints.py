@@ -2,19 +2,20 @@
 
 Rolling hashes of all runs of K code points; of each window of WINDOW successive hashes
 the least is chosen, of equal ones the rightmost, and kept with its position. Two texts
-that share a passage of ``K + WINDOW - 1`` code points therefore share a fingerprint hash.
-A text of fewer windows than one gives the least of what it has; one shorter than K is
+that share a passage of ``K + WINDOW - 1`` = 28 code points therefore share a fingerprint
+hash. A text of fewer windows than one gives the least of what it has; one shorter than K is
 hashed whole; an empty text has an empty fingerprint.
 
-Every text also has a fine fingerprint, by runs of FINE_K and windows of FINE_WINDOW: texts
-that share a passage of 28 code points share a hash of it. The likeness of two texts is the
-Jaccard of their sets of fine hashes, 1 for two empty ones.
+A fingerprint is written in five bytes a place: how far it is from the place before, and the
+hash (:func:`places` reads it). The likeness of two texts is the Jaccard of the sets of hashes
+of their fingerprints, 1 for two empty ones, so equal fingerprints have a likeness of 1.
 
 :func:`with_next` hands every document the text that follows it in descending ``doc_id``
 order, without a task that sees all rows: ids alone set range bounds, each range is
 sorted in a task, and the first row of a range also goes to the range before it.
 A null text is empty, a null ``doc_id`` sorts last; equal ids go by the text's hash.
 Repeated rows follow each other. An empty table gives no rows. Other columns are ignored.
+A very long text is held by its task, with some arrays of eight bytes a code point.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import partitions, small_batches, table, text_of
 
-K, WINDOW = 32, 65
-FINE_K, FINE_WINDOW = 12, 17
+#: WINDOW is at most 255: a place is within a window of the one before.
+K, WINDOW = 12, 17
 U = np.uint64
 
 
@@ -71,9 +72,20 @@ def winnow(points: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.nda
     return (U(n) - (chosen & U(0xFFFFFFFF))).astype(np.uint32), (chosen >> U(32)).astype(np.uint32)
 
 
-def written(positions: np.ndarray, hashes: np.ndarray) -> str:
-    """16 hex digits for each place: position, hash."""
-    return np.stack([positions, hashes], 1).astype(">u4").tobytes().hex()
+PLACE = np.dtype([("gap", "u1"), ("hash", ">u4")])
+
+
+def written(positions: np.ndarray, hashes: np.ndarray) -> bytes:
+    """Five bytes for each place: how far from the one before (the first: from the start), hash."""
+    out = np.empty(len(positions), PLACE)
+    out["gap"], out["hash"] = np.diff(positions.astype(np.int64), prepend=0), hashes
+    return out.tobytes()
+
+
+def places(fingerprint: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of a written fingerprint."""
+    read = np.frombuffer(fingerprint, PLACE)
+    return np.cumsum(read["gap"], dtype=np.int64), read["hash"].astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -116,7 +128,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.select("doc_id", "text", "part", "extra")
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fine string, edited_fine string"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -128,18 +140,15 @@ def compare(docs: DataFrame) -> DataFrame:
         out: list[tuple] = []
 
         def read(text: str):
-            points = code_points(text)
-            fine = winnow(points, FINE_K, FINE_WINDOW)
-            return written(*winnow(points)), written(*fine), np.unique(fine[1])
+            positions, hashes = winnow(code_points(text))
+            return written(positions, hashes), np.unique(hashes)
 
         def judged(own, text: str, fingerprint) -> tuple:
-            doc_id, mine, _, (coarse, fine, unique) = own
+            doc_id, mine, _, (kept, unique) = own
             n = len(mine)
             edited = mine[: n - n // 3] + text[: n // 3]
-            e_coarse, e_fine, e_unique = read(edited)
-            return (
-                doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), coarse, e_coarse, likeness(unique, e_unique), likeness(unique, fingerprint[2]), fine, e_fine,
-            )
+            e_kept, e_unique = read(edited)
+            return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), kept, e_kept, likeness(unique, e_unique), likeness(unique, fingerprint[1])
 
         for batch in batches:
             for doc_id, text, part, extra in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -160,9 +169,10 @@ def compare(docs: DataFrame) -> DataFrame:
 
 
 NAMES = [x.split()[0] for x in FIELDS.split(", ")]
-KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in FIELDS.split(", ")]
+KINDS = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]] for x in FIELDS.split(", ")]
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' fingerprints."""
-    return compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents' fingerprints, in base 64."""
+    out = compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})

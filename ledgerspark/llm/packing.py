@@ -3,10 +3,12 @@
 :func:`tokenize` turns each text into the ids of a tokenizer and a closing id, cut into
 pieces of at most ``limit``; :func:`pack` puts pieces into sequences by bounded-space
 online best fit: ``OPEN_BINS`` bins are open, a bitset keyed by free space finds the one
-that a piece fills best, and when none fits and all are open, the fullest closes first. At
-the end of a task the pieces of the bins that are still open (at most OPEN_BINS x limit) are
-dealt anew, longest first, so a task leaves about one sequence short; what closed before
-stays as the online method put it. Neither step shuffles.
+that a piece fills best, and when none fits and all are open, the fullest closes first. What
+is open at the end of a task closes as it is; with ``repack`` (off unless asked for) the pieces
+of these bins, at most OPEN_BINS x limit, are dealt anew, longest first. Neither step shuffles.
+
+The ids are those that the tokenizer gives by default: a control string in a text, such as
+``<|endoftext|>``, gives its own id. With ``controls=False`` such strings are text like other.
 
 A null text is empty: its document is the closing id alone. A null ``doc_id`` is kept.
 Repeated documents are packed as often as they come. An empty table gives no rows. Other
@@ -44,16 +46,25 @@ class WordCoder:
     Words of letters alone go to the tokenizer many at a time: each is one piece, whose
     last id ends a word. If the ends don't count up, and for all other words, it is asked
     word by word. Normalising is left out for words of a-z, which it doesn't change.
+
+    A control string (an added token) is cut out of a text before anything else is done to it,
+    and the text to its left and right is encoded on its own.
     """
 
     PROBE = "Ab cD,  the\nWord_s\tx2 it's É"
     TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, controls: bool = True):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.whole = Tokenizer.from_str(vocabulary), Tokenizer.from_str(vocabulary)
+        # words never hold a control string: those of the text are cut out, those that lower case makes are none
+        self.tokenizer.encode_special_tokens, self.whole.encode_special_tokens = True, not controls
+        added = self.tokenizer.get_added_tokens_decoder() if controls else {}
+        self.controls = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items() if t.special}
+        longest = sorted(self.controls, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
+        simple = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
         self.plain = Tokenizer.from_str(vocabulary)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -64,7 +75,7 @@ class WordCoder:
             self.ends[i] = token.endswith(suffix)
         self.known: dict[bytes, bytes] = {}
         plain = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (self.PROBE, *self.PROBE.lower().split())]
-        self.by_words = plain[0] == [i for ids in plain[1:] for i in ids]
+        self.by_words = simple and plain[0] == [i for ids in plain[1:] for i in ids]
 
     def learn(self, words: set[bytes]) -> None:
         known, split, other = self.known, [], []
@@ -118,7 +129,14 @@ class WordCoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         if not self.by_words:
-            return [self._ids(e) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            return [self._ids(e) for e in self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        if self.cut and any(map(self.cut.search, texts)):
+            parts = [self.cut.split(t) for t in texts]  # text and control strings in turn
+            own = iter(self._words([x for cut in parts for x in cut[::2]]))
+            return [b"".join(self.controls[x] if k % 2 else next(own) for k, x in enumerate(cut)) for cut in parts]
+        return self._words(texts)
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]
         if len(self.known) > WORDS:
             self.rest()
@@ -128,17 +146,17 @@ class WordCoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_CODERS: dict[int, WordCoder] = {}
+_CODERS: dict[tuple, WordCoder] = {}
 
 
-def coder_of(vocabulary: str) -> WordCoder:
+def coder_of(vocabulary: str, controls: bool = True) -> WordCoder:
     """The worker's coder; it outlives a task."""
-    key = hash(vocabulary)
+    key = hash(vocabulary), controls
     if key not in _CODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _CODERS[key] = WordCoder(vocabulary)
+        _CODERS[key] = WordCoder(vocabulary, controls)
     return _CODERS[key]
 
 
@@ -165,11 +183,11 @@ def read_vocabulary(name: str) -> bytes:
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def _tokenizing(held, limit: int, end_id: int):
+def _tokenizing(held, limit: int, end_id: int, controls: bool):
     closing, width = np.array([end_id], "<u4").tobytes(), 4 * limit
 
     def run(batches):
-        coder = coder_of(held.value)
+        coder = coder_of(held.value, controls)
         for batch in batches:
             column, doc_ids = batch.column(1).cast(pa.large_binary()), batch.column(0).to_pylist()
             sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
@@ -196,9 +214,9 @@ def _held(docs: DataFrame, vocabulary: str):
     return docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())  # a file of fixed size
 
 
-def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, end_id: int = 0, controls: bool = True) -> DataFrame:
     """Pieces ``doc_id, piece, start, length, ids`` (little-endian unsigned 32-bit) of every text."""
-    return _texts(docs).mapInArrow(_tokenizing(_held(docs, vocabulary), limit, end_id), PIECES)
+    return _texts(docs).mapInArrow(_tokenizing(_held(docs, vocabulary), limit, end_id, controls), PIECES)
 
 
 class BestFit:
@@ -242,7 +260,7 @@ class BestFit:
         return one, self.capacity - free
 
 
-def _packing(own: list[str], names: list[str], capacity: int, open_bins: int):
+def _packing(own: list[str], names: list[str], capacity: int, open_bins: int, repack: bool):
     def run(batches):
         from pyspark import TaskContext
 
@@ -266,11 +284,12 @@ def _packing(own: list[str], names: list[str], capacity: int, open_bins: int):
                     if len(ready) >= 5000:
                         yield out(ready)
                         ready = []
-        rest, first = sorted((row for rows in held.values() for row in rows), key=lambda r: -r[at]), fit.next
-        again = BestFit(capacity, None)
+        rest = (row for rows in held.values() for row in rows)
+        if repack:
+            again, first = BestFit(capacity, None), fit.next
+            rest = ((*row[:-2], base + first + one, offset) for row in sorted(rest, key=lambda r: -r[at]) for one, offset in (again.add(row[at]),))
         for row in rest:
-            one, offset = again.add(row[at])
-            ready.append((*row[:-2], base + first + one, offset))
+            ready.append(row)
             if len(ready) >= 5000:
                 yield out(ready)
                 ready = []
@@ -280,7 +299,7 @@ def _packing(own: list[str], names: list[str], capacity: int, open_bins: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS, repack: bool = False) -> DataFrame:
     """``pieces`` (with a ``length``) and where each goes: ``sequence_id, offset``.
 
     Columns of those names that it already has are replaced. A sequence's number is its
@@ -288,16 +307,16 @@ def pack(pieces: DataFrame, capacity: int = LIMIT, open_bins: int = OPEN_BINS) -
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows_in = pieces.select(*own)
     schema = T.StructType([*rows_in.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return rows_in.mapInArrow(_packing(own, schema.names, capacity, open_bins), schema)
+    return rows_in.mapInArrow(_packing(own, schema.names, capacity, open_bins, repack), schema)
 
 
 DIGESTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, open_bins: int = OPEN_BINS, repack: bool = False, controls: bool = True) -> DataFrame:
     """``tokenize`` and ``pack`` in one worker, with a CRC-32 in place of the ids."""
     names = [x.split()[0] for x in DIGESTS.split(", ")]
-    tokenizing, packing = _tokenizing(_held(docs, vocabulary), limit, 0), _packing(names[:5], names, limit, open_bins)
+    tokenizing, packing = _tokenizing(_held(docs, vocabulary), limit, 0, controls), _packing(names[:5], names, limit, open_bins, repack)
 
     def digest(batches):
         for batch in batches:
