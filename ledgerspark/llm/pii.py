@@ -2,27 +2,31 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and telephone numbers: the
 protected entities, by their normalised values. Corpus co-occurrence then says what other
-terms of a document give one away: with ``p`` the shares of all documents that hold an
-entity c, a term t, or both, t's disclosure of c is ``PMI(c; t) / -log p(c)``, 1 if whoever
-reads t knows c. A term, in any document, is a ``term`` span if its disclosure of some c reaches
-the threshold with the share of t's documents that hold c at its lower bound (Wilson's, for Z,
-over different texts), so entities of one text are judged too and few texts tell less.
+terms give one away: of an entity c that it stands near, a term t leaves the uncertainty
+``-log2 p(c | t)``, where ``p(c | t)`` is the share of all documents with t in which it stands
+within NEAR words of c. A term, in any document, is a ``term`` span if for some c no more than
+``-log2(share)`` bits are left, by the lower bound of that share (Wilson's, for Z, over different
+texts). The bar is on ``p(c | t)`` itself, so it is the same for any size of the corpus: with
+SHARE 0.5 and Z 1.2816 a word of one text tells nothing, of two texts only if c is near in both.
 :func:`sanitize` generalises base spans to their kind and removes terms.
 
 Terms are words in lower case (A-Z) without the punctuation after them, known by 64-bit
-hashes; they are counted over all documents, summed in the tasks before the shuffle.
-Entities that always stand together are judged as one, and a document adds each pair of an
-entity and a term once, of terms rare enough to disclose anything. A second look at all documents reads
-their terms; a bitmap of SLOTS bits spares most of those that disclose nothing the join,
-which decides by the hashes.
+hashes; they are counted over all documents, summed in the tasks before the shuffle. An entity
+makes pairs with 2 * NEAR terms at most each time it stands somewhere, so pairs grow with the
+spans, whatever the page; those of an entity of too few texts to be told go before they are
+shuffled. A second look at all documents reads their terms; a bitmap of SLOTS bits spares those
+that disclose nothing the join, which decides by the hashes (n told words set at most n bits:
+a million fill 0.7 % of it).
 
 Positions are code points, end exclusive. A null text is empty: no spans. Repeated rows
 count as documents but not as different texts, and are judged alike. An empty table gives
-no rows. Other columns are ignored by :func:`find`, kept by :func:`sanitize`.
+no rows. Other columns are ignored by :func:`find`, kept by :func:`sanitize`. A very long text
+is held by its task, with some arrays of eight bytes a byte.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -36,7 +40,7 @@ from .common import Scratch, hinted, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Z: of the normal distribution, one-sided 90 %.
-THRESHOLD, Z = 0.8, 1.2816
+SHARE, Z, NEAR = 0.5, 1.2816, 32
 FLUSH = 3_000_000
 SLOTS = 1 << 27
 U = np.uint64
@@ -132,27 +136,38 @@ def _free(data: np.ndarray, offsets: np.ndarray, raw: bytes):
     return base, hashes[free].view(np.int64), row[free], a[free], b[free]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``text_key, entities, words`` of documents that have base spans: hashes of their
-    values, and of all terms but those that touch one."""
+PAIR = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.int64())]))
+
+
+def scan(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """``text_key, entities, pairs`` of documents that have base spans: hashes of their values,
+    and each with the hashes of the terms within ``near`` of it, but those that touch a span."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         import xxhash
 
+        signed = lambda x: xxhash.xxh64_intdigest(x) - 2**63
         for batch in batches:
             for _, _, data, offsets in vec.text_blocks(batch.column(0)):
                 raw = data.tobytes()
-                base, hashes, row, _, _ = _free(data, offsets, raw)
+                base, hashes, row, first, _ = _free(data, offsets, raw)
                 at, out = np.searchsorted(row, np.arange(len(offsets))), []
                 for r, spans in base.items():
-                    entities = {xxhash.xxh64_intdigest(f"{k}:{v}") - 2**63 for _, k, _, v in spans}
-                    out.append((xxhash.xxh64_intdigest(raw[offsets[r] : offsets[r + 1]]) - 2**63, sorted(entities), np.unique(hashes[at[r] : at[r + 1]])))
+                    own, places = hashes[at[r] : at[r + 1]], first[at[r] : at[r + 1]]
+                    entities, pairs = set(), set()
+                    for start, k, _, value in spans:
+                        entities.add(entity := signed(f"{k}:{value}"))
+                        i = int(np.searchsorted(places, start))
+                        pairs.update((entity, w) for w in own[max(0, i - near) : i + near].tolist())
+                    pairs = [{"entity": e, "word": w} for e, w in pairs]
+                    out.append((signed(raw[offsets[r] : offsets[r + 1]]), sorted(entities), pairs))
                 if out:
-                    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["text_key", "entities", "words"])
+                    kinds = (pa.int64(), pa.list_(pa.int64()), PAIR)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["text_key", "entities", "pairs"])
 
-    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "text_key long, entities array<long>, words array<long>")
+    schema = "text_key long, entities array<long>, pairs array<struct<entity: long, word: long>>"
+    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def spot(docs: DataFrame, own: list[str], bitmap) -> DataFrame:
@@ -216,40 +231,37 @@ def lower_bound(share: Column, n: Column, z: float = Z) -> Column:
     return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def profiles(held: DataFrame) -> DataFrame:
-    """``key, text_key, entity, n_entity`` of one of those entities that stand in the same
-    documents: what a term tells of one it tells of all of them."""
-    places = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
-    one = places.groupBy("n_entity", "a", "b").agg(F.min("entity").alias("entity"))
-    return held.join(one.select("entity", "n_entity"), "entity")
-
-
-def disclosing(docs: DataFrame, held: DataFrame, words: DataFrame, total: int, scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """``entity, word`` of the pairs whose disclosure reaches the threshold.
-
-    A word in n documents can reach it for an entity in m of d only if
-    ``n <= m**threshold * d**(1 - threshold)``, as the share of its documents that hold the
-    entity is ``m / n`` at most: words that are too common for the commonest entity of their
-    document go before pairs are made, and pairs before they are counted."""
-    own, d = scratch.keep(profiles(held), "entities"), F.lit(float(total))
-    most = F.pow(F.col("n_entity"), F.lit(threshold)) * F.pow(d, F.lit(1 - threshold)) * (1 + 1e-9)
-    own = own.withColumn("most", most)
-    rare = words.join(scratch.keep(count_terms(docs), "counts"), "word")
-    rare = rare.join(own.groupBy("key").agg(F.max("most").alias("doc_most")), "key").where("n <= doc_most").select("key", "word", "n")
-    both = rare.join(own, "key").where("n <= most").groupBy("entity", "word", "text_key").agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("n_entity").alias("n_entity"))
-    known = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("times").alias("n_both"), F.max("n").alias("n"), F.max("n_entity").alias("n_entity"))
-    share = F.col("n_both") / F.col("n")
-    low = lower_bound(share, F.col("texts") / share, z)
-    ic = F.log(d / F.col("n_entity"))
-    return known.where((ic > 0) & (low > 0) & (F.log(low * d / F.col("n_entity")) >= threshold * ic - 1e-12)).select("entity", "word")
-
-
-def find(docs: DataFrame, own: list[str], scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def least_texts(share: float = SHARE, z: float = Z) -> int:
+    """In how many different texts a term and an entity must stand together at least."""
+    if not 0 < share < 1:
+        raise ValueError("the share is to be between 0 and 1")
+    return max(1, math.ceil(z * z * share / (1 - share) - 1e-9))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch, share: float = SHARE, z: float = Z) -> DataFrame:
+    """``entity, word`` of the pairs that leave at most ``-log2(share)`` bits, from :func:`scan`'s rows."""
+    least = least_texts(share, z)
+    texts = found.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").count()
+    often = texts.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("entity")
+    often = scratch.keep(often, "often")
+    pairs = found.select("text_key", F.inline("pairs")).join(hinted(often, often.count(), 16), "entity", "left_semi")
+    both = pairs.groupBy("entity", "word", "text_key").agg(F.count("*").alias("times"))
+    known = both.groupBy("entity", "word").agg(F.count("*").alias("texts"), F.sum("times").alias("n_both")).where(F.col("texts") >= least)
+    known = scratch.keep(known, "known")
+    if known.isEmpty():
+        return known.select("entity", "word")
+    words = scratch.keep(known.select("word").distinct(), "words")
+    counts = count_terms(docs).join(hinted(words, words.count(), 16), "word", "left_semi")
+    part = F.col("n_both") / F.col("n")
+    # of n documents with t those with c are n_both; their different texts count as trials
+    low = lower_bound(part, F.col("texts") / part, z)
+    return known.join(counts, "word").where(low >= share - 1e-12).select("entity", "word")
+
+
+def find(docs: DataFrame, own: list[str], scratch: Scratch, share: float = SHARE, z: float = Z, near: int = NEAR) -> DataFrame:
     """``doc, base, spans``: base spans, and all spans with rank 4 for terms that disclose."""
-    found = scratch.keep(scan(docs).withColumn("key", F.monotonically_increasing_id()), "found")
-    held = found.select("key", "text_key", F.explode("entities").alias("entity"))
-    words = found.select("key", F.explode("words").alias("word"))
-    told = scratch.keep(disclosing(docs, held, words, docs.count(), scratch, threshold, z).select("word").distinct(), "told")
+    found = scratch.keep(scan(docs, near), "found")
+    told = scratch.keep(disclosing(docs, found, scratch, share, z).select("word").distinct(), "told")
     # SLOTS / 8 bytes, in rows of 4096 at most
     slot, bits = F.pmod("word", F.lit(SLOTS)), np.zeros((SLOTS >> 15, 4096), np.uint8)
     for row in told.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(1 << 15))).alias("bits")).toLocalIterator():
@@ -261,10 +273,10 @@ def find(docs: DataFrame, own: list[str], scratch: Scratch, threshold: float = T
     return out.select("doc", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "extra"))).alias("spans"))
 
 
-def sanitize(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def sanitize(docs: DataFrame, scratch: Scratch, share: float = SHARE, z: float = Z, near: int = NEAR) -> DataFrame:
     """``docs`` with base spans generalised to ``[EMAIL]`` and so on and disclosing terms
     removed; ``n_chars``, if there, is brought up to date."""
-    found = find(docs, docs.columns, scratch, threshold, z)
+    found = find(docs, docs.columns, scratch, share, z, near)
     marks = F.lit([f"[{k.upper()}]" for k in KINDS] + ["[REMOVED]"])
 
     def cut(acc: Column, s: Column) -> Column:
@@ -293,6 +305,6 @@ def _of_rank(k: int) -> Column:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All personal data of every document."""
-    found = find(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "op6"))  # THRESHOLD and Z
+    found = find(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "op6"))  # SHARE, Z and NEAR
     counts = [F.size(_of_rank(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc.doc_id", *counts, F.sha2(_listed("base", KINDS), 256).alias("base_sha256"), _listed("spans", (*KINDS, "term")).alias("spans"), F.size("base").cast("long").alias("n_base"))
