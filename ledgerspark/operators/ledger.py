@@ -15,34 +15,36 @@ from ..config import DEFAULT, LedgerConfig
 from ..functions import diff as D
 from ..functions import render
 from ..functions import scalars as S
+from .scans import running
 
 ORDER = ("occurred_at", "action_id")
 
 
+FILE = ["session_id", "incarnation", "epoch", "file_path"]
+
+
 def segments(actions: DataFrame, config: LedgerConfig = DEFAULT, ttl: bool = True) -> DataFrame:
     """Adds ``gap, incarnation`` (idle for longer than the TTL begins a new one) and
-    ``epoch`` (resets so far); baselines don't outlive either."""
-    by = W.partitionBy("session_id").orderBy(*ORDER)
-    gap = F.col("occurred_at") - F.lag("occurred_at").over(by)
-    out = actions.withColumn("gap", gap)
-    out = out.withColumn("incarnation", F.sum((F.col("gap") > config.ttl).cast("long")).over(by)) if ttl else out.withColumn("incarnation", F.lit(0).cast("long"))
-    out = out.withColumn("incarnation", F.coalesce("incarnation", F.lit(0).cast("long")))
-    return out.withColumn("epoch", F.sum((F.col("kind") == "reset").cast("long")).over(by))
+    ``epoch`` (resets so far); baselines don't outlive either. Sessions that have a ``block``
+    (:func:`scans.spread`) are worked on in blocks."""
+    out = running(actions, ["session_id"], ORDER, lasts={"before": F.col("occurred_at")})
+    out = out.withColumn("gap", F.col("occurred_at") - F.col("before")).drop("before")
+    idle = (F.col("gap") > config.ttl).cast("long") if ttl else F.lit(0).cast("long")
+    return running(out, ["session_id"], ORDER, sums={"incarnation": idle, "epoch": (F.col("kind") == "reset").cast("long")})
 
 
 def _file_window():
-    return W.partitionBy("session_id", "incarnation", "epoch", "file_path").orderBy(*ORDER)
+    return W.partitionBy(*FILE).orderBy(*ORDER)
 
 
 def baselines(segmented: DataFrame) -> DataFrame:
     """Adds what the session last received of the file before each action: ``prev_hash``,
-    ``prev_rev``, ``prev_bytes``, ``prev_kind`` (the last read or edit)."""
-    w = _file_window().rowsBetween(W.unboundedPreceding, -1)
-    sets = F.col("kind").isin("read", "edit", "reset")
-    last = lambda c: F.last(F.when(sets, F.col(c)), ignorenulls=True).over(w)
-    own = F.col("kind") != "reset"
-    work = segmented.where(own)
-    return work.withColumns({f"prev_{c}": last(k) for c, k in (("hash", "content_hash"), ("rev", "rev"), ("bytes", "n_bytes"), ("kind", "kind"))})
+    ``prev_rev``, ``prev_bytes``, ``prev_kind`` (the last read or edit; nothing after a delete)."""
+    fields = {"hash": "content_hash", "rev": "rev", "bytes": "n_bytes", "kind": "kind"}
+    kept = F.struct(*(F.when(F.col("kind") != "delete", F.col(c)).alias(k) for k, c in fields.items()))
+    sets = F.when(F.col("kind").isin("read", "edit", "delete"), kept)
+    work = running(segmented.where("kind <> 'reset'"), FILE, ORDER, lasts={"prev": sets})
+    return work.withColumns({f"prev_{k}": F.col(f"prev.{k}") for k in fields}).drop("prev")
 
 
 def outcomes(actions: DataFrame, ttl: bool = False) -> DataFrame:
@@ -59,7 +61,8 @@ def outcome_mix(actions: DataFrame) -> DataFrame:
 
 def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """Reads and edits with ``outcome``: a read right after an edit is a ``passthrough``,
-    others are first, unchanged, ``fallback`` (shrunk by over half) or delta.
+    others are first, unchanged, ``fallback`` (shrunk by over half) or delta. A delete is
+    ``deleted``, or ``gone`` if the session knew no such file; the next read is a first one.
 
     ``edit_old, edit_rev`` are the revisions before and after the edit that a certificate can
     confirm to a passthrough: the newest one since the last reset that left the read's content
@@ -72,10 +75,10 @@ def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
         .when((F.col("prev_bytes") > 0) & (F.col("n_bytes") * 2 < F.col("prev_bytes")), "fallback")
         .otherwise("delta")
     )
-    b = b.withColumn("outcome", F.when(F.col("kind") == "read", read).otherwise(F.col("kind")))
-    same = W.partitionBy("session_id", "incarnation", "epoch", "file_path", "content_hash").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    gone = F.when(F.col("prev_hash").isNull(), "gone").otherwise("deleted")
+    b = b.withColumn("outcome", F.when(F.col("kind") == "read", read).when(F.col("kind") == "delete", gone).otherwise(F.col("kind")))
     edit = F.when((F.col("kind") == "edit") & (F.col("prev_hash") != F.col("content_hash")), F.struct("occurred_at", "prev_rev", "rev"))
-    b = b.withColumn("edit", F.last(edit, ignorenulls=True).over(same))
+    b = running(b, [*FILE, "content_hash"], ORDER, lasts={"edit": edit})
     near = (F.col("outcome") == "passthrough") & (F.col("edit.occurred_at") >= F.col("occurred_at") - config.cert_window_seconds) & F.lit(config.certificates)
     return b.withColumns({"edit_old": F.when(near, F.col("edit.prev_rev")), "edit_rev": F.when(near, F.col("edit.rev"))}).drop("edit")
 
@@ -103,12 +106,10 @@ def changed_pairs(classified_: DataFrame) -> DataFrame:
     return told.groupBy("file_no", "old_rev", "rev").agg(F.first("file_path").alias("file_path"))
 
 
-def diff_sizes(pairs: DataFrame, versions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+def diff_sizes(both: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file_no, old_rev, rev, diff_bytes, too_complex, certificate_bytes``: each pair's diff,
-    made once."""
-    new = versions.select("file_no", "rev", "content", "n_lines")
-    old = versions.select("file_no", F.col("rev").alias("old_rev"), F.col("content").alias("old"))
-    both = pairs.join(new, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
+    made once, from :func:`changed_pairs` with both contents, ``old`` and ``content`` (of
+    ``n_lines``)."""
     both = both.withColumn("diff", D.diff_of(F.col("file_path"), F.col("old"), F.col("content")))
     size = F.octet_length("diff").cast("long").alias("diff_bytes")
     certificate = render.certificate(F.col("file_path"), S.content_hash(F.col("old")), S.content_hash(F.col("content")), D.ranges_of(F.col("diff")), config)

@@ -10,7 +10,10 @@ from pyspark.sql.window import Window as W
 from ..config import DEFAULT
 from ..functions import scalars as S
 from ..operators import ledger as L
-from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
+from ..operators import windows as V
+from ..operators.scans import spread
+from ..scratch import Scratch
+from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, raw_actions, table, versions
 
 A = f"WITH {ACTIONS_SQL}"
 SEG = f"""{A},
@@ -73,9 +76,25 @@ facts AS (SELECT *, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_full E
 ACCOUNT = _account(DEFAULT.cert_window_seconds)
 
 
+def told(spark, d, config=DEFAULT):
+    """Each action's outcome; sessions of very many actions in blocks."""
+    return L.classified(log(spark, d), config)
+
+
+def log(spark, d):
+    return spread(actions(spark, d), ["session_id"], raw_actions(spark, d))
+
+
 def facts(spark, d, config=DEFAULT):
-    told = L.classified(actions(spark, d), config)
-    return L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions(spark, d), config), config)
+    """What every read was charged. The log is read and classified once, then written; contents
+    are fetched for the changes alone, and each change is diffed once."""
+    kept = Scratch(spark, "ledger").keep(told(spark, d, config), "told")
+    return L.accounting(kept, L.diff_sizes(both_contents(spark, d, L.changed_pairs(kept)), config), config)
+
+
+def reads(spark, d):
+    """The log's reads, for reports that don't need their outcomes."""
+    return actions(spark, d).where("kind = 'read'")
 
 
 def _saved(df):
@@ -108,7 +127,7 @@ def _(spark, d):
 
 @q("read_outcomes", f"{CLASSIFIED} SELECT action_id, session_id, file_path, outcome FROM classified")
 def _(spark, d):
-    return L.classified(actions(spark, d)).select("action_id", "session_id", "file_path", "outcome")
+    return told(spark, d).select("action_id", "session_id", "file_path", "outcome")
 
 
 @q("accounting", f"{ACCOUNT} SELECT action_id, outcome, charged_full, charged_sent, CAST(logged_full AS BIGINT) AS logged_full, CAST(logged_sent AS BIGINT) AS logged_sent FROM facts")
@@ -195,7 +214,7 @@ def _(spark, d):
 @q("default_session", f"{ACCOUNT}, {SESS} SELECT s.session_id, count(e.action_id) AS events FROM s LEFT JOIN facts e ON e.session_id = s.session_id GROUP BY s.session_id, s.last_active ORDER BY CASE WHEN count(e.action_id) > 0 THEN 0 ELSE 1 END, s.last_active DESC, s.session_id LIMIT 1")
 def _(spark, d):
     s = L.sessions(actions(spark, d)).select("session_id", "last_active")
-    n = s.join(facts(spark, d).select("session_id", "action_id"), "session_id", "left").groupBy("session_id", "last_active").agg(F.count("action_id").alias("events"))
+    n = s.join(reads(spark, d).select("session_id", "action_id"), "session_id", "left").groupBy("session_id", "last_active").agg(F.count("action_id").alias("events"))
     return n.orderBy(F.when(F.col("events") > 0, 0).otherwise(1), F.desc("last_active"), "session_id").limit(1).select("session_id", "events")
 
 
@@ -213,19 +232,19 @@ def _(spark, d):
 
 @q("ttl_incarnations", f"{SEG} SELECT session_id, max(incarnation) + 1 AS incarnations, count(*) AS actions FROM seg GROUP BY 1")
 def _(spark, d):
-    s = L.segments(actions(spark, d))
+    s = L.segments(log(spark, d))
     return s.groupBy("session_id").agg((F.max("incarnation") + 1).alias("incarnations"), F.count("*").alias("actions"))
 
 
 @q("expired_notice", f"{SEG} SELECT action_id, session_id, gap, gap <= 86400 + 7200 AS announced FROM seg WHERE gap > 7200")
 def _(spark, d):
-    s = L.segments(actions(spark, d)).where(F.col("gap") > DEFAULT.ttl)
+    s = L.segments(log(spark, d)).where(F.col("gap") > DEFAULT.ttl)
     return s.select("action_id", "session_id", "gap", (F.col("gap") <= DEFAULT.tombstone_seconds + DEFAULT.ttl).alias("announced"))
 
 
 @q("ttl_warning", f"{SEG} SELECT action_id, 7200 - gap AS left_ FROM seg WHERE gap BETWEEN 6480 AND 7200")
 def _(spark, d):
-    s = L.segments(actions(spark, d)).where(F.col("gap").between(DEFAULT.ttl * 9 // 10, DEFAULT.ttl))
+    s = L.segments(log(spark, d)).where(F.col("gap").between(DEFAULT.ttl * 9 // 10, DEFAULT.ttl))
     return s.select("action_id", (F.lit(DEFAULT.ttl) - F.col("gap")).alias("left_"))
 
 
@@ -244,7 +263,7 @@ def _(spark, d):
 @q("oob_refreshes", f"{_base('incarnation')} SELECT session_id, count(*) FILTER (prev_hash <> content_hash AND prev_kind = 'read') AS refreshes, count(*) AS reads, CAST(round(100.0::DOUBLE * count(*) FILTER (prev_hash <> content_hash AND prev_kind = 'read') / count(*)) AS INTEGER) AS pct FROM base WHERE kind = 'read' GROUP BY 1")
 def _(spark, d):
     outside = (F.col("prev_hash") != F.col("content_hash")) & (F.col("prev_kind") == "read")
-    out = L.baselines(L.segments(actions(spark, d))).where("kind = 'read'").groupBy("session_id").agg(F.count_if(outside).alias("refreshes"), F.count("*").alias("reads"))
+    out = L.baselines(L.segments(log(spark, d))).where("kind = 'read'").groupBy("session_id").agg(F.count_if(outside).alias("refreshes"), F.count("*").alias("reads"))
     return out.withColumn("pct", F.round(F.lit(100.0) * F.col("refreshes") / F.col("reads")).cast("int"))
 
 
@@ -327,7 +346,7 @@ def _(spark, d):
 
 @q("keep_last_n", f"{EV} SELECT action_id, session_id FROM ev QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY action_id DESC) <= 20")
 def _(spark, d):
-    return L.keep_last(facts(spark, d), 20).select("action_id", "session_id")
+    return L.keep_last(reads(spark, d), 20).select("action_id", "session_id")
 
 
 @q("ranges_merge", f"""{A}, r AS (SELECT session_id, file_path, win_start AS s, win_end AS e FROM actions WHERE kind = 'partial' AND win_start >= 1 AND win_start <= win_end),
@@ -372,7 +391,7 @@ def _(spark, d):
     a = actions(spark, d)
     one = lambda name, df: df.select(F.lit(name).alias("name"), "n")
     return (
-        one("actions", a.agg(F.count("*").alias("n"))).unionByName(one("reads", facts(spark, d).agg(F.count("*").alias("n"))))
+        one("actions", a.agg(F.count("*").alias("n"))).unionByName(one("reads", reads(spark, d).agg(F.count("*").alias("n"))))
         .unionByName(one("files", a.agg(F.countDistinct("file_path").alias("n")))).unionByName(one("sessions", a.agg(F.countDistinct("session_id").alias("n"))))
     )
 
@@ -440,7 +459,7 @@ SELECT action_id, '[ledger: unchanged ' || file_path || ', ' || tokens_full || '
 def _(spark, d):
     from ..functions import render
 
-    reads = L.classified(actions(spark, d)).where("kind = 'read'")
+    reads = told(spark, d).where("kind = 'read'")
     age = F.col("occurred_at") - F.lag("occurred_at").over(W.partitionBy("session_id", "file_path").orderBy(*L.ORDER))
     return reads.withColumn("age", age).where("age is not null").select("action_id", render.unchanged(F.col("file_path"), F.col("tokens_full"), F.col("age")).alias("header"))
 
@@ -463,14 +482,14 @@ def _(spark, d):
 @q("one_shot_marker", f"{_base('0')} SELECT action_id, file_path FROM base WHERE kind = 'read' AND prev_kind = 'edit'")
 def _(spark, d):
     """Full reads that use up the mark an edit left; partial reads leave it."""
-    b = L.baselines(L.segments(actions(spark, d), ttl=False))
+    b = L.baselines(L.segments(log(spark, d), ttl=False))
     return b.where("kind = 'read' and prev_kind = 'edit'").select("action_id", "file_path")
 
 
 @q("native_delivery", f"""{_base('incarnation')} SELECT CASE WHEN prev_hash IS NULL THEN 'first' WHEN prev_kind = 'edit' THEN 'passthrough' WHEN prev_hash = content_hash THEN 'unchanged' ELSE 'external_change' END AS outcome, count(*) AS n, CAST(sum(tokens_full) AS BIGINT) AS tokens FROM base WHERE kind = 'read' GROUP BY 1""")
 def _(spark, d):
     """Delivery by the agent itself: a change from outside is sent in full, not as a delta."""
-    c = L.classified(actions(spark, d)).where("kind = 'read'")
+    c = told(spark, d).where("kind = 'read'")
     outcome = F.when(F.col("outcome").isin("delta", "fallback"), "external_change").otherwise(F.col("outcome"))
     return c.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.sum("tokens_full").alias("tokens"))
 
@@ -478,10 +497,55 @@ def _(spark, d):
 @q("partial_windows", f"""{_base('incarnation')} SELECT action_id, CASE WHEN prev_hash IS NULL THEN 'silent' WHEN prev_hash <> content_hash THEN 'external' ELSE 'known' END AS state FROM base WHERE kind = 'partial'""")
 def _(spark, d):
     state = F.when(F.col("prev_hash").isNull(), "silent").when(F.col("prev_hash") != F.col("content_hash"), "external").otherwise("known")
-    return L.baselines(L.segments(actions(spark, d))).where("kind = 'partial'").select("action_id", state.alias("state"))
+    return L.baselines(L.segments(log(spark, d))).where("kind = 'partial'").select("action_id", state.alias("state"))
+
+
+#: The machine with windows. ``know`` has each action's baseline, ``grp`` the sets of seen
+#: lines; a line is open if no earlier window or full read of the set has it.
+WINDOWS = f"""{SEG},
+work AS (SELECT * FROM seg WHERE kind IN ('read', 'edit', 'partial')),
+know AS (SELECT *, lag(content_hash) OVER f AS k_hash, lag(n_lines) OVER f AS k_lines, lag(n_bytes) OVER f AS k_bytes,
+  last_value(CASE WHEN kind <> 'partial' THEN kind END IGNORE NULLS) OVER (PARTITION BY session_id, incarnation, epoch, file_path ORDER BY occurred_at, action_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_kind
+  FROM work WINDOW f AS (PARTITION BY session_id, incarnation, epoch, file_path ORDER BY occurred_at, action_id)),
+begun AS (SELECT *, kind = 'read' OR (kind = 'partial' AND (k_hash IS NULL OR k_hash <> content_hash)) AS begins FROM know),
+grp AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, incarnation, epoch, file_path ORDER BY occurred_at, action_id) AS g,
+  greatest(win_start, 1) AS a, least(win_end, greatest(n_lines, coalesce(k_lines, 0), win_start, 1)) AS b FROM begun),
+shown AS (SELECT session_id, incarnation, epoch, file_path, g, occurred_at, action_id, CASE WHEN kind = 'read' THEN 1 ELSE a END AS s, CASE WHEN kind = 'read' THEN n_lines ELSE b END AS e FROM grp WHERE kind <> 'edit'),
+asked AS (SELECT session_id, incarnation, epoch, file_path, occurred_at, action_id, CASE WHEN kind = 'read' THEN g - 1 ELSE g END AS g,
+  unnest(CASE WHEN kind = 'read' THEN range(1, coalesce(k_lines, 0) + 1) ELSE range(a, b + 1) END) AS line FROM grp WHERE kind = 'read' OR (kind = 'partial' AND NOT begins)),
+open_ AS (SELECT DISTINCT action_id FROM asked WHERE NOT EXISTS (SELECT 1 FROM shown WHERE shown.session_id = asked.session_id AND shown.incarnation = asked.incarnation AND shown.epoch = asked.epoch
+  AND shown.file_path = asked.file_path AND shown.g = asked.g AND (shown.occurred_at, shown.action_id) < (asked.occurred_at, asked.action_id) AND line BETWEEN s AND e)),
+windowed AS (SELECT grp.*, open_.action_id IS NOT NULL AS open FROM grp LEFT JOIN open_ ON open_.action_id = grp.action_id),
+machine AS (SELECT *, CASE WHEN kind = 'edit' THEN 'edit'
+  WHEN kind = 'read' THEN CASE WHEN k_hash IS NULL THEN 'first' WHEN last_kind = 'edit' THEN 'passthrough' WHEN open THEN 'first' WHEN k_hash = content_hash THEN 'unchanged'
+    WHEN k_bytes > 0 AND n_bytes * 2 < k_bytes THEN 'fallback' ELSE 'delta' END
+  WHEN k_hash IS NULL THEN 'partial-silent' WHEN k_hash <> content_hash THEN 'partial-external' WHEN open OR a > b THEN 'partial-uncovered' ELSE 'partial-unchanged' END AS outcome FROM windowed)"""
+
+
+@q("machine_outcomes", f"{WINDOWS} SELECT action_id, session_id, file_path, outcome FROM machine UNION ALL SELECT action_id, session_id, file_path, 'reset' FROM actions WHERE kind = 'reset'")
+def _(spark, d):
+    """Every action's outcome, windows of lines included."""
+    return V.machine(log(spark, d))
+
+
+@q("covered_reads", f"{WINDOWS} SELECT action_id, outcome FROM machine WHERE kind = 'read'")
+def _(spark, d):
+    """Full reads, where one of a file that was seen in part is a first one."""
+    return V.outcomes(log(spark, d)).where("kind = 'read'").select("action_id", "outcome")
+
+
+@q("window_accounting", f"""{WINDOWS}, cut AS (SELECT m.*, string_split(v.content, chr(10)) AS ls, v.content FROM machine m JOIN versions v USING (file_no, rev) WHERE kind = 'partial'),
+told AS (SELECT action_id, outcome, a AS first_line, b AS last_line,
+  CAST((CASE WHEN a > n_lines THEN 0 ELSE strlen(array_to_string(ls[a:least(win_end, n_lines)], chr(10))) + CASE WHEN ends_with(content, chr(10)) OR win_end < n_lines THEN 1 ELSE 0 END END + 3) // 4 AS BIGINT) AS w,
+  CAST((strlen('[ledger: unchanged ' || file_path || ', lines ' || a || '-' || b || ']' || chr(10)) + 3) // 4 AS BIGINT) AS r FROM cut)
+SELECT action_id, CASE WHEN outcome = 'partial-unchanged' AND r >= w THEN 'partial-gated' ELSE outcome END AS outcome, first_line, last_line, w AS charged_full,
+  CASE WHEN outcome = 'partial-unchanged' AND r < w THEN r ELSE w END AS charged_sent FROM told""")
+def _(spark, d):
+    """What reads of line windows are charged."""
+    return V.charges(V.outcomes(log(spark, d)), versions(spark, d))
 
 
 @q("session_start", f"{SEG} SELECT session_id, incarnation, epoch, min(occurred_at) AS started_at, max(occurred_at) AS last_active, count(*) AS actions FROM seg GROUP BY 1, 2, 3")
 def _(spark, d):
-    s = L.segments(actions(spark, d))
+    s = L.segments(log(spark, d))
     return s.groupBy("session_id", "incarnation", "epoch").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_active"), F.count("*").alias("actions"))

@@ -9,8 +9,7 @@ from ..functions import diff as D
 from ..functions import scalars as S
 from ..functions.outline import hits_of, outline_of, warnings_of
 from ..operators import ledger as L
-from ..sources.tables import ACTIONS_SQL, actions, files, table, versions
-from ..streaming import machine
+from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, table
 from .ledger import DIFFS
 
 Q: dict = {}
@@ -139,9 +138,7 @@ def _(spark, d):
 def _changed(spark, d):
     """Each pair of contents that some session saw one after the other, once."""
     pairs = L.baselines(L.segments(actions(spark, d), ttl=False)).where("kind = 'read' and prev_hash <> content_hash").select("file_no", C("prev_rev").alias("old_rev"), "rev").distinct()
-    v = versions(spark, d).select("file_no", "rev", "content")
-    old = v.withColumnsRenamed({"rev": "old_rev", "content": "old"})
-    return pairs.join(v, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
+    return both_contents(spark, d, pairs)
 
 
 @q("unified_diff")
@@ -224,11 +221,6 @@ def _(spark, d):
     return o.select("user_id", "language", F.size("o.names").cast("long").alias("elided"), F.size(shown).cast("long").alias("kept"), F.array_join("o.names", ",").alias("names"))
 
 
-@q("machine_outcomes")
-def _(spark, d):
-    return machine.batch(actions(spark, d))
-
-
 @q("registry_diff", f"""{A}, {SIGHTS}, pairs AS (SELECT DISTINCT file_no, a, b FROM sights), {DIFFS}
 SELECT s.file_no, s.a AS old_rev, s.b AS rev, count(*) AS times, CAST(any_value(added) AS INTEGER) AS added, CAST(any_value(removed) AS INTEGER) AS removed
 FROM sights s JOIN df USING (file_no, a, b) GROUP BY ALL""")
@@ -236,9 +228,7 @@ def _(spark, d):
     """How much each file changed between two sights of it, by any session."""
     seen = L.last_sight(actions(spark, d).where("kind = 'read'").select("action_id", "occurred_at", "file_path", "file_no", "rev"), ["rev"])
     pairs = seen.where("known_rev <> rev").groupBy("file_no", C("known_rev").alias("old_rev"), "rev").agg(F.count("*").alias("times"))
-    v = versions(spark, d).select("file_no", "rev", "content", "n_lines")
-    old = v.select("file_no", C("rev").alias("old_rev"), C("content").alias("old"))
-    both = pairs.join(v, ["file_no", "rev"]).join(old, ["file_no", "old_rev"]).withColumn("diff", D.diff_of(F.lit("f"), C("old"), C("content")))
+    both = both_contents(spark, d, pairs).withColumn("diff", D.diff_of(F.lit("f"), C("old"), C("content")))
     c = both.select("file_no", "old_rev", "rev", "times", D.complexity(C("diff"), C("n_lines")).alias("c"))
     return c.select("file_no", "old_rev", "rev", "times", "c.added", "c.removed")
 
@@ -249,7 +239,7 @@ def _(spark, d):
     """What each change between two sights of a file costs, and whether it is told as a diff."""
     seen = L.last_sight(actions(spark, d).where("kind = 'read'").select("action_id", "occurred_at", "file_path", "file_no", "rev"), ["rev"])
     pairs = seen.where("known_rev <> rev").groupBy("file_no", C("known_rev").alias("old_rev"), "rev").agg(F.first("file_path").alias("file_path"))
-    return L.diff_sizes(pairs, versions(spark, d)).drop("certificate_bytes")
+    return L.diff_sizes(both_contents(spark, d, pairs)).drop("certificate_bytes")
 
 
 @q("certificate_body")

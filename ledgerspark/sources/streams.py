@@ -11,7 +11,7 @@ from ..config import DEFAULT, LedgerConfig
 ACTION_SCHEMA = T.StructType(
     [
         T.StructField("action_id", T.LongType()), T.StructField("session_id", T.StringType()), T.StructField("occurred_at", T.LongType()), T.StructField("kind", T.StringType()),
-        T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("win_start", T.LongType()), T.StructField("win_end", T.LongType()),
+        T.StructField("file_path", T.StringType()), T.StructField("content_hash", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("win_start", T.LongType()), T.StructField("win_end", T.LongType()),
     ]
 )
 

@@ -70,6 +70,14 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def both_contents(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``file_no, old_rev, rev``) with ``old``, ``content`` and its ``n_lines``: both
+    revisions are made of the one text that the join brings."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), "text")
+    made = pairs.join(docs, "file_no").withColumns({"old": revision(F.col("text"), F.col("old_rev")), "content": revision(F.col("text"), F.col("rev"))})
+    return made.drop("text").withColumn("n_lines", S.line_count(F.col("content")))
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The action log with the version's hash and sizes."""
     v = versions(spark, sf_dir).drop("content")

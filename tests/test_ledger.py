@@ -1,4 +1,4 @@
-"""The state machine: windows, batch and stream agree; expressions on small rows."""
+"""Accounting on logs worked by hand; sources; expressions on small rows."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,58 +8,14 @@ from ledgerspark.functions import scalars as S
 from ledgerspark.functions.diff import complexity, too_complex
 from ledgerspark.operators import ledger as L
 from ledgerspark.sources import streams
-from ledgerspark.sources.tables import actions
-from ledgerspark.streaming import machine as M
-
-DIR = "/root/testdata/sf0.001"
-
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-def test_windows_equal_machine(spark):
-    """Without partial reads, which only the machine lets set a silent baseline."""
-    log = actions(spark, DIR).where("kind <> 'partial'")
-    a = {r.action_id: r.outcome for r in L.classified(log).collect()}
-    b = {r.action_id: r.outcome for r in M.batch(log).collect() if r.outcome != "reset"}
-    assert a == b and set(a.values()) >= {"first", "edit"}
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    log = actions(spark, DIR).select(*[f.name for f in streams.ACTION_SCHEMA.fields])
-    rows = sorted(log.collect(), key=lambda r: (r.occurred_at, r.action_id))
-    third = len(rows) // 3 + 1
-    for i in range(3):
-        part = spark.createDataFrame(rows[i * third : (i + 1) * third], streams.ACTION_SCHEMA).coalesce(1)
-        part.write.mode("append").parquet(str(tmp_path / "in"))
-    out = M.stream(streams.action_stream(spark, str(tmp_path / "in")))
-    query = out.writeStream.format("memory").queryName("outcomes").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = {r.action_id: r.outcome for r in spark.table("outcomes").collect()}
-    want = {r.action_id: r.outcome for r in M.batch(log).collect()}
-    assert got == want
-
-
-def test_stream_forgets_idle_sessions(spark, tmp_path):
-    """State leaves when the watermark is past a session's idle limit; what comes behind the
-    watermark is dropped and counted."""
-    row = lambda i, session, at: (i, session, at, "read", "f", "h", 10, 1, 2)
-    waves = [[row(1, "a", 1000), row(2, "b", 1100)], [row(3, "b", 20_000)], [row(4, "c", 40_000), row(5, "a", 40_100)], [row(6, "a", 2000), row(7, "c", 40_200)]]
-    counts = []
-    (tmp_path / "in").mkdir()
-    out = M.stream(streams.action_stream(spark, str(tmp_path / "in")), "1 second")
-    for k, rows in enumerate(waves):
-        spark.createDataFrame(rows, streams.ACTION_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        if not k:
-            query = out.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-        query.processAllAvailable()
-        counts += [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]][-1:]
-    query.stop()
-    assert counts[1]["numRowsTotal"] == 1 and counts[-1]["numRowsTotal"] == 2
-    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"]) >= 1
-    assert {r.action_id: r.outcome for r in spark.table("idle").collect()} == {1: "first", 2: "first", 3: "first", 4: "first", 5: "first", 7: "unchanged"}
+def with_contents(pairs, versions):
+    old = versions.select("file_no", F.col("rev").alias("old_rev"), F.col("content").alias("old"))
+    return pairs.join(versions, ["file_no", "rev"]).join(old, ["file_no", "old_rev"])
 
 
 def test_delta_accounting(spark):
@@ -73,7 +29,7 @@ def test_delta_accounting(spark):
     log = log.join(versions.select("file_no", "rev", S.content_hash(F.col("content")).alias("content_hash"), S.token_estimate(F.col("content")).alias("tokens_full"), F.octet_length("content").cast("long").alias("n_bytes")), ["file_no", "rev"])
     def accounts(config):
         told = L.classified(log, config)
-        return {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions, config), config).collect()}
+        return {r.action_id: r for r in L.accounting(told, L.diff_sizes(with_contents(L.changed_pairs(told), versions), config), config).collect()}
 
     rows = accounts(LedgerConfig(certificates=False))
     full = [(len(t) + 3) // 4 for t in texts]
@@ -94,7 +50,7 @@ def test_a_certificate_dearer_than_its_text(spark):
     versions = spark.createDataFrame([(0, 0, "a\n"), (0, 1, "b\n")], "file_no long, rev int, content string").withColumn("n_lines", S.line_count(F.col("content")))
     log = [(1, "s", 1, "read", "f", 0, 0, "x", 1, 2), (2, "s", 2, "edit", "f", 0, 1, "y", 1, 2), (3, "s", 3, "read", "f", 0, 1, "y", 1, 2)]
     told = L.classified(spark.createDataFrame(log, "action_id long, session_id string, occurred_at long, kind string, file_path string, file_no long, rev int, content_hash string, tokens_full long, n_bytes long"))
-    rows = {r.action_id: r for r in L.accounting(told, L.diff_sizes(L.changed_pairs(told), versions)).collect()}
+    rows = {r.action_id: r for r in L.accounting(told, L.diff_sizes(with_contents(L.changed_pairs(told), versions))).collect()}
     assert (rows[3].outcome, rows[3].charged_sent, rows[3].logged_sent) == ("fallback", 1, 1)
 
 
@@ -125,13 +81,6 @@ def test_json_sink_and_change_stream(spark, tmp_path):
     assert sorted(r.path for r in spark.table("changes").collect()) == ["a", "b"]
 
 
-def test_deletes(spark):
-    """A deleted file is a first read again; one that nobody had is gone."""
-    rows = [(1, "s", 10, "read", "f", "h", 9, 1, 2), (2, "s", 11, "delete", "f", None, 0, 1, 2), (3, "s", 12, "read", "f", "h", 9, 1, 2), (4, "s", 13, "delete", "g", None, 0, 1, 2)]
-    out = M.batch(spark.createDataFrame(rows, streams.ACTION_SCHEMA))
-    assert {r.action_id: r.outcome for r in out.collect()} == {1: "first", 2: "deleted", 3: "first", 4: "gone"}
-
-
 def test_null_texts(spark):
     """Kernels over nulls give nulls, or nothing."""
     from ledgerspark.functions import diff, outline
