@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,9 +19,18 @@ def split_lines(text: str) -> list[str]:
     return re.findall(r"[^\n]*\n|[^\n]+", text)
 
 
+#: Bits of rows that are kept for a way back; larger problems are halved. Cells (lines of one
+#: text times lines of the other) beyond which texts are told as replaced.
+KEPT_BITS, MOST_CELLS = 1 << 28, 1 << 36
+
+
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """Shortest edits by Myers' greedy search: (op, index in a, index in b), op one of
-    ``= - +``, in order."""
+    """Shortest edits: (op, index in a, index in b), op one of ``= - +``, in order; what a change
+    removes comes before what it adds.
+
+    Lines that the other text doesn't have are set aside first, as they can't be kept. What is
+    left is a longest common subsequence of numbers, found in rows of bits: one row a line of
+    ``b``, a bit a line of ``a``. Over MOST_CELLS what differs is told as replaced."""
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
@@ -30,49 +38,73 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     while tail < len(a) - head and tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    both = set(x).intersection(y)
+    at_x, at_y = [i for i, line in enumerate(x) if line in both], [j for j, line in enumerate(y) if line in both]
+    number = {line: n for n, line in enumerate(both)}
+    kept = common([number[x[i]] for i in at_x], [number[y[j]] for j in at_y])
     out = [("=", i, i) for i in range(head)]
-    out += [(op, i + head, j + head) for op, i, j in _middle(x, y)]
+    i = j = 0
+    for p, q in [*((at_x[p], at_y[q]) for p, q in kept), (len(x), len(y))]:
+        out += [("-", k + head, j + head) for k in range(i, p)] + [("+", p + head, k + head) for k in range(j, q)]
+        i, j = p + 1, q + 1
+        if p < len(x):
+            out.append(("=", p + head, q + head))
     return out + [("=", len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
-def _middle(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
+def _rows(a: list[int], b: list[int], keep: list[int] | None = None) -> int:
+    """The last row of the table of common lengths of ``a`` and ``b`` as bits: bit i is 0 where
+    the length grows from i to i + 1 items of ``a``. ``keep`` gets all rows."""
+    places: dict[int, int] = {}
+    for i, n in enumerate(a):
+        places[n] = places.get(n, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for n in b:
+        here = row & places.get(n, 0)
+        row = ((row + here) | (row - here)) & full
+        if keep is not None:
+            keep.append(row)
+    return row
+
+
+def _lengths(row: int, n: int) -> list[int]:
+    """Common lengths of the first 0 to n items, of a row of bits."""
+    out, total = [0], 0
+    for c in reversed(f"{row:0{n}b}" if n else ""):
+        total += c == "0"
+        out.append(total)
+    return out
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order. Rows of bits are kept for the way back
+    as far as KEPT_BITS go; beyond that ``b`` is halved where the two halves' lengths add up
+    best, so memory stays at a row's. Nothing is common where it would take over MOST_CELLS."""
     n, m = len(a), len(b)
-    if not n or not m:
-        return [("-", i, 0) for i in range(n)] + [("+", n, j) for j in range(m)]
-    # lines as numbers, and of each step the places on its own diagonals only
-    number: dict[str, int] = {}
-    x, y = ([number.setdefault(line, len(number)) for line in lines] for lines in (a, b))
-    reach, trail = [0] * (2 * (n + m) + 3), []
-    for d in range(n + m + 1):
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and reach[k - 1] < reach[k + 1])
-            i = reach[k + 1] if down else reach[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            reach[k] = i
-            if i >= n and j >= m:
-                break
-        else:
-            trail.append(array("i", [reach[k] for k in range(-d, d + 1, 2)]))
-            continue
-        break
+    if not n or not m or n * m > MOST_CELLS:
+        return []
+    if n * m > KEPT_BITS and m > 1:
+        half = m // 2
+        upper, lower = _lengths(_rows(a, b[:half]), n), _lengths(_rows(a[::-1], b[half:][::-1]), n)[::-1]
+        cut = max(range(n + 1), key=lambda i: upper[i] + lower[i])
+        return common(a[:cut], b[:half]) + [(i + cut, j + half) for i, j in common(a[cut:], b[half:])]
+    rows: list[int] = []
+    _rows(a, b, rows)
     out, i, j = [], n, m
-    for d in range(len(trail), -1, -1):
-        k, before = i - j, trail[d - 1] if d else None
-        place = lambda k: before[(k + d - 1) // 2]  # noqa: B023, E731  of the step before
-        down = d > 0 and (k == -d or (k != d and place(k - 1) < place(k + 1)))
-        pi = 0 if not d else place(k + 1) if down else place(k - 1) + 1
-        pj = pi - k
-        while i > pi and j > pj:
+    width = (n + 7) // 8
+    bits = rows[-1].to_bytes(width, "little")
+    while i and j:
+        if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-            out.append(("=", i, j))
-        if d and down:
-            j -= 1
-            out.append(("+", i, j))
-        elif d:
+            out.append((i, j))
+        elif bits[(i - 1) >> 3] >> ((i - 1) & 7) & 1:  # a's item adds nothing
             i -= 1
-            out.append(("-", i, j))
+            continue
+        else:
+            j -= 1
+        if j:
+            bits = rows[j - 1].to_bytes(width, "little")
     return out[::-1]
 
 

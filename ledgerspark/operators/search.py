@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scalars as S
 from ..functions.ignore import SEARCH_EXCLUDES, glob_match, is_ignored
+from ..scratch import Scratch
+from .scans import prefix_sums
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -62,10 +64,9 @@ def head_limit(found: DataFrame, n: int) -> DataFrame:
 
 
 def output_cap(found: DataFrame, most: int) -> DataFrame:
-    """The first lines of the whole output, up to ``most`` bytes. A line has a byte at least
-    (its line feed), so no more than ``most`` rows reach the task that sums them."""
-    upto = F.sum(F.octet_length("line").cast("long") + 1).over(W.orderBy("path", "line_no"))
-    return found.orderBy("path", "line_no").limit(most).withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
+    """The first lines of the whole output, up to ``most`` bytes (a line feed a line included)."""
+    size = F.octet_length("line").cast("long") + 1
+    return prefix_sums(found, ["path", "line_no"], size, Scratch(found.sparkSession, "output"), most).drop("upto")
 
 
 def grep_multiline(files: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:

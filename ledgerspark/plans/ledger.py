@@ -11,7 +11,7 @@ from ..config import DEFAULT
 from ..functions import scalars as S
 from ..operators import ledger as L
 from ..operators import windows as V
-from ..operators.scans import spread
+from ..operators.scans import nearest_ranks, spread
 from ..scratch import Scratch
 from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, raw_actions, table, versions
 
@@ -424,12 +424,9 @@ def _(spark, d):
 
 @q("quantiles", f"{A}, r AS (SELECT tokens_full AS t, row_number() OVER (ORDER BY tokens_full, action_id) - 1 AS i, count(*) OVER () AS n FROM actions WHERE kind = 'read') SELECT max(t) FILTER (i = CAST(round(0.5 * (n - 1)) AS BIGINT)) AS p50, max(t) FILTER (i = CAST(round(0.95 * (n - 1)) AS BIGINT)) AS p95, max(t) FILTER (i = CAST(round(0.99 * (n - 1)) AS BIGINT)) AS p99 FROM r")
 def _(spark, d):
-    # nearest rank over a histogram of distinct values: the ordered pass sees counts, not rows
-    hist = actions(spark, d).where("kind = 'read'").groupBy("tokens_full").agg(F.count("*").alias("c"))
-    w = W.orderBy("tokens_full")
-    cum = hist.select("tokens_full", F.sum("c").over(w).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
-    at = lambda p: F.min(F.when(F.col("upto") > F.round(F.lit(p) * (F.col("n") - 1)).cast("long"), F.col("tokens_full")))
-    return cum.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    values = actions(spark, d).where("kind = 'read'").select("tokens_full")
+    found = nearest_ranks(values, [0.5, 0.95, 0.99], Scratch(spark, "quantiles"))
+    return spark.createDataFrame([tuple(found)], "p50 long, p95 long, p99 long")
 
 
 PRICES = (("small", 1.0), ("medium", 3.0), ("large", 15.0))

@@ -9,6 +9,7 @@ from ..functions import diff as D
 from ..functions import scalars as S
 from ..functions.outline import hits_of, outline_of, warnings_of
 from ..operators import ledger as L
+from ..operators.scans import overlaps
 from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, table
 from .ledger import DIFFS
 
@@ -67,9 +68,13 @@ def _(spark, d):
 
 @q("range_overlap_hits", f"{ISLANDS} SELECT e.action_id, count(m.s) AS hits FROM actions e LEFT JOIN m ON m.session_id = e.session_id AND m.file_path = e.file_path AND e.win_end >= m.s AND e.win_start <= m.e WHERE e.kind = 'edit' GROUP BY 1")
 def _(spark, d):
-    e = actions(spark, d).where("kind = 'edit'").select("action_id", "session_id", "file_path", "win_start", "win_end")
-    j = e.join(_seen(spark, d), ["session_id", "file_path"], "left")
-    return j.select("action_id", F.coalesce(F.expr("cast(size(filter(coalesce(seen, array()), x -> win_end >= x.s and win_start <= x.e)) as bigint)"), F.lit(0)).alias("hits"))
+    """How many of the ranges that a session has seen of a file each edit touches: an interval
+    join in bins of lines."""
+    e = actions(spark, d).where("kind = 'edit'").select("action_id", "session_id", "file_path", C("win_start").alias("low"), C("win_end").alias("high"))
+    p = actions(spark, d).where("kind = 'partial'").select("session_id", "file_path", C("win_start").alias("s"), C("win_end").alias("e"))
+    seen = L.islands(p, ["session_id", "file_path"]).withColumnsRenamed({"s": "low", "e": "high"})
+    hits = overlaps(e, seen, ["session_id", "file_path"]).groupBy("action_id").agg(F.count("*").alias("hits"))
+    return e.select("action_id").join(hits, "action_id", "left").select("action_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 @q("point_in_ranges", f"{ISLANDS} SELECT session_id, file_path, s, e FROM m WHERE s <= 50 AND 50 <= e")

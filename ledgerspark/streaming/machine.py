@@ -37,18 +37,18 @@ ORDER = ["occurred_at", "action_id"]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merge(ranges: list[list[int]]) -> list[list[int]]:
     """Inclusive ranges in order, joined where they overlap or touch; invalid ones dropped."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for a, b in ranges if 1 <= a <= b):
+    out: list[list[int]] = []
+    for a, b in sorted([a, b] for a, b in ranges if 1 <= a <= b):
         if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append((a, b))
+            out.append([a, b])
     return out
 
 
-def covers(ranges: list[tuple[int, int]], first: int, last: int) -> bool:
+def covers(ranges: list[list[int]], first: int, last: int) -> bool:
     """Whether merged ranges hold a range; an invalid one is held by none."""
     return 1 <= first <= last and any(a <= first and last <= b for a, b in ranges)
 
@@ -61,7 +61,7 @@ class Known:
     bytes: int
     lines: int
     last_kind: str = ""
-    seen: list[tuple[int, int]] = field(default_factory=list)
+    seen: list[list[int]] = field(default_factory=list)
 
 
 def step(have: Known | None, a) -> tuple[Known | None, str]:
@@ -77,16 +77,16 @@ def step(have: Known | None, a) -> tuple[Known | None, str]:
         first = max(int(a.win_start), 1)
         last = min(int(a.win_end), max(now.lines, have.lines if have else 0, first))
         if have is None:
-            now.seen = merge([(first, last)])
+            now.seen = merge([[first, last]])
             return now, "partial-silent"
         now.last_kind = have.last_kind
         if have.hash != now.hash:
-            now.seen = merge([(first, last)])
+            now.seen = merge([[first, last]])
             return now, "partial-external"
         known = covers(have.seen, first, last)
-        now.seen = have.seen if known else merge([*have.seen, (first, last)])
+        now.seen = have.seen if known else merge([*have.seen, [first, last]])
         return now, "partial-unchanged" if known else "partial-uncovered"
-    now.last_kind, now.seen = "read", merge([(1, now.lines)])
+    now.last_kind, now.seen = "read", merge([[1, now.lines]])
     if have is None:
         return now, "first"
     if have.last_kind == "edit":
@@ -160,7 +160,7 @@ class Files(StatefulProcessor):
         have, segment = None, None
         if self.base.exists():
             started, epoch, *value = self.base.get()
-            have, segment = Known(*value, [(a, b) for a, b in self.seen.get()]), (started, epoch)
+            have, segment = Known(*value, [[a, b] for a, b in self.seen.get()]), (started, epoch)
         before, out = (have, segment), []
         for a in pdf.itertuples():
             if a.late or a.kind == "reset":

@@ -1,5 +1,6 @@
 """Text kernels: cases, brute force and properties."""
 
+import random
 import re
 import subprocess
 import sys
@@ -163,3 +164,52 @@ def test_import_needs_no_llm():
 
 def test_config_is_frozen():
     assert DEFAULT.ttl == 7200
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("kept", [1 << 28, 40])
+def test_edit_scripts_are_shortest(monkeypatch, kept):
+    """Of texts with many repeated lines, with all rows kept and in halves."""
+    rng = random.Random(kept)
+    monkeypatch.setattr(D, "KEPT_BITS", kept)
+    for _ in range(600):
+        a, b = ([rng.choice(letters) + "\n" for _ in range(rng.randint(0, 25))] for letters in ("abcde", "abcdx"))
+        script = D.edit_script(a, b)
+        assert sum(op == "=" for op, _, _ in script) == longest(a, b)
+        assert [a[i] for op, i, _ in script if op != "+"] == a and [b[j] for op, _, j in script if op != "-"] == b
+        assert D.apply_diff("".join(a), D.unified_diff("f", "".join(a), "".join(b))) == "".join(b)
+
+
+@pytest.mark.parametrize("width", [78, 39, 19, 1])
+def test_diffs_of_large_texts(width):
+    """Two 99 KB texts over 400 lines in different orders: seconds, not minutes, and little memory."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(width)
+    lines = ["".join(rng.choice("abcdef") for _ in range(width)) + "\n" for _ in range(400)]
+    old, new = ("".join(rng.choice(lines) for _ in range(99 * 1024 // (width + 1))) for _ in range(2))
+    began = time.perf_counter()
+    found = D.unified_diff("f", old, new)
+    took = time.perf_counter() - began
+    assert D.apply_diff(old, found) == new and took < 10
+    if width > 1:
+        tracemalloc.start()
+        D.unified_diff("f", old, new)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
+def test_texts_beyond_the_bound_are_replaced(monkeypatch):
+    monkeypatch.setattr(D, "MOST_CELLS", 10)
+    old, new = "a\nb\nc\nd\ne\n", "a\nc\nb\nd\nc\ne\n"
+    found = D.unified_diff("f", old, new)
+    assert D.apply_diff(old, found) == new and "-b\n-c\n-d\n+c\n+b\n+d\n+c\n" in found

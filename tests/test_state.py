@@ -178,13 +178,3 @@ def test_window_charges_by_hand(spark):
         3: ("partial-gated", 7, 7, tokens(7, 7), tokens(7, 7)), 4: ("partial-uncovered", 20, 30, tokens(20, 30), tokens(20, 30)),
         5: ("partial-unchanged", 5, 30, tokens(5, 30), header(5, 30)), 7: ("partial-unchanged", 70, 80, tokens(70, 80), header(70, 80)),
     }
-
-
-@pytest.mark.parametrize("ranges, want", [([(1, 10), (11, 20)], [(1, 20)]), ([(50, 60), (10, 20)], [(10, 20), (50, 60)]), ([(0, 5), (10, 8), (1, 1), (5, 5)], [(1, 1), (5, 5)])])
-def test_merge(ranges, want):
-    assert M.merge(ranges) == want
-
-
-@pytest.mark.parametrize("first, last, want", [(1, 50, True), (100, 150, True), (49, 51, False), (200, 201, False), (0, 5, False), (10, 5, False)])
-def test_covers(first, last, want):
-    assert M.covers([(1, 50), (100, 200)], first, last) is want and not M.covers([], first, last)
