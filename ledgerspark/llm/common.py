@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,21 +32,6 @@ def release() -> None:
         pass
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set and
-    all run on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="ledgerspark-"))
-    return base.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Rows that hold whole texts go to Python a thousand at a time, unless the session says
     otherwise: with Spark's 10000, what is under way can outgrow a small executor."""
@@ -56,35 +40,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor loses none of them.
-
-    ``keep`` writes a frame and reads it again; ``drop`` removes one that is no longer
-    read. What is left goes when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
-        path, fs = self._fs(self.root)
-        fs.deleteOnExit(path)
-
-    def _fs(self, where: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(where)
-        out = self.spark.read.schema(df.schema).parquet(where)
-        self.paths[id(out)] = (out, where)
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path, fs = self._fs(self.paths[id(df)][1])
-            fs.delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
