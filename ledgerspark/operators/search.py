@@ -25,11 +25,27 @@ def glob(files: DataFrame, pattern: str, limit: int, newest: Column) -> DataFram
     return out.orderBy(newest.desc(), "path").limit(limit)
 
 
-def searched(files: DataFrame, pattern: str, glob: str | None = None, ignore_case: bool = False) -> DataFrame:
+#: Endings of the names of files of a type.
+TYPES = {
+    "c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "hpp", "hh"), "cs": ("cs",), "go": ("go",), "html": ("html", "htm"), "java": ("java",), "js": ("js", "jsx", "mjs", "cjs"),
+    "json": ("json",), "kotlin": ("kt", "kts"), "md": ("md", "markdown"), "py": ("py", "pyi"), "rust": ("rs",), "ts": ("ts", "tsx"), "txt": ("txt",), "yaml": ("yaml", "yml"),
+}
+
+
+def of_type(path: Column, name: str) -> Column:
+    """Whether a path's name ends as files of the type do; ValueError for a type that isn't known."""
+    if name not in TYPES:
+        raise ValueError(f"no such file type: {name!r}")
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)).isin(*TYPES[name])
+
+
+def searched(files: DataFrame, pattern: str, glob: str | None = None, ignore_case: bool = False, type: str | None = None) -> DataFrame:
     """Lines with ``hit``, of files that may be searched."""
     files = files.where(~is_ignored(F.col("path"), (), SEARCH_EXCLUDES))
     if glob:
         files = files.where(glob_match(F.col("path"), glob))
+    if type:
+        files = files.where(of_type(F.col("path"), type))
     return lines(files).withColumn("hit", F.rlike("line", F.lit(("(?i)" if ignore_case else "") + pattern)))
 
 
@@ -53,6 +69,25 @@ def grep_files(files: DataFrame, pattern: str, **options) -> DataFrame:
     return files.where(F.rlike("content", F.lit(flags + pattern))).select("path")
 
 
+def numbered(found: DataFrame, mode: str = "content", numbers: bool = False) -> DataFrame:
+    """``path, line_no, text``: what a search prints of each line: its path, with ``numbers`` its
+    number, and the line; ``:`` after what matches, ``-`` after lines around it."""
+    mark = F.when(F.col("hit"), ":").otherwise("-")
+    number = F.concat(F.col("line_no").cast("string"), mark) if numbers else F.lit("")
+    return found.select("path", "line_no", F.concat("path", mark, number, "line").alias("text"))
+
+
+def pass_through(files: DataFrame, pattern: str, keys: list[str], ignored: tuple[str, ...] = (), forced: bool = False, **options) -> DataFrame:
+    """By ``keys`` (columns of ``files``): ``hits``, ``dropped`` (hits in ignored files, which aren't
+    told) and whether the search is left to the agent (``passed``): it found nothing and nothing was
+    dropped, so there is nothing to tell, unless it is ``forced``."""
+    flags = "(?mi)" if options.get("ignore_case") else "(?m)"
+    n = F.regexp_count("content", F.lit(flags + pattern)).cast("long")
+    out = is_ignored(F.col("path"), ignored)
+    found = files.groupBy(*keys).agg(F.coalesce(F.sum(F.when(~out, n)), F.lit(0)).alias("hits"), F.coalesce(F.sum(F.when(out, n)), F.lit(0)).alias("dropped"))
+    return found.withColumn("passed", (F.col("hits") == 0) & (F.col("dropped") == 0) & F.lit(not forced))
+
+
 def byte_cap(found: DataFrame, most: int) -> DataFrame:
     """Each file's first lines up to ``most`` bytes."""
     upto = F.sum(F.octet_length("line").cast("long") + 1).over(W.partitionBy("path").orderBy("line_no"))

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import scalars as S
+from ..scratch import Scratch
+from ..sources import requests as R
+from ..sources.store import ContentStore
 from ..sources.tables import ACTIONS_SQL, FILES_SQL, actions, files, table
 from .ledger import CLASSIFIED
 
@@ -235,19 +238,87 @@ def _(spark, d):
         F.when(e % 5 == 0, '{"id":1,"method":"ping"}').when(e % 5 == 1, '{"id":1,"method":"tools/call","params":{"name":"read_file","arguments":{"file_path":"a"}}}')
         .when(e % 5 == 2, '{"id":1,"method":"nope"}').when(e % 5 == 3, "{nope").otherwise('{"id":1,"method":"tools/call","params":{"name":"read_file"}}')
     )
-    return table(spark, d, "events").select("event_id", rpc_code(line).alias("code"))
+    rows = R.rpc(R.faults(table(spark, d, "events").select("event_id", line.alias("line"))))
+    return rows.select("event_id", F.coalesce("code", F.lit(0)).alias("code"))
 
 
-def rpc_code(line):
-    from pyspark.sql.functions import get_json_object as g
-
-    method = g(line, "$.method")
-    valid = F.expr("1").isNotNull() & F.try_parse_json(line).isNotNull()
-    return (
-        F.when(F.octet_length(line) > DEFAULT.payload_max_bytes, -32600).when(~valid, -32700).when(method.isNull(), -32600)
-        .when(~method.isin("initialize", "ping", "tools/list", "tools/call"), -32601)
-        .when((method == "tools/call") & g(line, "$.params.arguments.file_path").isNull(), -32602).otherwise(0)
+def asked(spark, d):
+    """Lines of requests made from events: every method, errors of every kind, notifications."""
+    e, n = C("event_id").cast("string"), C("event_id") % 9
+    path = F.concat(F.lit("/w/f"), (C("event_id") % 50).cast("string"))
+    call = lambda body: F.concat(F.lit('{"id":'), e, F.lit(',"method":"tools/call"'), body, F.lit("}"))
+    line = (
+        F.when(n == 0, F.concat(F.lit('{"id":"'), e, F.lit('","method":"ping"}'))).when(n == 1, call(F.concat(F.lit(',"params":{"name":"read_file","arguments":{"file_path":"'), path, F.lit('"}}'))))
+        .when(n == 2, F.concat(F.lit('{"id":'), e, F.lit(',"method":"nope"}'))).when(n == 3, F.concat(F.lit("{nope "), e)).when(n == 4, call(F.lit(',"params":{"name":"read_file"}')))
+        .when(n == 5, F.concat(F.lit('{"method":"'), e, F.lit('"}'))).when(n == 6, call(F.lit(""))).when(n == 7, F.concat(F.lit('{"id":'), e, F.lit(',"pad":"'), F.repeat(F.lit("x"), 300), F.lit('"}')))
+        .otherwise(call(F.concat(F.lit(',"params":{"name":"tool'), e, F.lit('"}'))))
+    )
+    return table(spark, d, "events").select(C("event_id").alias("line_id"), line.alias("line"))
+
+
+@q("rpc_replies", """WITH x AS (SELECT event_id, event_id % 9 AS n, event_id % 50 AS k FROM events), t AS (SELECT user_id % 50 AS k, count(*) AS c FROM events WHERE user_id % 50 < 40 GROUP BY 1)
+SELECT event_id AS line_id, '{"jsonrpc":"2.0","id":' || CASE n WHEN 0 THEN '"' || event_id || '"' WHEN 3 THEN 'null' WHEN 7 THEN 'null' ELSE event_id || '' END || ',' || CASE n WHEN 0 THEN '"result":{}'
+  WHEN 1 THEN '"result":{"content":[{"type":"text","text":"' || CASE WHEN c IS NULL THEN 'can''t be read: /w/f' || x.k ELSE c || ' events\\nof users \\"' || x.k || '\\"' END || '"}],"isError":' || CASE WHEN c IS NULL THEN 'true' ELSE 'false' END || '}'
+  WHEN 2 THEN '"error":{"code":-32601,"message":"no such method"}' WHEN 3 THEN '"error":{"code":-32700,"message":"not JSON"}' WHEN 4 THEN '"error":{"code":-32602,"message":"no arguments"}'
+  WHEN 6 THEN '"error":{"code":-32602,"message":"no params"}' WHEN 7 THEN '"error":{"code":-32600,"message":"a request is over 0 MiB"}' ELSE '"error":{"code":-32602,"message":"no such tool: tool' || event_id || '"}' END || '}' AS reply
+FROM x LEFT JOIN t USING (k) WHERE n <> 5""")
+def _(spark, d):
+    """Replies to a log of requests, with a cap of 256 bytes a line."""
+    from dataclasses import replace
+
+    config = replace(DEFAULT, payload_max_bytes=256)
+    k = C("user_id") % 50
+    told = table(spark, d, "events").where(k < 40).groupBy(k.alias("k")).agg(F.count("*").alias("c"))
+    text = F.concat(C("c").cast("string"), F.lit(' events\nof users "'), C("k").cast("string"), F.lit('"'))
+    answers = told.select(F.concat(F.lit("/w/f"), C("k").cast("string")).alias("file_path"), text.alias("text"))
+    return R.replies(R.rpc(R.faults(asked(spark, d), config), config), answers, "/w", config).select("line_id", "reply")
+
+
+@q("hook_actions", f"""WITH x AS (SELECT event_id, event_id % 10 AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id AS line_id, CASE n WHEN 3 THEN 'r' WHEN 8 THEN 'dflt' ELSE 's' || event_id % 7 END AS session_id,
+  CASE WHEN n IN (0, 1, 4, 5, 7) THEN 'src/f' || k || '.txt' END AS file_path,
+  CASE n WHEN 0 THEN 'read' WHEN 1 THEN 'partial' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'reset' END WHEN 3 THEN 'reset' WHEN 4 THEN 'edit' WHEN 5 THEN 'guard' WHEN 6 THEN 'grep' WHEN 7 THEN 'read' WHEN 8 THEN 'glob' END AS action,
+  CASE WHEN n = 1 THEN greatest(k, 1) END AS win_start, CASE WHEN n = 1 THEN greatest(k, 1) + CASE WHEN event_id % 2 = 0 THEN 9 ELSE 1999 END END AS win_end,
+  CAST(CASE n WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END AS INTEGER) AS edits, CASE WHEN n IN (6, 8) THEN 'p' || k END AS pattern, CAST(CASE WHEN n IN (6, 8) THEN CASE n WHEN 6 THEN 3 ELSE 0 END END AS BIGINT) AS after, n = 9 AS malformed
+FROM (SELECT *, event_id % 3 FROM x)""")
+def _(spark, d):
+    """Payloads of all eight kinds, and malformed ones, made from events."""
+    n, s, k = C("event_id") % 10, F.concat(F.lit('"session_id":"s'), (C("event_id") % 7).cast("string"), F.lit('"')), F.get_json_object("props", "$.k")
+    path = F.concat(F.lit('"src/f'), k, F.lit('.txt"'))
+    wrap = lambda tool, *inner: F.concat(F.lit("{"), s, F.lit(f',"tool_name":"{tool}","tool_input":{{'), *inner, F.lit("}}"))
+    limit = F.when(C("event_id") % 2 == 0, F.lit(',"limit":10')).otherwise(F.lit(""))
+    line = (
+        F.when(n == 0, wrap("Read", F.lit('"file_path":'), path)).when(n == 1, wrap("Read", F.lit('"file_path":'), path, F.lit(',"offset":'), k, limit))
+        .when(n == 2, F.concat(F.lit("{"), s, F.lit(',"source":"'), F.get(F.lit(["compact", "startup", "other"]), (C("event_id") % 3).cast("int")), F.lit('"}'))).when(n == 3, F.lit('{"sessionId":"r"}'))
+        .when(n == 4, wrap("MultiEdit", F.lit('"file_path":'), path, F.lit(',"edits":[{"old_string":"a","new_string":"b"},{"old_string":"c","new_string":""}]')))
+        .when(n == 5, wrap("NotebookEdit", F.lit('"notebook_path":'), path, F.lit(',"new_string":"x"'))).when(n == 6, wrap("Grep", F.lit('"pattern":"p'), k, F.lit('","-C":3,"-i":true')))
+        .when(n == 7, F.concat(F.lit("{"), s, F.lit(',"file_path":'), path, F.lit("}"))).when(n == 8, F.concat(F.lit('{"tool_name":"Glob","tool_input":{"pattern":"p'), k, F.lit('"}}')))
+        .otherwise(F.concat(F.lit("{"), s))
     )
+    hooks = F.lit(["read", "read", "session_start", "compress", "post_edit", "pre_edit", "grep", "plain_read", "glob", "read"])
+    rows = table(spark, d, "events").select(C("event_id").alias("line_id"), F.get(hooks, n.cast("int")).alias("hook"), line.alias("line"), (C("event_id") % 7).alias("g"))
+    out = R.payloads(R.faults(rows), "dflt")
+    session = F.when(C("malformed"), F.concat(F.lit("s"), C("g").cast("string"))).otherwise(C("session_id"))
+    return out.select(
+        "line_id", session.alias("session_id"), "file_path", "action", "win_start", "win_end", F.coalesce(F.size("edits"), F.lit(0)).alias("edits"),
+        C("search.pattern").alias("pattern"), C("search.after").alias("after"), "malformed",
+    )
+
+
+@q("content_round_trip", "SELECT doc_id, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) % 3 <> 0 AS kept FROM documents")
+def _(spark, d):
+    """All texts written to a store by their hash, twice, the store compacted, some contents removed, and each document read back."""
+    store = ContentStore(spark, Scratch(spark, "store").root + "/contents", 1)
+    own = files(spark, d).select("doc_id", C("content"), S.content_hash(C("content")).alias("content_hash"))
+    odd = C("doc_id") % 2 == 0
+    store.add(own.where(odd))
+    store.add(own)
+    store.compact()
+    store.remove(own.where(F.octet_length("content") % 3 == 0))
+    back = store.read().select("content_hash", C("content").alias("back"))
+    both = own.join(back, "content_hash", "left")
+    size = F.octet_length(F.coalesce("back", "content")).cast("long")
+    return both.select("doc_id", "content_hash", size.alias("n_bytes"), C("back").isNotNull().alias("kept"))
 
 
 @q("hook_responses", f"""{CLASSIFIED} SELECT action_id, CASE WHEN outcome IN ('unchanged', 'delta') THEN '{{"decision":"deny","reason":"' || outcome || ' ' || file_path || '"}}' ELSE '{{"decision":"allow"}}' END AS response FROM classified WHERE kind = 'read'""")

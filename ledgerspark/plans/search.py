@@ -89,6 +89,36 @@ def _(spark, d):
     return G.grep_multiline(files(spark, d), "[.] *\\n[A-Z]")
 
 
+#: Files with a language's ending, those of one in a folder that is ignored by default.
+NAMED = """named AS (SELECT doc_id, source, CASE lang WHEN 'de' THEN 'node_modules/' ELSE '' END || source || '/' || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'fr' THEN '.rs' ELSE '.md' END AS path, text AS content FROM documents)"""
+
+
+def named(spark, d):
+    t = table(spark, d, "documents")
+    folder, end = F.when(F.col("lang") == "de", "node_modules/").otherwise(""), F.when(F.col("lang") == "en", ".py").when(F.col("lang") == "fr", ".rs").otherwise(".md")
+    return t.select("doc_id", "source", F.concat(folder, F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), end).alias("path"), F.col("text").alias("content"))
+
+
+@q("grep_type", f"""WITH {NAMED}, ln AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT path, CASE WHEN ends_with(content, chr(10)) THEN string_split(content, chr(10))[:-2] ELSE string_split(content, chr(10)) END AS ls FROM named WHERE content <> '' AND ends_with(path, '.py')))
+SELECT path, line_no, path || ':' || line_no || ':' || regexp_replace(line, chr(13) || '$', '') AS text FROM ln WHERE regexp_matches(line, 'th[aeiou]+n\\b')""")
+def _(spark, d):
+    """Matches in files of one type, with line numbers, as they are printed."""
+    return G.numbered(G.grep_content(named(spark, d), r"th[aeiou]+n\b", type="py"), numbers=True)
+
+
+@q("grep_pass_through", f"""WITH {NAMED}, x AS (SELECT source, starts_with(path, 'node_modules/') AS out, CAST(len(regexp_extract_all(content, 'MIT License')) AS BIGINT) AS n FROM named)
+SELECT source, CAST(coalesce(sum(n) FILTER (NOT out), 0) AS BIGINT) AS hits, CAST(coalesce(sum(n) FILTER (out), 0) AS BIGINT) AS dropped, coalesce(sum(n), 0) = 0 AS passed FROM x GROUP BY 1""")
+def _(spark, d):
+    """Of each source whether a search is left to the agent, as nothing was found or dropped."""
+    return G.pass_through(named(spark, d), "MIT License", ["source"])
+
+
+@q("default_ignores", f"WITH {NAMED} SELECT doc_id, starts_with(path, 'node_modules/') AS ignored FROM named")
+def _(spark, d):
+    """What the list of default patterns leaves out."""
+    return named(spark, d).select("doc_id", is_ignored(F.col("path")).alias("ignored"))
+
+
 @q("prefix_filter", f"WITH {FILES_SQL} SELECT path FROM files WHERE path = 'src1' OR starts_with(path, 'src1/')")
 def _(spark, d):
     return files(spark, d).where((F.col("path") == "src1") | F.startswith("path", F.lit("src1/"))).select("path")
