@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .scalars import basename
 
-#: What is ignored unless allowed.
+#: What is ignored unless allowed: the engine's own choice of names that tools are known by.
 DEFAULTS = (
     # version control
     ".git/**", "**/.git/**", ".hg/**", "**/.hg/**", ".svn/**", "**/.svn/**",

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, LedgerConfig
-from .scalars import FALLBACKS, format_age
+from .scalars import fallback_label, format_age
 
 
 def _line(config: LedgerConfig, *parts) -> Column:
@@ -23,16 +23,15 @@ def window_unchanged(path: Column, first: Column, last: Column, config: LedgerCo
     return _line(config, "unchanged ", path, ", lines ", first, "-", last)
 
 
-def delta(path: Column, full: Column, sent: Column, config: LedgerConfig = DEFAULT) -> Column:
-    return _line(config, "delta ", path, ", ", sent, " of ", full, " tokens")
+def header(kind: Column | str, path: Column, tokens: Column, config: LedgerConfig = DEFAULT) -> Column:
+    """What stands before a text, a diff, or in place of a text (``first``, ``delta``,
+    ``unchanged``), and is charged."""
+    return _line(config, kind, " ", path, " ", tokens, " tokens")
 
 
-def window_delta(path: Column, first: Column, last: Column, config: LedgerConfig = DEFAULT) -> Column:
-    return _line(config, "delta ", path, ", lines ", first, "-", last)
-
-
-def fallback(path: Column, reason: str, config: LedgerConfig = DEFAULT) -> Column:
-    return _line(config, "full ", path, ", ", FALLBACKS[reason])
+def fallback(path: Column, reason: Column, config: LedgerConfig = DEFAULT) -> Column:
+    """Stands before a text that is told in full; isn't charged."""
+    return _line(config, "full ", path, ", ", fallback_label(reason))
 
 
 def deleted(path: Column, config: LedgerConfig = DEFAULT) -> Column:

@@ -85,8 +85,21 @@ def classified(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
 
 def header(outcome: Column | str, config: LedgerConfig = DEFAULT) -> Column:
     """What stands before a reply; its bytes are sent, so they count."""
-    kind = F.lit(outcome) if isinstance(outcome, str) else outcome
-    return F.concat(F.lit(f"[{config.tag}: "), kind, F.lit(" "), F.col("file_path"), F.lit(" "), F.col("tokens_full").cast("string"), F.lit(" tokens]\n"))
+    return render.header(outcome, F.col("file_path"), F.col("tokens_full"), config)
+
+
+def replies(facts: DataFrame, statuses: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+    """``action_id, reply``: what is said of each read besides its text or diff. A first read also
+    says what other sessions' sight of the file makes of it, and every reply closes with what
+    the session has read and saved so far."""
+    told = facts.join(statuses.select("action_id", "status"), "action_id", "left")
+    saved = F.col("charged_full") - F.col("charged_sent")
+    told = running(told, ["session_id"], ORDER, sums={"reads": F.lit(1).cast("long"), "saved": saved})
+    path, outcome = F.col("file_path"), F.col("outcome")
+    own = F.when(outcome == "fallback", render.fallback(path, F.col("reason"), config)).when(outcome == "deleted", render.deleted(path, config))
+    own = own.when(outcome.isin("first", "unchanged", "delta"), render.header(outcome, path, F.col("charged_full"), config)).otherwise("")
+    other = F.when(outcome == "first", render.registry(F.coalesce("status", F.lit("unknown")), config)).otherwise("")
+    return told.select("action_id", F.concat(own, other, render.session_segment(F.col("session_id"), F.col("reads"), F.col("saved"))).alias("reply"))
 
 
 def tokens_of(n_bytes: Column) -> Column:
@@ -117,32 +130,36 @@ def diff_sizes(both: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
 
 
 def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
-    """``charged_full, charged_sent, logged_full, logged_sent`` of every read.
-
-    A delta is charged its header and diff, unless the diff is too complex or costs as much
-    as the text: then it's a ``fallback``, charged in full without a header, as is a reply of
-    ``unchanged`` that costs more than its text. A passthrough is charged in full and logged
-    as nothing, unless its edit is certified: then it's a ``certificate``, charged that, or a
-    ``fallback`` where the text costs no more."""
+    """``outcome, reason, charged_full, charged_sent, logged_full, logged_sent`` of every read.
+
+    A delta is charged its header and diff. What isn't worth its header, or can't be told short,
+    is a ``fallback``, charged in full without a header, for a ``reason``: the text is a
+    ``large_file``, it was ``truncated``, its diff is ``too_complex`` or costs as much as the text
+    (``diff_bigger``), or a reply of ``unchanged`` or a certificate does (``overhead``). A
+    passthrough is charged in full and logged as nothing, unless its edit is certified: then it's
+    a ``certificate``, charged that."""
     reads = _told(classified_).join(diffs, ["file_no", "old_rev", "rev"], "left")
-    full, delta = F.col("tokens_full"), tokens_of(F.octet_length(header("delta", config)) + F.col("diff_bytes"))
-    changed, certificate = F.col("outcome") == "delta", tokens_of(F.col("certificate_bytes"))
-    outcome = (
-        F.when(changed & (F.col("too_complex") | (delta >= full)), "fallback")
-        .when(F.col("edit_rev").isNotNull(), F.when(certificate >= full, "fallback").otherwise("certificate"))
-        .otherwise(F.col("outcome"))
-    )
+    full, told, certified = F.col("tokens_full"), F.col("outcome"), F.col("edit_rev").isNotNull()
+    said = lambda kind: tokens_of(F.octet_length(header(kind, config)))
+    delta, certificate = tokens_of(F.octet_length(header("delta", config)) + F.col("diff_bytes")), tokens_of(F.col("certificate_bytes"))
+    reason = (
+        F.when(told.isin("first", "delta", "fallback") & (F.col("n_bytes") > config.text_max_bytes), "large_file").when(told == "fallback", "truncated")
+        .when((told == "delta") & F.col("too_complex"), "too_complex").when((told == "delta") & (delta >= full), "diff_bigger")
+        .when(certified & (certificate >= full), "overhead").when((told == "unchanged") & (said("unchanged") >= full), "overhead")
+    )
+    reads = reads.withColumn("reason", reason)
+    outcome = F.when(F.col("reason").isNotNull(), "fallback").when(certified, "certificate").otherwise(told)
     reads = reads.withColumn("outcome", outcome)
     sent = (
-        F.when(F.col("outcome") == "unchanged", F.least(tokens_of(F.octet_length(header("unchanged", config))), full))
-        .when(F.col("outcome") == "first", tokens_of(F.octet_length(header("first", config)) + F.col("n_bytes")))
-        .when(F.col("outcome") == "delta", delta)
-        .when(F.col("outcome") == "certificate", certificate)
+        F.when(told == "unchanged", said("unchanged"))
+        .when(told == "first", tokens_of(F.octet_length(header("first", config)) + F.col("n_bytes")))
+        .when(told == "delta", delta)
+        .when(told == "certificate", certificate)
         .otherwise(full)
     )
-    passed = F.col("outcome") == "passthrough"
+    passed = told == "passthrough"
     return reads.select(
-        "action_id", "session_id", "file_path", "occurred_at", "outcome", "epoch",
+        "action_id", "session_id", "file_path", "occurred_at", "outcome", "reason", "epoch",
         full.alias("charged_full"), sent.alias("charged_sent"),
         F.when(passed, F.lit(0).cast("long")).otherwise(full).alias("logged_full"), F.when(passed, F.lit(0).cast("long")).otherwise(sent).alias("logged_sent"),
     )
@@ -189,8 +206,11 @@ def last_sight(seen: DataFrame, columns: list[str], days: int = 1) -> DataFrame:
     return lagged(seen, ["file_path"], ORDER, F.call_function("div", F.col("occurred_at"), F.lit(86_400 * days)), columns)
 
 
-def registry_status(actions: DataFrame) -> DataFrame:
-    """How a session's first read of a file compares with what any session last saw of it."""
+def registry_status(actions: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+    """How each read of a file compares with what any session last saw of it; without the
+    registry nothing is known."""
+    if not config.registry_enabled:
+        return actions.where("kind = 'read'").select("action_id", "file_path", F.lit("unknown").alias("status"))
     seen = last_sight(actions.where("kind = 'read'").select("action_id", "occurred_at", "file_path", "content_hash"), ["content_hash"])
     known = F.col("known_content_hash")
     status = F.when(known.isNull(), "unknown").when(known == F.col("content_hash"), "unchanged").otherwise("changed")
@@ -208,7 +228,7 @@ def islands(ranges: DataFrame, keys: list[str], start: str = "s", end: str = "e"
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def keep_last(events: DataFrame, n: int) -> DataFrame:
+def keep_last(events: DataFrame, n: int = DEFAULT.replay_keep) -> DataFrame:
     """The newest n rows of each session."""
     w = W.partitionBy("session_id").orderBy(F.desc("action_id"))
     return events.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")

@@ -337,7 +337,7 @@ def _(spark, d):
     return actions(spark, d).select("action_id", S.day_of(C("occurred_at")).alias("day"))
 
 
-@q("utf8_cut")
+@q("utf8_cut", f"{FL} SELECT doc_id, CASE WHEN strlen(content) <= 100 THEN content ELSE substr(content, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substr(content, 1, k)) <= 100))) || '...' END AS cut FROM files")
 def _(spark, d):
     return files(spark, d).select("doc_id", S.utf8_cut(C("content"), 100, "...").alias("cut"))
 

@@ -66,10 +66,11 @@ sized AS (SELECT c.* EXCLUDE (outcome), outcome AS told, diff_bytes, too_complex
   strlen('[ledger: edit confirmed ' || file_path || ']' || chr(10)) + 12 + strlen(' -> ') + 12 + strlen(chr(10) || 'lines ') + listed + 1 AS cert_bytes,
   strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || tokens_full || ' tokens]' || chr(10)) AS h FROM classified c LEFT JOIN cert ON cert.action_id = c.action_id
   LEFT JOIN judged j ON j.file_no = c.file_no AND j.a = coalesce(cert.a, c.prev_rev) AND j.b = coalesce(cert.b, c.rev) LEFT JOIN touched t ON t.file_no = j.file_no AND t.a = j.a AND t.b = j.b WHERE kind = 'read'),
-headed AS (SELECT *, CASE WHEN told = 'delta' AND (too_complex OR (h + diff_bytes + 3) // 4 >= tokens_full) THEN 'fallback'
-  WHEN certified THEN CASE WHEN (cert_bytes + 3) // 4 >= tokens_full THEN 'fallback' ELSE 'certificate' END ELSE told END AS outcome FROM sized),
-account AS (SELECT action_id, session_id, file_path, occurred_at, outcome, epoch, tokens_full AS charged_full,
-  CAST(CASE outcome WHEN 'unchanged' THEN least((h + 3) // 4, tokens_full) WHEN 'first' THEN (h + n_bytes + 3) // 4 WHEN 'delta' THEN (h + diff_bytes + 3) // 4 WHEN 'certificate' THEN (cert_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
+why AS (SELECT *, CASE WHEN told IN ('first', 'delta', 'fallback') AND n_bytes > 102400 THEN 'large_file' WHEN told = 'fallback' THEN 'truncated' WHEN told = 'delta' AND too_complex THEN 'too_complex'
+  WHEN told = 'delta' AND (h + diff_bytes + 3) // 4 >= tokens_full THEN 'diff_bigger' WHEN certified AND (cert_bytes + 3) // 4 >= tokens_full THEN 'overhead' WHEN told = 'unchanged' AND (h + 3) // 4 >= tokens_full THEN 'overhead' END AS reason FROM sized),
+headed AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'fallback' WHEN certified THEN 'certificate' ELSE told END AS outcome FROM why),
+account AS (SELECT action_id, session_id, file_path, occurred_at, outcome, reason, epoch, tokens_full AS charged_full,
+  CAST(CASE outcome WHEN 'unchanged' THEN (h + 3) // 4 WHEN 'first' THEN (h + n_bytes + 3) // 4 WHEN 'delta' THEN (h + diff_bytes + 3) // 4 WHEN 'certificate' THEN (cert_bytes + 3) // 4 ELSE tokens_full END AS BIGINT) AS charged_sent FROM headed),
 facts AS (SELECT *, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_full END AS logged_full, CASE WHEN outcome = 'passthrough' THEN 0 ELSE charged_sent END AS logged_sent FROM account)"""
 
 
@@ -130,9 +131,9 @@ def _(spark, d):
     return told(spark, d).select("action_id", "session_id", "file_path", "outcome")
 
 
-@q("accounting", f"{ACCOUNT} SELECT action_id, outcome, charged_full, charged_sent, CAST(logged_full AS BIGINT) AS logged_full, CAST(logged_sent AS BIGINT) AS logged_sent FROM facts")
+@q("accounting", f"{ACCOUNT} SELECT action_id, outcome, reason, charged_full, charged_sent, CAST(logged_full AS BIGINT) AS logged_full, CAST(logged_sent AS BIGINT) AS logged_sent FROM facts")
 def _(spark, d):
-    return facts(spark, d).select("action_id", "outcome", "charged_full", "charged_sent", "logged_full", "logged_sent")
+    return facts(spark, d).select("action_id", "outcome", "reason", "charged_full", "charged_sent", "logged_full", "logged_sent")
 
 
 @q("certificate_accounting", f"{_account(7200)} SELECT action_id, outcome, charged_full, charged_sent FROM facts WHERE outcome IN ('certificate', 'passthrough')")
@@ -338,9 +339,9 @@ def _(spark, d):
     return facts(spark, d).where((F.col("occurred_at") >= NOW - 15 * 86_400) & F.ilike("file_path", F.lit("%F1%"))).select("action_id", "session_id", "file_path", "outcome")
 
 
-@q("replay_summary", f"{EV}, x AS (SELECT outcome, count(*) AS n, CAST(sum(logged_full) AS BIGINT) AS tokens_full, CAST(sum(logged_sent) AS BIGINT) AS tokens_sent FROM ev GROUP BY 1) SELECT *, {PCT} FROM x")
+@q("replay_summary", f"{EV}, x AS (SELECT outcome, reason, count(*) AS n, CAST(sum(logged_full) AS BIGINT) AS tokens_full, CAST(sum(logged_sent) AS BIGINT) AS tokens_sent FROM ev GROUP BY 1, 2) SELECT *, {PCT} FROM x")
 def _(spark, d):
-    x = facts(spark, d).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("logged_full").alias("tokens_full"), F.sum("logged_sent").alias("tokens_sent"))
+    x = facts(spark, d).groupBy("outcome", "reason").agg(F.count("*").alias("n"), F.sum("logged_full").alias("tokens_full"), F.sum("logged_sent").alias("tokens_sent"))
     return x.withColumn("pct", S.percent_saved(F.col("tokens_full"), F.col("tokens_sent")))
 
 
@@ -369,11 +370,11 @@ def _(spark, d):
     return L.certificates(actions(spark, d), 86_400)
 
 
-IDLE = f"idle AS (SELECT session_id FROM actions GROUP BY 1 HAVING max(occurred_at) < {NOW} - 3 * 86400)"
+IDLE = f"idle AS (SELECT session_id FROM actions GROUP BY 1 HAVING max(occurred_at) < {NOW} - 4000)"
 
 
 def _idle(spark, d):
-    return L.sessions(actions(spark, d)).where(F.col("last_active") < NOW - 3 * 86_400).select("session_id")
+    return L.sessions(actions(spark, d)).where(F.col("last_active") < NOW - 4000).select("session_id")
 
 
 @q("purge_semi", f"{A}, {IDLE} SELECT session_id, count(*) AS purged FROM actions WHERE session_id IN (SELECT session_id FROM idle) GROUP BY 1")
@@ -404,9 +405,9 @@ def _(spark, d):
     return a.join(m, "session_id").groupBy("session_id", "since").agg(F.count_if(own).alias("reads"))
 
 
-@q("baselines_for_file", f"{A} SELECT session_id, arg_max(content_hash, (occurred_at, action_id)) AS content_hash FROM actions WHERE kind = 'read' AND file_path = 'src/f1.txt' GROUP BY 1")
+@q("baselines_for_file", f"{A} SELECT session_id, arg_max(content_hash, (occurred_at, action_id)) AS content_hash FROM actions WHERE kind = 'read' AND file_path = 'src/f2.txt' GROUP BY 1")
 def _(spark, d):
-    r = actions(spark, d).where("kind = 'read' and file_path = 'src/f1.txt'")
+    r = actions(spark, d).where("kind = 'read' and file_path = 'src/f2.txt'")
     return r.groupBy("session_id").agg(F.max_by("content_hash", F.struct("occurred_at", "action_id")).alias("content_hash"))
 
 
@@ -461,6 +462,18 @@ def _(spark, d):
     return reads.withColumn("age", age).where("age is not null").select("action_id", render.unchanged(F.col("file_path"), F.col("tokens_full"), F.col("age")).alias("header"))
 
 
+@q("rendered_replies", f"""{ACCOUNT}, r AS (SELECT action_id, content_hash, lag(content_hash) OVER (PARTITION BY file_path ORDER BY occurred_at, action_id) AS known FROM actions WHERE kind = 'read'),
+t AS (SELECT f.*, CASE WHEN known IS NULL THEN NULL WHEN known = content_hash THEN 'unchanged' ELSE 'changed' END AS status, row_number() OVER w AS n, CAST(sum(charged_full - charged_sent) OVER w AS BIGINT) AS saved
+  FROM facts f JOIN r USING (action_id) WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at, action_id))
+SELECT action_id, CASE WHEN outcome = 'fallback' THEN '[ledger: full ' || file_path || ', ' || CASE reason WHEN 'large_file' THEN 'large file' WHEN 'truncated' THEN 'file shrank by more than half' WHEN 'too_complex' THEN 'diff is too complex'
+    WHEN 'diff_bigger' THEN 'diff is larger than the file' WHEN 'overhead' THEN 'reply is larger than the file' END || ']' || chr(10)
+  WHEN outcome IN ('first', 'unchanged', 'delta') THEN '[ledger: ' || outcome || ' ' || file_path || ' ' || charged_full || ' tokens]' || chr(10) ELSE '' END
+  || CASE WHEN outcome = 'first' AND status IS NOT NULL THEN '[ledger: file ' || status || ' since another session]' || chr(10) ELSE '' END
+  || 'session ' || substr(session_id, 1, 8) || ', ' || n || ' reads, ' || saved || ' tokens saved' AS reply FROM t""")
+def _(spark, d):
+    return L.replies(facts(spark, d), L.registry_status(actions(spark, d)))
+
+
 @q("window_headers", f"{A} SELECT action_id, strlen('[ledger: unchanged ' || file_path || ', lines ' || win_start || '-' || win_end || ']' || chr(10)) AS bytes, (strlen('[ledger: unchanged ' || file_path || ', lines ' || win_start || '-' || win_end || ']' || chr(10)) + 3) // 4 AS tokens FROM actions WHERE kind = 'partial'")
 def _(spark, d):
     from ..functions import render
