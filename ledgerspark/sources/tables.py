@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt over them by a key, as what is made
+    of its rows outweighs the shuffle; one that has a split a core is read where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_no, text`` of all documents."""
+    return dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), "text"), "file_no")
+
+
 def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event, without contents."""
     e = table(spark, sf_dir, "events")
@@ -57,8 +69,7 @@ def revision(text: Column, rev: Column) -> Column:
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of the revisions that the log holds, with hash, sizes and tokens."""
     seen = raw_actions(spark, sf_dir).select("file_no", "rev").distinct()
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), "text")
-    v = docs.join(seen, "file_no").select("file_no", "rev", revision(F.col("text"), F.col("rev")).alias("content"))
+    v = texts(spark, sf_dir).join(seen, "file_no").select("file_no", "rev", revision(F.col("text"), F.col("rev")).alias("content"))
     return v.select(
         "file_no",
         "rev",
@@ -73,8 +84,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def both_contents(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     """``pairs`` (``file_no, old_rev, rev``) with ``old``, ``content`` and its ``n_lines``: both
     revisions are made of the one text that the join brings."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"), "text")
-    made = pairs.join(docs, "file_no").withColumns({"old": revision(F.col("text"), F.col("old_rev")), "content": revision(F.col("text"), F.col("rev"))})
+    made = pairs.join(texts(spark, sf_dir), "file_no").withColumns({"old": revision(F.col("text"), F.col("old_rev")), "content": revision(F.col("text"), F.col("rev"))})
     return made.drop("text").withColumn("n_lines", S.line_count(F.col("content")))
 
 
