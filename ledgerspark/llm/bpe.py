@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import dealt_documents, release, small_batches
 from .packing import blocks, read_vocabulary
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -277,5 +277,5 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = decode(encode(dealt_documents(spark, sf_dir)))
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir  # noqa: F401
+from ..sources.tables import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a table of fewer splits than cores is dealt over them. For operators whose
+    results don't depend on how their input is dealt."""
+    return dealt(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, a null text as the empty one."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, hinted, release, small_batches, table
+from .common import Scratch, dealt_documents, hinted, release, small_batches, table
 
 SPAN, GRAM = 10, 5
 SLOTS, MOST = 1 << 27, 4096
@@ -215,7 +215,7 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, span: int
 
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all items."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs, items = dealt_documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     out = contamination(docs, items, Scratch(spark, "op13"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import vec
-from .common import Scratch, hinted, partitions, release, small_batches, table
+from .common import Scratch, dealt_documents, hinted, partitions, release, small_batches
 
 LEAST, SMOOTH, TOP = 30, 5, 50
 #: Partial counts that a task holds, and sources that are worked on together.
@@ -301,7 +301,7 @@ def audit(docs: DataFrame, scratch: Scratch, least: int = LEAST, top: int = TOP,
 
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources of all documents."""
-    return audit(table(spark, sf_dir, "documents").select("lang", "source", "text"), Scratch(spark, "op11"))
+    return audit(dealt_documents(spark, sf_dir).select("lang", "source", "text"), Scratch(spark, "op11"))
 
 
 ORACLE = r"""

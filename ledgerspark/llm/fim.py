@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, partitions, release, small_batches, table, text_of
+from .common import Scratch, dealt_documents, partitions, release, small_batches, text_of
 
 SEED, PERCENT_FIM, PERCENT_SPM = 7, 100, 50
 #: Bytes of text whose symbols are scanned together, and of a text from which on its pieces
@@ -265,7 +265,7 @@ def restored(output: Column | str, form: Column | str) -> Column:
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with digests in place of their texts."""
-    out = transform(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op12"))
+    out = transform(dealt_documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op12"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256")
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import vec
-from .common import Scratch, hinted, release, small_batches, table, text_of
+from .common import Scratch, dealt_documents, hinted, release, small_batches, text_of
 from .graph import components
 
 K, M, ROWS, THRESHOLD = 5, 238, 7, 0.8
@@ -353,4 +353,4 @@ def first_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document."""
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"))
+    return classes(dealt_documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op8"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, hinted, small_batches, table
+from .common import Scratch, dealt_documents, hinted, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Z: of the normal distribution, one-sided 90 %.
@@ -305,6 +305,6 @@ def _of_rank(k: int) -> Column:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All personal data of every document."""
-    found = find(table(spark, sf_dir, "documents"), ["doc_id"], Scratch(spark, "op6"))  # SHARE, Z and NEAR
+    found = find(dealt_documents(spark, sf_dir), ["doc_id"], Scratch(spark, "op6"))  # SHARE, Z and NEAR
     counts = [F.size(_of_rank(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc.doc_id", *counts, F.sha2(_listed("base", KINDS), 256).alias("base_sha256"), _listed("spans", (*KINDS, "term")).alias("spans"), F.size("base").cast("long").alias("n_base"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import Scratch, release, small_batches, table
+from .common import Scratch, dealt_documents, release, small_batches
 
 KEEP, ROUNDS = 0.5, 100
 SYMBOL, UPPER, ALPHA, BANG = (np.zeros(256, bool) for _ in range(4))
@@ -158,6 +158,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every document."""
-    found = Scratch(spark, "op10").keep(features(table(spark, sf_dir, "documents"), ["doc_id"]), "features")
+    found = Scratch(spark, "op10").keep(features(dealt_documents(spark, sf_dir), ["doc_id"]), "features")
     out = verdicts(found, fit(_counts(found)))
     return out.select("doc.doc_id", *FEATURES, "base_failed", "kept", "quality")

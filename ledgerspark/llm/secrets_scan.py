@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, text_of
+from .common import dealt_documents, partitions, text_of
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?=[AaPpSsTt])(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -209,7 +209,7 @@ def _of_rank(k: int) -> Column:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt_documents(spark, sf_dir).select("doc_id", "text")
     found = spans(docs, train(docs))
     counts = [F.size(_of_rank(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base"), KINDS), 256).alias("base_sha256"), _listed(F.col("all_spans"), (*KINDS, "random")).alias("spans"))
