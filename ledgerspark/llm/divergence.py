@@ -55,61 +55,77 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return terms, np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
 
 
-def _counted(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Table | None:
-    """COUNTS of a block of documents."""
-    terms, row = _terms(data, offsets)
-    if not len(terms):
-        return None
-    coded = terms.dictionary_encode()
-    width = len(coded.dictionary)
-    # occurrences by document and term, then by group and term
-    pairs, times = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
-    both = pa.StructArray.from_arrays([rows.column(0), rows.column(1)], names=["lang", "source"])
-    table_ = pa.table({"lang": both.field(0), "source": both.field(1)}).combine_chunks()
-    groups = table_.group_by(["lang", "source"]).aggregate([]).combine_chunks()
-    known = {k: g for g, k in enumerate(zip(*(groups[c].to_pylist() for c in ("lang", "source"))))}
-    group = np.array([known[k] for k in zip(*(table_[c].to_pylist() for c in ("lang", "source")))], np.int64)
-    keys = group[pairs // width] * width + pairs % width
-    order = np.argsort(keys, kind="stable")
-    keys, times = keys[order], times[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    one = pa.array(keys[at] // width)
-    term = coded.dictionary.take(pa.array(keys[at] % width))
-    docs = np.diff(np.append(at, len(keys)))
-    return pa.table([groups["lang"].take(one), term, groups["source"].take(one), pa.array(docs), pa.array(np.add.reduceat(times, at))], names=_names(COUNTS))
-
-
-def _merged(tables: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(tables).group_by(KEYS, use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
-    return out.select([*KEYS, "docs_sum", "n_sum"]).rename_columns([*KEYS, "docs", "n"])
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """``lang, term, source, docs, n``: partial counts, some HELD of a task's documents merged."""
+class _Counts:
+    """Partial counts of a task: groups are numbered, terms coded, so merging sorts numbers and
+    hashes no string twice but the distinct ones of a block."""
+
+    def __init__(self):
+        self.groups: dict[tuple, int] = {}
+        self.terms: list[pa.DictionaryArray] = []
+        self.rows: list[np.ndarray] = []  # group, documents, occurrences
+        self.fresh = 0
+
+    def add(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> None:
+        """A block of documents (``lang, source``, and their bytes)."""
+        terms, row = _terms(data, offsets)
+        if not len(terms):
+            return
+        coded = terms.dictionary_encode()
+        width = len(coded.dictionary)
+        # occurrences by document and term, then by group and term
+        pairs, times = np.unique(row * width + coded.indices.to_numpy(), return_counts=True)
+        names = zip(*(rows.column(c).to_pylist() for c in (0, 1)))
+        group = np.array([self.groups.setdefault(k, len(self.groups)) for k in names], np.int64)
+        self._put(coded.dictionary, group[pairs // width], pairs % width, np.ones(len(pairs), np.int64), times)
+        self.fresh += len(self.terms[-1])
+
+    def _put(self, dictionary: pa.Array, group: np.ndarray, code: np.ndarray, docs: np.ndarray, n: np.ndarray) -> None:
+        keys = group * len(dictionary) + code
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.terms.append(pa.DictionaryArray.from_arrays(pa.array((keys[at] % len(dictionary)).astype(np.int32)), dictionary))
+        self.rows.append(np.stack([keys[at] // len(dictionary), np.add.reduceat(docs[order], at), np.add.reduceat(n[order], at)]))
+
+    def merge(self) -> int:
+        """Adds up what is held; gives how many rows that is."""
+        if len(self.terms) > 1:
+            terms = pa.chunked_array(self.terms).unify_dictionaries()
+            code = np.concatenate([c.indices.to_numpy() for c in terms.chunks]).astype(np.int64)
+            group, docs, n = np.concatenate(self.rows, 1)
+            dictionary = terms.chunk(terms.num_chunks - 1).dictionary
+            self.terms, self.rows = [], []
+            self._put(dictionary, group, code, docs, n)
+        self.fresh = 0
+        return sum(map(len, self.terms))
+
+    def out(self, size: int = 50_000):
+        """What is held, and begins anew."""
+        self.merge()
+        if self.terms:
+            (term,), (rows,) = self.terms, self.rows
+            lang, source = (pa.array([k[i] for k in self.groups], pa.string()) for i in (0, 1))
+            for i in range(0, len(term), size):
+                group, docs, n = (pa.array(x) for x in rows[:, i : i + size])
+                some = term.slice(i, size)
+                yield pa.RecordBatch.from_arrays([lang.take(group), some.dictionary.take(some.indices).cast(pa.string()), source.take(group), docs, n], names=_names(COUNTS))
+        self.__init__()
+
+
+def counts(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """``lang, term, source, docs, n``: partial counts, some ``held`` of a task's rows merged."""
     small_batches(docs.sparkSession)
     name = lambda c: F.coalesce(docs[c].cast("string"), F.lit("")).alias(c)
     rows_in = docs.select(name("lang"), name("source"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
-        fine: list[pa.Table] = []
-        held: pa.Table | None = None
-
-        def out(found: pa.Table):
-            narrow = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
-            for batch in found.sort_by([(k, "ascending") for k in KEYS]).to_batches(max_chunksize=50_000):
-                yield batch.cast(narrow)
-
+        now = _Counts()
         for batch in batches:
-            for i, j, data, offsets in vec.small_blocks(batch.column(2)):
-                if (found := _counted(batch.slice(i, j - i), data, offsets)) is not None:
-                    fine.append(found)
-            if sum(len(x) for x in fine) >= HELD // 2:
-                held, fine = _merged([*fine, *([held] if held is not None else [])]), []
-                if len(held) >= HELD:
-                    yield from out(held)
-                    held = None
-        if fine or held is not None:
-            yield from out(_merged([*fine, *([held] if held is not None else [])]))
+            for i, j, data, offsets in vec.text_blocks(batch.column(2)):
+                now.add(batch.slice(i, j - i), data, offsets)
+                if now.fresh >= held and now.merge() >= held:
+                    yield from now.out()
+        yield from now.out()
         release()
 
     return rows_in.mapInArrow(run, COUNTS)

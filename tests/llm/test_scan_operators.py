@@ -69,14 +69,15 @@ def test_shares_are_exact(spark):
     assert [r[0] for r in got] == [1 + 10**9 * (n + 5) // total, 1]
 
 
-def test_partial_counts_are_flushed(spark, monkeypatch):
+@pytest.mark.parametrize("held", [divergence.HELD, 5])
+def test_partial_counts_are_flushed(spark, held):
     rng = random.Random(5)
     rows = [("en", f"s{i % 3}", group_texts(rng, 40)) for i in range(60)]
     want = collections.Counter()
     for lang, source, text in rows:
         want.update((lang, term, source) for term in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.replace("Z", "z")))
     got = collections.Counter()
-    for r in divergence.counts(spark.createDataFrame(rows, "lang string, source string, text string")).collect():
+    for r in divergence.counts(spark.createDataFrame(rows, "lang string, source string, text string"), held).collect():
         got[r.lang, r.term, r.source] += r.n
     assert got == want
 
