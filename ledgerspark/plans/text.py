@@ -7,12 +7,12 @@ from pyspark.sql.window import Window as W
 
 from ..functions import diff as D
 from ..functions import scalars as S
-from ..functions.outline import hits_of, outline_of, warnings_of
 from ..operators import ledger as L
+from ..operators import outlines as O
 from ..operators.precomputed import Precomputed
 from ..operators.scans import overlaps
 from ..scratch import Scratch
-from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, table, versions
+from ..sources.tables import ACTIONS_SQL, actions, both_contents, dealt, files, table, versions
 from .ledger import DIFFS
 
 Q: dict = {}
@@ -160,35 +160,6 @@ def _(spark, d):
     return diffs.select("file_no", "old_rev", "rev", D.ranges_of(C("diff")).alias("ranges"), D.summary_of(C("diff"), C("content")).alias("toc"))
 
 
-def code(spark, d):
-    """Source texts made from events: one Python module a user."""
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), lambda i: F.concat(F.lit("    x"), i.cast("string"), F.lit(" = "), C("event_id").cast("string"))), "\n")
-    one = F.concat(F.lit("def f"), C("event_id").cast("string"), F.lit("(a):\n"), body, F.lit("\n    return a\n"))
-    e = table(spark, d, "events").select("user_id", "event_id", one.alias("code"))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]), "\n").alias("content"))
-
-
-@q("outline")
-def _(spark, d):
-    o = code(spark, d).select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
-    return o.select("user_id", S.token_estimate(C("content")).alias("tokens_full"), S.token_estimate(C("o.text")).alias("tokens_sent"), F.size("o.names").alias("elided"))
-
-
-@q("source_map")
-def _(spark, d):
-    o = code(spark, d).select("user_id", outline_of(C("content"), F.lit("python")).alias("o"))
-    return o.select("user_id", F.inline("o.source_map")).where("elided")
-
-
-@q("signature_audit", "SELECT user_id, count(*) AS signatures, count(*) AS kept FROM events GROUP BY 1")
-def _(spark, d):
-    """Signature lines of the source, and how many of them the outline has: all."""
-    o = code(spark, d).select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
-    lines = lambda c: F.filter(F.split(c, "\n", -1), lambda x: F.rlike(x, F.lit(r"^\s*(def|class|import|from)\b")))
-    shown = F.coalesce("o.text", "content")
-    return o.select("user_id", F.size(lines(C("content"))).cast("long").alias("signatures"), F.size(F.array_intersect(lines(C("content")), lines(shown))).cast("long").alias("kept"))
-
-
 #: What stands before and after a function's body, by language; ``%`` is the function's name.
 FUNCTIONS = {
     "rust": ("pub fn %<T>(a: &'a str, b: T) -> u32\nwhere\n    T: Copy,\n{\n", "}\n"),
@@ -202,30 +173,112 @@ FUNCTIONS = {
 }
 
 
-def polyglot(spark, d):
-    """Source texts made from events: one a user, its language by the user's number; bodies
-    have braces in strings and comments."""
-    names, e = list(FUNCTIONS), table(spark, d, "events")
-    pick = lambda values: F.get(F.lit(list(values)), (C("user_id") % len(names)).cast("int"))
-    python = C("user_id") % len(names) == names.index("python")
-    line = lambda i: F.concat(F.lit("        x"), i.cast("string"), F.lit(' = g("}")'), F.when(python, F.lit("  # {")).otherwise(F.lit("; // {")))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), line), "\n")
-    name = F.concat(F.lit("f"), C("event_id").cast("string"))
-    one = F.concat(F.replace(pick(v[0] for v in FUNCTIONS.values()), F.lit("%"), name), body, F.lit("\n"), pick(v[1] for v in FUNCTIONS.values()))
-    rows = e.select("user_id", "event_id", pick(names).alias("language"), one.alias("code"))
-    pad = F.concat(F.when(C("language") == "python", F.lit("# ")).otherwise(F.lit("// ")), F.repeat(F.lit("x"), F.lit(1100)), F.lit("\n"))
-    texts = rows.groupBy("user_id", "language").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "code"))), lambda x: x["code"]), "").alias("code"))
-    return texts.select("user_id", "language", F.concat(pad, "code").alias("content"))
-
-
-@q("outline_languages", f"""SELECT user_id, list_extract({list(FUNCTIONS)}, user_id % {len(FUNCTIONS)} + 1) AS language, count(*) AS elided, count(*) AS kept,
-string_agg('f' || event_id, ',' ORDER BY event_id) AS names FROM events GROUP BY 1, 2""")
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+PAD = "x" * 1100
+#: Twenty words of a document are a function's body, a statement each; bodies of 15 lines or more
+#: are left out of an outline.
+CODE = rf"""WITH w AS (SELECT doc_id, doc_id % {len(FUNCTIONS)} AS l, ws, unnest(range(0, len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+st AS (SELECT doc_id, l, i, i // 20 AS j, replace(replace(ws[i + 1], '\', '\\'), '"', '\"') AS word FROM w),
+fn AS (SELECT doc_id, l, j, 'f' || doc_id || '_' || j AS name, count(*) AS n, count(*) >= 15 AS gone, string_agg('        x = g("' || word || '")' || CASE WHEN l = {len(FUNCTIONS) - 1} THEN '  # {{' ELSE '; // {{' END || chr(10), '' ORDER BY i) AS body,
+  string_agg('        x = g("' || word || '")' || CASE WHEN l = {len(FUNCTIONS) - 1} THEN '  # {{' ELSE '; // {{' END || chr(10), '' ORDER BY i) FILTER (i % 20 < 12) AS less FROM st GROUP BY doc_id, l, j),
+part AS (SELECT *, replace([{", ".join(_sql(h) for h, _ in FUNCTIONS.values())}][l + 1], '%', name) AS head, [{", ".join(_sql(t) for _, t in FUNCTIONS.values())}][l + 1] AS tail,
+  CASE WHEN gone THEN '        ' || CASE WHEN l = {len(FUNCTIONS) - 1} THEN '#' ELSE '//' END || ' ... ' || n || ' lines of ' || name || ' elided' || chr(10) ELSE body END AS shown FROM fn),
+placed AS (SELECT *, strlen(head) - strlen(replace(head, chr(10), '')) AS hl, sum(strlen(head || tail) - strlen(replace(head || tail, chr(10), '')) + n) OVER o AS upto,
+  sum(strlen(head || tail) - strlen(replace(head || tail, chr(10), '')) + CASE WHEN gone THEN 1 ELSE n END) OVER o AS short FROM part WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+spans AS (SELECT doc_id, l, j, name, n, CAST(1 + upto - strlen(tail) + strlen(replace(tail, chr(10), '')) - n + 1 AS INTEGER) AS a, CAST(1 + upto - strlen(tail) + strlen(replace(tail, chr(10), '')) AS INTEGER) AS b,
+  CAST(1 + short - strlen(tail) + strlen(replace(tail, chr(10), '')) AS INTEGER) AS c FROM placed WHERE gone),
+pad AS (SELECT doc_id, l, CASE WHEN l = {len(FUNCTIONS) - 1} THEN '# ' ELSE '// ' END || repeat('x', 1100) || chr(10) AS pad, string_agg(head || body || tail, '' ORDER BY j) AS whole, string_agg(head || shown || tail, '' ORDER BY j) AS outlined,
+  string_agg(head || less || tail, '' ORDER BY j) AS less, count(*) AS functions, count(*) FILTER (gone) AS elided, string_agg(name, ',' ORDER BY j) FILTER (gone) AS names, max(upto) + 2 AS n_lines FROM placed GROUP BY doc_id, l)"""
+
+
+def code(spark, d, words=20):
+    """Source texts made of documents, a language by the document's number: every 20 words (or
+    the first ``words`` of them) are a function. Strings and comments hold braces and quotes."""
+    names = list(FUNCTIONS)
+    pick = lambda values: F.get(F.lit(list(values)), (C("file") % len(names)).cast("int"))
+    python = C("file") % len(names) == names.index("python")
+    split = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    spelt = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    statement = lambda x: F.concat(F.lit('        x = g("'), spelt(x), F.lit('")'), F.when(python, F.lit("  # {")).otherwise(F.lit("; // {")), F.lit("\n"))
+
+    def function(j):
+        body = F.array_join(F.transform(F.slice("words", j * 20 + 1, F.lit(words)), statement), "")
+        head = F.replace(pick(v[0] for v in FUNCTIONS.values()), F.lit("%"), F.concat(F.lit("f"), C("file").cast("string"), F.lit("_"), j.cast("string")))
+        return F.concat(head, body, pick(v[1] for v in FUNCTIONS.values()))
+
+    rows = table(spark, d, "documents").select(C("doc_id").alias("file"), split.alias("words")).where(F.size("words") > 0)
+    parts = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("words") - 1, F.lit(20)).cast("int")), function)
+    pad = F.concat(F.when(python, F.lit("# ")).otherwise(F.lit("// ")), F.lit(PAD), F.lit("\n"))
+    return dealt(rows, "file").select("file", pick(names).alias("language"), F.concat(pad, F.array_join(parts, "")).alias("content"))
+
+
+@q("outline", f"{CODE} SELECT doc_id, CAST((strlen(pad || whole) + 3) // 4 AS BIGINT) AS tokens_full, CAST((strlen(pad || outlined) + 3) // 4 AS BIGINT) AS tokens_sent, CAST(elided AS INTEGER) AS elided, sha256(pad || outlined) AS outline_sha256 FROM pad WHERE elided > 0")
+def _(spark, d):
+    own = code(spark, d)
+    both = O.outlines(own).join(own.select("file", S.token_estimate(C("content")).alias("tokens_full")), "file")
+    return both.select(C("file").alias("doc_id"), "tokens_full", S.token_estimate(C("text")).alias("tokens_sent"), F.size("names").alias("elided"), F.sha2("text", 256).alias("outline_sha256"))
+
+
+@q("source_map", f"{CODE} SELECT doc_id, c AS compressed_line, a AS original_start, b AS original_end, name AS symbol FROM spans")
+def _(spark, d):
+    return O.source_map(code(spark, d)).where("elided").select(C("file").alias("doc_id"), "compressed_line", "original_start", "original_end", "symbol")
+
+
+@q("signature_audit", f"{CODE} SELECT doc_id, functions AS signatures, functions AS kept FROM pad WHERE elided > 0")
+def _(spark, d):
+    """Heads of functions in the source, and how many of them the outline has, line by line: all."""
+    head = lambda c: F.rlike(c, F.lit(r"\bf\d+_\d+\b")) & ~F.contains(c, F.lit(" lines of "))
+    own = code(spark, d)
+    source = O.lines_of(own).where(head(C("line"))).groupBy("file").agg(F.count("*").alias("signatures"))
+    shown = O.source_map(own).where(~C("elided") & head(C("text"))).groupBy("file").agg(F.count("*").alias("kept"))
+    return source.join(shown, "file").select(C("file").alias("doc_id"), "signatures", "kept")
+
+
+@q("outline_languages", f"{CODE} SELECT {list(FUNCTIONS)}[l + 1] AS language, count(*) AS texts, CAST(sum(elided) AS BIGINT) AS elided, CAST(sum((strlen(pad || whole) + 3) // 4 - (strlen(pad || outlined) + 3) // 4) AS BIGINT) AS saved FROM pad WHERE elided > 0 GROUP BY 1")
+def _(spark, d):
+    """What outlines save, by language."""
+    own = code(spark, d)
+    both = O.outlines(own).join(own.select("file", "language", S.token_estimate(C("content")).alias("full")), "file")
+    saved = F.sum(C("full") - S.token_estimate(C("text")))
+    return both.groupBy("language").agg(F.count("*").alias("texts"), F.sum(F.size("names")).alias("elided"), saved.alias("saved"))
+
+
+@q("visible_ranges", f"""{CODE}, edges AS (SELECT doc_id, a, b, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS x FROM spans)
+SELECT doc_id, CAST(coalesce(p, 0) + 1 AS BIGINT) AS s, CAST(a - 1 AS BIGINT) AS e FROM edges WHERE coalesce(p, 0) + 1 <= a - 1 UNION ALL SELECT doc_id, CAST(b + 1 AS BIGINT), CAST(n_lines AS BIGINT) FROM edges JOIN pad USING (doc_id) WHERE x IS NULL AND b + 1 <= n_lines""")
+def _(spark, d):
+    """Source lines that an outline shows, merged."""
+    shown = O.source_map(code(spark, d)).where("not elided").select(C("file").alias("doc_id"), C("original_start").cast("long").alias("s"), C("original_end").cast("long").alias("e"))
+    return L.islands(shown, ["doc_id"])
+
+
+@q("edit_guard", rf"""{CODE}, asked AS (SELECT doc_id, word FROM st WHERE i = 6),
+hit AS (SELECT DISTINCT st.doc_id, name FROM st JOIN asked ON st.doc_id = asked.doc_id AND st.word = asked.word JOIN fn ON fn.doc_id = st.doc_id AND fn.j = st.j WHERE gone)
+SELECT doc_id, string_agg(name, ',' ORDER BY name) AS touched FROM hit GROUP BY 1""")
 def _(spark, d):
-    """Of each source text the functions whose bodies the outline leaves out, and how many of
-    their signatures it has."""
-    o = polyglot(spark, d).select("user_id", "language", outline_of(C("content"), C("language")).alias("o"))
-    shown = F.filter(F.split("o.text", "\n", -1), lambda x: F.rlike(x, F.lit(r"\bf\d+\b")) & ~F.contains(x, F.lit(" lines of ")))
-    return o.select("user_id", "language", F.size("o.names").cast("long").alias("elided"), F.size(shown).cast("long").alias("kept"), F.array_join("o.names", ",").alias("names"))
+    """Elided functions that an edit of a statement, wherever it stands, would touch."""
+    own = code(spark, d)
+    first = F.regexp_extract("content", r'(?:x = (g\("(?:\\\\.|[^"\\\\])*+"\)).*\n\s*+){7}', 1)
+    needles = own.select("file", first.alias("needle")).where("needle <> ''")
+    return O.edit_hits(own, needles).select(C("file").alias("doc_id"), F.array_join("names", ",").alias("touched"))
+
+
+@q("edit_warnings", f"""{CODE}, e AS (SELECT *, pad || whole AS before, CASE doc_id % 4 WHEN 0 THEN pad || outlined WHEN 1 THEN left(pad || whole, (strlen(pad) + 100)::INTEGER) WHEN 2 THEN pad || less ELSE pad || whole END AS after FROM pad),
+x AS (SELECT doc_id, CASE WHEN regexp_matches(after, '(#|//) \\.\\.\\. [0-9]+ lines of \\w+ elided') THEN 'the edit wrote an outline''s mark into the file' WHEN strlen(before) > 200 AND strlen(after) * 2 < strlen(before) THEN 'the edit removed over half of the file'
+  WHEN doc_id % 4 = 2 AND elided > 0 THEN 'bodies became short: ' || (SELECT string_agg(name, ', ' ORDER BY name) FROM fn WHERE fn.doc_id = e.doc_id AND gone)
+  WHEN doc_id % 4 = 1 AND (SELECT count(*) FROM part WHERE part.doc_id = e.doc_id AND gone AND contains(e.after, name || '(')) > 0 THEN 'bodies became short: ' || (SELECT string_agg(name, ', ' ORDER BY name) FROM part WHERE part.doc_id = e.doc_id AND gone AND contains(e.after, name || '(')) END AS warning FROM e)
+SELECT doc_id, warning FROM x WHERE warning IS NOT NULL""")
+def _(spark, d):
+    """What is said after edits that write the outline, cut the text, or shorten its functions."""
+    own, less = code(spark, d), code(spark, d, 12).select("file", C("content").alias("less"))
+    text = O.outlines(own).select("file", "text")
+    both = own.join(less, "file").join(text, "file", "left")
+    k, before = C("file") % 4, C("content")
+    cut = F.left(before, F.instr("content", "\n") + F.lit(100))
+    after = F.when(k == 0, F.coalesce("text", before)).when(k == 1, cut).when(k == 2, C("less")).otherwise(before)
+    return O.edit_warnings(both.select("file", "language", before.alias("before"), after.alias("after"))).select(C("file").alias("doc_id"), "warning")
 
 
 @q("registry_diff", f"""{A}, {SIGHTS}, pairs AS (SELECT DISTINCT file_no, a, b FROM sights), {DIFFS}
@@ -276,26 +329,3 @@ def _(spark, d):
     diffs = _changed(spark, d).withColumn("ranges", D.ranges_of(D.diff_of(F.lit("f"), C("old"), C("content"))))
     path = F.concat(F.lit("src/f"), C("file_no").cast("string"))
     return diffs.select("file_no", "old_rev", "rev", render.certificate(path, S.content_hash(C("old")), S.content_hash(C("content")), C("ranges")).alias("body"))
-
-
-@q("visible_ranges")
-def _(spark, d):
-    """Source lines that an outline shows, merged."""
-    o = code(spark, d).select("user_id", outline_of(C("content"), F.lit("python")).alias("o"))
-    shown = F.transform(F.filter("o.source_map", lambda x: ~x["elided"]), lambda x: F.struct(x["original_start"].cast("long").alias("s"), x["original_end"].cast("long").alias("e")))
-    return o.where("o.text is not null").select("user_id", F.inline(merged(shown)))
-
-
-@q("edit_guard")
-def _(spark, d):
-    """Elided functions that an edit of a line would touch."""
-    needle = F.lit("    x9 = ")
-    return code(spark, d).select("user_id", hits_of(C("content"), F.lit("python"), needle).alias("touched"))
-
-
-@q("edit_warnings", "SELECT user_id, 'the edit wrote an outline''s mark into the file' AS warning FROM events GROUP BY 1 HAVING count(*) >= 10")
-def _(spark, d):
-    """What is said after an edit that writes a text's outline over the text."""
-    many = table(spark, d, "events").groupBy("user_id").count().where("count >= 10").select("user_id")
-    o = code(spark, d).join(many, "user_id").select("user_id", "content", outline_of(C("content"), F.lit("python")).alias("o"))
-    return o.select("user_id", warnings_of(C("content"), C("o.text"), F.lit("python")).alias("warning"))

@@ -1,16 +1,11 @@
-"""Code outlines: long function bodies give way to a mark, signatures, types, imports and
-comments stay. Pure functions of strings, and a vectorised column over them."""
+"""Outlines by a scanner of one text at a time: what the relational ones are held against."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..config import DEFAULT, LedgerConfig
+from ledgerspark.config import DEFAULT, LedgerConfig
 
 BRACES = {"rust", "typescript", "javascript", "go", "java", "c", "cpp", "csharp", "kotlin", "swift", "php", "scala"}
 DOCS = BRACES - {"rust", "go"}
@@ -184,20 +179,6 @@ def outline(content: str, language: str, config: LedgerConfig = DEFAULT) -> Outl
     return out if small and len(out.lines) < len(lines) else None
 
 
-MAP = T.StructType([T.StructField("compressed_line", T.IntegerType()), T.StructField("original_start", T.IntegerType()), T.StructField("original_end", T.IntegerType()), T.StructField("symbol", T.StringType()), T.StructField("elided", T.BooleanType())])
-SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("source_map", T.ArrayType(MAP))])
-
-
-@F.pandas_udf(SCHEMA)
-def outline_of(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, kind in zip(content, language):
-        o = outline(text, kind) if text is not None else None
-        keys = MAP.fieldNames()
-        rows.append((None, None, None) if o is None else ("\n".join(o.lines), o.names, [dict(zip(keys, m)) for m in o.source_map]))
-    return pd.DataFrame(rows, columns=SCHEMA.fieldNames())
-
-
 def edit_hits(content: str, needles: list[str], source_map: list[tuple]) -> list[str]:
     """Names of elided stretches that an edit of the given old texts would touch; needles of
     under four bytes are too common to tell."""
@@ -225,18 +206,3 @@ def elided_edit_warning(before: str, after: str, language: str) -> str | None:
     gone = set(old.names if old else ()) - set(new.names if new else ())
     kept = {n for n in gone if re.search(rf"\b{re.escape(n)}\s*\(", after)}
     return f"bodies became short: {', '.join(sorted(kept))}" if kept else None
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def hits_of(content: pd.Series, language: pd.Series, needle: pd.Series) -> pd.Series:
-    found = []
-    for text, kind, old in zip(content, language, needle):
-        o = outline(text, kind) if text is not None and old is not None else None
-        found.append(edit_hits(text, [old], o.source_map) if o else [])
-    return pd.Series(found, dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def warnings_of(before: pd.Series, after: pd.Series, language: pd.Series) -> pd.Series:
-    rows = zip(before, after, language)
-    return pd.Series([None if a is None or b is None else elided_edit_warning(a, b, kind) for a, b, kind in rows], dtype=object)

@@ -5,6 +5,7 @@ import re
 import subprocess
 import sys
 
+import plain_outline as O
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,6 @@ from hypothesis import strategies as st
 from ledgerspark.config import DEFAULT, normalize_changed_pct, parse_duration
 from ledgerspark.functions import diff as D
 from ledgerspark.functions import ignore as G
-from ledgerspark.functions import outline as O
 from ledgerspark.streaming import machine as M
 
 texts = st.lists(st.sampled_from(["a", "b", "c", "", "-- x", "++"]), max_size=12).flatmap(lambda ls: st.sampled_from(["\n".join(ls), "\n".join(ls) + "\n"]))

@@ -83,12 +83,10 @@ def test_json_sink_and_change_stream(spark, tmp_path):
 
 def test_null_texts(spark):
     """Kernels over nulls give nulls, or nothing."""
-    from ledgerspark.functions import diff, outline
+    from ledgerspark.functions import diff
 
     df = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "a string, b string")
     assert [r.x for r in df.select(diff.diff_of(F.lit("f"), "a", "b").alias("x")).collect()] == [None] * 3
-    assert [r.x for r in df.select(outline.warnings_of("a", "b", F.lit("python")).alias("x")).collect()] == [None] * 3
-    assert [r.x for r in df.select(outline.hits_of("a", F.lit("python"), "b").alias("x")).collect()] == [[], [], []]
 
 
 def test_binary_source(spark, tmp_path):
