@@ -129,7 +129,7 @@ def diff_sizes(both: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     return both.select("file_no", "old_rev", "rev", size, F.octet_length(certificate).cast("long").alias("certificate_bytes"), D.too_complex(D.complexity(F.col("diff"), F.col("n_lines")), config).alias("too_complex"))
 
 
-def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig = DEFAULT, outlines: DataFrame | None = None) -> DataFrame:
     """``outcome, reason, charged_full, charged_sent, logged_full, logged_sent`` of every read.
 
     A delta is charged its header and diff. What isn't worth its header, or can't be told short,
@@ -137,8 +137,17 @@ def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig =
     ``large_file``, it was ``truncated``, its diff is ``too_complex`` or costs as much as the text
     (``diff_bigger``), or a reply of ``unchanged`` or a certificate does (``overhead``). A
     passthrough is charged in full and logged as nothing, unless its edit is certified: then it's
-    a ``certificate``, charged that."""
+    a ``certificate``, charged that.
+
+    With ``outlines`` (``file_no, rev, outline_bytes``) a first read, of a large file too, is told
+    the outline where that is cheaper than the text: it is ``first-compressed``."""
     reads = _told(classified_).join(diffs, ["file_no", "old_rev", "rev"], "left")
+    if outlines is None:
+        reads = reads.withColumn("outline_bytes", F.lit(None).cast("long"))
+    else:
+        reads = reads.join(outlines.select("file_no", "rev", "outline_bytes"), ["file_no", "rev"], "left")
+    short = (F.col("outcome") == "first") & (tokens_of(F.col("outline_bytes")) < F.col("tokens_full"))
+    reads = reads.withColumn("outcome", F.when(short, "first-compressed").otherwise(F.col("outcome")))
     full, told, certified = F.col("tokens_full"), F.col("outcome"), F.col("edit_rev").isNotNull()
     said = lambda kind: tokens_of(F.octet_length(header(kind, config)))
     delta, certificate = tokens_of(F.octet_length(header("delta", config)) + F.col("diff_bytes")), tokens_of(F.col("certificate_bytes"))
@@ -151,8 +160,10 @@ def accounting(classified_: DataFrame, diffs: DataFrame, config: LedgerConfig =
     outcome = F.when(F.col("reason").isNotNull(), "fallback").when(certified, "certificate").otherwise(told)
     reads = reads.withColumn("outcome", outcome)
     sent = (
-        F.when(told == "unchanged", said("unchanged"))
+        F.when(F.col("reason").isNotNull(), full)
+        .when(told == "unchanged", said("unchanged"))
         .when(told == "first", tokens_of(F.octet_length(header("first", config)) + F.col("n_bytes")))
+        .when(told == "first-compressed", tokens_of(F.octet_length(header("first-compressed", config)) + F.col("outline_bytes")))
         .when(told == "delta", delta)
         .when(told == "certificate", certificate)
         .otherwise(full)

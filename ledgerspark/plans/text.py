@@ -12,7 +12,7 @@ from ..operators import outlines as O
 from ..operators.precomputed import Precomputed
 from ..operators.scans import overlaps
 from ..scratch import Scratch
-from ..sources.tables import ACTIONS_SQL, actions, both_contents, dealt, files, table, versions
+from ..sources.tables import ACTIONS_SQL, actions, both_contents, dealt, files, raw_actions, table, versions
 from .ledger import DIFFS
 
 Q: dict = {}
@@ -281,6 +281,25 @@ def _(spark, d):
     return O.edit_warnings(both.select("file", "language", before.alias("before"), after.alias("after"))).select(C("file").alias("doc_id"), "warning")
 
 
+@q("first_outlines", f"""{CODE}, {ACTIONS_SQL}, own AS (SELECT action_id, session_id, file_no, occurred_at, kind, 'src/f' || file_no || '.txt' AS file_path FROM raw WHERE kind IN ('read', 'reset')),
+gaps AS (SELECT *, occurred_at - lag(occurred_at) OVER (PARTITION BY session_id ORDER BY occurred_at, action_id) AS gap FROM own),
+seg AS (SELECT *, coalesce(sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) OVER o, 0) AS incarnation, sum(CASE WHEN kind = 'reset' THEN 1 ELSE 0 END) OVER o AS epoch FROM gaps WINDOW o AS (PARTITION BY session_id ORDER BY occurred_at, action_id)),
+rd AS (SELECT seg.*, row_number() OVER (PARTITION BY session_id, incarnation, epoch, file_no ORDER BY occurred_at, action_id) = 1 AS is_new, strlen(pad || whole) AS b, strlen(pad || outlined) AS o, elided > 0 AS cuts, (strlen(pad || whole) + 3) // 4 AS t
+  FROM seg JOIN pad ON pad.doc_id = seg.file_no WHERE kind = 'read'),
+fate AS (SELECT *, CASE WHEN NOT is_new THEN 'unchanged' WHEN cuts THEN 'first-compressed' WHEN b > 102400 THEN 'fallback' ELSE 'first' END AS outcome FROM rd)
+SELECT outcome, count(*) AS reads, CAST(sum(t) AS BIGINT) AS tokens_full, CAST(sum(CASE outcome WHEN 'fallback' THEN t ELSE (strlen('[ledger: ' || outcome || ' ' || file_path || ' ' || t || ' tokens]' || chr(10)) + CASE outcome WHEN 'unchanged' THEN 0 WHEN 'first' THEN b ELSE o END + 3) // 4 END) AS BIGINT) AS tokens_sent FROM fate GROUP BY 1""")
+def _(spark, d):
+    """What reads of source texts are charged where a first read is told the outline."""
+    own = Scratch(spark, "first").keep(code(spark, d), "code")
+    texts = own.select(C("file").alias("file_no"), S.content_hash(C("content")).alias("content_hash"), S.token_estimate(C("content")).alias("tokens_full"), F.octet_length("content").cast("long").alias("n_bytes"))
+    log = raw_actions(spark, d).where("kind in ('read', 'reset')").withColumn("rev", F.lit(0)).join(texts, "file_no", "left")
+    told = L.classified(log).where("tokens_full is not null")
+    short = O.outlines(own).select(C("file").alias("file_no"), F.lit(0).alias("rev"), F.octet_length("text").cast("long").alias("outline_bytes"))
+    none = spark.createDataFrame([], "file_no long, old_rev int, rev int, diff_bytes long, too_complex boolean, certificate_bytes long")
+    facts = L.accounting(told, none, outlines=short)
+    return facts.groupBy("outcome").agg(F.count("*").alias("reads"), F.sum("charged_full").alias("tokens_full"), F.sum("charged_sent").alias("tokens_sent"))
+
+
 @q("registry_diff", f"""{A}, {SIGHTS}, pairs AS (SELECT DISTINCT file_no, a, b FROM sights), {DIFFS}
 SELECT s.file_no, s.a AS old_rev, s.b AS rev, count(*) AS times, CAST(any_value(added) AS INTEGER) AS added, CAST(any_value(removed) AS INTEGER) AS removed
 FROM sights s JOIN df USING (file_no, a, b) GROUP BY ALL""")

@@ -54,6 +54,22 @@ def test_a_certificate_dearer_than_its_text(spark):
     assert (rows[3].outcome, rows[3].charged_sent, rows[3].logged_sent) == ("fallback", 1, 1)
 
 
+def test_first_reads_as_outlines(spark):
+    """A first read is told the outline where that is cheaper than the text, of a large file too;
+    without one a large file is told in full."""
+    log = [(1, "a", 1, "read", "f", 0, 0, "x", 100, 400), (2, "a", 2, "read", "f", 0, 0, "x", 100, 400), (3, "a", 3, "read", "g", 1, 0, "y", 100, 400), (4, "a", 4, "read", "h", 2, 0, "z", 50_000, 200_000), (5, "a", 5, "read", "i", 3, 0, "w", 50_000, 200_000)]
+    told = L.classified(spark.createDataFrame(log, "action_id long, session_id string, occurred_at long, kind string, file_path string, file_no long, rev int, content_hash string, tokens_full long, n_bytes long"))
+    none = spark.createDataFrame([], "file_no long, old_rev int, rev int, diff_bytes long, too_complex boolean, certificate_bytes long")
+    outlines = spark.createDataFrame([(0, 0, 200), (1, 0, 399), (2, 0, 5000)], "file_no long, rev int, outline_bytes long")
+    rows = {r.action_id: (r.outcome, r.reason, r.charged_full, r.charged_sent) for r in L.accounting(told, none, outlines=outlines).collect()}
+    header = lambda kind, path, tokens: len(f"[ledger: {kind} {path} {tokens} tokens]\n")
+    assert rows == {
+        1: ("first-compressed", None, 100, (header("first-compressed", "f", 100) + 200 + 3) // 4), 2: ("unchanged", None, 100, (header("unchanged", "f", 100) + 3) // 4),
+        3: ("first", None, 100, (header("first", "g", 100) + 400 + 3) // 4), 4: ("first-compressed", None, 50_000, (header("first-compressed", "h", 50_000) + 5000 + 3) // 4),
+        5: ("fallback", "large_file", 50_000, 50_000),
+    }
+
+
 def test_last_sight(spark):
     """Across blocks of days as one window over the file would have it."""
     import random
