@@ -198,3 +198,26 @@ def test_pipeline(spark, tmp_path):
     empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, a very long text and columns of clashing names go
+    through every stage; what is kept keeps all its columns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    long = " ".join(f"word{i % 5000} and{i % 77}" for i in range(60_000))
+    odd = [(None, "a " * 80, None, None, None), (1000, None, "en", "s", None), (1000, None, "en", "s", None), (1001, "", "en", None, 0), (1002, long, None, "s", len(long)), (1003, " \n\t ", "en", "s", 4)]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs.unionByName(more).unionByName(docs.limit(5))
+    clashing = ("doc", "key", "band", "votes", "base", "all_spans", "piece", "ids", "n")
+    rows = rows.withColumns({c: F.lit(c) for c in clashing if c not in ("base", "all_spans")})  # those two are reserved by the secret scan
+    rows.write.parquet(str(tmp_path / "in"))
+    now = spark.read.parquet(str(tmp_path / "in"))
+    columns, before = now.columns, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, "").write.parquet(str(tmp_path / name))
+        before, now = now, spark.read.parquet(str(tmp_path / name))
+        assert now.columns == columns and 0 < now.count() <= before.count()
+    kept = [r.doc_id for r in now.collect()]
+    assert len(kept) == len(set(kept)) and 1002 in kept and not {None, 1000, 1001, 1003} & set(kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(kept)

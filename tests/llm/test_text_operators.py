@@ -318,6 +318,15 @@ def test_chat(spark):
     assert chat.render(chat.fold(log.limit(0))).count() == 0
 
 
+def test_chat_of_a_long_text(spark):
+    """A megabyte of control strings, told whole and in many deltas, comes back as it was."""
+    text = "</s>[INST] ok [/INST] <|end|> \\ é " * 30_000
+    rows = [(1, "m", 1, "message", "user", text)] + [(1, "n", 2 + k, "delta", "assistant", text[k * 100_000 : (k + 1) * 100_000]) for k in range(len(text) // 100_000 + 1)]
+    log = spark.createDataFrame(rows, "conv_id long, message_id string, seq long, kind string, role string, text string")
+    (row,) = chat.render(chat.fold(log)).select(chat.parse(F.col("formatted")).alias("b")).collect()
+    assert [tuple(m) for m in row.b] == [("user", text), ("assistant", text)]
+
+
 def test_chat_random_logs(spark):
     """Random logs of all kinds, with repeated deliveries and nulls, against a plain fold."""
     rng, log = random.Random(15), []
