@@ -13,7 +13,7 @@ from ..operators.precomputed import Precomputed
 from ..operators.scans import overlaps
 from ..scratch import Scratch
 from ..sources.tables import ACTIONS_SQL, actions, both_contents, dealt, files, raw_actions, table, versions
-from .ledger import DIFFS
+from .ledger import DIFFS, _base
 
 Q: dict = {}
 A = f"WITH {ACTIONS_SQL}"
@@ -148,16 +148,30 @@ def _changed(spark, d):
     return both_contents(spark, d, pairs)
 
 
-@q("unified_diff")
+#: Pairs of contents that some session saw one after the other, and the lines that changed: of
+#: successive ones those that go stand before those that come.
+SEEN_PAIRS = f"""{_base('0')}, pairs AS (SELECT DISTINCT file_no, prev_rev AS a, rev AS b FROM base WHERE kind = 'read' AND prev_hash <> content_hash), {DIFFS},
+run AS (SELECT file_no, a, b, k, k - row_number() OVER (PARTITION BY file_no, a, b ORDER BY k) AS run FROM ch),
+touched AS (SELECT file_no, a, b, run, min(k) AS mn, max(k) AS mx FROM run GROUP BY ALL)"""
+
+
+@q("unified_diff", f"""{SEEN_PAIRS}, rows_ AS (
+  SELECT ln.file_no, ln.a, ln.b, g, s, e, ln.k AS at_, 0 AS side, ln.k, ' ' || nl AS row_ FROM hk JOIN ln ON hk.file_no = ln.file_no AND hk.a = ln.a AND hk.b = ln.b AND k BETWEEN s AND e WHERE ol = nl
+  UNION ALL SELECT ln.file_no, ln.a, ln.b, g, s, e, mn, side, ln.k, CASE side WHEN 1 THEN '-' || ol ELSE '+' || nl END || CASE WHEN ln.k = ln.n THEN chr(10) || '\\ No newline at end of file' ELSE '' END
+    FROM hk JOIN ln ON hk.file_no = ln.file_no AND hk.a = ln.a AND hk.b = ln.b AND k BETWEEN s AND e JOIN touched t ON t.file_no = ln.file_no AND t.a = ln.a AND t.b = ln.b AND ln.k BETWEEN mn AND mx, (VALUES (1), (2)) v(side) WHERE ol <> nl),
+whole AS (SELECT file_no, a, b, g, any_value(s) AS s, CASE WHEN any_value(s) = any_value(e) THEN any_value(s) || '' ELSE any_value(s) || ',' || (any_value(e) - any_value(s) + 1) END AS span, string_agg(row_ || chr(10), '' ORDER BY at_, side, k) AS body FROM rows_ GROUP BY file_no, a, b, g)
+SELECT file_no, a AS old_rev, b AS rev, '--- f' || file_no || ' (last read)' || chr(10) || '+++ f' || file_no || ' (current)' || chr(10) || string_agg('@@ -' || span || ' +' || span || ' @@' || chr(10) || body, '' ORDER BY s) AS diff FROM whole GROUP BY file_no, a, b""")
 def _(spark, d):
     label = F.concat(F.lit("f"), C("file_no").cast("string"))
     return _changed(spark, d).select("file_no", "old_rev", "rev", D.diff_of(label, C("old"), C("content")).alias("diff"))
 
 
-@q("hunk_ranges")
+@q("hunk_ranges", f"""{SEEN_PAIRS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY file_no, a, b ORDER BY mn) AS i, count(*) OVER (PARTITION BY file_no, a, b) AS n FROM touched)
+SELECT file_no, a AS old_rev, b AS rev, '[' || string_agg('{{"first":' || mn || ',"last":' || mx || ',"symbol":""}}', ',' ORDER BY mn) || ']' AS ranges,
+string_agg(mn || '-' || mx, ', ' ORDER BY mn) FILTER (i <= 6) || CASE WHEN any_value(n) > 6 THEN ', +' || (any_value(n) - 6) || ' more' ELSE '' END AS toc FROM numbered GROUP BY file_no, a, b""")
 def _(spark, d):
     diffs = _changed(spark, d).select("file_no", "old_rev", "rev", "content", D.diff_of(F.lit("f"), C("old"), C("content")).alias("diff"))
-    return diffs.select("file_no", "old_rev", "rev", D.ranges_of(C("diff")).alias("ranges"), D.summary_of(C("diff"), C("content")).alias("toc"))
+    return diffs.select("file_no", "old_rev", "rev", F.to_json(D.ranges_of(C("diff"))).alias("ranges"), D.summary_of(C("diff"), C("content")).alias("toc"))
 
 
 #: What stands before and after a function's body, by language; ``%`` is the function's name.
@@ -341,7 +355,9 @@ def _(spark, d):
     return view.serve(pairs, contents).select("file_no", "old_rev", "rev", F.octet_length("diff").cast("long").alias("diff_bytes"), "served")
 
 
-@q("certificate_body")
+@q("certificate_body", f"""{SEEN_PAIRS}, listed AS (SELECT file_no, a, b, string_agg(mn || '-' || mx, ', ' ORDER BY mn) AS lines FROM touched GROUP BY ALL)
+SELECT l.file_no, l.a AS old_rev, l.b AS rev, '[ledger: edit confirmed src/f' || l.file_no || ']' || chr(10) || substr(x.content_hash, 1, 12) || ' -> ' || substr(y.content_hash, 1, 12) || chr(10) || 'lines ' || lines || chr(10) AS body
+FROM listed l JOIN vs x ON x.file_no = l.file_no AND x.rev = l.a JOIN vs y ON y.file_no = l.file_no AND y.rev = l.b""")
 def _(spark, d):
     from ..functions import render
 
