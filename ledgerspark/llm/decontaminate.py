@@ -35,7 +35,7 @@ from . import vec
 from .common import Scratch, dealt_documents, hinted, release, small_batches, table
 
 SPAN, GRAM = 10, 5
-SLOTS, MOST = 1 << 27, 4096
+SLOTS, MOST, LISTS = 1 << 27, 4096, 256
 U = np.uint64
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -63,17 +63,16 @@ def winnowed(grams: np.ndarray, begins: np.ndarray, window: int) -> np.ndarray:
     return kept
 
 
-def anchors(hashes: np.ndarray, begins: np.ndarray, span: int, gram: int, short: list[int], bits: np.ndarray | None, gap: int, whole: bool = False):
-    """``row, gram, need, place, around`` (uint64 matrix) of all anchors, sorted by row: those
-    of ``span`` words, and, for each length in ``short``, all runs of that length (``whole``: of
-    rows of just that length). Bits that aren't set are left out; ``gap`` stands in for words
-    beyond a row's ends."""
-    reach, found = span - gram, []
+def anchors(hashes: np.ndarray, begins: np.ndarray, span: int, gram: int, short: list[int], bits: np.ndarray | None, whole: bool = False):
+    """``row, gram, need, place`` of all anchors, sorted by row and place: those of ``span`` words,
+    and, for each length in ``short``, all runs of that length (``whole``: of rows of just that
+    length). Those whose bit isn't set are left out."""
+    found = []
     for need in [span, *short]:
         size = gram if need == span else need
         runs, at = vec.shingles(hashes, begins, size)
         row = np.repeat(np.arange(len(begins) - 1), np.diff(at))
-        keep = winnowed(runs, at, reach + 1) if need == span else np.ones(len(runs), bool)
+        keep = winnowed(runs, at, span - gram + 1) if need == span else np.ones(len(runs), bool)
         if whole and need != span:
             keep &= (np.diff(begins) == need)[row]
         key = vec.mix(runs + U(need * 0xD6E8FEB86659FD93 % 2**64))
@@ -86,26 +85,35 @@ def anchors(hashes: np.ndarray, begins: np.ndarray, span: int, gram: int, short:
         found.append((row, key[one], np.full(len(one), need, np.int32), place))
     row, key, needs, place = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((place, row))
-    row, key, needs, place = row[order], key[order], needs[order], place[order]
-    around = (begins[row] + place)[:, None] + np.arange(-reach, span)[None, :]
+    return row[order], key[order], needs[order], place[order]
+
+
+def surroundings(hashes: np.ndarray, begins: np.ndarray, row: np.ndarray, place: np.ndarray, span: int, gram: int, gap: int) -> np.ndarray:
+    """The words around each anchor, a row of hashes each; ``gap`` stands in for those beyond a
+    text's ends."""
+    around = (begins[row] + place)[:, None] + np.arange(gram - span, span)[None, :]
     inside = (around >= begins[row][:, None]) & (around < begins[row + 1][:, None])
-    if not len(hashes):
-        return row, key, needs, place, np.zeros(around.shape, U)
-    return row, key, needs, place, np.where(inside, hashes[np.clip(around, 0, len(hashes) - 1)], U(gap))
+    return np.where(inside, hashes[np.clip(around, 0, len(hashes) - 1)], U(gap)) if len(hashes) else np.zeros(around.shape, U)
 
 
-def _listed(row, key, needs, place, around, rows: int):
-    """Anchors as lists of MOST at most: (row of each list, which of its row's it is, lists)."""
-    begins = np.searchsorted(row, np.arange(rows + 1))
-    counts = np.maximum(1, -(-np.diff(begins) // MOST))
-    owner = np.repeat(np.arange(rows), counts)
+def _listed(hashes: np.ndarray, begins: np.ndarray, found: tuple, span: int, gram: int, gap: int):
+    """Anchors as lists of MOST at most, some LISTS lists at a time: (row of each list, which of
+    its row's it is, lists)."""
+    row, key, needs, place = found
+    first = np.searchsorted(row, np.arange(len(begins)))
+    counts = np.maximum(1, -(-np.diff(first) // MOST))
+    owner = np.repeat(np.arange(len(counts)), counts)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    offsets = np.append(begins[owner] + MOST * inner, len(row)).astype(np.int32)
-    width = 8 * around.shape[1]
-    ends = (width * np.arange(len(row) + 1, dtype=np.int64)).astype(np.int32)
-    raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(around))])
-    fields = [pa.array(key.view(np.int64)), pa.array(needs), pa.array(place.astype(np.int32)), raw]
-    return owner, inner, pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=ANCHOR.names))
+    ends = np.append(first[owner] + MOST * inner, len(row))
+    for i in range(0, len(owner), LISTS):
+        j = min(i + LISTS, len(owner))
+        some = slice(ends[i], ends[j])
+        around = np.ascontiguousarray(surroundings(hashes, begins, row[some], place[some], span, gram, gap))
+        bytes_ = (8 * around.shape[1] * np.arange(len(around) + 1)).astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer(bytes_), pa.py_buffer(around)])
+        fields = [pa.array(key[some].view(np.int64)), pa.array(needs[some]), pa.array(place[some].astype(np.int32)), raw]
+        lists = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.StructArray.from_arrays(fields, names=ANCHOR.names))
+        yield owner[i:j], inner[i:j], lists
 
 
 def item_anchors(items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -117,8 +125,9 @@ def item_anchors(items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
         for batch in batches:
             for i, j, data, offsets in vec.small_blocks(batch.column(1)):
                 hashes, begins = hashed_words(data, offsets)
-                owner, _, lists = _listed(*anchors(hashes, begins, span, gram, list(range(1, span)), None, 1, whole=True), j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(owner)), lists], names=schema.names)
+                found = anchors(hashes, begins, span, gram, list(range(1, span)), None, whole=True)
+                for owner, _, lists in _listed(hashes, begins, found, span, gram, 1):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(owner)), lists], names=schema.names)
 
     return rows_in.mapInArrow(run, schema).select("item", F.inline("anchors")).select("item", "gram", "need", "around")
 
@@ -147,10 +156,11 @@ def doc_anchors(docs: DataFrame, bits, short: list[int], span: int = SPAN, gram:
         for batch in batches:
             for i, j, data, offsets in vec.small_blocks(batch.column(1)):
                 hashes, begins = hashed_words(data, offsets)
-                owner, inner, lists = _listed(*anchors(hashes, begins, span, gram, short, held, 0), j - i)
-                ids = batch.column(0).slice(i, j - i).take(pa.array(owner))
-                columns = [pa.array(base + owner), pa.array(inner.astype(np.int32)), ids, pa.array(np.diff(begins)[owner]), pa.compute.greater(pa.compute.list_value_length(lists), 0), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                found = anchors(hashes, begins, span, gram, short, held)
+                for owner, inner, lists in _listed(hashes, begins, found, span, gram, 0):
+                    ids = batch.column(0).slice(i, j - i).take(pa.array(owner))
+                    columns = [pa.array(base + owner), pa.array(inner.astype(np.int32)), ids, pa.array(np.diff(begins)[owner]), pa.compute.greater(pa.compute.list_value_length(lists), 0), lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 base += j - i
         release()
 

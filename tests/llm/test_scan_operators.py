@@ -194,6 +194,14 @@ def test_decontaminate(spark, short):
     assert sorted(map(str, got)) == sorted(map(str, plain_contamination(docs, items)))
 
 
+def test_a_long_text_full_of_hits(spark):
+    """More anchors than go into one batch: one-word items, a text of 1.5 million words of theirs."""
+    docs = [(1, "a b c " * 500_000), (2, "d e f")]
+    items = [(1, "a"), (2, "b"), (3, "b c a b"), (4, "x " * 12)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1_500_000, 1_499_999, 3, ["1", "2", "3"]), (2, 3, 0, 0, [])]
+
+
 def test_decontaminate_nothing(spark):
     no_items, no_docs = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
@@ -208,6 +216,6 @@ def test_every_shared_span_has_an_anchor():
         one, two = np.concatenate([a, span, hashes(7)]), np.concatenate([b, span])
         kept = []
         for x, at in ((one, len(a)), (two, len(b))):
-            found = decontaminate.anchors(x, np.array([0, len(x)]), 10, 5, [], None, 0)
+            found = decontaminate.anchors(x, np.array([0, len(x)]), 10, 5, [], None)
             kept.append({(int(k), int(p) - at) for k, p in zip(found[1], found[3]) if at <= p <= at + 5})
         assert kept[0] & kept[1]
