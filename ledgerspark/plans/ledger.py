@@ -13,7 +13,7 @@ from ..operators import ledger as L
 from ..operators import windows as V
 from ..operators.scans import nearest_ranks, spread
 from ..scratch import Scratch
-from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, raw_actions, table, versions
+from ..sources.tables import ACTIONS_SQL, actions, both_contents, files, plain_actions, raw_actions, table, versions
 
 A = f"WITH {ACTIONS_SQL}"
 SEG = f"""{A},
@@ -95,7 +95,12 @@ def facts(spark, d, config=DEFAULT):
 
 def reads(spark, d):
     """The log's reads, for reports that don't need their outcomes."""
-    return actions(spark, d).where("kind = 'read'")
+    return plain_actions(spark, d).where("kind = 'read'")
+
+
+def times(spark, d):
+    """The log for what only asks when actions were."""
+    return spread(plain_actions(spark, d), ["session_id"], raw_actions(spark, d))
 
 
 def _saved(df):
@@ -150,7 +155,7 @@ def _(spark, d):
         F.count("*").alias("reads"), F.sum("charged_full").alias("tokens_full"), F.sum("charged_sent").alias("tokens_sent"),
         F.countDistinct(F.when(F.col("charged_full") > 0, F.col("file_path"))).alias("files_tracked"),
     )
-    e = actions(spark, d).where("kind = 'edit'").agg(F.count("*").alias("total_edits"), F.countDistinct("file_path").alias("files_edited"))
+    e = plain_actions(spark, d).where("kind = 'edit'").agg(F.count("*").alias("total_edits"), F.countDistinct("file_path").alias("files_edited"))
     both = f.withColumn("one", F.lit(1)).join(e.withColumn("one", F.lit(1)), "one").drop("one")
     return both.withColumns({"saved": F.col("tokens_full") - F.col("tokens_sent"), "pct": S.percent_saved(F.col("tokens_full"), F.col("tokens_sent"))})
 
@@ -194,7 +199,7 @@ def _(spark, d):
 
 @q("edit_counters", f"{A} SELECT file_path, count(*) AS edits, max(occurred_at) AS last_edit_at FROM actions WHERE kind = 'edit' GROUP BY 1")
 def _(spark, d):
-    return actions(spark, d).where("kind = 'edit'").groupBy("file_path").agg(F.count("*").alias("edits"), F.max("occurred_at").alias("last_edit_at"))
+    return plain_actions(spark, d).where("kind = 'edit'").groupBy("file_path").agg(F.count("*").alias("edits"), F.max("occurred_at").alias("last_edit_at"))
 
 
 @q("session_report", f"{ACCOUNT} SELECT session_id, count(DISTINCT file_path) AS files, {ROLL} FROM facts GROUP BY 1")
@@ -208,57 +213,57 @@ SESS = "s AS (SELECT session_id, min(occurred_at) AS started_at, max(occurred_at
 @q("sessions_list", f"{ACCOUNT}, {SESS}, f AS (SELECT session_id, count(*) AS n, sum(charged_full - charged_sent) AS saved FROM facts GROUP BY 1) SELECT session_id, started_at, last_active, coalesce(n, 0) AS reads, CAST(coalesce(saved, 0) AS BIGINT) AS saved FROM s LEFT JOIN f USING (session_id) ORDER BY last_active DESC, session_id")
 def _(spark, d):
     per = facts(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.col("charged_full") - F.col("charged_sent")).alias("s"))
-    s = L.sessions(actions(spark, d)).select("session_id", "started_at", "last_active")
+    s = L.sessions(plain_actions(spark, d)).select("session_id", "started_at", "last_active")
     return s.join(per, "session_id", "left").select("session_id", "started_at", "last_active", F.coalesce("n", F.lit(0)).alias("reads"), F.coalesce("s", F.lit(0)).alias("saved")).orderBy(F.desc("last_active"), "session_id")
 
 
 @q("default_session", f"{ACCOUNT}, {SESS} SELECT s.session_id, count(e.action_id) AS events FROM s LEFT JOIN facts e ON e.session_id = s.session_id GROUP BY s.session_id, s.last_active ORDER BY CASE WHEN count(e.action_id) > 0 THEN 0 ELSE 1 END, s.last_active DESC, s.session_id LIMIT 1")
 def _(spark, d):
-    s = L.sessions(actions(spark, d)).select("session_id", "last_active")
+    s = L.sessions(plain_actions(spark, d)).select("session_id", "last_active")
     n = s.join(reads(spark, d).select("session_id", "action_id"), "session_id", "left").groupBy("session_id", "last_active").agg(F.count("action_id").alias("events"))
     return n.orderBy(F.when(F.col("events") > 0, 0).otherwise(1), F.desc("last_active"), "session_id").limit(1).select("session_id", "events")
 
 
 @q("pick_session", f"{A}, {SESS}, r AS (SELECT session_id, count(*) AS reads FROM actions WHERE kind = 'read' GROUP BY 1) SELECT session_id, coalesce(reads, 0) AS reads, last_active FROM s LEFT JOIN r USING (session_id) ORDER BY CASE WHEN coalesce(reads, 0) >= 10 THEN 0 WHEN coalesce(reads, 0) > 0 THEN 1 ELSE 2 END, last_active DESC, session_id LIMIT 1")
 def _(spark, d):
-    s = L.sessions(actions(spark, d)).select("session_id", "reads", "last_active")
+    s = L.sessions(plain_actions(spark, d)).select("session_id", "reads", "last_active")
     return s.orderBy(F.when(F.col("reads") >= 10, 0).when(F.col("reads") > 0, 1).otherwise(2), F.desc("last_active"), "session_id").limit(1)
 
 
 @q("session_health", f"{A}, {SESS}, r AS (SELECT session_id, count(*) AS reads FROM actions WHERE kind = 'read' GROUP BY 1) SELECT count(*) AS sessions, count(*) FILTER (coalesce(reads, 0) = 0) AS without_reads, CAST(max(CASE WHEN last_active < {NOW} - 7200 THEN 1 ELSE 0 END) AS INTEGER) AS worst, count(*) FILTER (last_active < {NOW} - 7200) AS idle FROM s LEFT JOIN r USING (session_id)")
 def _(spark, d):
     idle = F.col("last_active") < NOW - DEFAULT.ttl
-    return L.sessions(actions(spark, d)).agg(F.count("*").alias("sessions"), F.count_if(F.col("reads") == 0).alias("without_reads"), F.max(idle.cast("int")).alias("worst"), F.count_if(idle).alias("idle"))
+    return L.sessions(plain_actions(spark, d)).agg(F.count("*").alias("sessions"), F.count_if(F.col("reads") == 0).alias("without_reads"), F.max(idle.cast("int")).alias("worst"), F.count_if(idle).alias("idle"))
 
 
 @q("ttl_incarnations", f"{SEG} SELECT session_id, max(incarnation) + 1 AS incarnations, count(*) AS actions FROM seg GROUP BY 1")
 def _(spark, d):
-    s = L.segments(log(spark, d))
+    s = L.segments(times(spark, d))
     return s.groupBy("session_id").agg((F.max("incarnation") + 1).alias("incarnations"), F.count("*").alias("actions"))
 
 
 @q("expired_notice", f"{SEG} SELECT action_id, session_id, gap, gap <= 86400 + 7200 AS announced FROM seg WHERE gap > 7200")
 def _(spark, d):
-    s = L.segments(log(spark, d)).where(F.col("gap") > DEFAULT.ttl)
+    s = L.segments(times(spark, d)).where(F.col("gap") > DEFAULT.ttl)
     return s.select("action_id", "session_id", "gap", (F.col("gap") <= DEFAULT.tombstone_seconds + DEFAULT.ttl).alias("announced"))
 
 
 @q("ttl_warning", f"{SEG} SELECT action_id, 7200 - gap AS left_ FROM seg WHERE gap BETWEEN 6480 AND 7200")
 def _(spark, d):
-    s = L.segments(log(spark, d)).where(F.col("gap").between(DEFAULT.ttl * 9 // 10, DEFAULT.ttl))
+    s = L.segments(times(spark, d)).where(F.col("gap").between(DEFAULT.ttl * 9 // 10, DEFAULT.ttl))
     return s.select("action_id", (F.lit(DEFAULT.ttl) - F.col("gap")).alias("left_"))
 
 
 @q("compaction_stats", f"{ACCOUNT}, c AS (SELECT count(*) AS compactions, max(occurred_at) AS last_at FROM actions WHERE kind = 'reset') SELECT compactions, last_at, CAST((SELECT sum(charged_full) FROM facts WHERE epoch > 0) AS BIGINT) AS tokens_after FROM c WHERE compactions > 0")
 def _(spark, d):
-    c = actions(spark, d).where("kind = 'reset'").agg(F.count("*").alias("compactions"), F.max("occurred_at").alias("last_at"), F.lit(1).alias("one"))
+    c = plain_actions(spark, d).where("kind = 'reset'").agg(F.count("*").alias("compactions"), F.max("occurred_at").alias("last_at"), F.lit(1).alias("one"))
     t = facts(spark, d).agg(F.sum(F.when(F.col("epoch") > 0, F.col("charged_full"))).alias("tokens_after"), F.lit(1).alias("one"))
     return c.where("compactions > 0").join(t, "one").drop("one")
 
 
 @q("compaction_by_session", f"{A} SELECT session_id, count(*) AS compactions, max(occurred_at) AS last_at FROM actions WHERE kind = 'reset' GROUP BY 1")
 def _(spark, d):
-    return actions(spark, d).where("kind = 'reset'").groupBy("session_id").agg(F.count("*").alias("compactions"), F.max("occurred_at").alias("last_at"))
+    return plain_actions(spark, d).where("kind = 'reset'").groupBy("session_id").agg(F.count("*").alias("compactions"), F.max("occurred_at").alias("last_at"))
 
 
 @q("oob_refreshes", f"{_base('incarnation')} SELECT session_id, count(*) FILTER (prev_hash <> content_hash AND prev_kind = 'read') AS refreshes, count(*) AS reads, CAST(round(100.0::DOUBLE * count(*) FILTER (prev_hash <> content_hash AND prev_kind = 'read') / count(*)) AS INTEGER) AS pct FROM base WHERE kind = 'read' GROUP BY 1")
@@ -374,22 +379,22 @@ IDLE = f"idle AS (SELECT session_id FROM actions GROUP BY 1 HAVING max(occurred_
 
 
 def _idle(spark, d):
-    return L.sessions(actions(spark, d)).where(F.col("last_active") < NOW - 4000).select("session_id")
+    return L.sessions(plain_actions(spark, d)).where(F.col("last_active") < NOW - 4000).select("session_id")
 
 
 @q("purge_semi", f"{A}, {IDLE} SELECT session_id, count(*) AS purged FROM actions WHERE session_id IN (SELECT session_id FROM idle) GROUP BY 1")
 def _(spark, d):
-    return actions(spark, d).join(_idle(spark, d), "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("purged"))
+    return plain_actions(spark, d).join(_idle(spark, d), "session_id", "left_semi").groupBy("session_id").agg(F.count("*").alias("purged"))
 
 
 @q("orphan_anti", f"{A}, {IDLE} SELECT session_id, count(*) AS kept FROM actions WHERE session_id NOT IN (SELECT session_id FROM idle) GROUP BY 1")
 def _(spark, d):
-    return actions(spark, d).join(_idle(spark, d), "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("kept"))
+    return plain_actions(spark, d).join(_idle(spark, d), "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("kept"))
 
 
 @q("row_counts", f"{ACCOUNT} SELECT 'actions' AS name, count(*) AS n FROM actions UNION ALL SELECT 'reads', count(*) FROM facts UNION ALL SELECT 'files', count(DISTINCT file_path) FROM actions UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM actions")
 def _(spark, d):
-    a = actions(spark, d)
+    a = plain_actions(spark, d)
     one = lambda name, df: df.select(F.lit(name).alias("name"), "n")
     return (
         one("actions", a.agg(F.count("*").alias("n"))).unionByName(one("reads", reads(spark, d).agg(F.count("*").alias("n"))))
@@ -399,7 +404,7 @@ def _(spark, d):
 
 @q("reset_marker", f"{A}, m AS (SELECT session_id, max(occurred_at) FILTER (kind = 'reset') AS reset_at, min(occurred_at) AS installed_at FROM actions GROUP BY 1) SELECT session_id, coalesce(reset_at, installed_at) AS since, (SELECT count(*) FROM actions a WHERE a.session_id = m.session_id AND a.kind = 'read' AND a.occurred_at >= coalesce(reset_at, installed_at)) AS reads FROM m")
 def _(spark, d):
-    a = actions(spark, d)
+    a = plain_actions(spark, d)
     m = a.groupBy("session_id").agg(F.coalesce(F.max(F.when(F.col("kind") == "reset", F.col("occurred_at"))), F.min("occurred_at")).alias("since"))
     own = (F.col("kind") == "read") & (F.col("occurred_at") >= F.col("since"))
     return a.join(m, "session_id").groupBy("session_id", "since").agg(F.count_if(own).alias("reads"))
@@ -557,5 +562,5 @@ def _(spark, d):
 
 @q("session_start", f"{SEG} SELECT session_id, incarnation, epoch, min(occurred_at) AS started_at, max(occurred_at) AS last_active, count(*) AS actions FROM seg GROUP BY 1, 2, 3")
 def _(spark, d):
-    s = L.segments(log(spark, d))
+    s = L.segments(times(spark, d))
     return s.groupBy("session_id", "incarnation", "epoch").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_active"), F.count("*").alias("actions"))

@@ -81,6 +81,12 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plain_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action log without what is only known from contents, for reports that ask for none."""
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_no"))
+    return raw_actions(spark, sf_dir).join(known, "file_no", "left_semi")
+
+
 def both_contents(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     """``pairs`` (``file_no, old_rev, rev``) with ``old``, ``content`` and its ``n_lines``: both
     revisions are made of the one text that the join brings."""
