@@ -3,15 +3,20 @@ and comments stay, and doc comments keep their beginning.
 
 A text is first read as tokens (strings, comments, the rest) by one pattern, so that braces and
 keywords in strings and comments are blank. Then everything is rows: a statement's head up to
-its ``{``, ``}`` or ``;`` with its line and depth (running sums), a block's end by the next brace of
+its ``{`` or ``}`` with its line and depth (running sums), a block's end by the next brace of
 its depth, a Python body's end by the next line indented no more than its ``def``. Of bodies within
-bodies the outermost counts. All windows are by file; nothing but a line or a head is a row.
+bodies the outermost counts. All windows are by file, and look back only: a frame up to the end of
+its rows is summed anew for each of them. What is cut comes back to the text as one array a file, so
+no line of a text is shuffled; files that are dealt by ``file`` are shuffled nowhere. Rows are made
+by outer generators: before others the planner looks whether an array is empty, and makes it twice.
 
 Files have ``file``, ``language`` and ``content``; lines are numbered from 1.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,19 +43,44 @@ DOC_LINES, SUMMARY, TAGS = 6, 2, 6
 
 def masked(content: Column, language: Column) -> Column:
     """The text with its line feeds, empty strings for strings and nothing for comments."""
-    feeds = lambda x: F.regexp_replace(x, r"[^\n]+", "")
-    blank = lambda *marks: lambda x: F.when(F.rlike(x, F.lit(f"^(?:{'|'.join(marks)})")), F.concat(F.when(F.rlike(x, F.lit("^[\"'`]")), F.lit('""')).otherwise(F.lit("")), feeds(x))).otherwise(x)
-    tokens = lambda pattern: F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    brace = F.array_join(F.transform(tokens(BRACE_TOKENS), blank("//", r"/\*", '"', "'.", "`")), "")
-    python = F.array_join(F.transform(tokens(PYTHON_TOKENS), blank("#", '"', "'")), "")
-    return F.when(language == "python", python).otherwise(brace)
+    return F.when(language == "python", python_masked(content)).otherwise(brace_masked(content))
+
+
+def _masked(content: Column, pattern: str, comments: tuple[str, ...], strings: tuple[str, ...]) -> Column:
+    begins = lambda x, marks: reduce(lambda a, b: a | b, (F.startswith(x, F.lit(m)) for m in marks))
+    feeds = lambda x: F.when(F.contains(x, F.lit("\n")), F.regexp_replace(x, r"[^\n]+", "")).otherwise(F.lit(""))
+    # an apostrophe alone is code
+    string = lambda x: begins(x, strings) & (x != "'") if pattern is BRACE_TOKENS else begins(x, strings)
+    blank = lambda x: F.when(string(x), F.concat(F.lit('""'), feeds(x))).when(begins(x, comments), feeds(x)).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), blank), "")
+
+
+def brace_masked(content: Column) -> Column:
+    return _masked(content, BRACE_TOKENS, ("//", "/*"), ('"', "'", "`"))
+
+
+def python_masked(content: Column) -> Column:
+    return _masked(content, PYTHON_TOKENS, ("#",), ('"', "'"))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """``file, language, k, line, code``: every line, and what of it is code."""
-    both = F.arrays_zip(F.split("content", "\n", -1).alias("line"), F.split(masked(F.col("content"), F.col("language")), "\n", -1).alias("code"))
-    rows = files.select("file", "language", F.posexplode(both).alias("k", "x"))
-    return rows.select("file", "language", (F.col("k") + 1).alias("k"), F.col("x.line").alias("line"), F.coalesce("x.code", F.lit("")).alias("code"))
+    """``file, language, k, line``: every line."""
+    rows = files.select("file", "language", F.posexplode_outer(F.split("content", "\n", -1)).alias("k", "line"))
+    return rows.select("file", "language", (F.col("k") + 1).alias("k"), "line")
+
+
+def python_lines(files: DataFrame) -> DataFrame:
+    """``file, k, code`` of Python files: every line's code, nothing but feeds being left of others."""
+    rows = files.where("language = 'python'").select("file", F.posexplode_outer(F.split(python_masked(F.col("content")), "\n", -1)).alias("k", "code"))
+    return rows.select("file", (F.col("k") + 1).alias("k"), "code")
+
+
+def once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with columns that are made once a row: filters on them stay behind the generator, where
+    they would else be given the whole expression."""
+    for name, column in made.items():
+        rows = rows.select("*", F.explode_outer(F.array(column)).alias(name))
+    return rows
 
 
 def name_of(head: Column) -> Column:
@@ -68,16 +98,15 @@ def name_of(head: Column) -> Column:
 def brace_bodies(files: DataFrame, least: int) -> DataFrame:
     """``file, first, last, name`` of bodies in braces of ``least`` lines or more."""
     own = files.where(F.col("language").isin(*BRACES))
-    # what follows the last brace ends with a mark of its own, so no stretch is tried twice
-    heads = F.regexp_extract_all(F.concat(masked(F.col("content"), F.col("language")), F.lit(";")), F.lit(r"[^{};]*+[{};]"), F.lit(0))
-    rows = own.select("file", F.posexplode(heads).alias("t", "head"))
+    # what follows the last brace ends with one that opens nothing, so no stretch is tried twice
+    heads = F.regexp_extract_all(F.concat(brace_masked(F.col("content")), F.lit("{")), F.lit(r"[^{}]*+[{}]"), F.lit(0))
+    rows = own.select("file", F.posexplode_outer(heads).alias("t", "part"))
     order = W.partitionBy("file").orderBy("t")
-    mark = F.right("head", F.lit(1))
-    rows = rows.select("file", "t", mark.alias("mark"), F.trim(F.regexp_replace("head", r"[\n{};]", " ")).alias("head"), F.regexp_count("head", F.lit("\n")).alias("feeds"))
-    rows = rows.withColumns({
-        "line": F.sum("feeds").over(order) + 1,
-        "depth": F.sum(F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)).over(order),
-    }).where("mark <> ';'")
+    opens, feeds = F.endswith("part", F.lit("{")), F.octet_length("part") - F.octet_length(F.replace("part", F.lit("\n"), F.lit("")))
+    # the head is what follows the last statement; that of a closing brace is never asked for
+    head = F.when(opens, F.trim(F.regexp_replace(F.substring_index("part", ";", -1), r"[\n{};]", " "))).otherwise(F.lit(""))
+    rows = rows.select("file", "t", F.when(opens, F.lit("{")).otherwise(F.lit("}")).alias("mark"), head.alias("head"), feeds.alias("feeds"))
+    rows = rows.withColumns({"line": F.sum("feeds").over(order) + 1, "depth": F.sum(F.when(F.col("mark") == "{", 1).otherwise(-1)).over(order)})
     level = W.partitionBy("file", "level").orderBy("t")
     rows = rows.withColumn("level", F.col("depth") + (F.col("mark") == "}").cast("int"))
     rows = rows.withColumns({"end": F.lead("line").over(level), "end_mark": F.lead("mark").over(level), "end_t": F.lead("t").over(level)})
@@ -93,14 +122,13 @@ def outermost(bodies: DataFrame) -> DataFrame:
 
 def python_bodies(lines: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """As above, of ``def`` bodies; the signature goes on to a colon outside of brackets."""
-    rows = lines.where("language = 'python'")
-    order = W.partitionBy("file").orderBy("k")
+    order, back = W.partitionBy("file").orderBy("k"), W.partitionBy("file").orderBy(F.desc("k"))
     count = lambda marks: F.regexp_count("code", F.lit(marks))
-    rows = rows.withColumn("depth", F.sum(count(r"[(\[{]") - count(r"[)\]}]")).over(order))
+    rows = lines.withColumn("depth", F.sum(count(r"[(\[{]") - count(r"[)\]}]")).over(order))
     code = F.rtrim("code")
     ends = F.when((F.col("depth") <= 0) & F.endswith(code, F.lit(":")), F.col("k"))
     indent = F.length(F.regexp_extract(F.regexp_replace("code", "\t", "        "), r"^ *", 0))
-    rows = rows.where(code != "").withColumns({"indent": indent, "name": F.regexp_extract("code", DEF, 1), "next_end": F.min(ends).over(order.rowsBetween(1, W.unboundedFollowing))})
+    rows = rows.where(code != "").withColumns({"indent": indent, "name": F.regexp_extract("code", DEF, 1), "next_end": F.min(ends).over(back.rowsBetween(W.unboundedPreceding, -1))})
     rows = rows.withColumns({"last_code": F.lag("k").over(order), "final": F.max("k").over(W.partitionBy("file"))})
     here = (F.col("depth") <= 0) & F.contains("code", F.lit(":"))
     rows = scratch.keep(rows.select("file", "k", "name", "indent", "last_code", "final", "next_end", here.alias("here")), "python")
@@ -109,8 +137,8 @@ def python_bodies(lines: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     levels = defs.select("file", "level").distinct()
     stops = rows.join(levels, "file").where("indent <= level").select("file", "level", "k", "last_code", F.lit(None).cast("int").alias("a"))
     asked = defs.select("file", "level", "k", F.lit(None).cast("int").alias("last_code"), "a")
-    after = W.partitionBy("file", "level").orderBy(F.col("k"), F.col("a").isNotNull()).rowsBetween(1, W.unboundedFollowing)
-    found = stops.unionByName(asked).withColumn("stop", F.first(F.when(F.col("a").isNull(), F.struct("k", "last_code")), ignorenulls=True).over(after)).where("a is not null")
+    after = W.partitionBy("file", "level").orderBy(F.desc("k"), F.col("a").isNotNull().desc()).rowsBetween(W.unboundedPreceding, -1)
+    found = stops.unionByName(asked).withColumn("stop", F.last(F.when(F.col("a").isNull(), F.struct("k", "last_code")), ignorenulls=True).over(after)).where("a is not null")
     both = defs.withColumnRenamed("k", "sig").join(found.select("file", "a", "stop"), ["file", "a"])
     last = F.when(F.col("stop").isNull(), F.col("final")).otherwise(F.col("stop.last_code"))
     both = both.select("file", (F.col("sig") + 1).alias("first"), last.alias("last"), "name", "a", last.alias("b"))
@@ -120,10 +148,10 @@ def python_bodies(lines: DataFrame, least: int, scratch: Scratch) -> DataFrame:
 def doc_blocks(lines: DataFrame) -> DataFrame:
     """``file, first, last`` of stretches of long doc comments to leave out, two lines at least."""
     rows = lines.where(F.col("language").isin(*DOCS))
-    order = W.partitionBy("file").orderBy("k")
+    order, back = W.partitionBy("file").orderBy("k"), W.partitionBy("file").orderBy(F.desc("k"))
     body = F.trim(F.regexp_replace(F.trim("line"), r"^\*+", ""))
     ends = F.when(F.contains("line", F.lit("*/")), F.col("k"))
-    rows = rows.withColumns({"body": body, "end": F.min(ends).over(order.rowsBetween(0, W.unboundedFollowing)), "opens": F.startswith(F.trim("line"), F.lit("/**"))})
+    rows = rows.withColumns({"body": body, "end": F.min(ends).over(back.rowsBetween(W.unboundedPreceding, 0)), "opens": F.startswith(F.trim("line"), F.lit("/**"))})
     start = F.last(F.when(F.col("opens"), F.struct("k", "end")), ignorenulls=True).over(order)
     rows = rows.withColumn("block", start).where((F.col("k") <= F.col("block.end")) & (F.col("block.end") - F.col("block.k") + 1 >= DOC_LINES))
     within = W.partitionBy("file", "block.k").orderBy("k")
@@ -135,55 +163,77 @@ def doc_blocks(lines: DataFrame) -> DataFrame:
     return gone.groupBy("file", "run").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("last > first").drop("run")
 
 
-def _read(files: DataFrame, config: LedgerConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The lines of files that may be outlined, and :func:`elided`'s rows, both written: lines are
-    read three times, and texts once for their heads."""
-    known = files.where((F.octet_length("content") >= config.compress_min_bytes) & F.col("language").isin("python", *BRACES))
-    lines, least = scratch.keep(lines_of(known), "lines"), max(4, config.min_body_lines)
-    bodies = brace_bodies(known, least).unionByName(python_bodies(lines, least, scratch))
-    docs = doc_blocks(lines).withColumn("name", F.lit(None).cast("string"))
-    both = bodies.withColumn("kind", F.lit(0)).unionByName(docs.withColumn("kind", F.lit(1)))
-    # a comment within a body goes with it
-    cut = outermost(both.select("file", "first", "last", "name", (2 * F.col("first") + F.col("kind")).alias("a"), (2 * F.col("last") + 1).alias("b")))
-    return lines, scratch.keep(cut, "cut")
+def _known(files: DataFrame, config: LedgerConfig) -> DataFrame:
+    """Files that may be outlined."""
+    return files.where((F.octet_length("content") >= config.compress_min_bytes) & F.col("language").isin("python", *BRACES))
 
 
 def elided(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, first, last, name`` of stretches that an outline leaves out; no name: of a comment."""
-    return _read(files, config, Scratch(files.sparkSession, "outlines"))[1]
+    known, least = _known(files, config), max(4, config.min_body_lines)
+    bodies = brace_bodies(known, least).unionByName(python_bodies(python_lines(known), least, Scratch(files.sparkSession, "outlines")))
+    docs = doc_blocks(lines_of(known.where(F.contains("content", F.lit("/**"))))).withColumn("name", F.lit(None).cast("string"))
+    both = bodies.withColumn("kind", F.lit(0)).unionByName(docs.withColumn("kind", F.lit(1)))
+    # a comment within a body goes with it
+    return outermost(both.select("file", "first", "last", "name", (2 * F.col("first") + F.col("kind")).alias("a"), (2 * F.col("last") + 1).alias("b")))
+
+
+def _cut(files: DataFrame, config: LedgerConfig) -> DataFrame:
+    """``files`` with ``cuts``: what an outline leaves out of each, in order, with ``gone``, the lines
+    that are gone before; null if it leaves out nothing. A file's text meets one row of its cuts."""
+    before = F.sum(F.col("last") - F.col("first")).over(W.partitionBy("file").orderBy("first").rowsBetween(W.unboundedPreceding, -1))
+    rows = elided(files, config).withColumn("gone", F.coalesce(before, F.lit(0)).cast("int"))
+    cuts = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("first", "last", "gone", "name"))).alias("cuts"))
+    return files.join(cuts.hint("shuffle_hash"), "file", "left")
+
+
+def _shown(content: Column, language: Column, cuts: Column) -> Column:
+    """The outline's lines in order: ``compressed_line, original_start, original_end, symbol, elided, text``."""
+    upto = F.transform(cuts, lambda c, i: F.array_repeat(i, (c["last"] - F.when(i > 0, F.get(cuts, i - 1)["last"]).otherwise(F.lit(0))).cast("int")))
+    # of each line, the number of the cut that it lies in or that comes next
+    at = F.arrays_zip(F.split(content, "\n", -1).alias("line"), F.flatten(upto).alias("i"))
+    comment = F.when(language == "python", "#").otherwise("//")
+
+    def row(x, k):
+        c, end = F.get(cuts, x["i"]), F.get(cuts, F.size(cuts) - 1)
+        gone, n = x["i"].isNotNull() & (k + 1 >= c["first"]), c["last"] - c["first"] + 1
+        spelt = F.concat(F.regexp_extract(x["line"], r"^\s*", 0), comment, F.lit(" ... "), n.cast("string"), F.lit(" lines of "), c["name"], F.lit(" elided"))
+        mark = F.coalesce(spelt, F.concat(F.lit(" * ... "), n.cast("string"), F.lit(" lines elided")))
+        before = F.coalesce(c["gone"], end["gone"] + end["last"] - end["first"])
+        return F.when(~gone | (k + 1 == c["first"]), F.struct(
+            (k + 1 - before).cast("int").alias("compressed_line"), (k + 1).alias("original_start"), F.when(gone, c["last"]).otherwise(k + 1).cast("long").alias("original_end"), F.when(gone, c["name"]).alias("symbol"),
+            gone.alias("elided"), F.when(gone, mark).otherwise(x["line"]).alias("text"),
+        ))
+
+    return F.filter(F.transform(at, row), lambda x: x.isNotNull())
 
 
 def source_map(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, compressed_line, original_start, original_end, symbol, elided, text``: the lines of
     every outline, of files that lose something."""
-    lines, cut = _read(files, config, Scratch(files.sparkSession, "outlines"))
-    rows = lines.join(cut.select("file").distinct(), "file", "left_semi").join(cut.withColumnRenamed("first", "k"), ["file", "k"], "left")
-    order = W.partitionBy("file").orderBy("k")
-    within = F.last(F.when(F.col("last").isNotNull(), F.struct("k", "last", "name")), ignorenulls=True).over(order)
-    rows = rows.withColumn("cut", within).withColumn("gone", F.coalesce(F.col("k") <= F.col("cut.last"), F.lit(False))).where("not gone or k = cut.k")
-    n, comment = F.col("last") - F.col("k") + 1, F.when(F.col("language") == "python", "#").otherwise("//")
-    spelt = F.concat(F.regexp_extract("line", r"^\s*", 0), comment, F.lit(" ... "), n.cast("string"), F.lit(" lines of "), F.col("name"), F.lit(" elided"))
-    mark = F.coalesce(spelt, F.concat(F.lit(" * ... "), n.cast("string"), F.lit(" lines elided")))
-    return rows.select(
-        "file", F.row_number().over(order).alias("compressed_line"), F.col("k").alias("original_start"), F.coalesce("last", "k").alias("original_end"), F.col("name").alias("symbol"),
-        F.col("gone").alias("elided"), F.when(F.col("gone"), mark).otherwise(F.col("line")).alias("text"),
-    )
+    rows = _cut(files.select("file", "language", "content"), config).where("cuts is not null")
+    return rows.select("file", F.inline_outer(_shown(F.col("content"), F.col("language"), F.col("cuts"))))
+
+
+def outlined(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
+    """``files`` with ``text, names``: their outline if that is smaller, else null."""
+    tokens = lambda c: F.call_function("div", F.octet_length(c) + 3, F.lit(4))
+    shown = F.transform(_shown(F.col("content"), F.col("language"), F.col("cuts")), lambda r: r["text"])
+    rows = once(_cut(files, config), text=F.when(F.col("cuts").isNotNull(), F.array_join(shown, "\n")))
+    smaller = tokens(F.col("text")) < tokens(F.col("content"))
+    names = F.transform(F.filter("cuts", lambda c: c["name"].isNotNull()), lambda c: c["name"])
+    return rows.withColumns({"text": F.when(smaller, F.col("text")), "names": F.when(smaller, names)}).drop("cuts")
 
 
 def outlines(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, text, names`` of files whose outline is smaller."""
-    rows = source_map(files, config).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("compressed_line", "text", "symbol", "elided"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda r: r["text"]), "\n")
-    names = F.transform(F.filter("x", lambda r: r["elided"] & r["symbol"].isNotNull()), lambda r: r["symbol"])
-    both = files.select("file", F.octet_length("content").alias("bytes")).join(rows.select("file", text.alias("text"), names.alias("names")), "file")
-    tokens = lambda c: F.call_function("div", c + 3, F.lit(4))
-    return both.where(tokens(F.octet_length("text")) < tokens(F.col("bytes"))).drop("bytes")
+    return outlined(files.select("file", "language", "content"), config).where("text is not null").select("file", "text", "names")
 
 
 def edit_hits(files: DataFrame, needles: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, names``: of elided functions that an edit of the ``needle`` (``file, needle``) would touch,
     wherever it stands; needles of under four bytes are too common to tell."""
-    asked = files.join(needles.where(F.octet_length("needle") >= 4), "file")
+    asked = files.join(needles.where(F.octet_length("needle") >= 4).hint("shuffle_hash"), "file")
     parts = asked.select("file", "needle", F.posexplode(F.split(F.col("content"), F.concat(F.lit("\\Q"), F.replace("needle", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)).alias("i", "part"))
     feeds = lambda c: F.regexp_count(c, F.lit("\n"))
     order = W.partitionBy("file", "needle").orderBy("i")
@@ -198,12 +248,15 @@ def edit_hits(files: DataFrame, needles: DataFrame, config: LedgerConfig = DEFAU
 def edit_warnings(edits: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, warning`` of edits (``file, language, before, after``) that seem to have taken an outline
     for the text: they wrote its mark, cut the text by over half, or emptied functions."""
+    edits = Scratch(edits.sparkSession, "warnings").keep(edits.select("file", "language", "before", "after"), "edits")  # read from six sides
     marked = F.rlike("after", F.lit(r"(?:#|//) \.\.\. \d+ lines of \w+ elided"))
     half = (F.octet_length("before") > 200) & (F.octet_length("after") * 2 < F.octet_length("before"))
     plain = edits.select("file", F.when(marked, "the edit wrote an outline's mark into the file").when(half, "the edit removed over half of the file").alias("warning"))
     side = lambda c: elided(edits.select("file", "language", F.col(c).alias("content")), config).where("name is not null").select("file", "name").distinct()
-    gone = side("before").join(side("after"), ["file", "name"], "left_anti").join(edits.select("file", "after"), "file")
-    still = gone.where(F.rlike("after", F.concat(F.lit("\\b"), F.col("name"), F.lit("\\s*\\("))))
+    gone = side("before").join(side("after"), ["file", "name"], "left_anti")
+    # a name that is called stands at a boundary and goes up to a bracket; every call is looked at once
+    calls = F.regexp_extract_all("after", F.lit(r"\b(?=([\w$~]++)\s*+\()"), F.lit(1))
+    still = gone.join(edits.select("file", F.explode(F.array_distinct(calls)).alias("name")), ["file", "name"], "left_semi")
     short = still.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     both = plain.join(short, "file", "left")
     return both.select("file", F.coalesce("warning", F.concat(F.lit("bodies became short: "), F.col("names"))).alias("warning")).where("warning is not null")

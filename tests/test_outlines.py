@@ -109,3 +109,24 @@ def test_edit_warnings(spark, seed):
     assert got == {i: w for i, language, a, b in edits if (w := plain.elided_edit_warning(a, b, language))} and len(got) > 10
     none = spark.createDataFrame([(1, "python", None, "x"), (2, "python", "x", None)], "file long, language string, before string, after string")
     assert R.edit_warnings(none).count() == 0
+
+
+def test_frames_look_back_and_texts_stay(spark):
+    """A frame up to the end of its rows is summed anew for each of them: lines squared; files dealt by
+    ``file`` meet their cuts where they lie."""
+    files = spark.createDataFrame(sources(5, 20), SCHEMA).repartition(6, "file")
+    plan = R.outlined(files)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and "REPARTITION_BY_NUM" in plan
+    assert all("content" not in line for line in plan.split("\n") if "Exchange" in line)
+    joined = plan.split("ShuffledHashJoin")[1]
+    assert "ENSURE_REQUIREMENTS" not in joined[: joined.index("REPARTITION_BY_NUM")]
+
+
+def test_calls_of_many_names(spark):
+    """Names are looked for in one pass over the text after an edit, a dollar being a letter."""
+    head = "// " + "x" * 1100 + "\n"
+    names = ["f$a", "$b", "c"] + [f"n{i}" for i in range(30)]
+    text = lambda n: head + "".join(f"function {x}(a) {{\n" + "    y();\n" * n + "}\n" for x in names)
+    edits = [(1, "javascript", text(20), text(12)), (2, "javascript", text(20), text(20))]
+    got = {r.file: r.warning for r in R.edit_warnings(spark.createDataFrame(edits, "file long, language string, before string, after string")).collect()}
+    assert got == {1: plain.elided_edit_warning(*edits[0][2:], "javascript")} and "f$a" in got[1]
