@@ -157,3 +157,14 @@ def test_labels(spark):
 def test_additive_migration(spark):
     old, new = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2, "x")], "a int, b string")
     assert sorted(map(tuple, streams.with_columns_of(old, new).collect())) == [(1, None), (2, "x")]
+
+
+def test_orphans_are_idle_for_three_days(spark):
+    """Sessions that were active within three days are kept with all their actions."""
+    from ledgerspark.plans import ledger as P
+    from ledgerspark.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    want = P.plain_actions(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.max("occurred_at").alias("at")).where(F.col("at") >= P.NOW - 3 * 86_400)
+    got = {r.session_id: r.kept for r in registry.queries()["orphan_anti"](spark, d).collect()}
+    assert got == {r.session_id: r.n for r in want.collect()} and len(got) > 9
