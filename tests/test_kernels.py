@@ -213,3 +213,18 @@ def test_texts_beyond_the_bound_are_replaced(monkeypatch):
     old, new = "a\nb\nc\nd\ne\n", "a\nc\nb\nd\nc\ne\n"
     found = D.unified_diff("f", old, new)
     assert D.apply_diff(old, found) == new and "-b\n-c\n-d\n+c\n+b\n+d\n+c\n" in found
+
+
+def test_texts_go_to_python_a_few_at_a_time(spark):
+    """Diffs aren't made of batches that are cut by thousands of rows, whatever a row's bytes."""
+    from pyspark.sql import functions as F
+
+    from ledgerspark.functions import diff as D
+
+    rows = spark.range(10).select(F.lit("a\n").alias("old"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("new"))
+    made = rows.select("new", D.diff_of(F.lit("f"), F.col("old"), F.col("new")).alias("diff")).withColumns({"r": D.ranges_of(F.col("diff")), "s": D.summary_of(F.col("diff"), F.col("new"))})
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
+    assert {tuple(tuple(x) for x in r.r) for r in made.collect()} == {((1, 1, ""),)}
+    none = rows.select(D.diff_of(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("new")).alias("d")).select("d", D.ranges_of(F.col("d")).alias("r"), D.summary_of(F.col("d"), F.col("d")).alias("s")).first()
+    assert tuple(none) == (None, [], "")
