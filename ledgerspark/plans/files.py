@@ -315,10 +315,10 @@ def _(spark, d):
     store.add(own)
     store.compact()
     store.remove(own.where(F.octet_length("content") % 3 == 0))
-    back = store.read().select("content_hash", C("content").alias("back"))
-    both = own.join(back, "content_hash", "left")
-    size = F.octet_length(F.coalesce("back", "content")).cast("long")
-    return both.select("doc_id", "content_hash", size.alias("n_bytes"), C("back").isNotNull().alias("kept"))
+    # what is read back is known by its own hash; of contents no more than their sizes meet
+    back = store.read().select(S.content_hash(C("content")).alias("content_hash"), F.octet_length("content").alias("back"))
+    both = own.select("doc_id", "content_hash", F.octet_length("content").alias("n")).join(back, "content_hash", "left")
+    return both.select("doc_id", "content_hash", F.coalesce("back", "n").cast("long").alias("n_bytes"), C("back").isNotNull().alias("kept"))
 
 
 @q("hook_responses", f"""{CLASSIFIED} SELECT action_id, CASE WHEN outcome IN ('unchanged', 'delta') THEN '{{"decision":"deny","reason":"' || outcome || ' ' || file_path || '"}}' ELSE '{{"decision":"allow"}}' END AS response FROM classified WHERE kind = 'read'""")

@@ -59,9 +59,14 @@ class ContentStore:
     def _next(self) -> int:
         return max((self._serial(x) for x in self._names(self.folder) if x.count("-") == 2), default=0) + 1
 
-    def _write(self, rows: DataFrame, kind: str) -> str:
+    def _write(self, rows: DataFrame, gone: DataFrame, kind: str) -> str:
+        """Writes each of ``rows`` once, without those in ``gone`` (``content_hash``). Contents are
+        dealt by prefix, which is how they are written, and by nothing else before."""
         where = f"{self.folder}/{kind}-{self._next():012d}-{uuid.uuid4().hex[:8]}"
-        rows.select("content_hash", "content", "prefix").repartition("prefix").write.partitionBy("prefix").parquet(where)
+        none = gone.select("content_hash", F.lit(None).cast("string").alias("content"), self.prefix(F.col("content_hash")).alias("prefix"), F.lit(True).alias("gone"))
+        both = rows.select("content_hash", "content", "prefix", F.lit(False).alias("gone")).unionByName(none).repartition("prefix")
+        one = both.groupBy("prefix", "content_hash").agg(F.first("content", ignorenulls=True).alias("content"), F.max("gone").alias("gone"))
+        one.where("not gone").select("content_hash", "content", "prefix").write.partitionBy("prefix").parquet(where)
         return where
 
     def read(self, hashes: DataFrame | None = None) -> DataFrame:
@@ -85,8 +90,7 @@ class ContentStore:
         bad = rows.where(F.sha2("content", 256) != F.col("content_hash"))
         if not bad.isEmpty():
             raise ValueError(f"not its content's hash: {bad.first().content_hash}")
-        new = rows.dropDuplicates(["content_hash"]).join(self.read(rows).select("content_hash"), "content_hash", "left_anti")
-        where = self._write(new.withColumn("prefix", self.prefix(F.col("content_hash"))), "add")
+        where = self._write(rows.withColumn("prefix", self.prefix(F.col("content_hash"))), self.read(rows), "add")
         n = self.spark.read.schema(SCHEMA).parquet(where).count()
         if not n:
             self._drop(where)
@@ -96,15 +100,11 @@ class ContentStore:
         path, fs = self._fs(where)
         fs.delete(path, True)
 
-    def _rewrite(self, prefixes: list[str], keep: DataFrame) -> None:
-        if prefixes:
-            self._write(keep, "base")
-
     def compact(self, most: int = 1) -> list[str]:
         """Rewrites the folders that are in more than ``most`` parts; gives their prefixes."""
         many = sorted(p.split("=")[1] for p, v in self.parts().items() if len(v) > most)
         if many:
-            self._rewrite(many, self.read().where(F.col("prefix").isin(many)).dropDuplicates(["content_hash"]))
+            self._write(self.read().where(F.col("prefix").isin(many)), self.spark.createDataFrame([], SCHEMA), "base")
         return many
 
     def remove(self, orphans: DataFrame) -> list[str]:
@@ -112,10 +112,10 @@ class ContentStore:
         gone = orphans.select("content_hash").distinct()
         touched = sorted(r[0] for r in self.read(gone).select("prefix").distinct().collect())
         if touched:
-            kept = self.read().where(F.col("prefix").isin(touched)).join(gone, "content_hash", "left_anti")
+            own = F.col("prefix").isin(touched)
             # a folder that is left empty still has to replace what was there
             empty = self.spark.createDataFrame([(None, None, p) for p in touched], SCHEMA)
-            self._rewrite(touched, kept.unionByName(empty))
+            self._write(self.read().where(own).unionByName(empty), gone.where(self.prefix(F.col("content_hash")).isin(touched)), "base")
         return touched
 
     def sweep(self) -> int:

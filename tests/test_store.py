@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.functions import diff as D
 from ledgerspark.operators.precomputed import Precomputed
@@ -95,3 +96,21 @@ def test_served_diffs_equal_fresh_ones(spark, tmp_path):
     same = [b for b, files in untouched.items() if sorted(os.listdir(tmp_path / "v" / b)) == files]
     assert len(same) >= len(untouched) - 2 and view.rows().where("file_path = 'f0'").isEmpty()
     view.refresh(pairs([], "file_path", "content_hash"), baselines, contents)
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_contents_are_dealt_once(spark, tmp_path):
+    rows = spark.range(300).select(F.concat_ws("", *(F.sha2(F.concat(F.col("id"), F.lit(f"-{k}")), 256) for k in range(100))).alias("content"))
+    rows = rows.select(F.sha2("content", 256).alias("content_hash"), "content")
+    store, size = ContentStore(spark, str(tmp_path / "s"), 1), 300 * 6400
+    for work in (lambda: store.add(rows), lambda: store.add(rows), lambda: store.remove(rows.where("content_hash < '8'"))):
+        before = shuffled(spark)
+        work()
+        assert shuffled(spark) - before < 1.2 * size
+    assert sorted(r.content_hash for r in store.read().collect()) == sorted(r[0] for r in rows.where("content_hash >= '8'").select("content_hash").collect())
