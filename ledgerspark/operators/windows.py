@@ -110,11 +110,11 @@ def charges(rows: DataFrame, contents: DataFrame, config: LedgerConfig = DEFAULT
 
     A window is charged its own text, not the file's; one that is ``partial-unchanged`` is sent
     a header in place of it, unless that costs as much (``partial-gated``). ``contents`` has
-    ``file_no, rev, content``."""
-    text = contents.select("file_no", "rev", "content")
-    own = rows.where("kind = 'partial'").join(text, ["file_no", "rev"])
-    part = S.window(F.col("content"), F.col("first_line"), F.col("win_end") - F.col("first_line") + 1)
-    own = own.select("action_id", "outcome", "file_path", "first_line", "last_line", S.token_estimate(part).alias("charged_full"))
+    ``file_no, rev, content``; of a content only its lines' sizes meet the windows."""
+    text = contents.select("file_no", "rev", S.line_bytes(F.col("content")).alias("sizes"))
+    own = rows.where("kind = 'partial'").select("action_id", "outcome", "file_path", "file_no", "rev", "first_line", "last_line", "win_end").join(text, ["file_no", "rev"])
+    part = S.window_bytes(F.col("sizes"), F.col("first_line"), F.col("win_end") - F.col("first_line") + 1)
+    own = own.select("action_id", "outcome", "file_path", "first_line", "last_line", F.call_function("div", part + 3, F.lit(4)).alias("charged_full"))
     sent = S.token_estimate(render.window_unchanged(F.col("file_path"), F.col("first_line"), F.col("last_line"), config))
     known, gated = F.col("outcome") == "partial-unchanged", sent >= F.col("charged_full")
     return own.select(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.config import LedgerConfig
+from ledgerspark.functions import scalars as S
 from ledgerspark.operators import ledger as L
 from ledgerspark.operators import scans
 from ledgerspark.operators import windows as V
@@ -178,3 +179,19 @@ def test_window_charges_by_hand(spark):
         3: ("partial-gated", 7, 7, tokens(7, 7), tokens(7, 7)), 4: ("partial-uncovered", 20, 30, tokens(20, 30), tokens(20, 30)),
         5: ("partial-unchanged", 5, 30, tokens(5, 30), header(5, 30)), 7: ("partial-unchanged", 70, 80, tokens(70, 80), header(70, 80)),
     }
+
+
+def test_sizes_of_lines_tell_a_window(spark):
+    texts = ["", "\n", "a", "a\n", "a\nb", "é\n\nb\n", "\n\n", "one\ntwo\nthree", None]
+    rows = [(t, s, n) for t in texts for s in range(1, 6) for n in range(-1, 6)]
+    df = spark.createDataFrame(rows, "t string, s int, n int")
+    sizes = S.window_bytes(S.line_bytes(F.col("t")), F.col("s"), F.col("n"))
+    got = df.select("t", "s", "n", sizes.alias("a"), F.octet_length(S.window(F.col("t"), F.col("s"), F.col("n"))).alias("b")).collect()
+    assert [r for r in got if r.a != r.b] == [] and len(got) == len(rows)
+
+
+def test_no_content_meets_a_window(spark):
+    rows = spark.createDataFrame([], "action_id long, kind string, outcome string, file_path string, file_no long, rev int, first_line int, last_line int, win_end int")
+    contents = spark.createDataFrame([], "file_no long, rev int, content string")
+    plan = V.charges(rows, contents)._jdf.queryExecution().analyzed().toString()
+    assert "Join" in plan and "content" not in plan.split("Join")[0]
