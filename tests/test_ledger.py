@@ -168,3 +168,11 @@ def test_orphans_are_idle_for_three_days(spark):
     want = P.plain_actions(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.max("occurred_at").alias("at")).where(F.col("at") >= P.NOW - 3 * 86_400)
     got = {r.session_id: r.kept for r in registry.queries()["orphan_anti"](spark, d).collect()}
     assert got == {r.session_id: r.n for r in want.collect()} and len(got) > 9
+
+
+def test_replies_read_the_log_once(spark):
+    """What other sessions saw comes from the log that was classified and written."""
+    from ledgerspark.plans import registry
+
+    df = registry.queries()["rendered_replies"](spark, "/root/testdata/sf0.001")
+    assert not [x for x in df.inputFiles() if "events" in x] and [x for x in df.inputFiles() if "documents" in x]
