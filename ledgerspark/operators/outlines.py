@@ -31,6 +31,10 @@ DOCS = tuple(x for x in BRACES if x not in ("rust", "go"))
 #: Repeats don't give back, so none takes more stack or time for a longer text.
 BRACE_TOKENS = r"""//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|"(?:\\.|[^"\\\n])*+"?|'(?:\\[^\n][^'\n]{0,9}|[^'\\\n])'|`(?s:\\.|[^`\\])*+`?|[^/"'`]++|[/'`]"""
 PYTHON_TOKENS = r'''#[^\n]*+|"""(?s:.*?)(?:"""|\z)|\'\'\'(?s:.*?)(?:\'\'\'|\z)|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?|[^#"']++'''
+#: Of texts whose strings and comments end with their line: what gives way, with the quotes of strings.
+#: What begins one is asked first, and repeats are of a class, as these are what Java's patterns are fast at.
+BRACE_BLANKS = r"""[/"'](?:(?<=/)/[^\n]*|(?<=("))[^"\\\n]*(?:\\.[^"\\\n]*)*+"?|(?<=')(?:\\[^\n][^'\n]{0,9}|[^'\\\n])('))"""
+PYTHON_BLANKS = r"""[#"'](?:(?<=#)[^\n]*|(?<=("))[^"\\\n]*(?:\\.[^"\\\n]*)*+"?|(?<=('))[^'\\\n]*(?:\\.[^'\\\n]*)*+'?)"""
 CONTROL = r"^(?:[}\s]|\belse\b)*\b(?:if|for|foreach|while|switch|catch|match|when|loop|do|try|using|lock|synchronized|return|guard|select|unsafe|with)\b"
 TYPE = r"^(?:[\w@\[\]()<>.,\"\s]*?\s)?(?:class|struct|enum|interface|trait|impl|namespace|mod|module|union|object|record|extension|protocol)\b(?![^{]*=>)"
 CALLED = r"([\w$~]+)\s*(?:<[^()]*>|\[[^\]()]*\])?\s*\("
@@ -55,12 +59,22 @@ def _masked(content: Column, pattern: str, comments: tuple[str, ...], strings: t
     return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), blank), "")
 
 
+def _blanked(content: Column, pattern: str, odd: tuple[str, ...]) -> tuple[Column, Column]:
+    """Whether a text has none of the ``odd`` marks, and its mask then: no token takes a line feed, so
+    one pass replaces them. Quotes that it leaves twice are those of strings."""
+    plain = reduce(lambda a, b: a & b, (~F.contains(content, F.lit(m)) for m in odd))
+    blanked = F.regexp_replace(content, pattern, "$1$1$2$2")
+    return plain, F.when(F.contains(content, F.lit("'")), F.regexp_replace(blanked, "''", '""')).otherwise(blanked)
+
+
 def brace_masked(content: Column) -> Column:
-    return _masked(content, BRACE_TOKENS, ("//", "/*"), ('"', "'", "`"))
+    plain, blanked = _blanked(content, BRACE_BLANKS, ("/*", "`", "''"))
+    return F.when(plain, blanked).otherwise(_masked(content, BRACE_TOKENS, ("//", "/*"), ('"', "'", "`")))
 
 
 def python_masked(content: Column) -> Column:
-    return _masked(content, PYTHON_TOKENS, ("#",), ('"', "'"))
+    plain, blanked = _blanked(content, PYTHON_BLANKS, ('"""', "'''"))
+    return F.when(plain, blanked).otherwise(_masked(content, PYTHON_TOKENS, ("#",), ('"', "'")))
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -99,10 +113,10 @@ def brace_bodies(files: DataFrame, least: int) -> DataFrame:
     """``file, first, last, name`` of bodies in braces of ``least`` lines or more."""
     own = files.where(F.col("language").isin(*BRACES))
     # what follows the last brace ends with one that opens nothing, so no stretch is tried twice
-    heads = F.regexp_extract_all(F.concat(brace_masked(F.col("content")), F.lit("{")), F.lit(r"[^{}]*+[{}]"), F.lit(0))
+    heads = F.regexp_extract_all(F.concat(brace_masked(F.col("content")), F.lit("{")), F.lit(r"[^{}]*[{}]"), F.lit(0))
     rows = own.select("file", F.posexplode_outer(heads).alias("t", "part"))
     order = W.partitionBy("file").orderBy("t")
-    opens, feeds = F.endswith("part", F.lit("{")), F.octet_length("part") - F.octet_length(F.replace("part", F.lit("\n"), F.lit("")))
+    opens, feeds = F.endswith("part", F.lit("{")), F.regexp_count("part", F.lit("\n"))
     # the head is what follows the last statement; that of a closing brace is never asked for
     head = F.when(opens, F.trim(F.regexp_replace(F.substring_index("part", ";", -1), r"[\n{};]", " "))).otherwise(F.lit(""))
     rows = rows.select("file", "t", F.when(opens, F.lit("{")).otherwise(F.lit("}")).alias("mark"), head.alias("head"), feeds.alias("feeds"))
@@ -110,7 +124,8 @@ def brace_bodies(files: DataFrame, least: int) -> DataFrame:
     level = W.partitionBy("file", "level").orderBy("t")
     rows = rows.withColumn("level", F.col("depth") + (F.col("mark") == "}").cast("int"))
     rows = rows.withColumns({"end": F.lead("line").over(level), "end_mark": F.lead("mark").over(level), "end_t": F.lead("t").over(level)})
-    found = rows.where("mark = '{' and end_mark = '}'").withColumn("name", name_of(F.col("head"))).where((F.col("end") - F.col("line") - 1 >= least) & F.col("name").isNotNull())
+    found = rows.where("mark = '{' and end_mark = '}'").where(F.col("end") - F.col("line") - 1 >= least)
+    found = once(found.select("file", "line", "end", "t", "end_t", "head"), name=name_of(F.col("head"))).where(F.col("name").isNotNull())
     return outermost(found.select("file", (F.col("line") + 1).alias("first"), (F.col("end") - 1).alias("last"), "name", F.col("t").alias("a"), F.col("end_t").alias("b")))
 
 
@@ -187,39 +202,57 @@ def _cut(files: DataFrame, config: LedgerConfig) -> DataFrame:
     return files.join(cuts.hint("shuffle_hash"), "file", "left")
 
 
-def _shown(content: Column, language: Column, cuts: Column) -> Column:
-    """The outline's lines in order: ``compressed_line, original_start, original_end, symbol, elided, text``."""
-    upto = F.transform(cuts, lambda c, i: F.array_repeat(i, (c["last"] - F.when(i > 0, F.get(cuts, i - 1)["last"]).otherwise(F.lit(0))).cast("int")))
-    # of each line, the number of the cut that it lies in or that comes next
-    at = F.arrays_zip(F.split(content, "\n", -1).alias("line"), F.flatten(upto).alias("i"))
+def _stretches(lines: Column, cuts: Column, stretch, mark) -> Column:
+    """Of ``lines``, a column that was made once, what an outline shows, in order, without a look at lines that it leaves out: before each cut
+    ``stretch`` of the lines that stay, of the number of those before them and of the cut, then the cut's ``mark``."""
+
+    def part(c, i):
+        start = F.when(i > 0, F.get(cuts, i - 1)["last"]).otherwise(F.lit(0)).cast("int")
+        return F.concat(stretch(F.slice(lines, start + 1, (c["first"] - 1).cast("int") - start), start, c["gone"]), F.array(mark(lines, c)))
+
+    end = F.get(cuts, F.size(cuts) - 1)
+    n = end["last"].cast("int")
+    rest = stretch(F.slice(lines, n + 1, F.size(lines)), n, end["gone"] + (end["last"] - end["first"]).cast("int"))
+    return F.concat(F.flatten(F.transform(cuts, part)), rest)
+
+
+def _mark(language: Column):
     comment = F.when(language == "python", "#").otherwise("//")
 
-    def row(x, k):
-        c, end = F.get(cuts, x["i"]), F.get(cuts, F.size(cuts) - 1)
-        gone, n = x["i"].isNotNull() & (k + 1 >= c["first"]), c["last"] - c["first"] + 1
-        spelt = F.concat(F.regexp_extract(x["line"], r"^\s*", 0), comment, F.lit(" ... "), n.cast("string"), F.lit(" lines of "), c["name"], F.lit(" elided"))
-        mark = F.coalesce(spelt, F.concat(F.lit(" * ... "), n.cast("string"), F.lit(" lines elided")))
-        before = F.coalesce(c["gone"], end["gone"] + end["last"] - end["first"])
-        return F.when(~gone | (k + 1 == c["first"]), F.struct(
-            (k + 1 - before).cast("int").alias("compressed_line"), (k + 1).alias("original_start"), F.when(gone, c["last"]).otherwise(k + 1).cast("long").alias("original_end"), F.when(gone, c["name"]).alias("symbol"),
-            gone.alias("elided"), F.when(gone, mark).otherwise(x["line"]).alias("text"),
-        ))
+    def mark(lines, c):
+        n = (c["last"] - c["first"] + 1).cast("string")
+        spelt = F.concat(F.regexp_extract(F.get(lines, (c["first"] - 1).cast("int")), r"^\s*", 0), comment, F.lit(" ... "), n, F.lit(" lines of "), c["name"], F.lit(" elided"))
+        return F.coalesce(spelt, F.concat(F.lit(" * ... "), n, F.lit(" lines elided")))
+
+    return mark
+
+
+def _shown(lines: Column, language: Column, cuts: Column) -> Column:
+    """The outline's lines in order: ``compressed_line, original_start, original_end, symbol, elided, text``."""
+    spelt = _mark(language)
+
+    def row(k, gone, last, symbol, elided, text):
+        return F.struct((k - gone).cast("int").alias("compressed_line"), k.cast("int").alias("original_start"), last.cast("long").alias("original_end"), symbol.cast("string").alias("symbol"), F.lit(elided).alias("elided"), text.alias("text"))
 
-    return F.filter(F.transform(at, row), lambda x: x.isNotNull())
+    stretch = lambda rows, start, gone: F.transform(rows, lambda x, k: row(start + k + 1, gone, start + k + 1, F.lit(None), False, x))
+    return _stretches(lines, cuts, stretch, lambda lines, c: row(c["first"], c["gone"], c["last"], c["name"], True, spelt(lines, c)))
 
 
 def source_map(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, compressed_line, original_start, original_end, symbol, elided, text``: the lines of
     every outline, of files that lose something."""
     rows = _cut(files.select("file", "language", "content"), config).where("cuts is not null")
-    return rows.select("file", F.inline_outer(_shown(F.col("content"), F.col("language"), F.col("cuts"))))
+    rows = once(rows, lines=F.split("content", "\n", -1))
+    return rows.select("file", F.inline_outer(_shown(F.col("lines"), F.col("language"), F.col("cuts"))))
 
 
 def outlined(files: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``files`` with ``text, names``: their outline if that is smaller, else null."""
     tokens = lambda c: F.call_function("div", F.octet_length(c) + 3, F.lit(4))
-    shown = F.transform(_shown(F.col("content"), F.col("language"), F.col("cuts")), lambda r: r["text"])
-    rows = once(_cut(files, config), text=F.when(F.col("cuts").isNotNull(), F.array_join(shown, "\n")))
+    shown = _stretches(F.col("lines"), F.col("cuts"), lambda rows, start, gone: rows, _mark(F.col("language")))
+    cut = F.col("cuts").isNotNull()
+    rows = once(_cut(files, config), lines=F.when(cut, F.split("content", "\n", -1)))
+    rows = once(rows, text=F.when(cut, F.array_join(shown, "\n"))).drop("lines")
     smaller = tokens(F.col("text")) < tokens(F.col("content"))
     names = F.transform(F.filter("cuts", lambda c: c["name"].isNotNull()), lambda c: c["name"])
     return rows.withColumns({"text": F.when(smaller, F.col("text")), "names": F.when(smaller, names)}).drop("cuts")
@@ -248,10 +281,14 @@ def edit_hits(files: DataFrame, needles: DataFrame, config: LedgerConfig = DEFAU
 def edit_warnings(edits: DataFrame, config: LedgerConfig = DEFAULT) -> DataFrame:
     """``file, warning`` of edits (``file, language, before, after``) that seem to have taken an outline
     for the text: they wrote its mark, cut the text by over half, or emptied functions."""
-    edits = Scratch(edits.sparkSession, "warnings").keep(edits.select("file", "language", "before", "after"), "edits")  # read from six sides
-    marked = F.rlike("after", F.lit(r"(?:#|//) \.\.\. \d+ lines of \w+ elided"))
+    marked = F.rlike("after", F.lit(r"[#/](?<=#|//) \.\.\. \d+ lines of \w+ elided"))
     half = (F.octet_length("before") > 200) & (F.octet_length("after") * 2 < F.octet_length("before"))
-    plain = edits.select("file", F.when(marked, "the edit wrote an outline's mark into the file").when(half, "the edit removed over half of the file").alias("warning"))
+    plain = F.when(marked, "the edit wrote an outline's mark into the file").when(half, "the edit removed over half of the file")
+    told = once(edits.select("file", "language", "before", "after"), warning=plain)
+    # bodies are looked for where nothing else is told and something changed
+    asked = lambda c: F.when(F.col("warning").isNull() & (F.col("before") != F.col("after")), F.col(c)).alias(c)
+    told = Scratch(edits.sparkSession, "warnings").keep(told.select("file", "language", "warning", asked("before"), asked("after")), "edits")  # read from six sides
+    plain, edits = told.select("file", "warning"), told.where("before is not null")
     side = lambda c: elided(edits.select("file", "language", F.col(c).alias("content")), config).where("name is not null").select("file", "name").distinct()
     gone = side("before").join(side("after"), ["file", "name"], "left_anti")
     # a name that is called stands at a boundary and goes up to a bracket; every call is looked at once

@@ -130,3 +130,32 @@ def test_calls_of_many_names(spark):
     edits = [(1, "javascript", text(20), text(12)), (2, "javascript", text(20), text(20))]
     got = {r.file: r.warning for r in R.edit_warnings(spark.createDataFrame(edits, "file long, language string, before string, after string")).collect()}
     assert got == {1: plain.elided_edit_warning(*edits[0][2:], "javascript")} and "f$a" in got[1]
+
+
+def test_masks_of_one_pass_equal_masks_by_tokens(spark):
+    rng = random.Random(5)
+    parts = ["'", '"', "\\", "/", "//", "#", "\n", "a", "{", "}", ";", " ", "''", "'x'", "'\\n'", "&'a str", "é", "\r", "`", "/*", "*/", '"""', "'''"]
+    texts = ["".join(rng.choices(parts[: 19 if n % 4 else 23], k=rng.randint(0, 30))) for n in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    brace, python = R._masked(F.col("t"), R.BRACE_TOKENS, ("//", "/*"), ('"', "'", "`")), R._masked(F.col("t"), R.PYTHON_TOKENS, ("#",), ('"', "'"))
+    plain = lambda odd: R._blanked(F.col("t"), R.BRACE_BLANKS, odd)[0]
+    both = rows.select("t", R.brace_masked(F.col("t")).alias("b"), brace.alias("b2"), R.python_masked(F.col("t")).alias("p"), python.alias("p2"), plain(("/*", "`", "''")).alias("one"))
+    got = both.collect()
+    assert [r for r in got if r["b"] != r["b2"] or r["p"] != r["p2"]] == []
+    assert sum(r["one"] for r in got) > 500
+
+
+def test_bodies_are_looked_for_only_where_nothing_else_is_told(spark, monkeypatch):
+    body = "".join(f"    x({i});\n" for i in range(20))
+    whole = "int f(int a) {\n" + body + "}\n" + "// " + "y" * 1100 + "\n"
+    rows = [(1, "java", whole, whole), (2, "java", whole, whole.replace(body, "    // ... 20 lines of f elided\n")), (3, "java", whole, "int f(int a) {\n}\n"), (4, "java", whole, whole.replace(body, "    x(1);\n")), (5, "java", None, whole), (6, "java", whole, None)]
+    looked, plain = [], R.elided
+
+    def elided(files, config):
+        looked.append(sorted(r["file"] for r in files.select("file").collect()))
+        return plain(files, config)
+
+    monkeypatch.setattr(R, "elided", elided)
+    got = {r["file"]: r["warning"] for r in R.edit_warnings(spark.createDataFrame(rows, "file long, language string, before string, after string")).collect()}
+    assert got == {2: "the edit wrote an outline's mark into the file", 3: "the edit removed over half of the file", 4: "bodies became short: f"}
+    assert looked == [[4], [4]]
