@@ -1,10 +1,11 @@
 """Code outlines as relations: long function bodies give way to a mark; signatures, types, imports
 and comments stay, and doc comments keep their beginning.
 
-A text is first read as tokens (strings, comments, the rest) by one pattern, so that braces and
-keywords in strings and comments are blank. Then everything is rows: a statement's head up to
+A text is read as tokens (strings, comments, the rest) by one pattern, so that braces and
+keywords in strings and comments don't count. Then everything is rows: a statement's head up to
 its ``{`` or ``}`` with its line and depth (running sums), a block's end by the next brace of
-its depth, a Python body's end by the next line indented no more than its ``def``. Of bodies within
+its depth, a Python body's end by the next line indented no more than its ``def``; Python's lines that
+can't be either come as one row. Of bodies within
 bodies the outermost counts. All windows are by file, and look back only: a frame up to the end of
 its rows is summed anew for each of them. What is cut comes back to the text as one array a file, so
 no line of a text is shuffled; files that are dealt by ``file`` are shuffled nowhere. Rows are made
@@ -35,6 +36,12 @@ PYTHON_TOKENS = r'''#[^\n]*+|"""(?s:.*?)(?:"""|\z)|\'\'\'(?s:.*?)(?:\'\'\'|\z)|"
 #: What begins one is asked first, and repeats are of a class, as these are what Java's patterns are fast at.
 BRACE_BLANKS = r"""[/"'](?:(?<=/)/[^\n]*|(?<=("))[^"\\\n]*(?:\\.[^"\\\n]*)*+"?|(?<=')(?:\\[^\n][^'\n]{0,9}|[^'\\\n])('))"""
 PYTHON_BLANKS = r"""[#"'](?:(?<=#)[^\n]*|(?<=("))[^"\\\n]*(?:\\.[^"\\\n]*)*+"?|(?<=('))[^'\\\n]*(?:\\.[^'\\\n]*)*+'?)"""
+#: A stretch of tokens up to a brace that is code, or to the end; its rest is read as by BRACE_TOKENS.
+#: Repeats of a class are greedy here, which is what Java's patterns are fast at; nothing that follows makes them give back.
+BRACE_PARTS = r"""(?!\z)(?:[^/"'`{}]+|//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|"[^"\\\n]*(?:\\.[^"\\\n]*)*+"?|'(?:\\[^\n][^'\n]{0,9}|[^'\\\n])'|`[^`\\]*(?s:\\.[^`\\]*)*+`?|[/'`])*+(?:[{}]|\z)"""
+#: Of Python's code: lines, and as one piece each the lines in a row that are indented alike, hold no
+#: colon and begin no ``def``. Neither a head nor a body's end can be among those but for the first.
+PIECES = r"( *)(?!(?:async\s+)?def\s)[^\s:][^\n:]*\n(?:\1(?!(?:async\s+)?def\s)[^\s:][^\n:]*\n)*+|[^\n]*\n|[^\n]+"
 CONTROL = r"^(?:[}\s]|\belse\b)*\b(?:if|for|foreach|while|switch|catch|match|when|loop|do|try|using|lock|synchronized|return|guard|select|unsafe|with)\b"
 TYPE = r"^(?:[\w@\[\]()<>.,\"\s]*?\s)?(?:class|struct|enum|interface|trait|impl|namespace|mod|module|union|object|record|extension|protocol)\b(?![^{]*=>)"
 CALLED = r"([\w$~]+)\s*(?:<[^()]*>|\[[^\]()]*\])?\s*\("
@@ -84,9 +91,13 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 
 def python_lines(files: DataFrame) -> DataFrame:
-    """``file, k, code`` of Python files: every line's code, nothing but feeds being left of others."""
-    rows = files.where("language = 'python'").select("file", F.posexplode_outer(F.split(python_masked(F.col("content")), "\n", -1)).alias("k", "code"))
-    return rows.select("file", (F.col("k") + 1).alias("k"), "code")
+    """``file, t, code, k`` of Python files: the code, nothing but feeds being left of strings and comments,
+    in pieces of :data:`PIECES` with the number of their first line."""
+    pieces = F.regexp_extract_all(python_masked(F.col("content")), F.lit(PIECES), F.lit(0))
+    rows = files.where("language = 'python'").select("file", F.posexplode_outer(pieces).alias("t", "code"))
+    rows = rows.withColumn("feeds", F.regexp_count("code", F.lit("\n")))
+    k = F.sum("feeds").over(W.partitionBy("file").orderBy("t")) - F.col("feeds") + 1
+    return rows.select("file", "t", "code", k.cast("int").alias("k"))
 
 
 def once(rows: DataFrame, **made: Column) -> DataFrame:
@@ -112,13 +123,13 @@ def name_of(head: Column) -> Column:
 def brace_bodies(files: DataFrame, least: int) -> DataFrame:
     """``file, first, last, name`` of bodies in braces of ``least`` lines or more."""
     own = files.where(F.col("language").isin(*BRACES))
-    # what follows the last brace ends with one that opens nothing, so no stretch is tried twice
-    heads = F.regexp_extract_all(F.concat(brace_masked(F.col("content")), F.lit("{")), F.lit(r"[^{}]*[{}]"), F.lit(0))
-    rows = own.select("file", F.posexplode_outer(heads).alias("t", "part"))
+    # what follows the last brace ends with one that opens nothing
+    parts = F.regexp_extract_all(F.concat("content", F.lit("\n{")), F.lit(BRACE_PARTS), F.lit(0))
+    rows = own.select("file", F.posexplode_outer(parts).alias("t", "part"))
     order = W.partitionBy("file").orderBy("t")
     opens, feeds = F.endswith("part", F.lit("{")), F.regexp_count("part", F.lit("\n"))
-    # the head is what follows the last statement; that of a closing brace is never asked for
-    head = F.when(opens, F.trim(F.regexp_replace(F.substring_index("part", ";", -1), r"[\n{};]", " "))).otherwise(F.lit(""))
+    # the head is what follows the last statement; that of a closing brace is never asked for, so bodies aren't masked
+    head = F.when(opens, F.trim(F.regexp_replace(F.substring_index(brace_masked(F.col("part")), ";", -1), r"[\n{};]", " "))).otherwise(F.lit(""))
     rows = rows.select("file", "t", F.when(opens, F.lit("{")).otherwise(F.lit("}")).alias("mark"), head.alias("head"), feeds.alias("feeds"))
     rows = rows.withColumns({"line": F.sum("feeds").over(order) + 1, "depth": F.sum(F.when(F.col("mark") == "{", 1).otherwise(-1)).over(order)})
     level = W.partitionBy("file", "level").orderBy("t")
@@ -136,17 +147,20 @@ def outermost(bodies: DataFrame) -> DataFrame:
 
 
 def python_bodies(lines: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """As above, of ``def`` bodies; the signature goes on to a colon outside of brackets."""
+    """As above, of ``def`` bodies, from :func:`python_lines`; the signature goes on to a colon outside of brackets."""
     order, back = W.partitionBy("file").orderBy("k"), W.partitionBy("file").orderBy(F.desc("k"))
     count = lambda marks: F.regexp_count("code", F.lit(marks))
     rows = lines.withColumn("depth", F.sum(count(r"[(\[{]") - count(r"[)\]}]")).over(order))
-    code = F.rtrim("code")
-    ends = F.when((F.col("depth") <= 0) & F.endswith(code, F.lit(":")), F.col("k"))
-    indent = F.length(F.regexp_extract(F.regexp_replace("code", "\t", "        "), r"^ *", 0))
-    rows = rows.where(code != "").withColumns({"indent": indent, "name": F.regexp_extract("code", DEF, 1), "next_end": F.min(ends).over(back.rowsBetween(W.unboundedPreceding, -1))})
-    rows = rows.withColumns({"last_code": F.lag("k").over(order), "final": F.max("k").over(W.partitionBy("file"))})
-    here = (F.col("depth") <= 0) & F.contains("code", F.lit(":"))
-    rows = scratch.keep(rows.select("file", "k", "name", "indent", "last_code", "final", "next_end", here.alias("here")), "python")
+    code = F.rtrim(F.when(F.endswith("code", F.lit("\n")), F.left("code", F.length("code") - 1)).otherwise(F.col("code")))
+    # only a line that is a piece of its own has a colon
+    colon = (F.col("depth") <= 0) & F.contains("code", F.lit(":"))
+    indent = F.length(F.regexp_replace(F.regexp_extract("code", r"^[ \t]*", 0), "\t", "        "))
+    last = F.col("k") + F.greatest(F.regexp_count(code, F.lit("\n")), F.lit(0))
+    rows = rows.select("file", "k", last.alias("upto"), code.alias("code"), colon.alias("here"), indent.alias("indent")).where(F.col("code") != "")
+    ends = F.when(F.col("here") & F.endswith("code", F.lit(":")), F.col("k"))
+    rows = rows.withColumns({"name": F.regexp_extract("code", DEF, 1), "next_end": F.min(ends).over(back.rowsBetween(W.unboundedPreceding, -1))})
+    rows = rows.withColumns({"last_code": F.lag("upto").over(order), "final": F.max("upto").over(W.partitionBy("file"))})
+    rows = scratch.keep(rows.select("file", "k", "name", "indent", "last_code", "final", "next_end", "here"), "python")
     defs = rows.where("name <> ''").select("file", F.col("indent").alias("level"), F.col("k").alias("a"), "name", F.when(F.col("here"), F.col("k")).otherwise(F.col("next_end")).alias("k"), "final").where("k is not null")
     # by level of indentation: the next line that ends a body of it
     levels = defs.select("file", "level").distinct()
