@@ -1,6 +1,7 @@
 """Outlines as relations against a scanner of one text at a time."""
 
 import random
+import re
 
 import plain_outline as plain
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from test_kernels import BODY, HEADS, PY, RS, TS
 
 from ledgerspark.operators import outlines as R
+from ledgerspark.plans import text as T
 from ledgerspark.plans.text import FUNCTIONS
 
 SCHEMA = "file long, language string, content string"
@@ -159,3 +161,21 @@ def test_bodies_are_looked_for_only_where_nothing_else_is_told(spark, monkeypatc
     got = {r["file"]: r["warning"] for r in R.edit_warnings(spark.createDataFrame(rows, "file long, language string, before string, after string")).collect()}
     assert got == {2: "the edit wrote an outline's mark into the file", 3: "the edit removed over half of the file", 4: "bodies became short: f"}
     assert looked == [[4], [4]]
+
+
+def test_bodies_are_few_rows_and_are_not_masked(spark):
+    """A function's lines in a row that are alike are one row, and only what opens a brace is masked."""
+    body = "".join(f'    x = g("w{i}")  # {{\n' for i in range(200))
+    text = "# " + "x" * 1100 + "\ndef f(\n    a,\n):\n" + body + "    if a:\n        y\n\nz = 1\n"
+    files = spark.createDataFrame([(1, "python", text), (2, "rust", "fn f() {\n" + body + "}\n")], SCHEMA)
+    rows = R.python_lines(files).collect()
+    assert len(rows) < 12 and [r["k"] for r in rows if "g(" in (r["code"] or "")] == [5]
+    assert [tuple(r) for r in R.python_bodies(R.python_lines(files), 15, R.Scratch(spark, "few")).collect()] == [(1, 5, 206, "f")]
+    assert "regexp_replace(content" not in R.brace_bodies(files, 15)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_heads_are_counted_by_line(spark):
+    texts = ["", "f1_2", "f1_2 f3_4\nf5_6(\n xf1_2 f1_2x\nf_1\n", "f1_2\r f1_2\n // ... 3 lines of f1_2 elided\nf7_8", "ff1_2\n a lines of b f1_2\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.head_lines(F.col("t")).alias("n")).collect()
+    want = [sum(bool(re.search(r"\bf\d+_\d+\b", x)) and " lines of " not in x for x in t.split("\n")) for t in texts]
+    assert [r["n"] for r in rows] == want
